@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, decontam, license_scan, mixing
+from docloom.llm import chat_format, decontam, embed_dedup, license_scan, mixing, ngram_join
 from docloom.llm.frames import table
 from docloom.session import ship
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_hostile(table(spark, sf_dir, "conversations"), spark)
     return chat_format.read_back(chat_format.examples(turns))
@@ -32,7 +42,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat_format, op5_mix_sources, op8_license_scan, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op8_license_scan, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
