@@ -69,7 +69,7 @@ class Tokens:
 
     def sub(self, s: np.ndarray, e: np.ndarray, salt: int) -> np.ndarray:
         """Hashes of stretches of code points, wherever they stand."""
-        return mix((self.sum[e] - self.sum[s]) * self.down[s] + U64(0x632BE59BD9B4E019) * U64(salt + 1))
+        return mix((self.sum[e] - self.sum[s]) * self.down[s] + U64(0x632BE59BD9B4E019 * (salt + 1) % (1 << 64)))
 
     def features(self, size: int = FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the distinct words: word number, feature, value; sorted by word."""
