@@ -4,8 +4,9 @@ A text's set is its distinct k-word shingles, as 64-bit hashes. Texts of equal s
 All sets are ordered alike, rare shingles first. For a set of n shingles and Jaccard t every
 partner shares at least T = ceil(t n) of them, so two linked sets share at least min(l, l')
 shingles among their first n - T + l and n' - T' + l'. Each document picks its l: a longer prefix
-is read by more lists but asks for more matches, so l is raised where the estimated cost
-sum(df) + n * sum(df) / l of its prefix falls by it, as it does for texts full of common passages.
+is read by more lists but asks for more matches. So l, a power of two, is that of the least
+estimated cost |prefix| + n * sum(df) / l: what the prefix takes to deal out, and the tests of size n
+of the partners expected to share l of it. Texts that share passages with many others ask for more.
 
 Steps, each a map or a shuffle of evenly dealt blocks, never of all documents of one shingle as rows:
 1. One pass over the texts: set sizes and fingerprints, and counts of locally repeated shingles,
@@ -40,7 +41,9 @@ from docloom.llm.scratch import Scratch
 from docloom.llm.words import U64, Words, mix, pieces, shingles
 
 #: Words of a shingle; Jaccard in percent; slots of the frequency table; largest l.
-K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 4
+K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 128
+#: Partners by chance that a shingle outside the frequency table is taken to have; rounds that drop hopeless candidates.
+RARE, ROUNDS = 0.02, 3
 #: Shingles counted together for the frequency table, and repeats in them that make a shingle count as common.
 COUNTED, COMMON = 1 << 21, 3
 #: Bytes of a packed block, prefix shingles of a bucket, shingles of a group's block and of a verifying task.
@@ -104,12 +107,12 @@ class Order:
         order = np.lexsort((s, df))
         d = df[order].astype(np.float64)
         n, t = len(s), int(need(len(s), self.percent))
-        best, cost = 1, math.inf
-        cum = np.cumsum(d)
-        for l in range(1, min(self.multi, t) + 1):
-            x = cum[min(n, n - t + l) - 1]
-            if (c := x + n * x / l) < cost:
+        best, cost, l, cum = 1, math.inf, 1, np.cumsum(d + RARE)
+        while l <= min(self.multi, t):
+            x = min(n, n - t + l)
+            if (c := x + n * cum[x - 1] / l) < cost:
                 best, cost = l, c
+            l *= 2
         return s[order], best, min(n, n - t + best), float((d > 0).mean())
 
 
@@ -344,15 +347,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     packed = docs.mapInArrow(_prefixes(k, shared, buckets), "bucket int, docs binary, tokens binary")
     ties = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pivots(percent), "p long, c long, n long, shared long, least long")
     ties = scratch.table("ties", ties.groupBy("p", "c").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("least").alias("least")))
-    enough = ties.groupBy("c").agg(F.sum("shared").alias("s"), F.min("least").alias("m")).where("s >= m").select("c")
-    ties = ties.select("p", "c").join(enough, "c")
-    ties = ties.join(classes.select(F.col("f1").alias("c"), "n", "rep"), "c")
-    groups = ties.groupBy("p").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).where("m > 1")
+    for r in range(ROUNDS):  # fewer shared shingles, over all its pivots, than any partner asks for; then pivots left alone
+        enough = ties.groupBy("c").agg(F.sum("shared").alias("s"), F.min("least").alias("m")).where("s >= m").select("c")
+        ties = ties.join(enough, "c")
+        ties = scratch.table(f"ties{r}", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p"), "p"))
+        scratch.drop("ties" if not r else f"ties{r - 1}")
+    ties = ties.select("p", "c").join(classes.select(F.col("f1").alias("c"), "n", "rep"), "c")
+    groups = ties.groupBy("p").agg(F.sum("n").alias("grams"))
     blocks = F.ceil(F.col("grams") / F.lit(group)).cast("int")
     ties = ties.join(groups.select("p", blocks.alias("blocks")), "p").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     ties = ties.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = scratch.table("members", ties.select("p", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", (F.col("p") == F.col("c")).alias("is_pivot"), F.col("rep").alias("doc_id"), F.col("n").alias("grams_n")))
-    scratch.drop("ties")
+    scratch.drop(f"ties{ROUNDS - 1}")
 
     wanted = members.select("doc_id").distinct()
     size = 1 << max(18, min(28, (8 * wanted.count()).bit_length()))
