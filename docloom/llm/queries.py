@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, decontam, embed_dedup, license_scan, mixing, ngram_join
+from docloom.llm import chat_format, decontam, embed_dedup, langid, license_scan, mixing, ngram_join
 from docloom.llm.frames import table
 from docloom.session import ship
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -42,7 +48,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op8_license_scan, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op8_license_scan, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
