@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, decontam, embed_dedup, langid, license_scan, mixing, ngram_join
+from docloom.llm import chat_format, decontam, embed_dedup, langid, license_scan, lm_score, mixing, ngram_join, quality
 from docloom.llm.frames import table
 from docloom.session import ship
 
@@ -37,6 +37,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
@@ -48,7 +58,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op8_license_scan, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op6_lm_score, op7_quality, op8_license_scan, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
