@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, decontam, embed_dedup, langid, license_scan, lm_score, mixing, ngram_join, quality
+from docloom.llm import (
+    chat_format,
+    decontam,
+    embed_dedup,
+    langid,
+    license_scan,
+    line_dedup,
+    lm_score,
+    mixing,
+    ngram_join,
+    quality,
+)
 from docloom.llm.frames import table
 from docloom.session import ship
 
@@ -57,8 +67,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op6_lm_score, op7_quality, op8_license_scan, op9_decontaminate)}
+    every = (op1_language_id, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op6_lm_score, op7_quality, op8_license_scan, op9_decontaminate, op10_line_dedup)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
