@@ -41,9 +41,9 @@ from docloom.llm.scratch import Scratch
 from docloom.llm.words import U64, Words, mix, pieces, shingles
 
 #: Words of a shingle; Jaccard in percent; slots of the frequency table; largest l.
-K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 128
+K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 1 << 14
 #: Partners by chance that a shingle outside the frequency table is taken to have; rounds that drop hopeless candidates.
-RARE, ROUNDS = 0.02, 3
+RARE, ROUNDS = 0.1, 3
 #: Shingles counted together for the frequency table, and repeats in them that make a shingle count as common.
 COUNTED, COMMON = 1 << 21, 3
 #: Bytes of a packed block, prefix shingles of a bucket, shingles of a group's block and of a verifying task.
@@ -352,6 +352,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
         ties = ties.join(enough, "c")
         ties = scratch.table(f"ties{r}", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p"), "p"))
         scratch.drop("ties" if not r else f"ties{r - 1}")
+    # a linked pair shares its shingles under at most as many pivots as either has, so under one of them at least the mean
+    each = ties.groupBy("c").agg(F.count("*").alias("k"), F.min("least").alias("m"))
+    ties = ties.join(each, "c").where(F.col("shared") * F.col("k") >= F.col("m")).drop("k", "m")
+    ties = ties.join(ties.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p"), "p")
     ties = ties.select("p", "c").join(classes.select(F.col("f1").alias("c"), "n", "rep"), "c")
     groups = ties.groupBy("p").agg(F.sum("n").alias("grams"))
     blocks = F.ceil(F.col("grams") / F.lit(group)).cast("int")
