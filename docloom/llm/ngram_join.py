@@ -365,7 +365,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     scratch.drop(f"ties{ROUNDS - 1}")
 
     wanted = members.select("doc_id").distinct()
-    size = 1 << max(18, min(28, (8 * wanted.count()).bit_length()))
+    size = 1 << max(18, min(28, (64 * wanted.count()).bit_length()))
     slot = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(size))
     # bitmap functions number the bits of a bucket from 1
     marks = wanted.select((slot() + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
