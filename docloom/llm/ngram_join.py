@@ -11,7 +11,7 @@ of the partners expected to share l of it. Texts that share passages with many o
 Steps, each a map or a shuffle of evenly dealt blocks, never of all documents of one shingle as rows:
 1. One pass over the texts: set sizes and fingerprints, and counts of locally repeated shingles,
    which add up to a table of fixed size that estimates frequency. It only sets the order.
-2. Prefixes go to buckets by shingle, packed. In a bucket, the documents of one shingle whose sizes
+2. Prefixes go to buckets by shingle, packed, as 32 further bits of it (a clash only adds a candidate). In a bucket, the documents of one shingle whose sizes
    allow a partner are tied to one of them, the pivot: rows are linear in the prefixes, whatever the
    group. Documents with fewer shared prefix shingles than any partner asks for are dropped.
 3. Pivots gather their documents' sets, in blocks of bounded size (every two blocks of a large group
@@ -44,6 +44,8 @@ from docloom.llm.words import U64, Words, mix, pieces, shingles
 K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 1 << 14
 #: Partners by chance that a shingle outside the frequency table is taken to have; rounds that drop hopeless candidates.
 RARE, ROUNDS = 0.1, 3
+#: Members up to which a pivot's candidates are looked at pair by pair.
+SMALL = 16
 #: Shingles counted together for the frequency table, and repeats in them that make a shingle count as common.
 COUNTED, COMMON = 1 << 21, 3
 #: Bytes of a packed block, prefix shingles of a bucket, shingles of a group's block and of a verifying task.
@@ -143,7 +145,7 @@ def _prefixes(k: int, shared, buckets: int):
                 e["tokens"] = n
                 out[0].append(i)
                 out[1].append(e.tobytes())
-                out[2].append(tok[edge[i] : edge[i + 1]].tobytes())
+                out[2].append(tok[edge[i] : edge[i + 1]].astype(np.uint32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, _PACK, strict=True)], schema=_PACK)
 
         for batch in batches:
@@ -157,7 +159,7 @@ def _prefixes(k: int, shared, buckets: int):
                     seen.add(f)
                     s, l, p, q = order(s)
                     parts.append((s[:p], f[0], q, len(s), l))
-                    size += 8 * p + _ENTRY.itemsize
+                    size += 4 * p + _ENTRY.itemsize
                     if size >= PACKED:
                         yield pack()
                         parts, size, seen = [], 0, set()
@@ -172,8 +174,8 @@ _TIES = pa.schema([("p", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("sh
 
 def _pivots(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(b.as_py(), _ENTRY) for b in table["docs"]])
-        tok = np.concatenate([np.frombuffer(b.as_py(), U64) for b in table["tokens"]])
+        e = np.concatenate([np.frombuffer(b.as_buffer(), _ENTRY) for b in table["docs"]])
+        tok = np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for b in table["tokens"]])
         cs, one, of = np.unique(e["c"], return_index=True, return_inverse=True)
         d = np.repeat(of, e["tokens"])
         n, l, q = e["n"][one].astype(np.int64), e["l"][one].astype(np.int64), e["q"][one]
@@ -226,13 +228,25 @@ def _sets(k: int, shared, bits):
                 for doc_id, s in zip(piece.column(0).to_pylist(), shingles(Words(piece.column(1), "spaced"), k), strict=True):
                     if len(s):
                         s, l, p, _ = order(s)
-                        for o, x in zip(out, (doc_id, len(s), l, p, s.tobytes()), strict=True):
+                        for o, x in zip(out, (doc_id, len(s), l, p, low48(s)), strict=True):
                             o.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, _SETS, strict=True)], schema=_SETS)
 
     return run
 
 
+def low48(s: np.ndarray) -> bytes:
+    """48 bits of each shingle: two sets of n chance on a common value with probability n * n / 2**48."""
+    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from48(raw) -> np.ndarray:
+    narrow = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :6] = narrow
+    return wide.view(U64)[:, 0]
+
+
 class Union:
     """Disjoint sets over 0..n-1."""
 
@@ -320,7 +334,7 @@ def _verify(percent: int):
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             rows = order[s:e]
             if len(rows) > 1:
-                sets = [np.frombuffer(grams[int(r)].as_buffer(), U64) for r in rows]
+                sets = [from48(grams[int(r)].as_buffer()) for r in rows]
                 for x, y in link_group(sets, l[rows], pre[rows], side[rows], i[rows[0]] != j[rows[0]], percent):
                     a.append(doc[rows[x]])
                     b.append(doc[rows[y]])
@@ -352,17 +366,28 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
         ties = ties.join(enough, "c")
         ties = scratch.table(f"ties{r}", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p"), "p"))
         scratch.drop("ties" if not r else f"ties{r - 1}")
-    # a linked pair shares its shingles under at most as many pivots as either has, so under one of them at least the mean
-    each = ties.groupBy("c").agg(F.count("*").alias("k"), F.min("least").alias("m"))
-    ties = ties.join(each, "c").where(F.col("shared") * F.col("k") >= F.col("m")).drop("k", "m")
-    ties = ties.join(ties.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p"), "p")
+    # in small groups, pair by pair: what two share there adds up to a bound of all they share, unless a large group has both,
+    # and then it tests them; a pair that stays is tested under the pivot where it shares most
+    m = ties.groupBy("p").agg(F.count("*").alias("m"))
+    sized = scratch.table("sized", ties.join(m, "p"))
+    scratch.drop(f"ties{ROUNDS - 1}")
+    x = sized.where(F.col("m") <= SMALL).select("p", "c", "n", "shared", "least")
+    y = x.select("p", *(F.col(v).alias(f"{v}2") for v in ("c", "n", "shared", "least")))
+    pairs = x.join(y, "p").where((F.col("c") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    both = F.least("shared", "shared2")
+    pairs = pairs.groupBy("c", "c2").agg(F.sum(both).alias("s"), F.min(F.least("least", "least2")).alias("l"), F.max(F.struct(both.alias("b"), "p"))["p"].alias("p")).where("s >= l")
+    small = pairs.select("p", F.explode(F.array("c", "c2")).alias("c")).distinct()
+    # in large groups: a linked pair shares its shingles under at most as many pivots as either has, so under one of them at least the mean
+    each = sized.groupBy("c").agg(F.count("*").alias("k"), F.min("least").alias("low"))
+    large = sized.where(F.col("m") > SMALL).join(each, "c").where(F.col("shared") * F.col("k") >= F.col("low")).select("p", "c")
+    ties = scratch.table("kept", small.unionByName(large))
     ties = ties.select("p", "c").join(classes.select(F.col("f1").alias("c"), "n", "rep"), "c")
     groups = ties.groupBy("p").agg(F.sum("n").alias("grams"))
     blocks = F.ceil(F.col("grams") / F.lit(group)).cast("int")
     ties = ties.join(groups.select("p", blocks.alias("blocks")), "p").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     ties = ties.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = scratch.table("members", ties.select("p", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", (F.col("p") == F.col("c")).alias("is_pivot"), F.col("rep").alias("doc_id"), F.col("n").alias("grams_n")))
-    scratch.drop(f"ties{ROUNDS - 1}")
+    scratch.drop("sized", "kept")
 
     wanted = members.select("doc_id").distinct()
     size = 1 << max(18, min(28, (64 * wanted.count()).bit_length()))
