@@ -146,7 +146,7 @@ def recurring(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, min_t
     for r in marks.collect():  # at most 2**28 bits, in pieces of 4 KB
         bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
     found = map_texts(docs.select("text"), "text", _leaf_lines(spark.sparkContext.broadcast(bits), min_tokens), "leaf long, template long, tokens binary")
-    found = found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"))
+    found = scratch.table("found", found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens")))
     found = found.join(leaves, "leaf").withColumn("salt", F.pmod(F.xxhash64("template"), F.ceil(F.col("n") / F.lit(part)).cast("long")))
     # parts of leaves are dealt to tasks by hash; the second round sees one row for each template that the first made
     ddl = "leaf long, template long, group long, tokens binary"
