@@ -34,18 +34,38 @@ from docloom.llm.scratch import Scratch
 from docloom.llm.words import U64, Words, mix, pieces
 
 #: Longest n-gram, factor of each step back, bytes of text of a block, n-grams of a bucket.
-ORDER, BACKOFF, BLOCK, BUCKET = 3, 0.4, 3 << 20, 1 << 21
+ORDER, BACKOFF, BLOCK, BUCKET = 3, 0.4, 6 << 20, 1 << 21
 _STREAM = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.int64()), ("dictionary", pa.binary()), ("stream", pa.binary())])
 
 
+def shrink(x: np.ndarray) -> bytes:
+    """Whole numbers of up to 64 bits, compressed byte plane by byte plane: most of them are small."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def grow(raw) -> np.ndarray:
+    """What shrink took, as int64."""
+    raw = memoryview(raw).cast("B")
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(pa.decompress(raw[9:], decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n).T
+    return wide.view(np.int64)[:, 0]
+
+
 def _blocks(most: int):
     def run(batches):
         first, k = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             for piece in pieces(batch, "text", most):
                 w = Words(piece.column(1), "spaced")
-                words, stream = np.unique(w.hash, return_inverse=True)
-                cols = ([first + k], [piece.column(0).to_pylist()], [w.counts().tolist()], [len(stream)], [words.tobytes()], [stream.astype(np.uint32).tobytes()])
+                words, stream, often = np.unique(w.hash, return_inverse=True, return_counts=True)
+                by = np.argsort(-often, kind="stable")  # frequent words get small numbers
+                place = np.empty(len(by), np.int64)
+                place[by] = np.arange(len(by))
+                words, stream = words[by], place[stream]
+                cols = ([first + k], [piece.column(0).to_pylist()], [w.counts().tolist()], [len(stream)], [words.tobytes()], [shrink(stream)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STREAM, strict=True)], schema=_STREAM)
                 k += 1
 
@@ -56,7 +76,7 @@ class Grams:
     """The n-grams of a block up to an order: distinct ones by hash, where each occurrence points, and counts."""
 
     def __init__(self, row: dict, order: int):
-        words, stream = np.frombuffer(row["dictionary"], U64), np.frombuffer(row["stream"], np.uint32)
+        words, stream = np.frombuffer(row["dictionary"], U64), grow(row["stream"])
         self.counts = np.array(row["counts"], np.int64)
         self.docs = row["docs"]
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
@@ -75,22 +95,18 @@ class Grams:
             self.own.append(np.bincount(of, minlength=len(u)))
 
     def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All distinct n-grams in the order of buckets: the order, bucket edges, hashes, counts."""
+        """All distinct n-grams by hash, which buckets share out in stretches: the order, bucket edges, 48-bit places in the bucket, counts."""
         h, c = np.concatenate(self.hash), np.concatenate(self.own)
-        b = ((h >> U64(48)).astype(np.int64) * buckets) >> 16 if buckets <= 1 << 16 else (h % U64(buckets)).astype(np.int64)
-        order = np.lexsort((h, b))
-        return order, np.searchsorted(b[order], np.arange(buckets + 1)), h[order], c[order]
+        order = np.argsort(h)
+        h, m = h[order], U64(buckets)
+        b = ((h >> U64(32)) * m + (((h & U64(0xFFFFFFFF)) * m) >> U64(32))) >> U64(32)
+        return order, np.searchsorted(b, np.arange(buckets + 1, dtype=U64)), ((h * m) >> U64(16)).astype(np.int64), c[order]
 
 
 _ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 _REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary())])
 
 
-def _low(h: np.ndarray) -> bytes:
-    """The lowest 48 bits of each."""
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
 def _ask(order: int, buckets: int):
     def run(batches):
         for batch in batches:
@@ -98,26 +114,23 @@ def _ask(order: int, buckets: int):
                 _, edge, h, c = Grams(row, order).asked(buckets)
                 for some in np.array_split(np.flatnonzero(np.diff(edge)), max(1, buckets // 64)):
                     cut = [(edge[b], edge[b + 1]) for b in some.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), row["block"]), pa.int64()), pa.array([_low(h[s:e]) for s, e in cut], pa.binary()), pa.array([c[s:e].astype(np.uint32).tobytes() for s, e in cut], pa.binary())], schema=_ASK)
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), row["block"]), pa.int64()), pa.array([shrink(np.diff(h[s:e], prepend=0)) for s, e in cut], pa.binary()), pa.array([shrink(c[s:e]) for s, e in cut], pa.binary())], schema=_ASK)
 
     return run
 
 
 def _count(table: pa.Table) -> pa.Table:
     """Sums the blocks' counts of each n-gram of the bucket and answers every block."""
-    raw = [np.frombuffer(v.as_buffer(), np.uint8).reshape(-1, 6) for v in table["grams"]]
-    sizes = np.array([len(r) for r in raw])
-    wide = np.zeros((sizes.sum(), 8), np.uint8)
-    wide[:, :6] = np.concatenate(raw)
-    h = wide.view(U64)[:, 0]
-    c = np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in table["counts"]]).astype(np.int64)
+    each = [np.cumsum(grow(v.as_buffer())) for v in table["grams"]]
+    sizes, h = np.array([len(x) for x in each]), np.concatenate(each)
+    c = np.concatenate([grow(v.as_buffer()) for v in table["counts"]])
     at = np.argsort(h)
     new = np.concatenate(([True], h[at][1:] != h[at][:-1]))
     total = np.add.reduceat(c[at], np.flatnonzero(new))
     out = np.empty(len(h), np.int64)
     out[at] = total[np.cumsum(new) - 1]
     edge = np.concatenate(([0], np.cumsum(sizes)))
-    return pa.table([table["block"], table["bucket"], pa.array([out[s:e].tobytes() for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], schema=_REPLY)
+    return pa.table([table["block"], table["bucket"], pa.array([shrink(out[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], schema=_REPLY)
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
@@ -132,7 +145,7 @@ def _score(order: int, backoff: float, total_words: int, buckets: int):
             at, edge, _, _ = g.asked(buckets)
             everywhere = np.zeros(len(at), np.int64)
             for b in np.flatnonzero(np.diff(edge)).tolist():
-                everywhere[at[edge[b] : edge[b + 1]]] = np.frombuffer(replies[b].as_buffer(), np.int64)
+                everywhere[at[edge[b] : edge[b + 1]]] = grow(replies[b].as_buffer())
             start = np.concatenate(([0], np.cumsum([len(h) for h in g.hash])))
             n = len(g.doc)
             others = total_words - g.counts[g.doc]  # words of all other documents
