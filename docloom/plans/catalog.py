@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from docloom.plans import retrieval
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in (retrieval,) for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in (retrieval,) for k, v in m.SQL.items()}
