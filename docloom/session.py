@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, name: str = "docloom", **conf: str) -> SparkSession:
@@ -33,6 +34,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, name: s
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package's sources to the executors, once for an application; they may not have it installed."""
+    if spark.conf.get(_BATCH, "64MB") in ("67108864", "67108864b", "64MB"):
+        spark.conf.set(_BATCH, "8MB")  # texts may be long: what a worker holds at once is bounded by bytes, not rows
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         top = Path(__file__).resolve().parent
