@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.words import pieces
+from docloom.llm.words import PIECE, pieces
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -28,12 +28,12 @@ def pick(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").cast(kind).alias(new) for new, (old, kind) in columns.items()))
 
 
-def map_texts(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over slices of bounded bytes of df's Arrow batches; whole rows, whole texts."""
+def map_texts(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = PIECE) -> DataFrame:
+    """fn over slices of about `most` bytes of df's Arrow batches; whole rows, whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, most):
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out

@@ -250,7 +250,7 @@ def mark(docs: DataFrame, model: Crf | None, text: str = "text", name: str = "la
         return with_columns(batch, **{name: pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], fields=list(kind))})
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL("lang string, score double"))])
-    return map_texts(docs, text, run, schema), name
+    return map_texts(docs, text, run, schema, 1 << 18), name
 
 
 def predict(docs: DataFrame, model: Crf | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -47,9 +47,9 @@ RARE, ROUNDS = 0.1, 3
 #: Members up to which a pivot's candidates are looked at pair by pair.
 SMALL = 16
 #: Shingles counted together for the frequency table, and repeats in them that make a shingle count as common.
-COUNTED, COMMON = 1 << 21, 3
+COUNTED, COMMON = 1 << 20, 3
 #: Bytes of a packed block, prefix shingles of a bucket, shingles of a group's block and of a verifying task.
-PACKED, BUCKET, GROUP, TASK = 4 << 20, 1 << 21, 1 << 21, 1 << 21
+PACKED, BUCKET, GROUP, TASK = 4 << 20, 3 << 19, 1 << 20, 1 << 20
 
 
 def need(n, percent: int = PERCENT):
@@ -177,30 +177,28 @@ def _pivots(percent: int):
         e = np.concatenate([np.frombuffer(b.as_buffer(), _ENTRY) for b in table["docs"]])
         tok = np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for b in table["tokens"]])
         cs, one, of = np.unique(e["c"], return_index=True, return_inverse=True)
+        of = of.astype(np.uint64)
         d = np.repeat(of, e["tokens"])
         n, l, q = e["n"][one].astype(np.int64), e["l"][one].astype(np.int64), e["q"][one]
-        rank = np.empty(len(cs), np.int64)
-        rank[np.lexsort((cs, -q))] = np.arange(len(cs))
-
-        def runs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            t = tok[order]
-            first = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
-            return first, np.cumsum(first) - 1
-
-        # once for each document and shingle; then documents that some other of the shingle's can match in size
-        at = np.lexsort((d, tok))
-        same = np.concatenate(([False], (tok[at][1:] == tok[at][:-1]) & (d[at][1:] == d[at][:-1])))
-        tok, d = tok[at[~same]], d[at[~same]]
-        at = np.lexsort((n[d], tok))
-        tok, d = tok[at], d[at]
+        rank = np.empty(len(cs), np.uint64)
+        rank[np.lexsort((cs, -q))] = np.arange(len(cs), dtype=np.uint64)
+        by_size = np.empty(len(cs), np.uint64)
+        in_size = np.lexsort((cs, n))
+        by_size[in_size] = np.arange(len(cs), dtype=np.uint64)
+
+        # once for each document and shingle, by size; then documents that some other of the shingle's can match in size
+        key = np.unique((tok.astype(U64) << U64(32)) | by_size[d.view(np.int64)])
+        tok, d = (key >> U64(32)).astype(np.uint32), in_size[(key & U64(0xFFFFFFFF)).view(np.int64)]
         near = (tok[1:] == tok[:-1]) & (100 * n[d[:-1]] >= percent * n[d[1:]]) if len(tok) else np.zeros(0, bool)
         keep = np.concatenate((near, [False])) | np.concatenate(([False], near)) if len(tok) else near
         tok, d = tok[keep], d[keep]
         if not len(tok):
             return _TIES.empty_table()
-        at = np.lexsort((rank[d], tok))
-        first, run_ = runs(at)
-        d = d[at]
+        key = (tok.astype(U64) << U64(32)) | rank[d]
+        at = np.argsort(key)
+        tok, d = tok[at], d[at]
+        first = np.concatenate(([True], tok[1:] != tok[:-1]))
+        run_ = np.cumsum(first) - 1
         starts = np.flatnonzero(first)
         pivot = d[starts][run_]
         least = np.minimum.reduceat(l[d], starts)[run_]

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes handled at once; bounds the memory of a task whatever the batch. Longer texts go alone.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
 
