@@ -11,7 +11,8 @@ the count tables, sums over the blocks, and answers each in the order it asked.
 their block again by its number, where they are joined to the n-grams of each document and summed.
 What is dealt out grows with the distinct n-grams of blocks; a frequent n-gram is a row of a block,
 not of a document, so no key gathers more than one entry from each block. Bucket and block sizes do
-not depend on the data. In a bucket an n-gram is known by 48 further bits of its hash.
+not depend on the data. In a bucket an n-gram is known by 40 further bits of its
+hash, so one in some millions shares its counts with another, at every size of the corpus.
 
 Defined results: null and empty texts have no words and a null score; the first words of a text
 have the shorter contexts that exist; repeated rows count as other documents of each other; a null
@@ -35,11 +36,13 @@ from docloom.llm.words import U64, Words, mix, pieces
 
 #: Longest n-gram, factor of each step back, bytes of text of a block, n-grams of a bucket.
 ORDER, BACKOFF, BLOCK, BUCKET = 3, 0.4, 6 << 20, 1 << 21
+#: Bits that tell the n-grams of a bucket apart.
+BITS = 40
 _STREAM = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.int64()), ("dictionary", pa.binary()), ("stream", pa.binary())])
 
 
 def shrink(x: np.ndarray) -> bytes:
-    """Whole numbers of up to 64 bits, compressed byte plane by byte plane: most of them are small."""
+    """Whole numbers of up to 64 bits, compressed byte plane by byte plane: most bytes of the upper planes are 0."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
     planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
     return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
@@ -65,7 +68,7 @@ def _blocks(most: int):
                 place = np.empty(len(by), np.int64)
                 place[by] = np.arange(len(by))
                 words, stream = words[by], place[stream]
-                cols = ([first + k], [piece.column(0).to_pylist()], [w.counts().tolist()], [len(stream)], [words.tobytes()], [shrink(stream)])
+                cols = ([first + k], [piece.column(0).to_pylist()], [w.counts().tolist()], [len(stream)], [shrink(np.diff(words, prepend=U64(0)))], [shrink(stream)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STREAM, strict=True)], schema=_STREAM)
                 k += 1
 
@@ -76,7 +79,7 @@ class Grams:
     """The n-grams of a block up to an order: distinct ones by hash, where each occurrence points, and counts."""
 
     def __init__(self, row: dict, order: int):
-        words, stream = np.frombuffer(row["dictionary"], U64), grow(row["stream"])
+        words, stream = np.cumsum(grow(row["dictionary"]).view(U64), dtype=U64), grow(row["stream"])
         self.counts = np.array(row["counts"], np.int64)
         self.docs = row["docs"]
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
@@ -95,12 +98,12 @@ class Grams:
             self.own.append(np.bincount(of, minlength=len(u)))
 
     def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All distinct n-grams by hash, which buckets share out in stretches: the order, bucket edges, 48-bit places in the bucket, counts."""
+        """All distinct n-grams by hash, which buckets share out in stretches: the order, bucket edges, places in the bucket, counts."""
         h, c = np.concatenate(self.hash), np.concatenate(self.own)
         order = np.argsort(h)
         h, m = h[order], U64(buckets)
         b = ((h >> U64(32)) * m + (((h & U64(0xFFFFFFFF)) * m) >> U64(32))) >> U64(32)
-        return order, np.searchsorted(b, np.arange(buckets + 1, dtype=U64)), ((h * m) >> U64(16)).astype(np.int64), c[order]
+        return order, np.searchsorted(b, np.arange(buckets + 1, dtype=U64)), ((h * m) >> U64(64 - BITS)).astype(np.int64), c[order]
 
 
 _ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
