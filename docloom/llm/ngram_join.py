@@ -49,7 +49,7 @@ SMALL = 16
 #: Shingles counted together for the frequency table, and repeats in them that make a shingle count as common.
 COUNTED, COMMON = 1 << 20, 3
 #: Bytes of a packed block, prefix shingles of a bucket, shingles of a group's block and of a verifying task.
-PACKED, BUCKET, GROUP, TASK = 4 << 20, 3 << 19, 1 << 20, 1 << 20
+PACKED, BUCKET, GROUP, TASK = 4 << 20, 1 << 21, 1 << 20, 1 << 20
 
 
 def need(n, percent: int = PERCENT):
