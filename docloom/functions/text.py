@@ -107,12 +107,13 @@ def tokens(text: Column, least: int = 2) -> Column:
 
 def ngrams(terms: Column, low: int, high: int) -> Column:
     """Runs of low to high terms, joined by blanks, shorter ones first."""
-    parts = []
-    for n in range(low, high + 1):
+
+    def runs(n: int) -> Column:
         count = F.greatest(F.size(terms) - n + 1, F.lit(0))
-        starts = F.filter(F.sequence(F.lit(0), count), lambda i, c=count: i < c)
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(terms, i + 1, n), " ")))
-    return F.concat(*parts)
+        starts = F.filter(F.sequence(F.lit(0), count), lambda i: i < count)
+        return F.transform(starts, lambda i: F.array_join(F.slice(terms, i + 1, n), " "))
+
+    return F.concat(*(runs(n) for n in range(low, high + 1)))
 
 
 def with_synonyms(terms: Column, synonyms: Mapping[str, list[str]] = lx.SYNONYMS) -> Column:

@@ -78,7 +78,8 @@ def expand(queries: DataFrame, how: str = "synonyms") -> DataFrame:
     none = F.array().cast("array<string>")
     if how == "synonyms":
         table = F.create_map(*(x for k, v in lx.QUERY_SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-        more = F.slice(F.flatten(F.transform(words, lambda w: F.transform(F.coalesce(F.element_at(table, w), none), lambda s, w=w: F.replace(text, w, s)))), 1, 3)
+        replaced = lambda w: F.transform(F.coalesce(F.element_at(table, w), none), lambda s: F.replace(text, w, s))
+        more = F.slice(F.flatten(F.transform(words, replaced)), 1, 3)
     elif how == "domain":
         more = F.when(tx.contains_any(text, lx.SEMANTIC_TERMS), F.array(*(F.concat(F.col("text"), F.lit(f" {s}")) for s in lx.DOMAIN_SUFFIXES))).otherwise(none)
     elif how == "multilingual":

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.plans import retrieval
+from docloom.plans import analysis, monitoring, retrieval
+
+MODULES = (retrieval, analysis, monitoring)
 
 
 def queries() -> dict:
-    return {f.__name__: f for m in (retrieval,) for f in m.QUERIES}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in (retrieval,) for k, v in m.SQL.items()}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
