@@ -196,7 +196,7 @@ def _pack(batches):
 
 def brute_force(rows: list[tuple], cosine: float = COSINE) -> dict:
     """vec_id to (n_links, component_id) over all pairs, for tests."""
-    ok = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and len(v) and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    ok = [(i, np.array(v, np.float64) / max(map(abs, v))) for i, v in rows if i is not None and v is not None and len(v) and all(c is not None and math.isfinite(c) for c in v) and any(v)]
     u, n = Union(len(ok)), [0] * len(ok)
     for x, (_, a) in enumerate(ok):
         for y in range(x):
