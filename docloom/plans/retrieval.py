@@ -312,9 +312,9 @@ SQL = {
     "bm25_topk": _scored_sql({1: QUERY}, _BM25, 10.0) + "SELECT doc_id, round(score, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 10",
     "tfidf_topk": _scored_sql({1: QUERY}, _TFIDF, 20.0) + "SELECT doc_id, round(score, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 10",
     "bm25_batch": _scored_sql(BATCH, _BM25, 10.0) + "SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 5",
-    "boolean_search": f"""SELECT doc_id, round(least(1.0, 0.5 + least(0.5, 0.05 * ({_OCC("the")} + {_OCC("license")}))), 6) + 0.0 AS score FROM documents
+    "boolean_search": f"""SELECT doc_id, round(least(1.0::DOUBLE, 0.5 + least(0.5, 0.05 * ({_OCC("the")} + {_OCC("license")}))), 6) + 0.0 AS score FROM documents
 WHERE contains({_LOW}, 'the') AND contains({_LOW}, 'license') AND NOT contains({_LOW}, 'mit')
-UNION ALL SELECT doc_id, round(least(1.0, 0.3 + least(0.5, 0.05 * ({_OCC("keit")} + {_OCC("heit")}))), 6) + 0.0 FROM documents WHERE contains({_LOW}, 'keit') OR contains({_LOW}, 'heit')""",
+UNION ALL SELECT doc_id, round(least(1.0::DOUBLE, 0.3 + least(0.5, 0.05 * ({_OCC("keit")} + {_OCC("heit")}))), 6) + 0.0 FROM documents WHERE contains({_LOW}, 'keit') OR contains({_LOW}, 'heit')""",
     "phrase_search": f"SELECT doc_id, round(score, 6) + 0.0 AS score FROM (SELECT doc_id, least(1.0, {_OCC('under the')} * 0.5 / (len({WORDS.format('text')}) / 100.0)) AS score FROM documents WHERE len({WORDS.format('text')}) > 0) WHERE score > 0",
     "fuzzy_vocab": f"""WITH q AS (SELECT unnest(['licence', 'apachi', 'reserved']) AS q), p AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS w FROM documents),
 v AS (SELECT DISTINCT w FROM p), a AS (SELECT w, q, 1 - levenshtein(w, q)::DOUBLE / greatest(length(w), length(q)) AS s FROM v, q WHERE abs(length(w) - length(q)) <= 2),

@@ -22,7 +22,7 @@ def file_name(path: Column) -> Column:
 
 
 def read(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
-    """path, modified, size, content (bytes): a scan of files; size and time filters reach it before contents are read."""
+    """path, modified, size, content (bytes): a scan of files; size and time filters reach it before contents are read. It skips empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
