@@ -10,6 +10,7 @@ from docloom.operators import analyze as an
 from docloom.operators import classify as cl
 from docloom.operators import context as cx
 from docloom.operators import enrich as en
+from docloom.operators import ingest as ig
 from docloom.operators import split as sp
 from docloom.plans.common import TOKENS, WORDS, long, r6, sql_any, sql_hits, table
 from docloom.sources import files, store
@@ -148,6 +149,11 @@ def split_words(spark, sf):
     return s.groupBy("doc_id").agg(F.count("*").alias("chunks"), long(F.sum(F.length("text"))).alias("chars"))
 
 
+def ingest_chunks(spark, sf):
+    t = ig.chunk_table(_docs(spark, sf).where("n_chars < 2000"), rules=RULES, domains=DOMAINS, words=WORDS_OF)
+    return ig.processing_stats(t).select("category", "chunks", "documents", r6("avg_length").alias("avg_length"), r6("good_percent").alias("good_percent"))
+
+
 def chunk_category(spark, sf):
     return _docs(spark, sf).groupBy(sp.chunk_category(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
 
@@ -227,7 +233,7 @@ def flatten_metadata(spark, sf):
     return store.flatten_metadata(e, ["kind", "ids"])
 
 
-QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, upsert, delete_ids, get_by_ids, flatten_metadata]
+QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, upsert, delete_ids, get_by_ids, flatten_metadata]
 
 _W = WORDS_OF
 _L = "lower(text)"
@@ -278,6 +284,40 @@ def _domain_sql() -> str:
     return f"list_min([{', '.join(out)}])"
 
 
+_TOK = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
+_UNIT = r"list_transform(regexp_extract_all(text, '(?i){0}[0-9]+(?:\.[0-9]+)?\s*(?:{1})(?:$|[^\p{{L}}\p{{N}}_])'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}_]$', ''))"
+_KEYWORDS = f"""list_distinct(list_concat(list_concat(list_filter({_TOK}, lambda w: regexp_full_match(w, '(?i)[a-z]{{2,}}') OR regexp_full_match(w, '(?i).+(spannung|leistung|strom)')), {_UNIT.format("", "V|A|W|Hz|MHz|GHz")}),
+CASE WHEN regexp_matches(text, '[0-9]+\\.') THEN ['numbered_steps'] ELSE [] END))"""
+_TERMS = f"""list_distinct(list_concat(list_filter({_TOK}, lambda w: regexp_full_match(w, '(?i)(API|REST|JSON|XML|SQL|HTTP|HTTPS|FTP|SSH|CPU|GPU|RAM|SSD|HDD|USB|HDMI|VGA|Windows|Linux|macOS|Android|iOS)')), {_UNIT.format("", "GB|MB|TB|GHz|MHz|V|A|W")}))"""
+_CONFIDENCE = f"""SELECT doc_id, ct AS kind, steps, len(kw) AS n_kw, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN ct = 'step_by_step_guide' AND steps THEN CASE WHEN len(regexp_extract_all(text, '[0-9]+\\.\\s+[\\p{{L}}\\p{{N}}_]')) >= 3 THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END
+WHEN ct = 'technical_specifications' AND len(tt) > 0 THEN CASE WHEN len(tt) >= 3 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END WHEN ct = 'demo_instructions' AND len(list_filter(kw, lambda w: contains(lower(w), 'demo'))) > 0 THEN 0.3::DOUBLE ELSE 0 END
++ CASE WHEN len(kw) >= 5 THEN 0.1::DOUBLE WHEN len(kw) >= 3 THEN 0.05::DOUBLE ELSE 0 END) AS conf
+FROM (SELECT doc_id, text, {_TYPE} AS ct, {_KEYWORDS} AS kw, {_TERMS} AS tt, coalesce(len(n) >= 2 AND len(list_filter(n, lambda x: x IS NULL)) = 0 AND len(list_filter(range(2, len(n) + 1), lambda i: n[i] <> n[i - 1] + 1)) = 0, false) AS steps
+FROM (SELECT *, list_transform(regexp_extract_all(text, '([0-9]+)\\.\\s+', 1), lambda x: TRY_CAST(x AS BIGINT)) AS n FROM documents))"""
+
+
+def _enrich_sql() -> str:
+    word = lambda alternatives: rf"(^|[^\p{{L}}\p{{N}}_])(?:{alternatives})($|[^\p{{L}}\p{{N}}_])"
+    critical = f"regexp_matches(text, '(?i){word('lebensgefahr|danger|hochspannung|high[[:space:]]+voltage')}') OR regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])[0-9]+[[:space:]]*kV($|[^\\p{{L}}\\p{{N}}_])') OR regexp_matches(text, '⚠️|⚡|☢️|☣️')"
+    expert = " OR ".join(f"regexp_matches(text, '(?i){word(w)}')" for w in ("kalibrierung|calibration|justierung|adjustment", "service[[:space:]]*(?:modus|mode)", "reparatur|repair|instandsetzung"))
+    sections = {n: p.removeprefix(r"\b(?:").removesuffix(r")\b").replace(r"\s", "[[:space:]]") for n, p in lx.SECTIONS.items()}
+    section = "CASE " + " ".join(f"WHEN regexp_matches({_L}, '{word(w)}') THEN '{n}'" for n, w in sections.items()) + " ELSE 'content' END"
+    has = lambda f: f"list_contains(flags, '{f}')"
+    case = lambda table, c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in table.items()) + " END"
+    pre = "CASE expertise " + " ".join(f"WHEN '{k}' THEN '{', '.join(v)}'" for k, v in lx.PREREQUISITES.items() if v) + " END"
+    more = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lx.CATEGORY_PREREQUISITES.items()) + " END"
+    return f"""WITH {_CLASSIFIED}, a AS ({_CONFIDENCE}),
+q AS (SELECT k.*, conf, n_kw, steps, {_domain_sql()} AS b, {section} AS section, round(least(1.0::DOUBLE, (conf + total) / 2 + CASE WHEN length(k.text) > 200 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN n_kw >= 3 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN steps THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(flags) > 0 THEN 0.05::DOUBLE ELSE 0 END), 9) AS s FROM k JOIN a USING (doc_id)),
+e AS (SELECT *, CASE WHEN s >= 0.8 THEN 'excellent' WHEN s >= 0.6 THEN 'good' WHEN s >= 0.4 THEN 'moderate' ELSE 'poor' END AS quality,
+CASE WHEN {critical} THEN 'critical' WHEN {has("has_warnings")} AND {sql_any(_L, lx.HIGH_SAFETY)} THEN 'high' WHEN category = 'safety' THEN 'medium' WHEN {sql_any(_L, lx.LOW_SAFETY)} THEN 'low' ELSE 'none' END AS safety,
+CASE WHEN {expert} THEN 'expert' WHEN {has("requires_expertise")} OR category IN ('maintenance', 'troubleshooting', 'installation') THEN 'skilled' WHEN category = 'operation' THEN 'trained' WHEN {sql_any(_L, lx.BASIC_TERMS)} THEN 'basic' ELSE 'anyone' END AS expertise,
+CASE WHEN b.o <= -1 THEN b.c ELSE 'general' END AS domain FROM q)
+SELECT doc_id, quality, safety, expertise, domain, section,
+round(greatest(0.1::DOUBLE, least(2.0::DOUBLE, {case(lx.QUALITY_BOOST, "quality")} * {case(lx.SAFETY_BOOST, "safety")} * (1.0::DOUBLE + CASE WHEN {has("has_procedures")} THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN {has("has_specifications")} THEN 0.1::DOUBLE ELSE 0 END))), 6) + 0.0 AS search_boost,
+CASE WHEN concat_ws(', ', {pre}, {more}) = '' THEN 'Keine' ELSE concat_ws(', ', {pre}, {more}) END AS prerequisites,
+concat_ws(', ', CASE WHEN domain <> 'general' THEN 'domain:' || domain END, CASE WHEN safety <> 'none' THEN 'safety:' || safety END, CASE WHEN {has("has_warnings")} THEN 'warnings' END, CASE WHEN {has("has_procedures")} THEN 'procedures' END, CASE WHEN {has("has_specifications")} THEN 'specifications' END, 'category:' || category) AS filter_tags FROM e"""
+
+
 _F = "SELECT conv_id AS query_id, turn AS rank, text AS content, 1.0::DOUBLE / (turn + 1) AS score FROM conversations WHERE role = 'assistant' AND turn < 6"
 
 SQL = {
@@ -303,6 +343,8 @@ p AS (SELECT a.source, a.i, b.i AS o, CASE WHEN a.category = b.category THEN 0.3
 r AS (SELECT * FROM p WHERE round(s, 9) >= 0.6 QUALIFY row_number() OVER (PARTITION BY source, i ORDER BY o) <= 5) SELECT source, i AS chunk_index, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS related FROM r GROUP BY source, i""",
     "document_stats": f"""WITH n AS (SELECT source, text, {_TYPE} AS ct, list_transform(regexp_extract_all(text, '([0-9]+)\\.\\s+', 1), lambda x: TRY_CAST(x AS BIGINT)) AS n FROM documents)
 SELECT source, count(*) AS chunks, array_to_string(list_sort(list(DISTINCT CASE WHEN trim(text) = '' THEN 'general' ELSE ct END)), ',') AS types, CAST(count(*) FILTER (coalesce(len(n) >= 2 AND len(list_filter(n, lambda x: x IS NULL)) = 0 AND len(list_filter(range(2, len(n) + 1), lambda i: n[i] <> n[i - 1] + 1)) = 0, false)) AS BIGINT) AS with_steps, round(avg(length(text)), 6) + 0.0 AS avg_length FROM n GROUP BY source""",
+    "analyze_full": f"SELECT doc_id, kind AS content_type, CAST(n_kw AS BIGINT) AS n_keywords, round(conf, 6) + 0.0 AS confidence FROM ({_CONFIDENCE})",
+    "enrich_documents": _enrich_sql(),
     "chunk_category": "SELECT category, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {sql_any(_L, ws)} THEN '{n}'" for n, ws in lx.CHUNK_CATEGORIES) + " ELSE 'general' END AS category FROM documents) GROUP BY category",
     "page_text_clean": rf"SELECT page_id, md5(regexp_replace(array_to_string({_CUT}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')) AS h FROM pages",
     "pdf_dates": "SELECT * FROM (VALUES ('D:20240131235959+01''00''', '2024-01-31T23:59:59'), ('D:20241301', NULL), ('20200229', '2020-02-29T00:00:00'), ('nonsense', NULL), ('D:2023', '2023-01-01T00:00:00')) v(value, iso)",
