@@ -42,8 +42,10 @@ from docloom.llm.words import U64, Words, mix, pieces, shingles
 
 #: Words of a shingle; Jaccard in percent; slots of the frequency table; largest l.
 K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 1 << 14
-#: Partners by chance that a shingle outside the frequency table is taken to have; rounds that drop hopeless candidates.
+#: Partners by chance that a shingle outside the frequency table is taken to have; rounds that drop hopeless candidates;
+#: parts of a bucket, as a power of two, that are worked on one after another.
 RARE, ROUNDS = 0.1, 3
+PARTS_BITS = 3
 #: Members up to which a pivot's candidates are looked at pair by pair.
 SMALL = 16
 #: Shingles counted together for the frequency table, and repeats in them that make a shingle count as common.
@@ -177,8 +179,7 @@ def _pivots(percent: int):
         e = np.concatenate([np.frombuffer(b.as_buffer(), _ENTRY) for b in table["docs"]])
         tok = np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for b in table["tokens"]])
         cs, one, of = np.unique(e["c"], return_index=True, return_inverse=True)
-        of = of.astype(np.uint64)
-        d = np.repeat(of, e["tokens"])
+        d = np.repeat(of.astype(np.uint32), e["tokens"])
         n, l, q = e["n"][one].astype(np.int64), e["l"][one].astype(np.int64), e["q"][one]
         rank = np.empty(len(cs), np.uint64)
         rank[np.lexsort((cs, -q))] = np.arange(len(cs), dtype=np.uint64)
@@ -186,28 +187,34 @@ def _pivots(percent: int):
         in_size = np.lexsort((cs, n))
         by_size[in_size] = np.arange(len(cs), dtype=np.uint64)
 
-        # once for each document and shingle, by size; then documents that some other of the shingle's can match in size
-        key = np.unique((tok.astype(U64) << U64(32)) | by_size[d.view(np.int64)])
-        tok, d = (key >> U64(32)).astype(np.uint32), in_size[(key & U64(0xFFFFFFFF)).view(np.int64)]
-        near = (tok[1:] == tok[:-1]) & (100 * n[d[:-1]] >= percent * n[d[1:]]) if len(tok) else np.zeros(0, bool)
-        keep = np.concatenate((near, [False])) | np.concatenate(([False], near)) if len(tok) else near
-        tok, d = tok[keep], d[keep]
-        if not len(tok):
-            return _TIES.empty_table()
-        key = (tok.astype(U64) << U64(32)) | rank[d]
-        at = np.argsort(key)
-        tok, d = tok[at], d[at]
-        first = np.concatenate(([True], tok[1:] != tok[:-1]))
-        run_ = np.cumsum(first) - 1
-        starts = np.flatnonzero(first)
-        pivot = d[starts][run_]
-        least = np.minimum.reduceat(l[d], starts)[run_]
-        key = pivot * len(cs) + d
-        u, inv, cnt = np.unique(key, return_inverse=True, return_counts=True)
-        low = np.full(len(u), 1 << 30, np.int64)
-        np.minimum.at(low, inv, least)
+        def ties(tok: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Pivot and member as one number, shared shingles, least l, of some of the bucket's shingles."""
+            # once for each document and shingle, by size; then documents that some other of the shingle's can match in size
+            key = np.unique((tok.astype(U64) << U64(32)) | by_size[d])
+            tok, d = (key >> U64(32)).astype(np.uint32), in_size[(key & U64(0xFFFFFFFF)).view(np.int64)]
+            near = (tok[1:] == tok[:-1]) & (100 * n[d[:-1]] >= percent * n[d[1:]]) if len(tok) else np.zeros(0, bool)
+            keep = np.concatenate((near, [False])) | np.concatenate(([False], near)) if len(tok) else near
+            tok, d = tok[keep], d[keep]
+            if not len(tok):
+                return (np.zeros(0, np.int64),) * 3
+            at = np.argsort((tok.astype(U64) << U64(32)) | rank[d])
+            tok, d = tok[at], d[at]
+            first = np.concatenate(([True], tok[1:] != tok[:-1]))
+            run_ = np.cumsum(first) - 1
+            starts = np.flatnonzero(first)
+            return summed(d[starts][run_] * len(cs) + d, np.ones(len(d), np.int64), np.minimum.reduceat(l[d], starts)[run_])
+
+        def summed(key: np.ndarray, shared: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            u, inv = np.unique(key, return_inverse=True)
+            low = np.full(len(u), 1 << 30, np.int64)
+            np.minimum.at(low, inv, least)
+            return u, np.bincount(inv, shared, len(u)).astype(np.int64), low
+
+        part = tok >> np.uint32(32 - PARTS_BITS)  # a part of the shingles at a time bounds what a worker holds
+        each = [ties(tok[m], d[m]) for m in (part == i for i in range(1 << PARTS_BITS))]
+        u, cnt, low = summed(*(np.concatenate(x) for x in zip(*each, strict=True)))
         p, c = u // len(cs), u % len(cs)
-        return pa.table([cs[p], cs[c], n[c], cnt.astype(np.int64), low], schema=_TIES)
+        return pa.table([cs[p], cs[c], n[c], cnt, low], schema=_TIES)
 
     return run
 

@@ -8,6 +8,7 @@ Hashes depend on the bytes alone: they agree between tasks, runs and machines.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +16,19 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+def _return_freed_memory() -> None:
+    """Keeps glibc from raising its limits for large blocks, so that a Python worker gives back what it has freed."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_return_freed_memory()
 #: Bytes handled at once; bounds the memory of a task whatever the batch. Longer texts go alone.
 PIECE = 1 << 19
 _MUL = 0x9E3779B97F4A7C15 | 1
