@@ -248,6 +248,24 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+t AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+l AS (SELECT rid, i, list(word) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM t),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+k AS (SELECT DISTINCT n FROM win),
+m AS (SELECT rid, i, g.n, item_id FROM (SELECT rid, i, n, array_to_string(l[1:n], ' ') AS g FROM l JOIN k ON len(l) >= n) g JOIN win ON win.n = g.n AND win.g = g.g),
+h AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM (SELECT rid, i, unnest(range(0, n)) AS j FROM m) GROUP BY rid),
+x AS (SELECT rid, count(*) AS n_items, string_agg(v, ',' ORDER BY encode(v)) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS v FROM m WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN x USING (rid)
+"""
+
+
 def brute_force(texts: list[str | None], items: list[tuple], size: int = SIZE) -> list[tuple[int, int, int, str]]:
     """The same counts by plain Python, for tests: n_words, n_hit, n_items, digest."""
     import re

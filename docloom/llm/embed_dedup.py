@@ -194,6 +194,18 @@ def _pack(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(raw, pa.binary())], names=[*names, "vec"])
 
 
+SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS MATERIALIZED (SELECT rid, x, len(x) AS n, sqrt(list_dot_product(x, x)) AS s FROM v
+  WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y FROM u a JOIN u b ON a.n = b.n AND a.rid <> b.rid WHERE list_dot_product(a.x, b.x) / (a.s * b.s) >= 0.95),
+r AS (SELECT rid AS a, rid AS z FROM v UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.z),
+k AS (SELECT a AS rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.z GROUP BY a),
+n AS (SELECT x AS rid, count(*) AS n_links FROM e GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN k USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 def brute_force(rows: list[tuple], cosine: float = COSINE) -> dict:
     """vec_id to (n_links, component_id) over all pairs, for tests."""
     ok = [(i, np.array(v, np.float64) / max(map(abs, v))) for i, v in rows if i is not None and v is not None and len(v) and all(c is not None and math.isfinite(c) for c in v) and any(v)]

@@ -414,6 +414,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     return sizes.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+l AS (SELECT rid, i, n, list(word) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS l FROM t),
+s AS MATERIALIZED (SELECT DISTINCT rid, hash(l) AS h, l FROM l WHERE len(l) = 5 OR (n < 5 AND i = 1)),
+c AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM s a JOIN s b ON a.h = b.h AND a.l = b.l AND a.rid < b.rid GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN c a ON a.rid = x JOIN c b ON b.rid = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+g AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT rid AS a, rid AS z FROM d UNION SELECT r.a, g.y FROM r JOIN g ON g.x = r.z)
+SELECT d.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN c USING (rid) JOIN r ON r.a = d.rid JOIN d o ON o.rid = r.z GROUP BY d.rid, d.doc_id
+"""
+
+
 def brute_force(rows: list[tuple], k: int = K, percent: int = PERCENT) -> dict:
     """doc_id to (n_shingles, component_id) by testing all pairs, for tests."""
     import re

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat_format.SQL, "op5_mix_sources": mixing.SQL}
+    return {"op2_embedding_dedup": embed_dedup.SQL, "op3_ngram_join": ngram_join.SQL, "op4_chat_format": chat_format.SQL, "op5_mix_sources": mixing.SQL, "op9_decontaminate": decontam.SQL}
