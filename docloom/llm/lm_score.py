@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.frames import pick
 from docloom.llm.scratch import Scratch
-from docloom.llm.words import U64, Words, mix, pieces
+from docloom.llm.words import U64, Words, grow, mix, pieces, shrink
 
 #: Longest n-gram, factor of each step back, bytes of text of a block, n-grams of a bucket.
 ORDER, BACKOFF, BLOCK, BUCKET = 3, 0.4, 6 << 20, 1 << 21
@@ -41,22 +41,6 @@ BITS = 40
 _STREAM = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.int64()), ("dictionary", pa.binary()), ("stream", pa.binary())])
 
 
-def shrink(x: np.ndarray) -> bytes:
-    """Whole numbers of up to 64 bits, compressed byte plane by byte plane: most bytes of the upper planes are 0."""
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def grow(raw) -> np.ndarray:
-    """What shrink took, as int64."""
-    raw = memoryview(raw).cast("B")
-    width, n = raw[0], int.from_bytes(raw[1:9], "little")
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(pa.decompress(raw[9:], decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n).T
-    return wide.view(np.int64)[:, 0]
-
-
 def _blocks(most: int):
     def run(batches):
         first, k = TaskContext.get().partitionId() << 33, 0

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from docloom.llm.components import components
 from docloom.llm.frames import pick
 from docloom.llm.scratch import Scratch
-from docloom.llm.words import U64, Words, mix, pieces, shingles
+from docloom.llm.words import U64, Words, grow, mix, pack_rows, pieces, shingles, shrink, unpack_rows
 
 #: Words of a shingle; Jaccard in percent; slots of the frequency table; largest l.
 K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 1 << 14
@@ -120,7 +120,7 @@ class Order:
         return s[order], best, min(n, n - t + best), float((d > 0).mean())
 
 
-_PACK = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("tokens", pa.binary())])
+_PACK = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("tokens", pa.binary())])
 _ENTRY = np.dtype([("c", "i8"), ("q", "f4"), ("n", "i4"), ("tokens", "i4"), ("l", "i2")])
 
 
@@ -137,7 +137,7 @@ def _prefixes(k: int, shared, buckets: int):
             b = ((tok >> U64(32)) % U64(buckets)).astype(np.int64)
             at = np.lexsort((doc, b))
             tok, doc, b = tok[at], doc[at], b[at]
-            out = ([], [], [])
+            out = ([], [], [], [])
             edge = np.searchsorted(b, np.arange(buckets + 1))
             for i in np.flatnonzero(np.diff(edge)).tolist():
                 d, n = np.unique(doc[edge[i] : edge[i + 1]], return_counts=True)
@@ -146,8 +146,9 @@ def _prefixes(k: int, shared, buckets: int):
                     e[f] = [parts[x][j] for x in d]
                 e["tokens"] = n
                 out[0].append(i)
-                out[1].append(e.tobytes())
-                out[2].append(tok[edge[i] : edge[i + 1]].astype(np.uint32).tobytes())
+                out[1].append(len(e))
+                out[2].append(pack_rows(e))
+                out[3].append(tok[edge[i] : edge[i + 1]].astype(np.uint32).tobytes())
             return pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, _PACK, strict=True)], schema=_PACK)
 
         for batch in batches:
@@ -176,7 +177,7 @@ _TIES = pa.schema([("p", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("sh
 
 def _pivots(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(b.as_buffer(), _ENTRY) for b in table["docs"]])
+        e = np.concatenate([unpack_rows(b.as_buffer(), n.as_py(), _ENTRY) for b, n in zip(table["docs"], table["n"], strict=True)])
         tok = np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for b in table["tokens"]])
         cs, one, of = np.unique(e["c"], return_index=True, return_inverse=True)
         d = np.repeat(of.astype(np.uint32), e["tokens"])
@@ -219,7 +220,7 @@ def _pivots(percent: int):
     return run
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("l", pa.int64()), ("prefix", pa.int64()), ("grams", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("l", pa.int64()), ("prefix", pa.int64()), ("grams", pa.binary()), ("flags", pa.binary())])
 
 
 def _sets(k: int, shared, bits):
@@ -229,27 +230,30 @@ def _sets(k: int, shared, bits):
             slot = np.array(batch.column(2))
             batch = batch.filter(pa.array((wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
             for piece in pieces(batch, "text"):
-                out = ([], [], [], [], [])
+                out = ([], [], [], [], [], [])
                 for doc_id, s in zip(piece.column(0).to_pylist(), shingles(Words(piece.column(1), "spaced"), k), strict=True):
                     if len(s):
-                        s, l, p, _ = order(s)
-                        for o, x in zip(out, (doc_id, len(s), l, p, low48(s)), strict=True):
+                        ordered, l, p, _ = order(s)
+                        for o, x in zip(out, (doc_id, len(s), l, p, *pack_set(s, ordered[:p])), strict=True):
                             o.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, _SETS, strict=True)], schema=_SETS)
 
     return run
 
 
-def low48(s: np.ndarray) -> bytes:
-    """48 bits of each shingle: two sets of n chance on a common value with probability n * n / 2**48."""
-    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack_set(s: np.ndarray, prefix: np.ndarray) -> tuple[bytes, bytes]:
+    """48 bits of each shingle of a sorted set, as differences, and which of them are in the prefix.
 
+    Two sets of n chance on a common value with probability n * n / 2**48.
+    """
+    return shrink(np.diff(s >> U64(16), prepend=U64(0))), np.packbits(np.isin(s, prefix, assume_unique=True)).tobytes()
 
-def from48(raw) -> np.ndarray:
-    narrow = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :6] = narrow
-    return wide.view(U64)[:, 0]
+
+def unpack_set(grams, flags) -> np.ndarray:
+    """The set again, its prefix first."""
+    s = np.cumsum(grow(grams))
+    first = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(s)).astype(bool)
+    return np.concatenate((s[first], s[~first]))
 
 
 class Union:
@@ -331,7 +335,7 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         p, i, j, side, doc, l, pre, first = (np.array(table[c]) for c in ("p", "i", "j", "side", "doc_id", "l", "prefix", "is_pivot"))
-        grams = table["grams"]
+        grams, flags = table["grams"], table["flags"]
         order = np.lexsort((doc, ~first, j, i, p))
         key = np.stack([p[order], i[order], j[order]])
         edge = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(order)]))
@@ -339,7 +343,7 @@ def _verify(percent: int):
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             rows = order[s:e]
             if len(rows) > 1:
-                sets = [from48(grams[int(r)].as_buffer()) for r in rows]
+                sets = [unpack_set(grams[int(r)].as_buffer(), flags[int(r)].as_buffer()) for r in rows]
                 for x, y in link_group(sets, l[rows], pre[rows], side[rows], i[rows[0]] != j[rows[0]], percent):
                     a.append(doc[rows[x]])
                     b.append(doc[rows[y]])
@@ -363,7 +367,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     classes = sizes.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
 
     buckets = max(8, total // (3 * BUCKET))
-    packed = docs.mapInArrow(_prefixes(k, shared, buckets), "bucket int, docs binary, tokens binary")
+    packed = docs.mapInArrow(_prefixes(k, shared, buckets), "bucket int, n int, docs binary, tokens binary")
     ties = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pivots(percent), "p long, c long, n long, shared long, least long")
     ties = scratch.table("ties", ties.groupBy("p", "c").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("least").alias("least")))
     for r in range(ROUNDS):  # fewer shared shingles, over all its pivots, than any partner asks for; then pivots left alone
@@ -402,11 +406,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     bits = np.zeros(size // 8 + 4096, np.uint8)
     for r in marks.collect():  # at most 2**28 bits, in pieces of 4 KB
         bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
-    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot().alias("slot")).mapInArrow(_sets(k, shared, spark.sparkContext.broadcast(bits)), "doc_id long, n long, l long, prefix long, grams binary")
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot().alias("slot")).mapInArrow(_sets(k, shared, spark.sparkContext.broadcast(bits)), "doc_id long, n long, l long, prefix long, grams binary, flags binary")
     todo = members.agg(F.coalesce(F.sum("grams_n"), F.lit(0)).alias("n")).first().n
     tasks = max(8, todo // task)
     dealt = members.join(sets, "doc_id").withColumn("task", F.pmod(F.xxhash64("p", "i", "j"), F.lit(tasks)).cast("int"))
-    links = scratch.table("links", dealt.select("task", "p", "i", "j", "side", "is_pivot", "doc_id", "l", "prefix", "grams").repartition(tasks, "task").groupBy("task").applyInArrow(_verify(percent), "a long, b long"))
+    links = scratch.table("links", dealt.select("task", "p", "i", "j", "side", "is_pivot", "doc_id", "l", "prefix", "grams", "flags").repartition(tasks, "task").groupBy("task").applyInArrow(_verify(percent), "a long, b long"))
     scratch.drop("members")
     found = components(links, scratch)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component"))

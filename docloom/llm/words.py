@@ -173,3 +173,30 @@ def shingles(words: Words, k: int) -> list[np.ndarray]:
 def hash_words(phrase: list[str]) -> np.ndarray:
     """The hashes that Words gives to these words."""
     return Words(pa.array([" ".join(phrase)], pa.string()), "spaced").hash
+
+
+def shrink(x: np.ndarray) -> bytes:
+    """Whole numbers of up to 64 bits, compressed byte plane by byte plane: most bytes of the upper planes are 0."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def grow(raw) -> np.ndarray:
+    """What shrink took, as int64."""
+    raw = memoryview(raw).cast("B")
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(pa.decompress(raw[9:], decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n).T
+    return wide.view(np.int64)[:, 0]
+
+
+def pack_rows(x: np.ndarray) -> bytes:
+    """A structured array, compressed byte column by byte column."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_rows(raw, n: int, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * kind.itemsize, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).reshape(-1).view(kind)
