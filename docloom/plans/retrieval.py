@@ -330,6 +330,8 @@ c AS (SELECT query_id, count(DISTINCT doc_id) AS n_candidates FROM q JOIN p USIN
 SELECT CAST(k.query_id AS BIGINT) AS query_id, count(*) AS n_terms, count(*) FILTER (kind = 'unknown') AS n_unknown, count(*) FILTER (kind = 'rare') AS n_rare, count(*) FILTER (kind = 'common') AS n_common,
 coalesce(any_value(n_candidates), 0) AS n_candidates, coalesce(any_value(n_candidates), 0) > 1000 AS many_candidates, count(*) FILTER (kind = 'unknown') > 0.5 * count(*) AS mostly_unknown FROM k LEFT JOIN c USING (query_id) GROUP BY k.query_id""",
     "query_popularity": r"SELECT lower(regexp_split_to_array(text, '\s+')[1]) AS query, count(*) AS n FROM benchmark GROUP BY 1",
+    # words are wrapped in control characters, replaced whole, and unwrapped
+    "highlight_terms": r"SELECT doc_id, md5(translate(regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g'), chr(1) || 'the' || chr(2), '<mark>the</mark>', 'gi'), chr(1) || 'license' || chr(2), '<mark>license</mark>', 'gi'), chr(1) || chr(2), '')) AS h FROM documents",
     "knn_filtered": _knn_sql(_COS, 5, "e.label = 3 AND e.vec_id BETWEEN 10 AND 400 AND e.vec_id <> 20", "score >= 0.05"),
     "knn_signed": _knn_sql(f"{_DOT} / {_NORMS}", 5),
     "hash_embedding_knn": f"WITH {_HASHED} SELECT doc_id, round(score, 6) + 0.0 AS score, rank FROM vec WHERE rank <= 10",
