@@ -7,6 +7,10 @@ never shuffled; only the k best of each task leave it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +44,67 @@ def knn(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine"
     return found.where(F.col("score") >= least) if least else found
 
 
+def knn_matrix(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """knn() by one matrix product for each Arrow batch and block of queries: for large stores, where folding arrays element by element is slow.
+
+    Each batch gives its k best of every query, so what is shuffled is small against the store. Vectors of another length than
+    the queries', null or with null components do not take part.
+    """
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    n = q.count()
+    parts = [q] if n <= BLOCK else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(m)) == i) for m in [-(-n // BLOCK) * 2] for i in range(m)]
+    kind = dict(queries.dtypes)["query_id"]
+    base = store.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.forall("v", lambda x: x.isNotNull()))
+    out = None
+    for part in parts:
+        rows = part.collect()  # at most about BLOCK queries
+        if not rows:
+            continue
+        ids = [r.query_id for r in rows]
+        shared = store.sparkSession.sparkContext.broadcast(np.array([r.vector for r in rows], np.float64))
+        found = base.mapInArrow(_best(shared, k, metric), "q int, vec_id long, score double")
+        names = F.broadcast(store.sparkSession.createDataFrame(list(enumerate(ids)), f"q int, query_id {kind}"))
+        found = found.join(names, "q").select("query_id", "vec_id", "score")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = queries.select("query_id").limit(0).withColumns({"vec_id": F.lit(0).cast("long"), "score": F.lit(0.0)})
+    return top_k(out, k, tie="vec_id")
+
+
+def _best(shared, k: int, metric: str):
+    def similarity(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        if metric in ("cosine", "angular"):
+            norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+            c = np.clip(np.divide(q @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), 0, 1)
+            return c if metric == "cosine" else 1 - np.arccos(c) / np.pi
+        if metric == "dot":
+            return np.maximum(q @ v.T, 0)
+        if metric == "euclidean":
+            return 1 / (1 + np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in q])))
+        return 1 / (1 + np.stack([np.abs(v - x).sum(axis=1) for x in q]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        for batch in batches:
+            ids, col = np.array(batch.column(0)), batch.column(1)
+            fits = np.diff(np.array(col.offsets)) == q.shape[1]
+            if not fits.any():
+                continue
+            ids, col = ids[fits], col.filter(pa.array(fits))
+            s = similarity(q, np.array(col.flatten(), np.float64).reshape(-1, q.shape[1]))
+            out: tuple[list, list, list] = ([], [], [])
+            for i, row in enumerate(s):
+                worst = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                at = np.flatnonzero(row >= worst)
+                at = at[np.lexsort((ids[at], -row[at]))][:k]
+                out[0].append(np.full(len(at), i, np.int32))
+                out[1].append(ids[at])
+                out[2].append(row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["q", "vec_id", "score"])
+
+    return run
+
+
 def signed_knn(store: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Cosine in [-1, 1]; zero vectors have none and are left out."""
     base = store.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"))

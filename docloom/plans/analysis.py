@@ -11,6 +11,7 @@ from docloom.operators import classify as cl
 from docloom.operators import context as cx
 from docloom.operators import enrich as en
 from docloom.operators import ingest as ig
+from docloom.operators import models as mm
 from docloom.operators import split as sp
 from docloom.plans.common import TOKENS, WORDS, long, r6, sql_any, sql_hits, table
 from docloom.sources import files, store
@@ -208,6 +209,14 @@ def answer_sources(spark, sf):
     return cx.sources(_found(spark, sf)).select("query_id", "rank", F.md5("snippet").alias("h"))
 
 
+def select_models(spark, sf):
+    d = _docs(spark, sf)
+    task = F.when(F.col("doc_id") % 7 == 0, "code_analysis").otherwise("answer")
+    chosen = mm.llm(F.col("n_chars"), F.when(F.col("doc_id") % 11 == 0, "high").otherwise("low"), task, F.col("doc_id") % 5 == 0, F.col("lang"))
+    emb = mm.embedding(F.when(F.col("doc_id") % 3 == 0, "technical").otherwise("plain"), F.lit("law"), F.col("lang") == "fr", F.when(F.col("doc_id") % 2 == 0, "fast").otherwise("best"))
+    return d.select("doc_id", chosen["model"].alias("llm"), chosen["fallback"].alias("llm_fallback"), emb["model"].alias("embedding"))
+
+
 def _changed(spark, sf):
     d = _docs(spark, sf).select("doc_id", "lang", "n_chars")
     new = d.where("doc_id % 10 = 3").select("doc_id", F.upper("lang").alias("lang"), (F.col("n_chars") + 1).alias("n_chars"))
@@ -233,7 +242,7 @@ def flatten_metadata(spark, sf):
     return store.flatten_metadata(e, ["kind", "ids"])
 
 
-QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, upsert, delete_ids, get_by_ids, flatten_metadata]
+QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, select_models, upsert, delete_ids, get_by_ids, flatten_metadata]
 
 _W = WORDS_OF
 _L = "lower(text)"
@@ -356,6 +365,10 @@ SELECT source, count(*) AS chunks, array_to_string(list_sort(list(DISTINCT CASE
 p AS (SELECT query_id, 'KONTEXT:' || chr(10) || string_agg('[Dokument ' || i || '] ' || left(content, 300) || '...', chr(10) ORDER BY i) || chr(10) || chr(10) || 'FRAGE: what?' AS prompt FROM n GROUP BY query_id) SELECT query_id, length(prompt) AS chars, md5(prompt) AS h FROM p""",
     "answer_confidence": f"SELECT query_id, round(avg(score), 6) + 0.0 AS confidence, CASE WHEN avg(score) > 0.8 THEN 'high' WHEN avg(score) > 0.5 THEN 'medium' ELSE 'low' END AS band FROM ({_F}) GROUP BY query_id",
     "answer_sources": f"SELECT query_id, rank, md5(left(content, 200)) AS h FROM ({_F}) WHERE rank <= 5",
+    "select_models": """WITH r AS (SELECT doc_id, CASE WHEN n_chars > 5000 OR doc_id % 11 = 0 THEN 'ollama.llama3.1_70b,ollama.llama3.1_8b' WHEN doc_id % 7 = 0 THEN 'ollama.codellama_13b,ollama.llama3.1_8b' WHEN doc_id % 5 = 0 THEN 'ollama.phi3_mini,ollama.mistral_7b'
+WHEN lang NOT IN ('en', 'de') THEN 'ollama.qwen2_7b,ollama.llama3.1_8b' ELSE 'ollama.llama3.1_8b,ollama.mistral_7b' END AS m,
+CASE WHEN doc_id % 3 = 0 THEN 'ollama.mxbai_embed_large' WHEN lang = 'fr' THEN 'ollama.multilingual_e5_large' WHEN doc_id % 2 = 0 THEN 'ollama.all_minilm_l6_v2' ELSE 'ollama.nomic_embed_text' END AS embedding FROM documents)
+SELECT doc_id, string_split(m, ',')[1] AS llm, string_split(m, ',')[2] AS llm_fallback, embedding FROM r""",
     "upsert": "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN upper(lang) ELSE lang END AS lang, CASE WHEN doc_id % 10 = 3 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
     "delete_ids": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 3",
     "get_by_ids": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 = 3",

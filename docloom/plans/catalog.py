@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from docloom.plans import analysis, monitoring, retrieval
+from docloom.session import ship
 
 MODULES = (retrieval, analysis, monitoring)
 
 
-def queries() -> dict:
-    return {f.__name__: f for m in MODULES for f in m.QUERIES}
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after the executors have this package's sources."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(ship(spark), sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: _shipped(f) for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -150,6 +150,15 @@ SELECT q.vec_id AS query_id, e.vec_id, {score} AS score, row_number() OVER (PART
 FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id < 5) q ON true WHERE {where}) WHERE rank <= {k} AND {more}"""
 
 
+def _knn_matrix(metric: str):
+    def run(spark, sf):
+        got = vectors.knn_matrix(table(spark, sf, "embeddings"), _queries(spark, sf), 10, metric)
+        return got.select("query_id", "vec_id", r6("score").alias("score"), long("rank").alias("rank"))
+
+    run.__name__ = f"knn_matrix_{metric}"
+    return run
+
+
 def _pairs(spark, sf):
     s = vectors.scores(table(spark, sf, "embeddings"), _queries(spark, sf).where("query_id < 3"))
     lab = table(spark, sf, "embeddings").where("vec_id < 200").select("vec_id", F.col("label").alias("group_id"))
@@ -300,7 +309,7 @@ def adaptive_search(spark, sf):
 
 
 QUERIES = [bm25_topk, tfidf_topk, bm25_batch, boolean_search, phrase_search, fuzzy_vocab, term_completions, query_suggestions, index_stats, query_term_profile, query_popularity, highlight_terms, term_contexts]
-QUERIES += [_knn(m) for m in vx.METRICS] + [knn_filtered, knn_signed] + [_multi(h) for h in _MULTI_SQL] + [hash_embedding_knn] + [_fuse(h) for h in _FUSE_SQL]
+QUERIES += [_knn(m) for m in vx.METRICS] + [_knn_matrix(m) for m in vx.METRICS] + [knn_filtered, knn_signed] + [_multi(h) for h in _MULTI_SQL] + [hash_embedding_knn] + [_fuse(h) for h in _FUSE_SQL]
 QUERIES += [fuse_one_sided, service_fuse, multi_strategy, rerank_overlap, shape_rerank, diversity_penalty, mmr, near_dup_greedy, route_queries, adaptive_weights, expand_queries, adaptive_search]
 
 _LOW = "lower(text)"
@@ -352,6 +361,6 @@ z AS (SELECT doc_id, s + 0.2 * len(list_intersect({_SET}, ['license', 'apache',
 + CASE WHEN length(text) < 20 THEN -0.1 WHEN length(text) BETWEEN 50 AND 1000 THEN 0.05 WHEN length(text) > 3000 THEN -0.05 ELSE 0 END AS score FROM c)
 SELECT doc_id, round(score, 6) + 0.0 AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z QUALIFY rank <= 5""",
 }
-SQL |= {f"knn_{m}": _knn_sql(s, 10) for m, s in _METRIC_SQL.items()}
+SQL |= {f"knn_{how}{m}": _knn_sql(s, 10) for m, s in _METRIC_SQL.items() for how in ("", "matrix_")}
 SQL |= {f"multi_vector_{h}": f"{_PAIRS} SELECT CAST(group_id AS BIGINT) AS group_id, round({s}, 6) + 0.0 AS score FROM p GROUP BY group_id" for h, s in _MULTI_SQL.items()}
 SQL |= {f"fuse_{h}": _SIDES + f"{s} SELECT doc_id, round(score, 6) + 0.0 AS score FROM x" for h, s in _FUSE_SQL.items()}
