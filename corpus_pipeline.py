@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, langid, line_dedup, mixing, ngram_join
@@ -39,11 +40,13 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one of smallest id, once; documents without id stay."""
+    """Keeps of each group of linked documents the one of smallest id, once (by hash, of rows that share it); documents without id stay."""
     ship(spark)
     found = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    key = fresh(docs, "kept_id")
-    kept = docs.join(found.withColumnRenamed("doc_id", key), docs.doc_id == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    key, place = fresh(docs, "kept_id"), fresh(docs, "kept_place")
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    one = docs.where("doc_id IS NOT NULL").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    kept = one.join(found.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
