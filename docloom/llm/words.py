@@ -22,8 +22,8 @@ def _return_freed_memory() -> None:
     """Keeps glibc from raising its limits for large blocks, so that a Python worker gives back what it has freed."""
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 23)  # M_MMAP_THRESHOLD: arrays of a slice come from the heap, larger ones are returned when freed
+        libc.mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):  # another C library
         pass
 
