@@ -86,6 +86,16 @@ def exception_stats(errors: DataFrame, last: int = 10) -> tuple[DataFrame, DataF
     return errors.groupBy("type").agg(F.count("*").alias("n")), errors.orderBy(F.desc("ts"), "type").limit(last)
 
 
+def filter_logs(log: DataFrame, level: str | None = None, source: str | None = None, most: int = 100) -> DataFrame:
+    """The newest rows (ts, level, source, message) of a level and of sources that contain a text."""
+    out = log
+    if level:
+        out = out.where(F.col("level") == level)
+    if source:
+        out = out.where(F.contains(F.lower("source"), F.lit(source.lower())))
+    return out.orderBy(F.desc("ts"), "message").limit(most)
+
+
 def page(df: DataFrame, order: list, number: int, size: int = 10) -> DataFrame:
     """Page `number` (from 1) of an ordered table."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.operators import fusion
 from docloom.operators import monitor as mo
 from docloom.plans.common import long, r6, table
 from docloom.streaming import streams
@@ -84,6 +85,23 @@ def formatted(spark, sf):
     return d
 
 
+def log_filter(spark, sf):
+    e = _events(spark, sf).select("ts", F.col("event_type").alias("level"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("source"), F.col("event_id").cast("string").alias("message"))
+    return mo.filter_logs(e, "error", "USER-1", 25).select("message", "source")
+
+
+def availability(spark, sf):
+    e = _events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "unhealthy").otherwise("healthy").alias("status"))
+    return mo.summary(e, 24, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("n", r6("availability").alias("availability"))
+
+
+def adaptation_stats(spark, sf):
+    w = (F.col("event_id") % 10 + 1) / 10.0
+    log = _events(spark, sf).select("event_id", F.col("event_id").alias("ts"), w.alias("vector_weight"), (1 - w).alias("keyword_weight"), (F.col("user_id") % 7).alias("results"))
+    s = fusion.adaptation_stats(log)
+    return s.select("queries", "vector_dominant", "keyword_dominant", r6("avg_vector_weight").alias("avg_vector_weight"), r6("avg_results").alias("avg_results"))
+
+
 def windowed_metrics(spark, sf):
     e = _events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("long").alias("value"))
     return streams.windowed_metrics(e, "1 hour").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
@@ -99,7 +117,7 @@ def top_customers(spark, sf):
     return o.orderBy(F.desc("cents"), "o_custkey").limit(20).select("o_custkey", "n", "cents")
 
 
-QUERIES = [op_stats, status_histogram, state_changes, running_average, throughput_score, performance_alerts, component_health, overall_status, sessionize, session_states, exception_counts, filter_search_page, paged_parts, formatted, windowed_metrics, label_filter, top_customers]
+QUERIES = [op_stats, status_histogram, state_changes, running_average, throughput_score, performance_alerts, component_health, overall_status, sessionize, session_states, exception_counts, filter_search_page, paged_parts, formatted, log_filter, availability, adaptation_stats, windowed_metrics, label_filter, top_customers]
 
 _CENTS = "CAST(round(abs(value) * 100) AS BIGINT)"
 _SESSIONS = """s0 AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 7200000000, true) THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -126,6 +144,10 @@ SELECT CASE WHEN age < 120 THEN 'active' ELSE 'idle' END AS state, count(*) AS s
     "filter_search_page": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(CAST(c_custkey AS VARCHAR)), 'build') OR contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build') ORDER BY c_mktsegment, c_custkey LIMIT 10 OFFSET 10",
     "paged_parts": "SELECT p_partkey, p_name, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 25 OFFSET 50",
     "formatted": "SELECT doc_id, CASE WHEN n_chars < 1024 THEN format('{} B', n_chars) WHEN n_chars < 1048576 THEN printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round(n_chars / 1048576.0::DOUBLE, 1)) END AS size FROM documents",
+    "log_filter": "SELECT CAST(event_id AS VARCHAR) AS message, 'user-' || user_id AS source FROM events WHERE event_type = 'error' AND contains('user-' || user_id, 'user-1') ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 25",
+    "availability": "SELECT count(*) AS n, round(avg(CASE WHEN event_type <> 'error' THEN 100.0::DOUBLE ELSE 0 END), 6) + 0.0 AS availability FROM events WHERE ts >= TIMESTAMP '2024-01-19 00:00:00'",
+    "adaptation_stats": """SELECT count(*) AS queries, CAST(count(*) FILTER (w > 0.6) AS BIGINT) AS vector_dominant, CAST(count(*) FILTER (1 - w > 0.6) AS BIGINT) AS keyword_dominant, round(avg(w), 6) + 0.0 AS avg_vector_weight, round(avg(user_id % 7), 6) + 0.0 AS avg_results
+FROM (SELECT *, (event_id % 10 + 1) / 10.0::DOUBLE AS w FROM events ORDER BY event_id DESC LIMIT 1000)""",
     "windowed_metrics": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL",
     "label_filter": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) GROUP BY lang",
     "top_customers": "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1 ORDER BY cents DESC, o_custkey LIMIT 20",
