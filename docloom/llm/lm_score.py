@@ -36,8 +36,8 @@ from docloom.llm.words import U64, Words, grow, mix, pieces, shrink
 
 #: Longest n-gram, factor of each step back, bytes of text of a block, n-grams of a bucket.
 ORDER, BACKOFF, BLOCK, BUCKET = 3, 0.4, 6 << 20, 1 << 21
-#: Bits that tell the n-grams of a bucket apart.
-BITS = 40
+#: Bits that tell the n-grams of a bucket apart, and words.
+BITS, WORD_BITS = 40, 48
 _STREAM = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.int64()), ("dictionary", pa.binary()), ("stream", pa.binary())])
 
 
@@ -47,7 +47,7 @@ def _blocks(most: int):
         for batch in batches:
             for piece in pieces(batch, "text", most):
                 w = Words(piece.column(1), "spaced")
-                words, stream, often = np.unique(w.hash, return_inverse=True, return_counts=True)
+                words, stream, often = np.unique(w.hash >> U64(64 - WORD_BITS), return_inverse=True, return_counts=True)
                 by = np.argsort(-often, kind="stable")  # frequent words get small numbers
                 place = np.empty(len(by), np.int64)
                 place[by] = np.arange(len(by))
@@ -107,7 +107,7 @@ def _ask(order: int, buckets: int):
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Sums the blocks' counts of each n-gram of the bucket and answers every block."""
+    """Sums the blocks' counts of each n-gram of the bucket and answers every block with those of the others."""
     each = [np.cumsum(grow(v.as_buffer())) for v in table["grams"]]
     sizes, h = np.array([len(x) for x in each]), np.concatenate(each)
     c = np.concatenate([grow(v.as_buffer()) for v in table["counts"]])
@@ -116,6 +116,7 @@ def _count(table: pa.Table) -> pa.Table:
     total = np.add.reduceat(c[at], np.flatnonzero(new))
     out = np.empty(len(h), np.int64)
     out[at] = total[np.cumsum(new) - 1]
+    out -= c
     edge = np.concatenate(([0], np.cumsum(sizes)))
     return pa.table([table["block"], table["bucket"], pa.array([shrink(out[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], schema=_REPLY)
 
@@ -129,10 +130,10 @@ def _score(order: int, backoff: float, total_words: int, buckets: int):
         replies = dict(zip(right["bucket"].to_pylist(), right["counts"], strict=True))
         for row in left.to_pylist():
             g = Grams(row, order)
-            at, edge, _, _ = g.asked(buckets)
+            at, edge, _, own = g.asked(buckets)
             everywhere = np.zeros(len(at), np.int64)
             for b in np.flatnonzero(np.diff(edge)).tolist():
-                everywhere[at[edge[b] : edge[b + 1]]] = grow(replies[b].as_buffer())
+                everywhere[at[edge[b] : edge[b + 1]]] = grow(replies[b].as_buffer()) + own[edge[b] : edge[b + 1]]
             start = np.concatenate(([0], np.cumsum([len(h) for h in g.hash])))
             n = len(g.doc)
             others = total_words - g.counts[g.doc]  # words of all other documents
