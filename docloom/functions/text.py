@@ -39,6 +39,21 @@ def hits(text: Column, words: Iterable[str]) -> Column:
     return total
 
 
+def literals(pattern: str) -> list[str]:
+    """Lower-case texts one of which stands wherever the pattern matches: the starts of its alternatives. Empty if unknown."""
+    whole = re.fullmatch(r"\\b\(\?:([^()]+)\)\\b", pattern)
+    parts = whole[1].split("|") if whole else [pattern.removeprefix(r"\b")]
+    starts = [re.match(r"[^\W\d_]*(?![^\W\d_]*[?*{])", x)[0].lower() for x in parts]
+    return starts if all(len(x) >= 3 for x in starts) else []
+
+
+def matches(text: Column, low: Column, pattern: str, flags: str = "iU") -> Column:
+    """text.rlike(pattern), tried only where the lower-cased text holds what a match needs."""
+    found = text.rlike(f"(?{flags}){pattern}")
+    needed = literals(pattern)
+    return contains_any(low, needed) & found if needed else found
+
+
 def expand_acronyms(text: Column, acronyms: Mapping[str, str] = lx.ACRONYMS) -> Column:
     for a, full in acronyms.items():
         text = F.regexp_replace(text, _edge(rf"\b{quote(a)}\b"), f"{a} {full}")

@@ -21,7 +21,7 @@ def quality(confidence: Column, total: Column, length: Column, n_keywords: Colum
 def _any(text: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | text.rlike(f"(?iU){p}")
+        out = out | tx.matches(text, F.lower(text), p)
     return out
 
 
@@ -57,7 +57,7 @@ def domain(text: Column, domains: dict = lx.DOMAINS, least: float = 1.0) -> Colu
 def section(text: Column) -> Column:
     low, out = F.lower(text), None
     for name, p in lx.SECTIONS.items():
-        hit = low.rlike(f"(?U){p}")
+        hit = tx.matches(low, low, p, "U")
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("content")
 

@@ -39,7 +39,8 @@ def top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), scor
 
 def _matches(index: Index, terms: DataFrame) -> DataFrame:
     q = F.broadcast(terms.select("query_id", "term").distinct())
-    hit = index.postings.join(q, "term")
+    # the semi-join goes below the postings' aggregate, so only words of the queries are counted and shuffled
+    hit = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").join(q, "term")
     df = F.broadcast(index.frequencies(terms))  # at most a row for each term of the queries
     return hit.join(df, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.numbers))
 
