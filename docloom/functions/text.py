@@ -43,7 +43,10 @@ def literals(pattern: str) -> list[str]:
     """Lower-case texts one of which stands wherever the pattern matches: the starts of its alternatives. Empty if unknown."""
     whole = re.fullmatch(r"\\b\(\?:([^()]+)\)\\b", pattern)
     parts = whole[1].split("|") if whole else [pattern.removeprefix(r"\b")]
-    starts = [re.match(r"[^\W\d_]*(?![^\W\d_]*[?*{])", x)[0].lower() for x in parts]
+    starts = []
+    for part in parts:
+        word, after = re.match(r"([^\W\d_]*)(.?)", part, re.DOTALL).groups()
+        starts.append((word[:-1] if after and after in "?*{" else word).lower())
     return starts if all(len(x) >= 3 for x in starts) else []
 
 

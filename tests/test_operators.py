@@ -37,6 +37,11 @@ def test_stem(spark, word, stem):
     assert one(spark, tx.stem_word(F.lit(word))) == stem
 
 
+def test_literals():
+    assert tx.literals(r"\bservice\s*(?:modus|mode)\b") == ["service"] and tx.literals(r"\b(?:anhang|anlage)\b") == ["anhang", "anlage"]
+    assert tx.literals("abcd?e") == ["abc"] and tx.literals("abc*") == [] and tx.literals(r"\d+") == [] and tx.literals("⚠️|⚡") == []
+
+
 def test_preprocess(spark):
     assert one(spark, tx.normalize_numbers(F.lit("2,5 kg"))) == "2.5 kilogramm"
     assert one(spark, tx.expand_acronyms(F.lit("die sps geht"))) == "die SPS Speicherprogrammierbare Steuerung geht"
