@@ -413,7 +413,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     links = scratch.table("links", dealt.select("task", "p", "i", "j", "side", "is_pivot", "doc_id", "l", "prefix", "grams", "flags").repartition(tasks, "task").groupBy("task").applyInArrow(_verify(percent), "a long, b long"))
     scratch.drop("members")
     found = components(links, scratch)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component"))
+    # written, so that the join below has nothing but exchanges under it and a large group of copies can be split
+    named = scratch.table("named", classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component")))
     same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")) & F.col("doc_id").isNotNull()
     return sizes.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
