@@ -141,6 +141,28 @@ def test_embedding_dedup(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_in_a_cone(spark):
+    """A third of the vectors is a cone of mutual cosine .86, with planted pairs at .955: crowded keys lose no pair."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x, n, pairs = unit(rng.standard_normal((4500, 64))), 1500, 200
+    axis = unit(rng.standard_normal(64))
+    side = unit((v := rng.standard_normal((n, 64))) - (v @ axis)[:, None] * axis)
+    x[:n] = math.sqrt(0.86) * axis + math.sqrt(0.14) * side
+    away = unit((v := rng.standard_normal((pairs, 64))) - (v * x[:pairs]).sum(axis=1)[:, None] * x[:pairs])
+    x[n : n + pairs] = 0.955 * x[:pairs] + math.sqrt(1 - 0.955**2) * away
+    hit = x @ x.T >= embed_dedup.COSINE
+    u = ngram_join.Union(len(x))
+    for a, b in np.argwhere(hit).tolist():
+        u.join(a, b)
+    want = {i: (int(hit[i].sum()) - 1, u.find(i)) for i in range(len(x))}
+    assert sum(k for k, _ in want.values()) >= 2 * pairs
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    for more in ({}, {"exact": 100}):  # all pairs of what is open, and wider windows before
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, window=8, block=256, **more).collect()}
+        assert got == want
+
+
 # 3
 
 
