@@ -352,6 +352,28 @@ def _verify(percent: int):
     return run
 
 
+def candidates(sized: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """p, c: the members to test under each pivot, from ties (p, c, n, shared, least) with m, the pivot's members.
+
+    A linked pair shares its shingles under at most as many pivots as either has, so under one of them at least the mean. Where
+    that is a large group, each of the two has the mean there; where it is a small one, the pair has. A pair of which one is in
+    small groups only needs to share all that is asked for there.
+    """
+    big = (F.col("m") > SMALL).cast("int")
+    each = sized.groupBy("c").agg(F.count("*").alias("k"), F.sum(big).alias("k_large"), F.min("least").alias("low"))
+    held = sized.join(each, "c")
+    # in small groups, pair by pair; a pair that stays is tested under the pivot where it shares most
+    x = held.where(F.col("m") <= SMALL).select("p", "c", "n", "shared", "least", "k", "k_large")
+    y = x.select("p", *(F.col(v).alias(f"{v}2") for v in ("c", "n", "shared", "least", "k", "k_large")))
+    pairs = x.join(y, "p").where((F.col("c") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    both = F.least("shared", "shared2")
+    k = F.when(F.least("k_large", "k_large2") > 0, F.least("k", "k2")).otherwise(0)
+    pairs = pairs.groupBy("c", "c2").agg(F.sum(both).alias("s"), F.max(both).alias("best"), F.max(k).alias("k"), F.min(F.least("least", "least2")).alias("l"), F.max(F.struct(both.alias("b"), "p"))["p"].alias("p"))
+    small = pairs.where("s >= l OR best * k >= l").select("p", F.explode(F.array("c", "c2")).alias("c")).distinct()
+    large = held.where((F.col("m") > SMALL) & (F.col("shared") * F.col("k") >= F.col("low"))).select("p", "c")
+    return small.unionByName(large)
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT, multi: int = MULTI, slots: int = SLOTS, group: int = GROUP, task: int = TASK) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
@@ -375,21 +397,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
         ties = ties.join(enough, "c")
         ties = scratch.table(f"ties{r}", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p"), "p"))
         scratch.drop("ties" if not r else f"ties{r - 1}")
-    # in small groups, pair by pair: what two share there adds up to a bound of all they share, unless a large group has both,
-    # and then it tests them; a pair that stays is tested under the pivot where it shares most
-    m = ties.groupBy("p").agg(F.count("*").alias("m"))
-    sized = scratch.table("sized", ties.join(m, "p"))
+    sized = scratch.table("sized", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")), "p"))
     scratch.drop(f"ties{ROUNDS - 1}")
-    x = sized.where(F.col("m") <= SMALL).select("p", "c", "n", "shared", "least")
-    y = x.select("p", *(F.col(v).alias(f"{v}2") for v in ("c", "n", "shared", "least")))
-    pairs = x.join(y, "p").where((F.col("c") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    both = F.least("shared", "shared2")
-    pairs = pairs.groupBy("c", "c2").agg(F.sum(both).alias("s"), F.min(F.least("least", "least2")).alias("l"), F.max(F.struct(both.alias("b"), "p"))["p"].alias("p")).where("s >= l")
-    small = pairs.select("p", F.explode(F.array("c", "c2")).alias("c")).distinct()
-    # in large groups: a linked pair shares its shingles under at most as many pivots as either has, so under one of them at least the mean
-    each = sized.groupBy("c").agg(F.count("*").alias("k"), F.min("least").alias("low"))
-    large = sized.where(F.col("m") > SMALL).join(each, "c").where(F.col("shared") * F.col("k") >= F.col("low")).select("p", "c")
-    ties = scratch.table("kept", small.unionByName(large))
+    ties = scratch.table("kept", candidates(sized, percent))
     ties = ties.select("p", "c").join(classes.select(F.col("f1").alias("c"), "n", "rep"), "c")
     groups = ties.groupBy("p").agg(F.sum("n").alias("grams"))
     blocks = F.ceil(F.col("grams") / F.lit(group)).cast("int")

@@ -191,6 +191,31 @@ def test_ngram_join(spark, corpus, edge, empty):
     assert ngram_join.join(empty).count() == 0
 
 
+def test_ngram_candidates(spark):
+    """A pair that shares 62 of 64 shingles under a small pivot and 21 under each of two large ones is tested; less than the mean is not."""
+    ties = [(1, c, 100, 62, 64, 2) for c in (101, 102)] + [(p, c, 100, 21, 64, 20) for p in (2, 3) for c in (101, 102)]
+    ties += [(11, c, 100, 62, 64, 2) for c in (111, 112)] + [(21, c, 100, 21, 64, 2) for c in (121, 122)] + [(p, c, 100, 21, 64, 20) for p in (2, 3) for c in (121, 122)]
+    got = ngram_join.candidates(spark.createDataFrame(ties, "p long, c long, n long, shared long, least long, m long"))
+    assert sorted((r.p, r.c) for r in got.collect()) == [(1, 101), (1, 102)]
+
+
+def test_ngram_join_of_common_passages(spark):
+    """Near copies whose text is part own, part passages of more than 16 documents, with changes in both."""
+    rng = random.Random(21)
+    vocab = [f"t{i}" for i in range(4000)]
+    passages = [prose(rng, 45, vocab).split() for _ in range(4)]
+    rows = []
+    for g in range(28):
+        base = prose(rng, rng.randrange(30, 160), vocab).split() + [w for x in rng.sample(passages, rng.randrange(1, 4)) for w in x]
+        for _ in range(rng.randrange(1, 4)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 7)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(w)))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == ngram_join.brute_force(rows)
+
+
 # 4
 
 
