@@ -5,8 +5,8 @@ level for the number of tokens and one for each of the first `DEPTH` tokens; its
 templates. In a leaf, lines that agree with a template in at least `SIMILAR` of their positions join
 it, and the positions where they differ become variable. A template that stands in at least
 `min_docs` documents of different text is recurring: its lines are dropped from every document but
-the one of smallest id, which keeps them. Exact copies of a document count as one, so a pair of
-copies does not make its own lines recurring.
+the one of smallest id, which keeps them. Documents of the same lines of words count as one, so a pair
+of copies does not make its own lines recurring; documents that differ in digits only are different.
 
 The texts are read, not gathered: a pass takes the hashes of each document's lines, counts go by
 template with partial sums, and only leaves that hold several distinct templates send the token
@@ -39,7 +39,7 @@ FIELD = U64(0xA5A5A5A5A5A5A5A5)  # the variable field
 
 
 class Lines:
-    """Lines of texts: masked token hashes, and for each line with words its text, number in it, template and leaf."""
+    """Lines of texts: masked token hashes, and for each line with words its text, number in it, template, leaf and hash of its words as they are."""
 
     def __init__(self, col: pa.Array):
         w = Words(col, "spaced")
@@ -57,6 +57,8 @@ class Lines:
         place = np.arange(len(line)) - np.repeat(new, self.count)
         at = mix(self.tokens + U64(0x9E3779B97F4A7C15) * (place + 1).astype(U64))
         self.template = mix(np.add.reduceat(at, new) + self.count.astype(U64)) if len(new) else np.zeros(0, U64)
+        as_is = mix(w.hash + U64(0x9E3779B97F4A7C15) * (place + 1).astype(U64))
+        self.plain = mix(np.add.reduceat(as_is, new) + self.count.astype(U64)) if len(new) else np.zeros(0, U64)
         lead = np.add.reduceat(np.where(place < DEPTH, at, U64(0)), new) if len(new) else np.zeros(0, U64)
         self.leaf = mix(lead ^ (self.count.astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
         self.bounds = np.searchsorted(self.doc, np.arange(self.n + 1))
@@ -70,7 +72,7 @@ def _measure(min_tokens: int):
         prints, rows = [], []
         for d in range(x.n):
             s, e = x.bounds[d], x.bounds[d + 1]
-            prints.append(int(mix(x.template[s:e] + np.arange(e - s, dtype=U64)).sum(dtype=U64).view(np.int64)))
+            prints.append(int(mix(x.plain[s:e] + np.arange(e - s, dtype=U64)).sum(dtype=U64).view(np.int64)))
             keep = np.flatnonzero(x.count[s:e] >= min_tokens) + s
             _, one = np.unique(x.template[keep], return_index=True)
             rows.append([{"template": t, "leaf": v} for t, v in zip(x.template[keep[one]].view(np.int64).tolist(), x.leaf[keep[one]].view(np.int64).tolist(), strict=True)])
@@ -216,9 +218,11 @@ def brute_force(rows: list[tuple], min_docs: int = MIN_DOCS, min_tokens: int = M
     """Lines with words, lines dropped and the text left, by plain Python over lists of tokens, for tests."""
     import re
 
+    def words(line: str) -> tuple:
+        return tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+
     def tokens(line: str) -> tuple:
-        low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
-        return tuple("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", low))
+        return tuple("<*>" if re.search("[0-9]", w) else w for w in words(line))
 
     docs = [(d, t, [tokens(x) for x in t.split("\n")] if t is not None else []) for d, t in rows]
     distinct = sorted({x for _, _, ls in docs for x in ls if len(x) >= min_tokens})
@@ -231,10 +235,11 @@ def brute_force(rows: list[tuple], min_docs: int = MIN_DOCS, min_tokens: int = M
     group = {x: u.find(i) for i, x in enumerate(distinct)}
     texts: dict[int, set] = {}
     ids: dict[int, set] = {}
-    for d, _, ls in docs:
+    for d, t, ls in docs:
+        text = tuple(y for y in map(words, (t or "").split("\n")) if y)
         for x in ls:
             if x in group:
-                texts.setdefault(group[x], set()).add(tuple(y for y in ls if y))
+                texts.setdefault(group[x], set()).add(text)
                 ids.setdefault(group[x], set()).add(d)
     keeper = {g: min((d for d in v if d is not None), default=None) for g, v in ids.items()}
     out = []

@@ -385,6 +385,15 @@ def test_line_dedup(spark, corpus, edge, empty):
     assert line_dedup.dedup(edge).count() == edge.count() and line_dedup.dedup(empty).count() == 0
 
 
+def test_line_dedup_of_documents_that_differ_in_digits(spark):
+    """Three pages of one log template are three texts, three copies of one page are one."""
+    page = lambda i: f"job {i} on node {i % 4} failed at 10:{i}\nretry number {i} of the job has ended"
+    rows = [(i, page(10 + i)) for i in range(3)] + [(10 + i, "the very same line stands in copies\nand so does this other one") for i in range(3)] + [(20, page(10).upper())]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: w for (d, _), w in zip(rows, line_dedup.brute_force(rows), strict=True)}
+    assert got[0] == (2, 0, page(10)) and got[1] == got[2] == got[20] == (2, 2, "") and all(got[10 + i][1] == 0 for i in range(3))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(name, spark, sf):
     compare(queries.queries()[name](spark, sf), queries.oracle_sql()[name], connection(sf))
