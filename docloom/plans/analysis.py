@@ -146,12 +146,12 @@ def split_structural(spark, sf):
 
 
 def split_words(spark, sf):
-    s = sp.split_words(_docs(spark, sf).where("n_chars < 3000"), size=200)
+    s = sp.split_words(_docs(spark, sf), size=200)
     return s.groupBy("doc_id").agg(F.count("*").alias("chunks"), long(F.sum(F.length("text"))).alias("chars"))
 
 
 def ingest_chunks(spark, sf):
-    t = ig.chunk_table(_docs(spark, sf).where("n_chars < 2000"), rules=RULES, domains=DOMAINS, words=WORDS_OF)
+    t = ig.chunk_table(_docs(spark, sf), rules=RULES, domains=DOMAINS, words=WORDS_OF)
     return ig.processing_stats(t).select("category", "chunks", "documents", r6("avg_length").alias("avg_length"), r6("good_percent").alias("good_percent"))
 
 

@@ -19,6 +19,31 @@ def test_query(name, spark, sf, con):
         assert df.count() >= 0
 
 
+def test_long_documents_are_split_and_ingested(spark, tmp_path):
+    """Every document, long ones and those without n_chars too, against plain Python."""
+    from docloom.operators.split import recursive
+
+    texts = {1: "short text here", 2: "lorem ipsum dolor sit amet " * 300, 3: "one more. " * 250, 4: None, 5: "without a count " * 400, 6: ""}
+    rows = [(d, t, "en", "s", None if d == 5 else len(t or "")) for d, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def packed(text, size):
+        out = []
+        for w in text.split():
+            if out and len(out[-1]) + 1 + len(w) <= size:
+                out[-1] += " " + w
+            else:
+                out.append(w)
+        return out
+
+    words = {d: packed(t or "", 200) for d, t in texts.items()}
+    got = {r.doc_id: (r.chunks, r.chars) for r in catalog.queries()["split_words"](spark, str(tmp_path)).collect()}
+    assert got == {d: (len(c), sum(map(len, c))) for d, c in words.items() if c}
+    chunks = [c for t in texts.values() if t is not None for c in recursive(t)]
+    got = catalog.queries()["ingest_chunks"](spark, str(tmp_path)).collect()
+    assert sum(r.chunks for r in got) == len(chunks) and sum(r.chunks * r.avg_length for r in got) == pytest.approx(sum(map(len, chunks)), abs=0.01)
+
+
 def test_sql_names_are_queries():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
