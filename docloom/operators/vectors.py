@@ -7,7 +7,7 @@ never shuffled; only the k best of each task leave it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,10 @@ BLOCK = 10_000
 
 def scores(store: DataFrame, queries: DataFrame, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, vec_id, score, of every stored vector and query (query_id, vector); a scan of the store for each block of queries."""
-    fn = vx.METRICS[metric]
+    return _scores(store, queries, vx.METRICS[metric], vec_id, embedding)
+
+
+def _scores(store: DataFrame, queries: DataFrame, fn: Callable[[Column, Column], Column], vec_id: str, embedding: str) -> DataFrame:
     base = store.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"))
     q = queries.select("query_id", F.col("vector").alias("q"))
     n = q.limit(BLOCK + 1).count()
@@ -107,9 +110,8 @@ def _best(shared, k: int, metric: str):
 
 def signed_knn(store: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Cosine in [-1, 1]; zero vectors have none and are left out."""
-    base = store.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"))
-    s = base.join(F.broadcast(queries.select("query_id", F.col("vector").alias("q")).limit(BLOCK)), F.size("v") == F.size("q"))
-    return top_k(s.select("query_id", "vec_id", vx.cosine_signed(F.col("q"), F.col("v")).alias("score")).where("score IS NOT NULL"), k, tie="vec_id")
+    s = _scores(store, queries, vx.cosine_signed, vec_id, embedding)
+    return top_k(s.where("score IS NOT NULL"), k, tie="vec_id")
 
 
 def where_clause(include: dict | None = None, exclude: dict | None = None, ranges: dict | None = None, contains: dict | None = None, substring: bool = False) -> Column | None:

@@ -234,3 +234,11 @@ def test_embed_once(spark):
 def test_overall(spark, states, want):
     df = spark.createDataFrame([(s,) for s in states], "status string")
     assert mo.overall_status(df).first().status == want
+
+
+def test_signed_knn_takes_all_queries_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(12)], "vec_id long, embedding array<double>")
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = sorted(map(tuple, vectors.signed_knn(rows, queries, 2).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    assert sorted(map(tuple, vectors.signed_knn(rows, queries, 2).collect())) == want and len(want) == 24
