@@ -87,7 +87,8 @@ NAMES: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]] = [
     ("postgresql", r"(?:the )?postgresql licen[cs]e", ("postgresql",), ()),
     ("wtfpl", r"wtfpl", ("wtfpl",), ()),
     ("ms-pl", r"(?:the )?microsoft public licen[cs]e", ("microsoft",), ()),
-    ("python-2.0", r"(?:the )?(?:psf|python software foundation) licen[cs]e", ("foundation",), ()),
+    ("python-2.0", r"(?:the )?psf licen[cs]e", ("psf",), ()),
+    ("python-2.0", r"(?:the )?python software foundation licen[cs]e", ("python", "foundation"), ()),
     ("public-domain", r"(?:in|into|to) the public domain", ("public", "domain"), ()),
     ("proprietary", r"all rights reserved", ("rights", "reserved"), ()),
 ]

@@ -329,6 +329,37 @@ def test_license_scan(spark, edge, empty):
     assert len(license_scan.rules()) > 300
 
 
+def _wordings(items) -> list[str]:
+    """All texts that a parsed pattern without open repeats matches."""
+    out = [""]
+    for kind, x in items:
+        name = str(kind)
+        if name == "LITERAL":
+            ways = [chr(x)]
+        elif name == "IN":
+            ways = [chr(v) for _, v in x]
+        elif name == "BRANCH":
+            ways = [w for y in x[1] for w in _wordings(y)]
+        elif name == "MAX_REPEAT":
+            assert x[:2] == (0, 1)
+            ways = ["", *_wordings(x[2])]
+        else:
+            assert name == "SUBPATTERN"
+            ways = _wordings(x[3])
+        out = [o + w for o in out for w in ways]
+    return out
+
+
+def test_license_alternatives_pass_their_gate(spark):
+    """A rule is only tried on texts with its keywords, so each of its wordings has them."""
+    from re import _parser
+
+    missed = [(r.label, t) for r in license_scan.rules() for t in _wordings(_parser.parse(r.pattern)) if not set(t.split()).issuperset(r.keywords)]
+    assert missed == []
+    rows = [(1, "licensed under the PSF license"), (2, "Python Software Foundation License")]
+    assert {r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {"python-2.0"}
+
+
 def test_suppression():
     r = lambda p: license_scan.Rule("x", "y", (), p, 1.0)
     found = [(0, 10, r(50), 0), (2, 5, r(30), 1), (2, 5, r(60), 2), (0, 10, r(50), 3), (9, 12, r(10), 4)]
