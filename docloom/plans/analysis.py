@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
@@ -129,6 +130,13 @@ def related_chunks(spark, sf):
     return r.select("source", "chunk_index", F.array_join("related", ",").alias("related"))
 
 
+def related_chunks_whole(spark, sf):
+    """related_chunks by the keywords of the whole text."""
+    d = an.analyze(_docs(spark, sf).where("text IS NOT NULL"), words=WORDS_OF)
+    d = d.select("source", F.col("doc_id").alias("chunk_index"), en.domain(F.col("text"), DOMAINS).alias("category"), F.col("lang").alias("domain"), "analysis.keywords")
+    return en.related_chunks(d, least=0.6).select("source", "chunk_index", F.array_join("related", ",").alias("related"))
+
+
 def document_stats(spark, sf):
     a = an.analyze(_docs(spark, sf), words=WORDS_OF)
     s = en.document_stats(a)
@@ -209,6 +217,27 @@ def answer_sources(spark, sf):
     return cx.sources(_found(spark, sf)).select("query_id", "rank", F.md5("snippet").alias("h"))
 
 
+def _found_whole(spark, sf):
+    """All answers of a conversation; their rank is their place among them."""
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text"))
+    return c.select(F.col("conv_id").alias("query_id"), place.alias("rank"), F.col("turn").alias("doc_id"), F.col("text").alias("content"), (1.0 / (F.col("turn") + 1)).alias("score"))
+
+
+def prompt_context_whole(spark, sf):
+    p = cx.prompt(_found_whole(spark, sf), F.lit("what?"))
+    return p.select("query_id", long(F.length("prompt")).alias("chars"), F.md5("prompt").alias("h"))
+
+
+def answer_confidence_whole(spark, sf):
+    return cx.confidence(_found_whole(spark, sf)).select("query_id", r6("confidence").alias("confidence"), "band")
+
+
+def answer_sources_whole(spark, sf):
+    """All of them, not the first five."""
+    return cx.sources(_found_whole(spark, sf), most=(1 << 31) - 1).select("query_id", long("rank").alias("rank"), F.md5("snippet").alias("h"))
+
+
 def select_models(spark, sf):
     d = _docs(spark, sf)
     task = F.when(F.col("doc_id") % 7 == 0, "code_analysis").otherwise("answer")
@@ -242,7 +271,7 @@ def flatten_metadata(spark, sf):
     return store.flatten_metadata(e, ["kind", "ids"])
 
 
-QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, select_models, upsert, delete_ids, get_by_ids, flatten_metadata]
+QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, related_chunks_whole, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, prompt_context_whole, answer_confidence_whole, answer_sources_whole, select_models, upsert, delete_ids, get_by_ids, flatten_metadata]
 
 _W = WORDS_OF
 _L = "lower(text)"
@@ -374,3 +403,5 @@ SELECT doc_id, string_split(m, ',')[1] AS llm, string_split(m, ',')[2] AS llm_fa
     "get_by_ids": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 = 3",
     "flatten_metadata": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS kind, '[' || user_id || ',' || event_id || ']' AS ids FROM events",
 }
+_ALL = "SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rank, text AS content, 1.0::DOUBLE / (turn + 1) AS score FROM conversations WHERE role = 'assistant'"
+SQL |= {f"{n}_whole": SQL[n].replace(_F, _ALL).replace(" WHERE rank <= 5", "") for n in ("prompt_context", "answer_confidence", "answer_sources")}

@@ -56,6 +56,12 @@ def overall_status(spark, sf):
     return mo.overall_status(e, ["user_id"]).select("user_id", "n_components", "status")
 
 
+def overall_status_whole(spark, sf):
+    """overall_status of every user."""
+    states = F.when(F.col("event_type") == "error", "unhealthy").when(F.col("event_type") == "signup", "degraded").otherwise("healthy")
+    return mo.overall_status(_events(spark, sf).select("user_id", states.alias("status")), ["user_id"]).select("user_id", "n_components", "status")
+
+
 def sessionize(spark, sf):
     return mo.sessions(_events(spark, sf)).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("last_event").cast("timestamp_ntz").alias("last_event"), "n")
 
@@ -117,7 +123,7 @@ def top_customers(spark, sf):
     return o.orderBy(F.desc("cents"), "o_custkey").limit(20).select("o_custkey", "n", "cents")
 
 
-QUERIES = [op_stats, status_histogram, state_changes, running_average, throughput_score, performance_alerts, component_health, overall_status, sessionize, session_states, exception_counts, filter_search_page, paged_parts, formatted, log_filter, availability, adaptation_stats, windowed_metrics, label_filter, top_customers]
+QUERIES = [op_stats, status_histogram, state_changes, running_average, throughput_score, performance_alerts, component_health, overall_status, overall_status_whole, sessionize, session_states, exception_counts, filter_search_page, paged_parts, formatted, log_filter, availability, adaptation_stats, windowed_metrics, label_filter, top_customers]
 
 _CENTS = "CAST(round(abs(value) * 100) AS BIGINT)"
 _SESSIONS = """s0 AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 7200000000, true) THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -152,3 +158,4 @@ FROM (SELECT *, (event_id % 10 + 1) / 10.0::DOUBLE AS w FROM events ORDER BY eve
     "label_filter": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) GROUP BY lang",
     "top_customers": "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1 ORDER BY cents DESC, o_custkey LIMIT 20",
 }
+SQL["overall_status_whole"] = SQL["overall_status"].replace(" WHERE user_id < 40", "")
