@@ -5,17 +5,19 @@ letters), letter n-grams, its own identity, and membership in the lexicons of th
 frequent words of each in the sample. Emission scores are sums of weights of hashed features;
 transitions between neighbouring words are learned with them by gradient steps on the exact
 likelihood. Documents carry one label, so training sequences are spliced from spans of differently
-labelled documents: the chain learns how often languages switch. Forward-backward over segments of
-consecutive words gives each word its label distribution in code-switched text; a document's label
-is the one of largest summed probability and its score the mean of that probability.
+labelled documents: the chain learns how often languages switch. Forward-backward over all words of
+a text gives each its label distribution in code-switched text; a document's label is the one of
+largest summed probability and its score the mean of that probability. Long texts are worked on in
+stretches side by side: products of the transfer matrices of stretches carry the forward and
+backward messages across, so the result is that of one chain, whatever the length of a stretch.
 
 The model is fitted on a bounded sample, documented below; counts per label and predictions cover all
 rows and whole texts. Words are scored once per distinct word of a slice. No shuffle of texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is all where no
 row has a label to learn from; ties go to the label first in code-point order; a null id belongs to
-the fold of the empty text; repeated rows give one row each; an empty table gives no rows; other
-columns are ignored by predict and kept by mark, whatever their names.
+the fold of the empty text; repeated rows give one row each; a very long text is one chain
+like any other; an empty table gives no rows; other columns are ignored by predict and kept by mark, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from docloom.llm.words import U64, _powers, mix
 
 #: The sample: documents of a label at most (in expectation), of all labels (exactly), and characters taken from each, at a hashed place.
 PER_LABEL, SAMPLE, CHARS = 300, 4000, 400
-#: Hashed features, words of a segment, lexicon words of a label, gradient steps, folds and the one held out.
+#: Hashed features, words of a stretch, lexicon words of a label, gradient steps, folds and the one held out.
 FEATURES, SEGMENT, LEXICON, STEPS, FOLDS, HELD = 1 << 16, 128, 400, 60, 4, 2
 
 
@@ -110,7 +112,7 @@ class Crf:
 
     def marginals(self, t: Tokens) -> np.ndarray:
         """For every word of the texts its distribution over the labels."""
-        return chain(self.emissions(t)[t.of], *segments(t.bounds), self.move, self.first)[0]
+        return whole_chain(self.emissions(t)[t.of], t.bounds, self.move, self.first)
 
 
 def segments(bounds: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +124,15 @@ def segments(bounds: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.nd
     return bounds[:-1][doc] + part * size, np.minimum(size, n[doc] - part * size)
 
 
-def chain(score: np.ndarray, start: np.ndarray, length: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward-backward over all segments at once: word marginals, expected transitions, log likelihood's normaliser."""
+def chain(score: np.ndarray, start: np.ndarray, length: np.ndarray, move: np.ndarray, first: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward-backward over all segments at once: word marginals, expected transitions, log likelihood's normaliser.
+
+    enter, leave: for each segment the weights of its first word's labels, and the message that comes back to its last.
+    """
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
+    begin = np.exp(first) if enter is None else enter[order]
+    after = None if leave is None else leave[order]
     top = score.max(axis=1, keepdims=True) if len(score) else score[:, :1]
     e, m, labels = np.exp(score - top), np.exp(move), score.shape[1]
     alpha, beta, norm = np.empty_like(e), np.empty_like(e), np.ones(len(e), e.dtype)
@@ -133,14 +140,14 @@ def chain(score: np.ndarray, start: np.ndarray, length: np.ndarray, move: np.nda
     active = np.searchsorted(-length, -np.arange(most), "left")  # segments longer than t
     for t in range(most):
         at = start[: active[t]] + t
-        a = e[at] * (np.exp(first) if t == 0 else alpha[at - 1] @ m)
+        a = e[at] * (begin if t == 0 else alpha[at - 1] @ m)
         norm[at] = a.sum(axis=1)
         alpha[at] = a / norm[at][:, None]
     pairs = np.zeros((labels, labels))
     for t in range(most - 1, -1, -1):
         at = start[: active[t]] + t
         ends = length[: active[t]] == t + 1
-        b = np.ones((len(at), labels), e.dtype)
+        b = np.ones((len(at), labels), e.dtype) if after is None else after[: active[t]].astype(e.dtype)
         inner = at[~ends]
         nxt = e[inner + 1] * beta[inner + 1] / norm[inner + 1][:, None]
         b[~ends] = nxt @ m.T
@@ -149,6 +156,43 @@ def chain(score: np.ndarray, start: np.ndarray, length: np.ndarray, move: np.nda
     return alpha * beta, pairs, float(np.log(norm).sum() + top.sum())
 
 
+def whole_chain(score: np.ndarray, bounds: np.ndarray, move: np.ndarray, first: np.ndarray, size: int = SEGMENT) -> np.ndarray:
+    """Word marginals of one chain a text, computed over segments of at most `size` words."""
+    start, length = segments(bounds, size)
+    text = np.searchsorted(bounds, start, "right") - 1
+    head = start == bounds[text]
+    n, labels = len(start), score.shape[1]
+    if head.all():
+        return chain(score, start, length, move, first)[0]
+    e, m = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64), np.exp(move)
+    # of segments of texts that have several: the product of their words' matrices, up to a factor
+    many = np.flatnonzero(~head | np.append(~head[1:], False))
+    s, z = start[many], length[many]
+    transfer = np.where(head[many][:, None, None], np.eye(labels), m) * e[s][:, None, :]
+    for t in range(1, int(z.max())):
+        on = np.flatnonzero(z > t)
+        step = (transfer[on] @ m) * e[s[on] + t][:, None, :]
+        transfer[on] = step / step.sum(axis=(1, 2), keepdims=True)
+    place = np.full(n, -1)
+    place[many] = np.arange(len(many))
+    enter, leave = np.tile(np.exp(first), (n, 1)), np.ones((n, labels))
+    tail = np.append(head[1:], True)
+    nth = np.arange(n) - np.maximum.accumulate(np.where(head, np.arange(n), 0))  # of its text
+    by = np.argsort(nth, kind="stable")
+    steps = np.split(by, np.cumsum(np.bincount(nth))[:-1])
+    before = enter.copy()  # the message of the last word before a segment
+    for k in steps[1:]:
+        x = np.einsum("ij,ijk->ik", before[k - 1], transfer[place[k - 1]])
+        before[k] = x / x.sum(axis=1, keepdims=True)
+        enter[k] = before[k] @ m
+    for k in reversed(steps):
+        k = k[~tail[k]]
+        x = np.einsum("ijk,ik->ij", transfer[place[k + 1]], leave[k + 1])
+        leave[k] = x / x.max(axis=1, keepdims=True)
+    p = chain(score, start, length, move, first, enter, leave)[0]
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def fit(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 11) -> Crf | None:
     """A model from texts and labels, by Adam on the penalised likelihood of spliced sequences."""
     labels = sorted({y for _, y in rows})
