@@ -10,7 +10,7 @@ pool-adjacent-violators algorithm turns the bins into a non-decreasing probabili
 Only labels outside the held-out fold are learned from; labels, language, source and id are never
 inputs of a score. Defined results: null texts count as empty; rows with a null id belong to the
 fold of the empty text and have no label; several labels of one id each count; with no labels at
-all every score is 0.5; repeated rows give one row each; an empty table gives no rows; other
+all every score is 0.5; equal statistics have equal scores; a very long text is read whole, alone in its slice; repeated rows give one row each; an empty table gives no rows; other
 columns are ignored, whatever their names.
 """
 
@@ -31,6 +31,8 @@ from docloom.llm.words import Words, gram_hash
 RANDOM, WIDTH, RIDGE, BINS, THRESHOLD = 192, 4.0, 1e-3, 1000, 0.3
 #: Folds by crc32(id): 0 is held out, 4 calibrates, the others fit the weights.
 FOLDS, HELD, CALIBRATE = 5, 0, 4
+#: Levels of the tree that adds the partitions' sums, and sums added in one task.
+LEVELS, FAN = 3, 64
 
 NAMES = ["log_bytes", "log_words", "word_len", "long_words", "short_words", "upper", "digit", "space", "high", "comma_dot", "symbol", "bar", "odd_marks", "log_lines", "line_words", "distinct", "top_word", "same_next", "repeat_2", "repeat_4", "ends_dot", "initial_upper"]
 
@@ -164,13 +166,15 @@ def fit(stats: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
         total = np.zeros(size * size + size)
         for v in table["sums"]:
             total += np.frombuffer(v.as_py())
-        return pa.table({"k": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"k": table["k"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    part = known.where(F.col("fold") != CALIBRATE).mapInArrow(sums, "k int, sums binary").withColumn("k", F.pmod(F.spark_partition_id(), F.lit(16)))
-    rows = part.groupBy("k").applyInArrow(add, "k int, sums binary").collect()  # at most 16 sums
+    part = known.where(F.col("fold") != CALIBRATE).mapInArrow(sums, "k int, sums binary").withColumn("k", F.spark_partition_id())
+    for level in range(LEVELS):  # a tree of sums, of FAN each: no task's share grows with the partitions
+        part = part.withColumn("k", F.floor(F.col("k") / FAN).cast("int") if level < LEVELS - 1 else F.lit(0)).groupBy("k").applyInArrow(add, "k int, sums binary")
+    rows = part.collect()  # one sum
     if not rows:
         return model
-    total = sum(np.frombuffer(r.sums) for r in rows)
+    total = np.frombuffer(rows[0].sums)
     a, b = total[: size * size].reshape(size, size), total[size * size :]
     model.weights = np.linalg.solve(a + RIDGE * max(1.0, a[-1, -1]) / RANDOM * np.eye(size), b)
     fitted = spark.sparkContext.broadcast(model)
