@@ -10,10 +10,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[list[Scratch]] = []
+#: Files of a table of few, for each task that runs at once.
+FEW = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,11 +40,15 @@ class Scratch:
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom-{owner}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
+        atexit.register(self.close)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes df and returns it as read back."""
+    def table(self, name: str, df: DataFrame, few: bool = False) -> DataFrame:
+        """Writes df and returns it as read back. few: rows are narrow, so tasks take several shuffle partitions one after another and write fewer files."""
         path = f"{self.root}/{name}"
+        if few:
+            df = df.coalesce(FEW * self.spark.sparkContext.defaultParallelism)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +57,11 @@ class Scratch:
         for name in names:
             self._remove(f"{self.root}/{name}")
 
+    def close(self) -> None:
+        """Removes all tables; what is read from them must have been written elsewhere."""
+        self._remove(self.root)
+        atexit.unregister(self.close)
+
     def _remove(self, path: str) -> None:
         try:
             jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -55,3 +69,14 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             pass
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes at its end the tables of every operator called inside, whose results must have been written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for made in _SCOPES.pop():
+            made.close()

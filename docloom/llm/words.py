@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 U64 = np.uint64
 
@@ -28,7 +29,8 @@ def _return_freed_memory() -> None:
         pass
 
 
-_return_freed_memory()
+if TaskContext.get() is not None:  # in a worker; the driver's process keeps its settings
+    _return_freed_memory()
 #: Bytes handled at once; bounds the memory of a task whatever the batch. Longer texts go alone.
 PIECE = 1 << 19
 _MUL = 0x9E3779B97F4A7C15 | 1
