@@ -3,16 +3,18 @@
 Tokens are summed per source; targets share a multiple of all tokens by weight, none above `cap`
 times its source's size: sources are ordered by size/weight, those that reach their cap take it,
 and the rest is shared by the weights of the others until none is above. A source's rate is
-target/size. Each document is emitted floor(rate) times, and once more if a hash of its id and a
-seed, read as a fraction, lies below the rate's fraction. The hash makes reruns agree, whatever
-the partitioning, and equal ids fare alike.
+target/size. Each document is emitted floor(rate) times, and once more if a hash of a seed, its id,
+source and text, read as a fraction, lies below the rate's fraction. The hash makes reruns agree,
+whatever the partitioning; rows that share an id, or have none, draw by their texts.
 
-The one shuffle is the sum per source, pre-aggregated in each task, so a source with a third of
-all rows costs no more than any other; the table of sources is joined back to the documents.
+Sums per source are pre-aggregated in each task, so a source with a third of all rows costs no more
+than any other. The table of sources is written first: its measured size lets the planner broadcast
+it, so that neither texts nor sizes are shuffled by source, or join it by key where it is large.
+Ordering the sources takes one task, of a row per source.
 
 Defined results: null and empty texts have size 0; a null source is a source of its own, last in
-the order of weights; a source of size 0 has target and rate 0; a null id is hashed as the empty
-text; repeated rows each count; empty tables give no rows; other columns are kept by mix and
+the order of weights; a source of size 0 has target and rate 0; a null id, source or text
+is hashed as the empty text; repeated rows each count and fare alike; a very long text is counted whole; empty tables give no rows; other columns are kept by mix and
 ignored by plan, whatever their names.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm.frames import fresh
+from docloom.llm.scratch import Scratch
 
 #: Weights by the order of sources, repeating; what all targets share, of all sizes; the most repeats of a source.
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
@@ -53,16 +56,22 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", target.alias("target"))
 
 
-def fraction(doc_id: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+def fraction(doc_id: str, source: str, text: str, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed and the document alone."""
+    part = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), part(doc_id), part(source), F.md5(part(text))))
+    return F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken, for each row of docs."""
-    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), size_of(text).alias("size"))
-    return _copies(sized, targets(sized.select("source", "size"), **more))
+    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), size_of(text).alias("size"), fraction(doc_id, source, text).alias("drawn"))
+    return _copies(sized, _written(targets(sized.select("source", "size"), **more)))
+
+
+def _written(per: DataFrame) -> DataFrame:
+    """The table of sources, of known size."""
+    return Scratch(per.sparkSession, "mix").table("sources", per, few=True)
 
 
 def _copies(sized: DataFrame, per: DataFrame) -> DataFrame:
@@ -71,8 +80,8 @@ def _copies(sized: DataFrame, per: DataFrame) -> DataFrame:
     # the sources are few against the documents; the planner broadcasts them only if their measured size allows it
     out = sized.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     whole = F.floor("rate")
-    copies = whole + F.when(fraction("doc_id") < F.col("rate") - whole, 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("int")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+    copies = whole + F.when(F.col("drawn") < F.col("rate") - whole, 1).otherwise(0)
+    return out.withColumn("copies", copies.cast("int")).drop("drawn").withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", copy: str = "copy", **more) -> DataFrame:
@@ -81,16 +90,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     key, rate = fresh(docs, "mix_source"), fresh(docs, "mix_rate")
     sized = docs.select(F.col(f"`{source}`").cast("string").alias("source"), size_of(text).alias("size"))
     per = targets(sized, **more).select(F.col("source").alias(key), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
-    out = docs.join(per, docs[f"`{source}`"].cast("string").eqNullSafe(F.col(key)))
+    out = docs.join(_written(per), docs[f"`{source}`"].cast("string").eqNullSafe(F.col(key)))
     whole = F.floor(rate)
-    n = (whole + F.when(fraction(doc_id) < F.col(rate) - whole, 1).otherwise(0)).cast("int")
+    n = (whole + F.when(fraction(doc_id, source, text) < F.col(rate) - whole, 1).otherwise(0)).cast("int")
     out = out.withColumn(copy, F.explode(F.filter(F.sequence(F.lit(0), n), lambda i: i < n)))
     return out.drop(key, rate)
 
 
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS print, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), per0 AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), per AS (
@@ -107,7 +116,7 @@ WITH sized AS (
 ), rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || coalesce(s.source, '') || ':' || s.print), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
