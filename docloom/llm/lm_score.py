@@ -1,13 +1,14 @@
 """Stupid-backoff scores of whole documents, computed relationally.
 
 The score of a word after a context is its n-gram's count over the context's, or `backoff` times
-the score after the shorter context where the n-gram is not found; the counts are those of all
-other documents together, so a document never vouches for itself. A word found nowhere else counts
-as half a word. A document's score is the mean natural log over its words.
+the score after the shorter context where the n-gram is not found. The counts are those of the
+whole corpus; with `leave_out` each document is scored by those of all others, so that it doesn't
+vouch for itself, and a word found nowhere else counts as half a word. A document's score is the
+mean natural log over its words.
 
 Documents are packed into blocks of bounded bytes: dictionary and stream of word numbers. A block
-explodes its n-grams once each, with its own counts, to buckets by hash; a bucket is a partition of
-the count tables, sums over the blocks, and answers each in the order it asked. The answers meet
+explodes its n-grams once each, with its own counts, to the buckets that their hashes name; a bucket
+is a partition of the count tables, sums over the blocks, and answers each in the order it asked. The answers meet
 their block again by its number, where they are joined to the n-grams of each document and summed.
 What is dealt out grows with the distinct n-grams of blocks; a frequent n-gram is a row of a block,
 not of a document, so no key gathers more than one entry from each block. Bucket and block sizes do
@@ -15,7 +16,7 @@ not depend on the data. In a bucket an n-gram is known by 40 further bits of its
 hash, so one in some millions shares its counts with another, at every size of the corpus.
 
 Defined results: null and empty texts have no words and a null score; the first words of a text
-have the shorter contexts that exist; repeated rows count as other documents of each other; a null
+have the shorter contexts that exist; repeated rows are documents of their own; a very long text is a block of its own; a null
 id stays null; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -81,27 +82,28 @@ class Grams:
             self.hash.append(u)
             self.own.append(np.bincount(of, minlength=len(u)))
 
-    def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All distinct n-grams by hash, which buckets share out in stretches: the order, bucket edges, places in the bucket, counts."""
+    def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All distinct n-grams by hash, which buckets share out in stretches: the order, buckets asked, edges, places in the bucket, counts."""
         h, c = np.concatenate(self.hash), np.concatenate(self.own)
         order = np.argsort(h)
         h, m = h[order], U64(buckets)
         b = ((h >> U64(32)) * m + (((h & U64(0xFFFFFFFF)) * m) >> U64(32))) >> U64(32)
-        return order, np.searchsorted(b, np.arange(buckets + 1, dtype=U64)), ((h * m) >> U64(64 - BITS)).astype(np.int64), c[order]
+        at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)  # only buckets it asks, however many there are
+        return order, b[at].astype(np.int64), np.concatenate((at, [len(b)])), ((h * m) >> U64(64 - BITS)).astype(np.int64), c[order]
 
 
-_ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
-_REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary())])
+_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+_REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary())])
 
 
 def _ask(order: int, buckets: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, edge, h, c = Grams(row, order).asked(buckets)
-                for some in np.array_split(np.flatnonzero(np.diff(edge)), max(1, buckets // 64)):
+                _, asked, edge, h, c = Grams(row, order).asked(buckets)
+                for some in np.array_split(np.arange(len(asked)), -(-len(asked) // 64)) if len(asked) else ():
                     cut = [(edge[b], edge[b + 1]) for b in some.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), row["block"]), pa.int64()), pa.array([shrink(np.diff(h[s:e], prepend=0)) for s, e in cut], pa.binary()), pa.array([shrink(c[s:e]) for s, e in cut], pa.binary())], schema=_ASK)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[some], pa.int32()), pa.array(np.full(len(some), row["block"]), pa.int64()), pa.array([shrink(np.diff(h[s:e], prepend=0)) for s, e in cut], pa.binary()), pa.array([shrink(c[s:e]) for s, e in cut], pa.binary())], schema=_ASK)
 
     return run
 
@@ -124,24 +126,24 @@ def _count(table: pa.Table) -> pa.Table:
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 
 
-def _score(order: int, backoff: float, total_words: int, buckets: int):
+def _score(order: int, backoff: float, total_words: int, buckets: int, leave_out: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         replies = dict(zip(right["bucket"].to_pylist(), right["counts"], strict=True))
         for row in left.to_pylist():
             g = Grams(row, order)
-            at, edge, _, own = g.asked(buckets)
+            at, asked, edge, _, own = g.asked(buckets)
             everywhere = np.zeros(len(at), np.int64)
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                everywhere[at[edge[b] : edge[b + 1]]] = grow(replies[b].as_buffer()) + own[edge[b] : edge[b + 1]]
+            for i, b in enumerate(asked.tolist()):
+                everywhere[at[edge[i] : edge[i + 1]]] = grow(replies[b].as_buffer()) + own[edge[i] : edge[i + 1]]
             start = np.concatenate(([0], np.cumsum([len(h) for h in g.hash])))
             n = len(g.doc)
-            others = total_words - g.counts[g.doc]  # words of all other documents
+            others = total_words - leave_out * g.counts[g.doc]  # words that counts were taken from
             score, found, context = np.zeros(n), np.zeros(n, bool), others.astype(np.float64)
             levels = []
             for k in range(order):
                 rest = np.zeros(n, np.int64)
-                rest[g.at[k]] = everywhere[start[k] : start[k + 1]][g.of[k]] - _within(g.doc[g.at[k]], g.of[k], len(g.hash[k]))
+                rest[g.at[k]] = everywhere[start[k] : start[k + 1]][g.of[k]] - leave_out * _within(g.doc[g.at[k]], g.of[k], len(g.hash[k]))
                 levels.append(rest)
             for k in range(order - 1, -1, -1):
                 here = np.zeros(n, bool)
@@ -168,7 +170,7 @@ def _within(doc: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
     return c[of]
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, block: int = BLOCK, bucket: int = BUCKET, leave_out: bool = False) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), score (its mean over the words, null without words)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-score")
@@ -177,13 +179,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     stream = scratch.table("stream", texts.mapInArrow(_blocks(block), ddl))
     total = stream.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
     buckets = max(8, -(-total * order // bucket))
-    asked = stream.mapInArrow(_ask(order, buckets), "bucket long, block long, grams binary, counts binary")
-    replies = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, "block long, bucket long, counts binary")
-    scored = stream.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, total, buckets), "doc_id long, n_words long, log_score double")
+    asked = stream.mapInArrow(_ask(order, buckets), "bucket int, block long, grams binary, counts binary")
+    replies = asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_count, "block long, bucket int, counts binary")
+    scored = stream.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, total, buckets, leave_out), "doc_id long, n_words long, log_score double")
     return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
-def brute_force(texts: list[str | None], order: int = ORDER, backoff: float = BACKOFF) -> list[tuple[int, float]]:
+def brute_force(texts: list[str | None], order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = False) -> list[tuple[int, float]]:
     """Words and summed logs by plain counting, for tests."""
     import re
 
@@ -196,15 +198,15 @@ def brute_force(texts: list[str | None], order: int = ORDER, backoff: float = BA
             x = 0.0
             for n in range(min(order, i + 1), 0, -1):
                 gram = tuple(w[i - n + 1 : i + 1])
-                have = everywhere[gram] - mine[gram]
-                base = everywhere[gram[:-1]] - mine[gram[:-1]] if n > 1 else total - len(w)
+                have = everywhere[gram] - leave_out * mine[gram]
+                base = everywhere[gram[:-1]] - leave_out * mine[gram[:-1]] if n > 1 else total - leave_out * len(w)
                 if have > 0 and base > 0:
                     x += math.log(have / max(1, base))
                     break
                 if n > 1:
                     x += math.log(backoff)
             else:
-                x += math.log(0.5 / max(1, total - len(w)))
+                x += math.log(0.5 / max(1, total - leave_out * len(w)))
             s += x
         out.append((len(w), s))
     return out
