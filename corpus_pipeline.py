@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, langid, line_dedup, mixing, ngram_join
 from docloom.llm.frames import fresh, table
-from docloom.llm.scratch import Scratch
+from docloom.llm.scratch import Scratch, scope
 from docloom.session import ship
 
 #: Mean probability of its own language below which a document is rejected.
@@ -30,24 +29,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines from texts, and the documents of which nothing else is left; n_chars follows the text."""
+    """Drops recurring lines from texts; n_chars follows the text. A document made of nothing else stays whole: the next stage keeps one of its copies."""
     ship(spark)
-    out, lines, dropped = line_dedup.strip(docs)
-    out = out.where((F.col(lines) == 0) | (F.col(dropped) < F.col(lines))).drop(lines, dropped)
+    out, lines, dropped = line_dedup.strip(docs.withColumn(whole := fresh(docs, "whole_text"), F.col("text")))
+    left = F.when((F.col(lines) > 0) & (F.col(dropped) == F.col(lines)), F.col(whole)).otherwise(F.col("text"))
+    out = out.withColumn("text", left.cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one of smallest id, once (by hash, of rows that share it); documents without id stay."""
+    """Keeps of each group of linked documents the one of smallest id, once (by hash, of rows that share it); documents without id stay.
+
+    Which rows stay is settled on ids and hashes; texts move once, to a semi join that can be split by key.
+    """
     ship(spark)
     found = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    key, place = fresh(docs, "kept_id"), fresh(docs, "kept_place")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    one = docs.where("doc_id IS NOT NULL").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
-    kept = one.join(found.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    print_ = F.xxhash64(*docs.columns)
+    rows = docs.where("doc_id IS NOT NULL").groupBy("doc_id", print_.alias("print")).agg(F.count("*").alias("n"))
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("print", "n")).alias("x")).select("doc_id", "x.print", "x.n")
+    key, print_key = fresh(docs, "kept_id"), fresh(docs, "kept_print")
+    kept = first.join(found, "doc_id", "left_semi").select(F.col("doc_id").alias(key), F.col("print").alias(print_key), "n")
+    same = (F.col("doc_id") == F.col(key)) & (print_ == F.col(print_key))
+    once, repeated = docs.join(kept.where("n = 1"), same, "left_semi"), docs.join(kept.where("n > 1"), same, "left_semi")
+    return once.unionByName(repeated.dropDuplicates()).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +85,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.table(name, stage(spark, docs, sf_dir))
+        with scope():  # the tables of the stage's operator go as soon as its result is written
+            docs = scratch.table(name, stage(spark, docs, sf_dir))
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs

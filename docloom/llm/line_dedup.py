@@ -1,43 +1,51 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line's tokens are its lower-cased words; a token with a digit is a variable field. The tree has a
-level for the number of tokens and one for each of the first `DEPTH` tokens; its leaves hold
-templates. In a leaf, lines that agree with a template in at least `SIMILAR` of their positions join
-it, and the positions where they differ become variable. A template that stands in at least
-`min_docs` documents of different text is recurring: its lines are dropped from every document but
-the one of smallest id, which keeps them. Documents of the same lines of words count as one, so a pair
-of copies does not make its own lines recurring; documents that differ in digits only are different.
+level for the number of tokens and one for each of the first `DEPTH` tokens. In a leaf, the tokens
+that fewest of its distinct lines have in their place are generalised first: a line's templates are
+itself and, for each k, itself with its k rarest tokens as variable fields (of equal ones the first),
+while at least `SIMILAR` of its places keep their token. So lines that differ in few fields meet in
+the template that masks just these. A template that stands in at least `min_docs` documents of
+different text is recurring, and its lines are dropped from all documents. Documents of the same lines
+of words count as one, so a pair of copies does not make its own lines recurring; documents that
+differ in digits only are different. The rule depends on no order and on no size of a part.
 
 The texts are read, not gathered: a pass takes the hashes of each document's lines, counts go by
-template with partial sums, and only leaves that hold several distinct templates send the token
-hashes of those, each once. A leaf of very many is clustered in salted parts first and then by the
-parts' templates. Lines to drop come back by document and meet the texts in one join.
+template with partial sums, and only leaves that hold several distinct lines send the token hashes
+of those, each once. Leaves are dealt to tasks; one of more than `part` distinct lines is counted by
+place and token in relations instead. Lines to drop come back by text and meet the texts in one join.
 
 Defined results: null texts stay null and have no lines; lines without words and lines of fewer
-than `min_tokens` tokens are never dropped; rows that share an id share the lines that go; among
-equal lines of one document all go or all stay; a null id is a document of its own, never the one
-that keeps a line unless no other has it; an empty table gives no rows; other columns are kept.
+than `min_tokens` tokens are never dropped; of equal lines all go or all stay; ids are carried and
+decide nothing, so rows that share one, or have none, are documents of their own; a very long text or
+line is handled alone; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.frames import fresh, map_texts, pick
-from docloom.llm.ngram_join import Union
 from docloom.llm.scratch import Scratch
 from docloom.llm.words import U64, Words, mix, string_bytes
 
 #: Leading tokens of the tree, share of equal positions, documents of a recurring template, tokens of a line that may go.
 DEPTH, SIMILAR, MIN_DOCS, MIN_TOKENS = 3, 0.8, 3, 3
-#: Distinct lines of a leaf that are clustered together, and bits of the filter of leaves for each of them.
-PART, BITS = 4096, 16
+#: Distinct lines of a leaf that one task takes, and bits of the filter of leaves for each of them.
+PART, BITS = 1 << 15, 16
 FIELD = U64(0xA5A5A5A5A5A5A5A5)  # the variable field
 
 
+def _placed(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of tokens at their places; a line's template is mixed from their sum and number."""
+    return mix(tokens + U64(0x9E3779B97F4A7C15) * (place + 1).astype(U64))
+
+
 class Lines:
     """Lines of texts: masked token hashes, and for each line with words its text, number in it, template, leaf and hash of its words as they are."""
 
@@ -55,9 +63,9 @@ class Lines:
         self.doc = doc[new]
         self.line = line[new] - np.searchsorted(breaks, off[:-1])[self.doc]
         place = np.arange(len(line)) - np.repeat(new, self.count)
-        at = mix(self.tokens + U64(0x9E3779B97F4A7C15) * (place + 1).astype(U64))
+        at = _placed(self.tokens, place)
         self.template = mix(np.add.reduceat(at, new) + self.count.astype(U64)) if len(new) else np.zeros(0, U64)
-        as_is = mix(w.hash + U64(0x9E3779B97F4A7C15) * (place + 1).astype(U64))
+        as_is = _placed(w.hash, place)
         self.plain = mix(np.add.reduceat(as_is, new) + self.count.astype(U64)) if len(new) else np.zeros(0, U64)
         lead = np.add.reduceat(np.where(place < DEPTH, at, U64(0)), new) if len(new) else np.zeros(0, U64)
         self.leaf = mix(lead ^ (self.count.astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
@@ -76,7 +84,7 @@ def _measure(min_tokens: int):
             keep = np.flatnonzero(x.count[s:e] >= min_tokens) + s
             _, one = np.unique(x.template[keep], return_index=True)
             rows.append([{"template": t, "leaf": v} for t, v in zip(x.template[keep[one]].view(np.int64).tolist(), x.leaf[keep[one]].view(np.int64).tolist(), strict=True)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(rows, kind)], names=["doc_id", "print", "lines"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(rows, kind)], names=["key", "print", "lines"])
 
     return run
 
@@ -94,53 +102,115 @@ def _leaf_lines(bits, min_tokens: int):
     return run
 
 
-def cluster(lines: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each line (row of token hashes) the number of its template, and the templates with their fields."""
-    patterns = np.empty_like(lines)
-    of, n = np.zeros(len(lines), np.int64), 0
-    for i, row in enumerate(lines):
-        if n:
-            same = (patterns[:n] == row).mean(axis=1)
-            best = int(same.argmax())
-            if same[best] >= similar:
-                patterns[best] = np.where(patterns[best] == row, row, FIELD)
-                of[i] = best
-                continue
-        patterns[n], of[i] = row, n
-        n += 1
-    return of, patterns[:n]
+def allowed(n: int, similar: float) -> int:
+    """Places of a line of n tokens that may be generalised."""
+    return min(max(0, n - DEPTH), n - math.ceil(similar * n - 1e-9))
+
+
+def templates(tokens: np.ndarray, often: np.ndarray, similar: float) -> np.ndarray:
+    """For each line (row of token hashes) its templates with 0, 1, 2, ... of its rarest tokens masked; often: lines that have the token in its place."""
+    place = np.arange(tokens.shape[1])
+    at, field = _placed(tokens, place), _placed(np.full(len(place), FIELD), place)
+    rare = np.where((tokens == FIELD) | (place < DEPTH), np.iinfo(np.int64).max, often)
+    order = np.argsort(rare, axis=1, kind="stable")[:, : allowed(tokens.shape[1], similar)]
+    change = np.where(np.take_along_axis(rare, order, axis=1) < np.iinfo(np.int64).max, field[order] - np.take_along_axis(at, order, axis=1), U64(0))
+    change = np.concatenate((at.sum(axis=1, dtype=U64)[:, None] + U64(tokens.shape[1]), change), axis=1)
+    return mix(np.cumsum(change, axis=1, dtype=U64))
 
 
-_GROUPS = pa.schema([("leaf", pa.int64()), ("template", pa.int64()), ("group", pa.int64()), ("tokens", pa.binary())])
+def _often(tokens: np.ndarray) -> np.ndarray:
+    """How many of the lines have each token in its place."""
+    out = np.empty(tokens.shape, np.int64)
+    for j in range(DEPTH, tokens.shape[1]):
+        _, of, n = np.unique(tokens[:, j], return_inverse=True, return_counts=True)
+        out[:, j] = n[of]
+    return out
+
+
+_GROUPS = pa.schema([("template", pa.int64()), ("group", pa.int64())])
 
 
-def _cluster_leaf(similar: float):
+def _leaf_groups(similar: float):
+    """Lines of whole leaves (leaf, template, tokens) to (template, group): a group for each set of lines that share a masked template."""
+
     def run(table: pa.Table) -> pa.Table:
-        """Rows (leaf, template, tokens) of some leaves; each template gets the smallest of its group, with the group's tokens."""
         leaf, template = np.array(table["leaf"]), np.array(table["template"])
         size = np.array([len(v.as_buffer()) for v in table["tokens"]])
         order = np.lexsort((template, size, leaf))
         edge = np.concatenate(([0], np.flatnonzero((np.diff(leaf[order]) != 0) | (np.diff(size[order]) != 0)) + 1, [len(order)]))
-        out = ([], [], [], [])
+        out = ([], [])
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             rows = order[s:e]
-            lines = np.stack([np.frombuffer(table["tokens"][int(r)].as_buffer(), U64) for r in rows])
-            of, patterns = cluster(lines, similar)
-            _, first = np.unique(of, return_index=True)  # rows are in order of template
-            for o, x in zip(out, (leaf[rows], template[rows], template[rows][first][of], [patterns[k].tobytes() for k in of]), strict=True):
-                o.extend(x)
-        return pa.table([pa.array(o, f.type) for o, f in zip(out, _GROUPS, strict=True)], schema=_GROUPS)
+            if e - s < 2 or not allowed(int(size[rows[0]]) // 8, similar):
+                continue
+            tokens = np.stack([np.frombuffer(table["tokens"][int(r)].as_buffer(), U64) for r in rows])
+            masked = templates(tokens, _often(tokens), similar)
+            line = np.repeat(np.arange(e - s), masked.shape[1])
+            at = np.lexsort((line, masked.ravel()))
+            key, line = masked.ravel()[at], line[at]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
+            key, line = key[new], line[new]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            shared = np.diff(np.append(first, len(key))) > 1
+            members = np.bitwise_xor.reduceat(template[rows][line], first)  # names the set of lines
+            keep = np.repeat(shared, np.diff(np.append(first, len(key))))
+            both = np.unique(np.stack([template[rows][line], np.repeat(members, np.diff(np.append(first, len(key))))])[:, keep], axis=1)
+            out[0].append(both[0])
+            out[1].append(both[1])
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], schema=_GROUPS)
+
+    return run
+
+
+def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Lines to a row for each token after the leading ones, with a key of leaf, place and token."""
+    size = np.array([len(v.as_buffer()) // 8 for v in batch.column(2)])
+    line = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+    tokens = np.frombuffer(b"".join(v.as_py() for v in batch.column(2)), U64)
+    some = place >= DEPTH
+    line, place, tokens = line[some], place[some], tokens[some]
+    key = mix(_placed(tokens, place) ^ mix(np.array(batch.column(0)).view(U64)[line]))
+    return pa.RecordBatch.from_arrays([pa.array(np.array(batch.column(1))[line]), pa.array(place.astype(np.int32)), pa.array(key.view(np.int64))], names=["template", "place", "key"])
+
+
+def _masked(similar: float):
+    """Lines with the counts of their tokens (template, tokens, places, counts) to their masked templates."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for raw, places, counts in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            tokens = np.frombuffer(raw.as_buffer(), U64)[None]
+            often = np.empty(tokens.shape, np.int64)
+            often[0, np.array(places.values)] = np.array(counts.values)
+            out.append(np.unique(templates(tokens, often, similar)[0]).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["template", "masked"])
 
     return run
 
 
+def _each(fn):
+    return lambda batches: (fn(b) for b in batches if b.num_rows)
+
+
+def _wide_groups(lines: DataFrame, similar: float) -> DataFrame:
+    """What _leaf_groups() finds, of leaves of any size (leaf, template, tokens): tokens are counted by leaf and place, with partial sums."""
+    each = lines.select("leaf", "template", "tokens").mapInArrow(_each(_places), "template long, place int, key long")
+    counts = each.groupBy("key").agg(F.count("*").alias("n"))
+    per = each.join(counts, "key").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("x"))
+    per = lines.join(per, "template").select("template", "tokens", F.col("x.place").alias("places"), F.col("x.n").alias("counts"))
+    masked = per.mapInArrow(_each(_masked(similar)), "template long, masked array<long>").select("template", F.explode("masked").alias("masked"))
+    shared = masked.groupBy("masked").agg(F.bit_xor("template").alias("group"), F.count("*").alias("n")).where("n > 1").select("masked", "group")
+    return masked.join(shared, "masked").select("template", "group").distinct()
+
+
 def recurring(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, part: int = PART) -> DataFrame:
-    """doc_id (null: all rows without id), templates: those of its lines that go. Columns of docs: doc_id, text."""
+    """key, templates: of the texts that have lines that go, these. Columns of docs: key, text; equal texts have equal keys."""
     spark = docs.sparkSession
-    seen = scratch.table("lines", map_texts(docs, "text", _measure(min_tokens), "doc_id long, print long, lines array<struct<template:bigint,leaf:bigint>>"))
-    rows = seen.select("doc_id", "print", F.explode("lines").alias("x")).select("doc_id", "print", "x.template", "x.leaf")
-    # leaves with several templates
-    leaves = scratch.table("leaves", rows.select("leaf", "template").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
+    seen = scratch.table("lines", map_texts(docs, "text", _measure(min_tokens), "key long, print long, lines array<struct<template:bigint,leaf:bigint>>"))
+    rows = seen.select("key", "print", F.explode("lines").alias("x")).select("key", "print", "x.template", "x.leaf")
+    # leaves with several distinct lines
+    leaves = scratch.table("leaves", rows.select("leaf", "template").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), few=True)
     size = 1 << max(18, min(28, (BITS * leaves.count()).bit_length()))
     unsigned = F.when(F.col("leaf") >= 0, F.col("leaf") % size).otherwise(F.pmod(F.col("leaf") % size, F.lit(size)))  # size divides 2**64
     marks = leaves.select((unsigned + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
@@ -148,25 +218,20 @@ def recurring(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, min_t
     for r in marks.collect():  # at most 2**28 bits, in pieces of 4 KB
         bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
     found = map_texts(docs.select("text"), "text", _leaf_lines(spark.sparkContext.broadcast(bits), min_tokens), "leaf long, template long, tokens binary")
-    found = scratch.table("found", found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens")))
-    found = found.join(leaves, "leaf").withColumn("salt", F.pmod(F.xxhash64("template"), F.ceil(F.col("n") / F.lit(part)).cast("long")))
-    # parts of leaves are dealt to tasks by hash; the second round sees one row for each template that the first made
-    ddl = "leaf long, template long, group long, tokens binary"
-    tasks = max(8, leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n // (8 * part))
-    one = found.select(F.xxhash64("leaf", "salt").alias("leaf"), "template", "tokens", F.col("leaf").alias("real"))
-    first = one.select("leaf", "template", "tokens").withColumn("task", F.pmod("leaf", F.lit(tasks))).groupBy("task").applyInArrow(_drop_task(_cluster_leaf(similar)), ddl)
-    first = scratch.table("first", first.select("template", "group", "tokens"))
-    real = found.select("template", "leaf")
-    second = first.where("template = group").select("template", "tokens").join(real, "template").withColumn("task", F.pmod("leaf", F.lit(tasks)))
-    second = second.select("leaf", "template", "tokens", "task").groupBy("task").applyInArrow(_drop_task(_cluster_leaf(similar)), ddl)
-    groups = first.select("template", F.col("group").alias("part")).join(second.select(F.col("template").alias("part"), "group"), "part").where("template <> group").select("template", "group")
-    groups = scratch.table("groups", groups)
-    named = rows.select("doc_id", "print", "template").join(groups, "template", "left").withColumn("group", F.coalesce("group", "template"))
-    named = named.select("doc_id", "print", "template", "group")
-    often = named.select("group", "print").distinct().groupBy("group").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    keeper = named.groupBy("group").agg(F.min("doc_id").alias("keeper"))
-    gone = scratch.table("gone", often.join(keeper, "group").select("group", "keeper"))
-    return named.join(gone, "group").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set("template").alias("templates"))
+    found = found.groupBy("leaf", "template").agg(F.first("tokens").alias("tokens")).join(leaves, "leaf")
+    found = scratch.table("found", found)
+    # whole leaves are dealt to tasks by hash; larger ones go by place and token
+    tasks = max(8, leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n // part)
+    small = found.where(F.col("n") <= part).select("leaf", "template", "tokens", F.pmod("leaf", F.lit(tasks)).cast("int").alias("task"))
+    groups = small.repartitionById(tasks, "task").groupBy("task").applyInArrow(_drop_task(_leaf_groups(similar)), "template long, group long")
+    if not leaves.where(F.col("n") > part).isEmpty():
+        groups = groups.unionByName(_wide_groups(found.where(F.col("n") > part), similar))
+    groups = scratch.table("groups", groups, few=True)
+    plain = rows.select("key", "print", "template")
+    named = plain.withColumn("group", F.col("template")).unionByName(plain.join(groups, "template").select("key", "print", "template", "group"))
+    often = scratch.table("often", named.select("group", "print").distinct().groupBy("group").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("group"), few=True)
+    gone = often.select(F.col("group").alias("template")).unionByName(groups.join(often, "group").select("template")).distinct()
+    return rows.select("key", "template").join(scratch.table("gone", gone, few=True), "template").groupBy("key").agg(F.collect_set("template").alias("templates"))
 
 
 def _drop_task(fn):
@@ -190,13 +255,14 @@ def _strip(batch: pa.RecordBatch, text: str, gone: str) -> tuple[pa.Array, list[
     return pa.array(values, col.type), lines, dropped
 
 
-def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> tuple[DataFrame, str, str]:
+def strip(docs: DataFrame, text: str = "text", **more) -> tuple[DataFrame, str, str]:
     """All columns of docs with the recurring lines gone from text, and two more: lines with words, and lines dropped; and their names."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    gone = recurring(pick(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), scratch, **more)
-    key, lists, n_lines, n_dropped = (fresh(docs, c) for c in ("dedup_id", "dedup_gone", "n_lines", "n_dropped"))
-    gone = gone.select(F.col("doc_id").alias(key), F.col("templates").alias(lists))
-    both = docs.join(gone, docs[f"`{doc_id}`"].cast("bigint").eqNullSafe(F.col(key)), "left").drop(key)
+    by_text = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    gone = recurring(docs.select(by_text.alias("key"), F.col(f"`{text}`").cast("string").alias("text")), scratch, **more)
+    key, lists, n_lines, n_dropped = (fresh(docs, c) for c in ("dedup_key", "dedup_gone", "n_lines", "n_dropped"))
+    gone = gone.select(F.col("key").alias(key), F.col("templates").alias(lists))
+    both = docs.join(gone, by_text == F.col(key), "left").drop(key)
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -225,25 +291,26 @@ def brute_force(rows: list[tuple], min_docs: int = MIN_DOCS, min_tokens: int = M
         return tuple("<*>" if re.search("[0-9]", w) else w for w in words(line))
 
     docs = [(d, t, [tokens(x) for x in t.split("\n")] if t is not None else []) for d, t in rows]
-    distinct = sorted({x for _, _, ls in docs for x in ls if len(x) >= min_tokens})
-    u = Union(len(distinct))
-    for i, a in enumerate(distinct):  # agreement of lines, closed transitively: equals clustering where groups are well apart
-        for j in range(i):
-            b = distinct[j]
-            if len(a) == len(b) and a[:DEPTH] == b[:DEPTH] and sum(p == q for p, q in zip(a, b, strict=True)) >= similar * len(a):
-                u.join(i, j)
-    group = {x: u.find(i) for i, x in enumerate(distinct)}
-    texts: dict[int, set] = {}
-    ids: dict[int, set] = {}
-    for d, t, ls in docs:
+    leaves: dict[tuple, set] = {}
+    for _, _, ls in docs:
+        for x in ls:
+            if len(x) >= min_tokens:
+                leaves.setdefault((len(x), x[:DEPTH]), set()).add(x)
+    of: dict[tuple, set] = {}
+    for same in leaves.values():
+        for x in same:
+            spots = [i for i in range(DEPTH, len(x)) if x[i] != "<*>"]
+            spots.sort(key=lambda i, x=x: (sum(y[i] == x[i] for y in same), i))
+            hidden = [set(spots[:k]) for k in range(min(len(spots), allowed(len(x), similar)) + 1)]
+            of[x] = {tuple("<*>" if i in h else w for i, w in enumerate(x)) for h in hidden}
+    texts: dict[tuple, set] = {}
+    for _, t, ls in docs:
         text = tuple(y for y in map(words, (t or "").split("\n")) if y)
         for x in ls:
-            if x in group:
-                texts.setdefault(group[x], set()).add(text)
-                ids.setdefault(group[x], set()).add(d)
-    keeper = {g: min((d for d in v if d is not None), default=None) for g, v in ids.items()}
+            for g in of.get(x, ()):
+                texts.setdefault(g, set()).add(text)
     out = []
-    for d, t, ls in docs:
-        gone = {k for k, x in enumerate(ls) if x in group and len(texts[group[x]]) >= min_docs and keeper[group[x]] != d}
-        out.append((sum(bool(x) for x in ls), len(gone), t if t is None else "\n".join(v for k, v in enumerate(t.split("\n")) if k not in gone)))
+    for _, t, ls in docs:
+        gone = {i for i, x in enumerate(ls) if any(len(texts[g]) >= min_docs for g in of.get(x, ()))}
+        out.append((sum(bool(x) for x in ls), len(gone), t if t is None else "\n".join(v for i, v in enumerate(t.split("\n")) if i not in gone)))
     return out

@@ -16,7 +16,7 @@ def brute_force(spark, sf):
     lang = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     rows = {r.doc_id: r for r in docs.collect() if lang[r.doc_id].lang_pred != "und" and lang[r.doc_id].score >= pipeline.MIN_LANGUAGE}
     stripped = zip(rows, line_dedup.brute_force([(d, r.text) for d, r in rows.items()]), strict=True)
-    texts = {d: t for d, (n, k, t) in stripped if n == 0 or k < n}
+    texts = {d: rows[d].text if n == k else t for d, (n, k, t) in stripped}
     comp = ngram_join.brute_force(list(texts.items()))
     texts = {d: t for d, t in texts.items() if comp[d][1] == d}
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
