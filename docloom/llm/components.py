@@ -16,21 +16,21 @@ from docloom.llm.scratch import Scratch
 
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """links: columns a, b (long). Returns node, component: the smallest node reachable; a row for each node with a link to another."""
-    edges = scratch.table(f"{name}-e0", links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = scratch.table(f"{name}-e0", links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), few=True)
     label, r = None, 0
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*")
         rank = lambda c: F.struct(F.xxhash64(F.lit(r), c).alias("h"), c.alias("id"))
         step = ends.groupBy("u").agg(F.min(rank(F.col("v"))).alias("m")).select("u", F.least("m", rank(F.col("u")))["id"].alias("p"))
-        step = scratch.table(f"{name}-p{r}", step)
+        step = scratch.table(f"{name}-p{r}", step, few=True)
         pa, pb = step.select(F.col("u").alias("a"), F.col("p").alias("pa")), step.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         new = edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        nxt = scratch.table(f"{name}-e{r + 1}", new)
+        nxt = scratch.table(f"{name}-e{r + 1}", new, few=True)
         if label is None:
             label = step.select(F.col("u").alias("node"), F.col("p").alias("label"))
         else:
             label = label.join(step.select(F.col("u").alias("label"), "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
-            label = scratch.table(f"{name}-l{r}", label)
+            label = scratch.table(f"{name}-l{r}", label, few=True)
         scratch.drop(f"{name}-e{r}")
         edges, r = nxt, r + 1
     if label is None:

@@ -11,7 +11,7 @@ of the partners expected to share l of it. Texts that share passages with many o
 Steps, each a map or a shuffle of evenly dealt blocks, never of all documents of one shingle as rows:
 1. One pass over the texts: set sizes and fingerprints, and counts of locally repeated shingles,
    which add up to a table of fixed size that estimates frequency. It only sets the order.
-2. Prefixes go to buckets by shingle, packed, as 32 further bits of it (a clash only adds a candidate). In a bucket, the documents of one shingle whose sizes
+2. Prefixes go to buckets by shingle, each a partition, packed, as 32 further bits of it (a clash only adds a candidate). In a bucket, the documents of one shingle whose sizes
    allow a partner are tied to one of them, the pivot: rows are linear in the prefixes, whatever the
    group. Documents with fewer shared prefix shingles than any partner asks for are dropped.
 3. Pivots gather their documents' sets, in blocks of bounded size (every two blocks of a large group
@@ -384,28 +384,28 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     table = np.zeros(slots, np.int64)
     common = first.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()  # at most `slots` rows
     table[np.array(common["slot"])] = np.array(common["count"])
-    shared = spark.sparkContext.broadcast(Order(table.astype(np.int32), percent, multi))
+    shared = spark.sparkContext.broadcast(Order(np.minimum(table, np.iinfo(np.int32).max).astype(np.int32), percent, multi))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     classes = sizes.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
 
     buckets = max(8, total // (3 * BUCKET))
     packed = docs.mapInArrow(_prefixes(k, shared, buckets), "bucket int, n int, docs binary, tokens binary")
-    ties = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pivots(percent), "p long, c long, n long, shared long, least long")
-    ties = scratch.table("ties", ties.groupBy("p", "c").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("least").alias("least")))
+    ties = packed.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_pivots(percent), "p long, c long, n long, shared long, least long")
+    ties = scratch.table("ties", ties.groupBy("p", "c").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("least").alias("least")), few=True)
     for r in range(ROUNDS):  # fewer shared shingles, over all its pivots, than any partner asks for; then pivots left alone
         enough = ties.groupBy("c").agg(F.sum("shared").alias("s"), F.min("least").alias("m")).where("s >= m").select("c")
         ties = ties.join(enough, "c")
-        ties = scratch.table(f"ties{r}", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p"), "p"))
+        ties = scratch.table(f"ties{r}", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")).where("m > 1").select("p"), "p"), few=True)
         scratch.drop("ties" if not r else f"ties{r - 1}")
-    sized = scratch.table("sized", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")), "p"))
+    sized = scratch.table("sized", ties.join(ties.groupBy("p").agg(F.count("*").alias("m")), "p"), few=True)
     scratch.drop(f"ties{ROUNDS - 1}")
-    ties = scratch.table("kept", candidates(sized, percent))
+    ties = scratch.table("kept", candidates(sized, percent), few=True)
     ties = ties.select("p", "c").join(classes.select(F.col("f1").alias("c"), "n", "rep"), "c")
     groups = ties.groupBy("p").agg(F.sum("n").alias("grams"))
     blocks = F.ceil(F.col("grams") / F.lit(group)).cast("int")
     ties = ties.join(groups.select("p", blocks.alias("blocks")), "p").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     ties = ties.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = scratch.table("members", ties.select("p", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", (F.col("p") == F.col("c")).alias("is_pivot"), F.col("rep").alias("doc_id"), F.col("n").alias("grams_n")))
+    members = scratch.table("members", ties.select("p", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", (F.col("p") == F.col("c")).alias("is_pivot"), F.col("rep").alias("doc_id"), F.col("n").alias("grams_n")), few=True)
     scratch.drop("sized", "kept")
 
     wanted = members.select("doc_id").distinct()
@@ -420,11 +420,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     todo = members.agg(F.coalesce(F.sum("grams_n"), F.lit(0)).alias("n")).first().n
     tasks = max(8, todo // task)
     dealt = members.join(sets, "doc_id").withColumn("task", F.pmod(F.xxhash64("p", "i", "j"), F.lit(tasks)).cast("int"))
-    links = scratch.table("links", dealt.select("task", "p", "i", "j", "side", "is_pivot", "doc_id", "l", "prefix", "grams", "flags").repartition(tasks, "task").groupBy("task").applyInArrow(_verify(percent), "a long, b long"))
+    links = scratch.table("links", dealt.select("task", "p", "i", "j", "side", "is_pivot", "doc_id", "l", "prefix", "grams", "flags").repartitionById(tasks, "task").groupBy("task").applyInArrow(_verify(percent), "a long, b long"))
     scratch.drop("members")
     found = components(links, scratch)
     # written, so that the join below has nothing but exchanges under it and a large group of copies can be split
-    named = scratch.table("named", classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component")))
+    named = scratch.table("named", classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component")), few=True)
     same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")) & F.col("doc_id").isNotNull()
     return sizes.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
