@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,24 +108,29 @@ def allowed(n: int, similar: float) -> int:
     return min(max(0, n - DEPTH), n - math.ceil(similar * n - 1e-9))
 
 
-def templates(tokens: np.ndarray, often: np.ndarray, similar: float) -> np.ndarray:
-    """For each line (row of token hashes) its templates with 0, 1, 2, ... of its rarest tokens masked; often: lines that have the token in its place."""
-    place = np.arange(tokens.shape[1])
-    at, field = _placed(tokens, place), _placed(np.full(len(place), FIELD), place)
-    rare = np.where((tokens == FIELD) | (place < DEPTH), np.iinfo(np.int64).max, often)
-    order = np.argsort(rare, axis=1, kind="stable")[:, : allowed(tokens.shape[1], similar)]
-    change = np.where(np.take_along_axis(rare, order, axis=1) < np.iinfo(np.int64).max, field[order] - np.take_along_axis(at, order, axis=1), U64(0))
-    change = np.concatenate((at.sum(axis=1, dtype=U64)[:, None] + U64(tokens.shape[1]), change), axis=1)
-    return mix(np.cumsum(change, axis=1, dtype=U64))
-
-
-def _often(tokens: np.ndarray) -> np.ndarray:
-    """How many of the lines have each token in its place."""
-    out = np.empty(tokens.shape, np.int64)
-    for j in range(DEPTH, tokens.shape[1]):
-        _, of, n = np.unique(tokens[:, j], return_inverse=True, return_counts=True)
-        out[:, j] = n[of]
-    return out
+def _flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of packed lines, one after another, with their line and place."""
+    size = np.array(pc.binary_length(col), np.int64) // 8
+    line = np.repeat(np.arange(len(size)), size)
+    return np.frombuffer(b"".join(v.as_py() for v in col), U64), line, np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def templates(tokens: np.ndarray, line: np.ndarray, place: np.ndarray, often: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Line and template, for each line with 0, 1, 2, ... of its rarest tokens masked; often: lines of the leaf that have the token in its place."""
+    at = _placed(tokens, place)
+    size = np.bincount(line)
+    start = np.cumsum(size) - size
+    top = np.iinfo(np.int64).max
+    rare = np.where((tokens == FIELD) | (place < DEPTH), top, often)
+    order = np.lexsort((place, rare, line))  # a line's tokens stay in its stretch
+    most = np.array([allowed(int(n), similar) for n in range(int(size.max(initial=0)) + 1)])[size]
+    masked = (place < most[line]) & (rare[order] < top)
+    change = np.where(masked, _placed(np.full(len(place), FIELD), place[order]) - at[order], U64(0))
+    change[start] += np.add.reduceat(at, start) + size.astype(U64)
+    total = np.cumsum(change, dtype=U64)
+    before = np.concatenate(([U64(0)], total))[start]
+    plain = mix(np.add.reduceat(at, start) + size.astype(U64))
+    return np.concatenate((np.arange(len(size)), line[masked])), np.concatenate((plain, mix(total - before[line])[masked]))
 
 
 _GROUPS = pa.schema([("template", pa.int64()), ("group", pa.int64())])
@@ -134,40 +140,27 @@ def _leaf_groups(similar: float):
     """Lines of whole leaves (leaf, template, tokens) to (template, group): a group for each set of lines that share a masked template."""
 
     def run(table: pa.Table) -> pa.Table:
-        leaf, template = np.array(table["leaf"]), np.array(table["template"])
-        size = np.array([len(v.as_buffer()) for v in table["tokens"]])
-        order = np.lexsort((template, size, leaf))
-        edge = np.concatenate(([0], np.flatnonzero((np.diff(leaf[order]) != 0) | (np.diff(size[order]) != 0)) + 1, [len(order)]))
-        out = ([], [])
-        for s, e in zip(edge[:-1], edge[1:], strict=True):
-            rows = order[s:e]
-            if e - s < 2 or not allowed(int(size[rows[0]]) // 8, similar):
-                continue
-            tokens = np.stack([np.frombuffer(table["tokens"][int(r)].as_buffer(), U64) for r in rows])
-            masked = templates(tokens, _often(tokens), similar)
-            line = np.repeat(np.arange(e - s), masked.shape[1])
-            at = np.lexsort((line, masked.ravel()))
-            key, line = masked.ravel()[at], line[at]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
-            key, line = key[new], line[new]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            shared = np.diff(np.append(first, len(key))) > 1
-            members = np.bitwise_xor.reduceat(template[rows][line], first)  # names the set of lines
-            keep = np.repeat(shared, np.diff(np.append(first, len(key))))
-            both = np.unique(np.stack([template[rows][line], np.repeat(members, np.diff(np.append(first, len(key))))])[:, keep], axis=1)
-            out[0].append(both[0])
-            out[1].append(both[1])
-        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], schema=_GROUPS)
+        template = np.array(table["template"])
+        tokens, line, place = _flat(table["tokens"])
+        _, of, n = np.unique(_placed(tokens, place) ^ mix(np.array(table["leaf"]).view(U64))[line], return_inverse=True, return_counts=True)
+        line, masked = templates(tokens, line, place, n[of], similar)
+        order = np.lexsort((line, masked))
+        line, masked = line[order], masked[order]
+        first = np.flatnonzero(np.concatenate(([True], masked[1:] != masked[:-1])))
+        count = np.diff(np.append(first, len(masked)))
+        members = np.repeat(np.bitwise_xor.reduceat(template[line], first), count)  # names the set of lines
+        shared = np.repeat(count, count) > 1
+        both = np.stack([template[line[shared]], members[shared]])
+        both = both[:, np.lexsort(both)]
+        new = np.concatenate(([True], (both[:, 1:] != both[:, :-1]).any(axis=0))) if both.shape[1] else np.zeros(0, bool)
+        return pa.table([pa.array(x[new]) for x in both], schema=_GROUPS)
 
     return run
 
 
 def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Lines to a row for each token after the leading ones, with a key of leaf, place and token."""
-    size = np.array([len(v.as_buffer()) // 8 for v in batch.column(2)])
-    line = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-    tokens = np.frombuffer(b"".join(v.as_py() for v in batch.column(2)), U64)
+    tokens, line, place = _flat(batch.column(2))
     some = place >= DEPTH
     line, place, tokens = line[some], place[some], tokens[some]
     key = mix(_placed(tokens, place) ^ mix(np.array(batch.column(0)).view(U64)[line]))
@@ -175,16 +168,14 @@ def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _masked(similar: float):
-    """Lines with the counts of their tokens (template, tokens, places, counts) to their masked templates."""
+    """Lines with the counts of their tokens after the leading ones (template, tokens, counts) to their masked templates."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for raw, places, counts in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-            tokens = np.frombuffer(raw.as_buffer(), U64)[None]
-            often = np.empty(tokens.shape, np.int64)
-            often[0, np.array(places.values)] = np.array(counts.values)
-            out.append(np.unique(templates(tokens, often, similar)[0]).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["template", "masked"])
+        tokens, line, place = _flat(batch.column(1))
+        often = np.zeros(len(tokens), np.int64)
+        often[place >= DEPTH] = np.array(batch.column(2).flatten())  # in order of place
+        line, masked = templates(tokens, line, place, often, similar)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(batch.column(0))[line]), pa.array(masked.view(np.int64))], names=["template", "masked"])
 
     return run
 
@@ -198,8 +189,8 @@ def _wide_groups(lines: DataFrame, similar: float) -> DataFrame:
     each = lines.select("leaf", "template", "tokens").mapInArrow(_each(_places), "template long, place int, key long")
     counts = each.groupBy("key").agg(F.count("*").alias("n"))
     per = each.join(counts, "key").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("x"))
-    per = lines.join(per, "template").select("template", "tokens", F.col("x.place").alias("places"), F.col("x.n").alias("counts"))
-    masked = per.mapInArrow(_each(_masked(similar)), "template long, masked array<long>").select("template", F.explode("masked").alias("masked"))
+    per = lines.join(per, "template").select("template", "tokens", F.col("x.n").alias("counts"))
+    masked = per.mapInArrow(_each(_masked(similar)), "template long, masked long")
     shared = masked.groupBy("masked").agg(F.bit_xor("template").alias("group"), F.count("*").alias("n")).where("n > 1").select("masked", "group")
     return masked.join(shared, "masked").select("template", "group").distinct()
 
