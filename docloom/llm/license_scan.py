@@ -1,15 +1,16 @@
 """License scans by ordered signature rules.
 
-A text becomes its lower-cased words joined by single spaces. Some hundreds of regexes, written as
-a table of license names times sentence forms, are gated by keywords: a rule runs on a text only
-if all its keywords are among the text's words, and a text with none of the anchor words is not
-scanned at all. Detections are intervals of words. Where they overlap, priority and containment
-decide: a detection inside another of at least its priority is suppressed; of equal intervals the
-one of higher priority stays, then the earlier rule. Base phrases are rules of the highest
-priority that nothing suppresses.
-
-Defined results: null and empty texts have no words, no detection and score 0; repeated rows give
-one row each; other columns are ignored, whatever their names; an empty table gives no rows.
+A text becomes its lower-cased words joined by single spaces. The rules of license_rules.py, several
+hundred hand-written regexes in a fixed order, are gated by keywords: the words that a pattern cannot
+match without are read off it, and a rule runs on a text only if all of them are among the text's
+words; a text with none of the rules' rarest keywords is not scanned at all. Detections are intervals
+of words. Where they overlap, priority and containment decide: a detection inside another of at
+least its priority is suppressed; of equal intervals the one of higher priority stays, then the
+earlier rule. Base phrases are found apart from the rules, and nothing suppresses them.
+
+Defined results: null and empty texts have no words, no detection and score 0; a very long text is
+scanned whole, alone in its slice; repeated rows give one row each; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docloom.llm.frames import map_texts, pick
+from docloom.llm.license_rules import RULES
 from docloom.llm.words import Words, hash_words
 
 #: Phrases whose every occurrence counts, and their labels.
@@ -42,90 +44,34 @@ class Rule:
     score: float
 
 
-#: Names of licenses over normalised words: label, pattern, keywords. `{v}` stands for a version of those that follow.
-NAMES: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]] = [
-    ("mit", r"(?:the )?mit licen[cs]e", ("mit",), ()),
-    ("mit-0", r"mit no attribution(?: licen[cs]e)?", ("mit", "attribution"), ()),
-    ("apache-{v}", r"(?:the )?apache(?: software)? licen[cs]e(?: version)? {v}", ("apache",), ("1 0", "1 1", "2 0")),
-    ("bsd-{v}-clause", r"(?:the )?(?:new |simplified |modified |original )?bsd {v} clause(?: licen[cs]e)?", ("bsd", "clause"), ("0", "1", "2", "3", "4")),
-    ("bsd-{v}-clause", r"(?:the )?{v} clause bsd(?: licen[cs]e)?", ("bsd", "clause"), ("0", "1", "2", "3", "4")),
-    ("bsd", r"(?:the )?(?:new |simplified |modified )?bsd(?: style)? licen[cs]e", ("bsd",), ()),
-    ("gpl-{v}", r"(?:the )?gnu general public licen[cs]e(?: gpl)?(?: as published by the free software foundation)?(?: either)?(?: version)? v?{v}", ("gnu", "general"), ("1", "2", "3")),
-    ("gpl-{v}", r"(?:the )?(?:gnu )?gpl(?: version)? v?{v}", ("gpl",), ("1", "2", "3")),
-    ("gpl-{v}", r"(?:the )?gplv{v}", ("gplv{v}",), ("1", "2", "3")),
-    ("gpl", r"(?:the )?gnu general public licen[cs]e", ("gnu", "general"), ()),
-    ("lgpl-{v}", r"(?:the )?gnu (?:lesser|library) general public licen[cs]e(?: version)? v?{v}", ("gnu", "general"), ("2", "2 1", "3")),
-    ("lgpl-{v}", r"(?:the )?(?:gnu )?lgpl(?: version)? v?{v}", ("lgpl",), ("2", "2 1", "3")),
-    ("lgpl", r"(?:the )?gnu (?:lesser|library) general public licen[cs]e", ("gnu", "general"), ()),
-    ("agpl-{v}", r"(?:the )?gnu affero general public licen[cs]e(?: version)? v?{v}", ("affero",), ("1", "3")),
-    ("agpl-{v}", r"(?:the )?(?:gnu )?agpl(?: version)? v?{v}", ("agpl",), ("1", "3")),
-    ("agpl", r"(?:the )?gnu affero general public licen[cs]e", ("affero",), ()),
-    ("gfdl-{v}", r"(?:the )?gnu free documentation licen[cs]e(?: version)? {v}", ("gnu", "documentation"), ("1 1", "1 2", "1 3")),
-    ("mpl-{v}", r"(?:the )?mozilla public licen[cs]e(?: mpl)?(?: version)? v?{v}", ("mozilla",), ("1 0", "1 1", "2 0")),
-    ("mpl-{v}", r"(?:the )?mpl(?: version)? v?{v}", ("mpl",), ("1 0", "1 1", "2 0")),
-    ("epl-{v}", r"(?:the )?eclipse public licen[cs]e(?: version)? v?{v}", ("eclipse",), ("1 0", "2 0")),
-    ("eupl-{v}", r"(?:the )?european union public licen[cs]e(?: version)? v?{v}", ("european",), ("1 0", "1 1", "1 2")),
-    ("cddl-{v}", r"(?:the )?common development and distribution licen[cs]e(?: version)? {v}", ("common", "distribution"), ("1 0", "1 1")),
-    ("cc0-{v}", r"cc0(?: universal)?(?: public domain dedication)?(?: {v})?", ("cc0",), ("1 0",)),
-    ("cc0-1.0", r"cc zero(?: 1 0)?", ("cc", "zero"), ()),
-    ("cc-by-{v}", r"cc by {v}", ("cc", "by"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa-{v}", r"cc by sa {v}", ("cc", "sa"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd-{v}", r"cc by nd {v}", ("cc", "nd"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-{v}", r"cc by nc {v}", ("cc", "nc"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa-{v}", r"cc by nc sa {v}", ("cc", "nc", "sa"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd-{v}", r"cc by nc nd {v}", ("cc", "nc", "nd"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-{v}", r"(?:the )?creative commons attribution(?: licen[cs]e)?(?: version)? {v}", ("creative", "commons"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa-{v}", r"(?:the )?creative commons attribution share ?alike(?: licen[cs]e)?(?: version)? {v}", ("creative", "commons"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-{v}", r"(?:the )?creative commons attribution non ?commercial(?: licen[cs]e)?(?: version)? {v}", ("creative", "commons"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("unlicense", r"the unlicense", ("unlicense",), ()),
-    ("isc", r"(?:the )?isc licen[cs]e", ("isc",), ()),
-    ("zlib", r"(?:the )?zlib(?: libpng)? licen[cs]e", ("zlib",), ()),
-    ("boost-1.0", r"(?:the )?boost software licen[cs]e(?: version)? 1 0", ("boost",), ()),
-    ("artistic-{v}", r"(?:the )?artistic licen[cs]e(?: version)? {v}", ("artistic",), ("1 0", "2 0")),
-    ("ofl-1.1", r"(?:the )?sil open font licen[cs]e(?: version)? 1 1", ("sil", "font"), ()),
-    ("odbl-1.0", r"(?:the )?open database licen[cs]e", ("open", "database"), ()),
-    ("postgresql", r"(?:the )?postgresql licen[cs]e", ("postgresql",), ()),
-    ("wtfpl", r"wtfpl", ("wtfpl",), ()),
-    ("ms-pl", r"(?:the )?microsoft public licen[cs]e", ("microsoft",), ()),
-    ("python-2.0", r"(?:the )?psf licen[cs]e", ("psf",), ()),
-    ("python-2.0", r"(?:the )?python software foundation licen[cs]e", ("python", "foundation"), ()),
-    ("public-domain", r"(?:in|into|to) the public domain", ("public", "domain"), ()),
-    ("proprietary", r"all rights reserved", ("rights", "reserved"), ()),
-]
-
-#: Sentence forms around a name: pattern, further keywords, priority, score. A fuller form contains the plainer one and so wins.
-FORMS: list[tuple[str, tuple[str, ...], int, float]] = [
-    (r"spdx licen[cs]e identifier {n}", ("spdx",), 60, 1.0),
-    (r"(?:is |are )?licen[cs]ed under (?:the terms of )?{n}", ("under",), 50, 0.95),
-    (r"(?:is |are )?(?:released|distributed|published|available|provided|covered) under (?:the terms of )?{n}", ("under",), 50, 0.95),
-    (r"subject to (?:the terms (?:and conditions )?of )?{n}", ("subject",), 45, 0.9),
-    (r"{n} or (?:any|at your option any) later(?: version)?", ("later",), 55, 0.95),
-    (r"under {n}", ("under",), 40, 0.85),
-    (r"{n}", (), 30, 0.7),
-]
-
-#: Sentences of license texts themselves.
-TEXTS: list[Rule] = [
-    Rule("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby", "granted"), 70, 1.0),
-    Rule("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", ("hereby", "granted"), 70, 1.0),
-    Rule("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", ("redistribution",), 70, 1.0),
-    Rule("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", ("redistribute",), 70, 1.0),
-    Rule("unlicense", r"this is free and unencumbered software released into the public domain", ("unencumbered",), 70, 1.0),
-    Rule("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", ("warranty",), 70, 1.0),
-    Rule("boost-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy", ("hereby", "granted"), 70, 1.0),
-    Rule("wtfpl", r"do what the fuck you want to public licen[cs]e", ("public",), 70, 1.0),
-]
+#: Priority and score by kind: a text's own sentence, an identifier or address, a notice, a name.
+KINDS = {"t": (70, 1.0), "i": (60, 1.0), "h": (50, 0.95), "n": (30, 0.7)}
+SHORT = {"@": "licen[cs]e", "~": "(?:version |v ?)?"}
+#: Keywords of a rule at most, the longest of those that it has.
+KEYWORDS = 3
+
+
+def keywords(pattern: str) -> tuple[str, ...]:
+    """Words that stand in every match of a pattern as whole words, the longest first."""
+    rest = pattern.replace(" ?", "\0")  # a space that may be missing joins its neighbours
+    while m := re.search(r"\((?:\?:)?([^()]*)\)[?*+]?", rest):
+        options = m[1].split("|")
+        before = " " if all(o.startswith(" ") for o in options) else ""
+        after = " " if all(o.endswith(" ") for o in options) else ""
+        rest = f"{rest[: m.start()]}{before}\0{after}{rest[m.end() :]}"
+    found = {w for w in rest.split(" ") if re.fullmatch("[a-z0-9]+", w)}
+    return tuple(sorted(found, key=lambda w: (-len(w), w))[:KEYWORDS])
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules in their order: full texts, then every form of every name and version."""
-    out = list(TEXTS)
-    for form, more, priority, score in FORMS:
-        for label, name, keys, versions in NAMES:
-            for v in versions or ("",):
-                filled = form.replace("{n}", name.replace("{v}", v))
-                out.append(Rule(label.replace("{v}", v.replace(" ", ".")), filled, tuple(k.replace("{v}", v) for k in keys) + more, priority, score))
+    """All rules in their order."""
+    out = []
+    for line in RULES.strip().split("\n"):
+        label, kind, pattern = line.split("|", 2)
+        for sign, meant in SHORT.items():
+            pattern = pattern.replace(sign, meant)
+        out.append(Rule(label, pattern, keywords(pattern), *KINDS[kind]))
     return tuple(out)
 
 
@@ -224,3 +170,22 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: words, base phrases and their places, labels, score, and the detections that stand."""
     return map_texts(pick(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), "text", _scan, SCHEMA)
+
+
+def brute_force(texts: list[str | None]) -> list[tuple]:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score of each text, every rule tried everywhere, for tests."""
+    out = []
+    for t in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        base = [(i, label) for phrase, label in BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        found = scan_words(words, set(words).union(*(r.keywords for r in rules())))
+        kept = []
+        for d in found:
+            over = [e for e in found if e is not d and e[0] <= d[0] and d[1] <= e[1] and e[2].priority >= d[2].priority]
+            if not any((e[0], e[1]) != (d[0], d[1]) or e[2].priority > d[2].priority or e[3] < d[3] for e in over):
+                kept.append(d)
+        mine = {label for _, label in base}
+        score = max([0.0] + [1.0] * bool(mine) + [d[2].score for d in kept])
+        at = [i for i, _ in base]
+        out.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(mine)), ",".join(sorted(mine | {d[2].label for d in kept})), score))
+    return out

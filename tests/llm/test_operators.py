@@ -83,6 +83,16 @@ def test_components(spark):
 # 1
 
 
+def test_chain_of_any_stretch():
+    """Marginals of whole texts do not depend on the length of the stretches they are computed in."""
+    rng = np.random.default_rng(0)
+    bounds = np.concatenate(([0], np.cumsum([0, 700, 3, 129, 128, 256, 1, 0, 5])))
+    score, move, first = rng.normal(size=(bounds[-1], 4)) * 2, rng.normal(size=(4, 4)), rng.normal(size=4)
+    want = langid.chain(score, *langid.segments(bounds, 10**6), move, first)[0]
+    for size in (1, 2, 7, 128, 1000):
+        assert np.allclose(langid.whole_chain(score, bounds, move, first, size), want)
+
+
 def test_language_id(spark, corpus, edge, empty):
     model = langid.train(corpus)
     got = langid.predict(corpus, model).join(corpus.select("doc_id", "lang"), "doc_id").collect()
@@ -285,6 +295,9 @@ def test_lm_score(spark, corpus, edge, empty):
     for more in ({}, {"block": 20_000, "bucket": 5_000}):
         got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows), **more).collect()}
         assert all(got[d].n_words == n and got[d].log_score == pytest.approx(s) for d, (n, s) in want.items())
+    want = {r.doc_id: w for r, w in zip(rows, lm_score.brute_force([r.text for r in rows], leave_out=True), strict=True)}
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows), leave_out=True).collect()}
+    assert all(got[d].n_words == n and got[d].log_score == pytest.approx(s) for d, (n, s) in want.items())
     got = lm_score.score(edge).collect()
     assert len(got) == edge.count() and all((r.score is None) == (r.n_words == 0) for r in got) and all(r.score <= 0 for r in got if r.n_words)
     assert lm_score.score(empty).count() == 0
@@ -323,7 +336,7 @@ def test_license_scan(spark, edge, empty):
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].labels) == (2, 1, 6, "mit", "mit")
     assert got[2].base_labels == "apache-2" and got[2].labels == "apache-2,apache-2.0"
     assert got[3].n_base == 2 and got[3].labels == "cc-by-nc,cc-by-nc-4.0"
-    assert got[4].labels == "gpl-3" and got[4].n_base == 0 and got[4].first_word is None and got[4].score > 0.9
+    assert got[4].labels == "gpl-3.0-or-later" and got[4].n_base == 0 and got[4].first_word is None and got[4].score > 0.9
     assert (got[5].labels, got[5].score, got[6].n_words, got[7].labels, got[8].labels, got[9].n_base) == ("", 0.0, 0, "mit", "mit", 0)
     assert license_scan.scan(edge).count() == edge.count() and license_scan.scan(empty).count() == 0
     assert len(license_scan.rules()) > 300
@@ -337,12 +350,14 @@ def _wordings(items) -> list[str]:
         if name == "LITERAL":
             ways = [chr(x)]
         elif name == "IN":
-            ways = [chr(v) for _, v in x]
+            ways = ["2" if str(k) == "CATEGORY" else chr(v) for k, v in x]
+        elif name == "ANY":
+            ways = ["x"]
         elif name == "BRANCH":
             ways = [w for y in x[1] for w in _wordings(y)]
         elif name == "MAX_REPEAT":
-            assert x[:2] == (0, 1)
-            ways = ["", *_wordings(x[2])]
+            assert x[:2] == (0, 1) or x[0] == 1
+            ways = [*[""] * (x[0] == 0), *_wordings(x[2])]
         else:
             assert name == "SUBPATTERN"
             ways = _wordings(x[3])
@@ -354,12 +369,28 @@ def test_license_alternatives_pass_their_gate(spark):
     """A rule is only tried on texts with its keywords, so each of its wordings has them."""
     from re import _parser
 
-    missed = [(r.label, t) for r in license_scan.rules() for t in _wordings(_parser.parse(r.pattern)) if not set(t.split()).issuperset(r.keywords)]
-    assert missed == []
+    every = [(r, t) for r in license_scan.rules() for t in _wordings(_parser.parse(r.pattern))]
+    assert all(r.keywords for r, _ in every)
+    assert [(r.label, t) for r, t in every if not set(t.split()).issuperset(r.keywords)] == []
+    assert [(r.label, t) for r, t in every if r.label not in {d[2].label for d in license_scan.scan_words(t.split(), set(t.split()))}] == []
     rows = [(1, "licensed under the PSF license"), (2, "Python Software Foundation License")]
     assert {r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {"python-2.0"}
 
 
+def test_license_scan_against_all_rules_everywhere(spark, corpus, edge):
+    """Base phrases and labels of whole texts, without gate, hashes or ordered suppression."""
+    from re import _parser
+
+    rng = random.Random(6)
+    lines = [t for r in license_scan.rules() for t in _wordings(_parser.parse(r.pattern))[-1:]] + list(license_scan.BASE)
+    mixed = [(100_000 + i, f" {prose(rng, 5, ['the', 'under', 'license', 'of'])}. ".join(rng.choice(lines) for _ in range(1 + i % 4))) for i in range(120)]
+    docs = corpus.select("doc_id", "text").unionByName(edge.where("doc_id IS NOT NULL").select((F.col("doc_id") + 200_000).alias("doc_id"), "text")).unionByName(spark.createDataFrame(mixed, "doc_id long, text string"))
+    rows = docs.collect()
+    got = sorted(tuple(r)[:8] for r in license_scan.scan(docs).collect())
+    assert got == sorted((r.doc_id, *b) for r, b in zip(rows, license_scan.brute_force([r.text for r in rows]), strict=True))
+    assert len({x for g in got for x in g[6].split(",")}) > 60
+
+
 def test_suppression():
     r = lambda p: license_scan.Rule("x", "y", (), p, 1.0)
     found = [(0, 10, r(50), 0), (2, 5, r(30), 1), (2, 5, r(60), 2), (0, 10, r(50), 3), (9, 12, r(10), 4)]
