@@ -27,20 +27,22 @@ def last_messages(messages: DataFrame, n: int = 10, key: str = "conv_id", order:
     return messages.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
-def prompt(found: DataFrame, question: Column, cut: int = 300) -> DataFrame:
-    """query_id, prompt: the found texts (query_id, rank, content), cut, numbered, then the question."""
+def prompt(found: DataFrame, queries: DataFrame, cut: int = 300) -> DataFrame:
+    """query_id, prompt: the found texts (query_id, rank, content), cut, numbered, then the question of queries (query_id, text); just that where nothing is found."""
     body = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x, i: F.concat(F.lit("[Dokument "), (i + 1).cast("string"), F.lit("] "), F.left(x["content"], F.lit(cut)), F.lit("...")))
     rows = found.groupBy("query_id").agg(F.array_join(body, "\n").alias("body"))
-    return rows.select("query_id", F.concat(F.lit("KONTEXT:\n"), F.col("body"), F.lit("\n\nFRAGE: "), question).alias("prompt"))
+    full = F.concat(F.lit("KONTEXT:\n"), F.col("body"), F.lit("\n\nFRAGE: "), F.col("text"))
+    return queries.join(rows, "query_id", "left").select("query_id", F.when(F.col("body").isNull(), F.col("text")).otherwise(full).alias("prompt"))
 
 
 def sources(found: DataFrame, cut: int = 200, most: int = 5) -> DataFrame:
     return found.where(F.col("rank") <= most).select("query_id", "rank", "doc_id", F.left("content", F.lit(cut)).alias("snippet"), "score")
 
 
-def confidence(found: DataFrame) -> DataFrame:
-    """query_id, confidence (mean score, missing ones .5), band."""
+def confidence(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, confidence (mean score, missing ones .5; 0 where nothing is found), band, for each of queries (query_id)."""
     c = found.groupBy("query_id").agg(F.avg(F.coalesce("score", F.lit(0.5))).alias("confidence"))
+    c = queries.select("query_id").join(c, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     return c.withColumn("band", F.when(F.col("confidence") > 0.8, "high").when(F.col("confidence") > 0.5, "medium").otherwise("low"))
 
 

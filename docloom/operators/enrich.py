@@ -101,14 +101,31 @@ def enrich(chunks: DataFrame, content: str = "text", rules: list[lx.Rule] | None
 
 
 def related_chunks(chunks: DataFrame, least: float = 0.5, most: int = 5, near: int = 2) -> DataFrame:
-    """source, chunk_index, related (indexes): columns source, chunk_index, category, domain, keywords (array). A join inside each document."""
-    a = chunks.select("source", "chunk_index", "category", "domain", F.array_distinct("keywords").alias("kw"))
-    b = a.select(F.col("source").alias("s2"), F.col("chunk_index").alias("other"), F.col("category").alias("c2"), F.col("domain").alias("d2"), F.col("kw").alias("k2"))
-    pair = a.join(b, (F.col("source") == F.col("s2")) & (F.col("chunk_index") != F.col("other")))
-    share = F.size(F.array_intersect("kw", "k2")) / F.greatest(F.size("kw"), F.size("k2"), F.lit(1))
+    """source, chunk_index, related (the first `most` indexes): columns source, chunk_index, category, domain, keywords (array).
+
+    A pair scores .3 for equal categories, .2 for equal domains, .1 for places at most `near` apart and .4 times the shared keywords
+    over the larger set. Pairs come from what can reach `least`: shared keywords, neighbourhood, and, where equal labels suffice,
+    the first chunks of equal labels, since only the first are kept. So no source's chunks are all paired.
+    """
+    a = chunks.select("source", "chunk_index", "category", "domain", F.array_distinct("keywords").alias("kw")).withColumn("n", F.size("kw"))
+    words = a.select("source", "chunk_index", F.explode("kw").alias("w"))
+    other = words.select("source", F.col("chunk_index").alias("other"), "w")
+    shared = words.join(other, ["source", "w"]).where("chunk_index <> other").groupBy("source", "chunk_index", "other").agg(F.count("*").alias("shared"))
+    here = a.select("source", "chunk_index", "category", "domain", "n")
+    there = here.select("source", F.col("chunk_index").alias("other"), F.col("category").alias("c2"), F.col("domain").alias("d2"), F.col("n").alias("n2"))
+    pairs = here.select("source", "chunk_index", F.explode(F.sequence(F.col("chunk_index") - near, F.col("chunk_index") + near)).alias("other"))
+    for keys, weight in ((["category", "domain"], 0.5), (["category"], 0.3), (["domain"], 0.2), ([], 0.0)):
+        if weight >= least:
+            head = W.partitionBy("source", *keys).orderBy("chunk_index")
+            first = here.withColumn("place", F.row_number().over(head)).where(F.col("place") <= most + 1).select("source", *keys, F.col("chunk_index").alias("other"))
+            pairs = pairs.unionByName(here.join(first, ["source", *keys]).select("source", "chunk_index", "other"))
+    pairs = pairs.where("chunk_index <> other").withColumn("shared", F.lit(0).cast("long")).unionByName(shared)
+    pairs = pairs.groupBy("source", "chunk_index", "other").agg(F.max("shared").alias("shared"))
+    pair = pairs.join(here, ["source", "chunk_index"]).join(there, ["source", "other"])
+    share = F.col("shared") / F.greatest("n", "n2", F.lit(1))
     score = F.when(F.col("category") == F.col("c2"), 0.3).otherwise(0.0) + 0.4 * share + F.when(F.col("domain") == F.col("d2"), 0.2).otherwise(0.0) + F.when(F.abs(F.col("chunk_index") - F.col("other")) <= near, 0.1).otherwise(0.0)
     first = W.partitionBy("source", "chunk_index").orderBy("other")
-    kept = pair.where(F.round(score, 9) >= least).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
+    kept = pair.where(F.round(score, 9) >= least).withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
     return kept.groupBy("source", "chunk_index").agg(F.array_sort(F.collect_list("other")).alias("related"))
 
 

@@ -15,6 +15,7 @@ from docloom.operators import ingest as ig
 from docloom.operators import models as mm
 from docloom.operators import split as sp
 from docloom.plans.common import TOKENS, WORDS, long, r6, sql_any, sql_hits, table
+from docloom.session import spread
 from docloom.sources import files, store
 
 # Word lists whose words occur in the test corpus; the operators take any.
@@ -31,7 +32,7 @@ DOMAINS = {"legal": (("license", "copyright", "rights"), (r"\bversion\s+\d+", r"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def preprocess_basic(spark, sf):
@@ -125,16 +126,10 @@ def exact_dup_groups(spark, sf):
 
 
 def related_chunks(spark, sf):
-    d = _docs(spark, sf).where("text IS NOT NULL").select("source", F.col("doc_id").alias("chunk_index"), en.domain(F.col("text"), DOMAINS).alias("category"), F.col("lang").alias("domain"), F.slice(tx.tokens(F.lower(F.col("text"))), 1, 8).alias("keywords"))
-    r = en.related_chunks(d, least=0.6)
-    return r.select("source", "chunk_index", F.array_join("related", ",").alias("related"))
-
-
-def related_chunks_whole(spark, sf):
-    """related_chunks by the keywords of the whole text."""
-    d = an.analyze(_docs(spark, sf).where("text IS NOT NULL"), words=WORDS_OF)
-    d = d.select("source", F.col("doc_id").alias("chunk_index"), en.domain(F.col("text"), DOMAINS).alias("category"), F.col("lang").alias("domain"), "analysis.keywords")
-    return en.related_chunks(d, least=0.6).select("source", "chunk_index", F.array_join("related", ",").alias("related"))
+    """Messages as the chunks of their conversation: every pair of one, by the keywords of whole texts."""
+    c = table(spark, sf, "conversations").where("text IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    d = c.select(F.col("conv_id").alias("source"), F.col("turn").alias("chunk_index"), F.col("role").alias("category"), en.domain(F.col("text"), DOMAINS).alias("domain"), tx.tokens(F.lower("text")).alias("keywords"))
+    return en.related_chunks(d, least=0.45).select("source", "chunk_index", F.array_join("related", ",").alias("related"))
 
 
 def document_stats(spark, sf):
@@ -200,42 +195,29 @@ def token_estimates(spark, sf):
 
 
 def _found(spark, sf):
-    c = table(spark, sf, "conversations").where("role = 'assistant' AND turn < 6")
-    return c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("turn").alias("doc_id"), F.col("text").alias("content"), (1.0 / (F.col("turn") + 1)).alias("score"))
-
-
-def prompt_context(spark, sf):
-    p = cx.prompt(_found(spark, sf), F.lit("what?"))
-    return p.select("query_id", long(F.length("prompt")).alias("chars"), F.md5("prompt").alias("h"))
-
-
-def answer_confidence(spark, sf):
-    return cx.confidence(_found(spark, sf)).select("query_id", r6("confidence").alias("confidence"), "band")
-
-
-def answer_sources(spark, sf):
-    return cx.sources(_found(spark, sf)).select("query_id", "rank", F.md5("snippet").alias("h"))
-
-
-def _found_whole(spark, sf):
     """All answers of a conversation; their rank is their place among them."""
     c = table(spark, sf, "conversations").where("role = 'assistant'")
     place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text"))
     return c.select(F.col("conv_id").alias("query_id"), place.alias("rank"), F.col("turn").alias("doc_id"), F.col("text").alias("content"), (1.0 / (F.col("turn") + 1)).alias("score"))
 
 
-def prompt_context_whole(spark, sf):
-    p = cx.prompt(_found_whole(spark, sf), F.lit("what?"))
+def _asked(spark, sf):
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id")).distinct().withColumn("text", F.lit("what?"))
+
+
+def prompt_context(spark, sf):
+    """Of every conversation, those without an answer too."""
+    p = cx.prompt(_found(spark, sf), _asked(spark, sf))
     return p.select("query_id", long(F.length("prompt")).alias("chars"), F.md5("prompt").alias("h"))
 
 
-def answer_confidence_whole(spark, sf):
-    return cx.confidence(_found_whole(spark, sf)).select("query_id", r6("confidence").alias("confidence"), "band")
+def answer_confidence(spark, sf):
+    return cx.confidence(_found(spark, sf), _asked(spark, sf)).select("query_id", r6("confidence").alias("confidence"), "band")
 
 
-def answer_sources_whole(spark, sf):
-    """All of them, not the first five."""
-    return cx.sources(_found_whole(spark, sf), most=(1 << 31) - 1).select("query_id", long("rank").alias("rank"), F.md5("snippet").alias("h"))
+def answer_sources(spark, sf):
+    """The first five are the operator's feature."""
+    return cx.sources(_found(spark, sf)).select("query_id", long("rank").alias("rank"), F.md5("snippet").alias("h"))
 
 
 def select_models(spark, sf):
@@ -271,7 +253,7 @@ def flatten_metadata(spark, sf):
     return store.flatten_metadata(e, ["kind", "ids"])
 
 
-QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, related_chunks_whole, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, prompt_context_whole, answer_confidence_whole, answer_sources_whole, select_models, upsert, delete_ids, get_by_ids, flatten_metadata]
+QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, select_models, upsert, delete_ids, get_by_ids, flatten_metadata]
 
 _W = WORDS_OF
 _L = "lower(text)"
@@ -356,7 +338,7 @@ CASE WHEN concat_ws(', ', {pre}, {more}) = '' THEN 'Keine' ELSE concat_ws(', ',
 concat_ws(', ', CASE WHEN domain <> 'general' THEN 'domain:' || domain END, CASE WHEN safety <> 'none' THEN 'safety:' || safety END, CASE WHEN {has("has_warnings")} THEN 'warnings' END, CASE WHEN {has("has_procedures")} THEN 'procedures' END, CASE WHEN {has("has_specifications")} THEN 'specifications' END, 'category:' || category) AS filter_tags FROM e"""
 
 
-_F = "SELECT conv_id AS query_id, turn AS rank, text AS content, 1.0::DOUBLE / (turn + 1) AS score FROM conversations WHERE role = 'assistant' AND turn < 6"
+_F = "SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rank, text AS content, 1.0::DOUBLE / (turn + 1) AS score FROM conversations WHERE role = 'assistant'"
 
 SQL = {
     "preprocess_basic": r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM documents",
@@ -376,9 +358,10 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+\.')) AS BIGINT) AS numb
     "technical_domain": f"SELECT doc_id, CASE WHEN b.o <= -1 THEN b.c ELSE 'general' END AS domain FROM (SELECT doc_id, {_domain_sql()} AS b FROM documents)",
     "content_hash": "SELECT doc_id, left(sha256(text), 16) AS content_hash FROM documents",
     "exact_dup_groups": "SELECT md5(text) AS h, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "related_chunks": f"""WITH c AS (SELECT source, doc_id AS i, CASE WHEN b.o <= -1 THEN b.c ELSE 'general' END AS category, lang, list_distinct(kw[1:8]) AS kw FROM (SELECT source, doc_id, lang, {_domain_sql()} AS b, {TOKENS} AS kw FROM documents WHERE text IS NOT NULL)),
+    "related_chunks": f"""WITH m AS (SELECT conv_id AS source, turn AS i, min(role) AS category, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+c AS (SELECT source, i, category, CASE WHEN b.o <= -1 THEN b.c ELSE 'general' END AS lang, list_distinct(kw) AS kw FROM (SELECT source, i, category, {_domain_sql()} AS b, {TOKENS} AS kw FROM m)),
 p AS (SELECT a.source, a.i, b.i AS o, CASE WHEN a.category = b.category THEN 0.3::DOUBLE ELSE 0 END + 0.4::DOUBLE * (len(list_intersect(a.kw, b.kw))::DOUBLE / greatest(len(a.kw), len(b.kw), 1)) + CASE WHEN a.lang = b.lang THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN abs(a.i - b.i) <= 2 THEN 0.1::DOUBLE ELSE 0 END AS s FROM c a JOIN c b ON a.source = b.source AND a.i <> b.i),
-r AS (SELECT * FROM p WHERE round(s, 9) >= 0.6 QUALIFY row_number() OVER (PARTITION BY source, i ORDER BY o) <= 5) SELECT source, i AS chunk_index, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS related FROM r GROUP BY source, i""",
+r AS (SELECT * FROM p WHERE round(s, 9) >= 0.45 QUALIFY row_number() OVER (PARTITION BY source, i ORDER BY o) <= 5) SELECT source, i AS chunk_index, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS related FROM r GROUP BY source, i""",
     "document_stats": f"""WITH n AS (SELECT source, text, {_TYPE} AS ct, list_transform(regexp_extract_all(text, '([0-9]+)\\.\\s+', 1), lambda x: TRY_CAST(x AS BIGINT)) AS n FROM documents)
 SELECT source, count(*) AS chunks, array_to_string(list_sort(list(DISTINCT CASE WHEN trim(text) = '' THEN 'general' ELSE ct END)), ',') AS types, CAST(count(*) FILTER (coalesce(len(n) >= 2 AND len(list_filter(n, lambda x: x IS NULL)) = 0 AND len(list_filter(range(2, len(n) + 1), lambda i: n[i] <> n[i - 1] + 1)) = 0, false)) AS BIGINT) AS with_steps, round(avg(length(text)), 6) + 0.0 AS avg_length FROM n GROUP BY source""",
     "analyze_full": f"SELECT doc_id, kind AS content_type, CAST(n_kw AS BIGINT) AS n_keywords, round(conf, 6) + 0.0 AS confidence FROM ({_CONFIDENCE})",
@@ -391,8 +374,9 @@ SELECT source, count(*) AS chunks, array_to_string(list_sort(list(DISTINCT CASE
     "history_last_n": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= 3",
     "token_estimates": "SELECT role, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, count(*) AS n FROM conversations GROUP BY role",
     "prompt_context": f"""WITH f AS ({_F}), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, content) AS i FROM f),
-p AS (SELECT query_id, 'KONTEXT:' || chr(10) || string_agg('[Dokument ' || i || '] ' || left(content, 300) || '...', chr(10) ORDER BY i) || chr(10) || chr(10) || 'FRAGE: what?' AS prompt FROM n GROUP BY query_id) SELECT query_id, length(prompt) AS chars, md5(prompt) AS h FROM p""",
-    "answer_confidence": f"SELECT query_id, round(avg(score), 6) + 0.0 AS confidence, CASE WHEN avg(score) > 0.8 THEN 'high' WHEN avg(score) > 0.5 THEN 'medium' ELSE 'low' END AS band FROM ({_F}) GROUP BY query_id",
+c AS (SELECT query_id, 'KONTEXT:' || chr(10) || string_agg('[Dokument ' || i || '] ' || left(content, 300) || '...', chr(10) ORDER BY i) || chr(10) || chr(10) || 'FRAGE: what?' AS prompt FROM n GROUP BY query_id),
+p AS (SELECT q.query_id, coalesce(prompt, 'what?') AS prompt FROM (SELECT DISTINCT conv_id AS query_id FROM conversations) q LEFT JOIN c USING (query_id)) SELECT query_id, length(prompt) AS chars, md5(prompt) AS h FROM p""",
+    "answer_confidence": f"SELECT query_id, round(coalesce(c, 0), 6) + 0.0 AS confidence, CASE WHEN c > 0.8 THEN 'high' WHEN c > 0.5 THEN 'medium' ELSE 'low' END AS band FROM (SELECT DISTINCT conv_id AS query_id FROM conversations) LEFT JOIN (SELECT query_id, avg(score) AS c FROM ({_F}) GROUP BY query_id) USING (query_id)",
     "answer_sources": f"SELECT query_id, rank, md5(left(content, 200)) AS h FROM ({_F}) WHERE rank <= 5",
     "select_models": """WITH r AS (SELECT doc_id, CASE WHEN n_chars > 5000 OR doc_id % 11 = 0 THEN 'ollama.llama3.1_70b,ollama.llama3.1_8b' WHEN doc_id % 7 = 0 THEN 'ollama.codellama_13b,ollama.llama3.1_8b' WHEN doc_id % 5 = 0 THEN 'ollama.phi3_mini,ollama.mistral_7b'
 WHEN lang NOT IN ('en', 'de') THEN 'ollama.qwen2_7b,ollama.llama3.1_8b' ELSE 'ollama.llama3.1_8b,ollama.mistral_7b' END AS m,
@@ -403,5 +387,3 @@ SELECT doc_id, string_split(m, ',')[1] AS llm, string_split(m, ',')[2] AS llm_fa
     "get_by_ids": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 = 3",
     "flatten_metadata": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS kind, '[' || user_id || ',' || event_id || ']' AS ids FROM events",
 }
-_ALL = "SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rank, text AS content, 1.0::DOUBLE / (turn + 1) AS score FROM conversations WHERE role = 'assistant'"
-SQL |= {f"{n}_whole": SQL[n].replace(_F, _ALL).replace(" WHERE rank <= 5", "") for n in ("prompt_context", "answer_confidence", "answer_sources")}

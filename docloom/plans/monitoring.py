@@ -51,13 +51,6 @@ def component_health(spark, sf):
 
 
 def overall_status(spark, sf):
-    states = F.when(F.col("event_type") == "error", "unhealthy").when(F.col("event_type") == "signup", "degraded").otherwise("healthy")
-    e = _events(spark, sf).select(F.to_date("ts").alias("day"), "user_id", states.alias("status")).where("user_id < 40")
-    return mo.overall_status(e, ["user_id"]).select("user_id", "n_components", "status")
-
-
-def overall_status_whole(spark, sf):
-    """overall_status of every user."""
     states = F.when(F.col("event_type") == "error", "unhealthy").when(F.col("event_type") == "signup", "degraded").otherwise("healthy")
     return mo.overall_status(_events(spark, sf).select("user_id", states.alias("status")), ["user_id"]).select("user_id", "n_components", "status")
 
@@ -123,7 +116,7 @@ def top_customers(spark, sf):
     return o.orderBy(F.desc("cents"), "o_custkey").limit(20).select("o_custkey", "n", "cents")
 
 
-QUERIES = [op_stats, status_histogram, state_changes, running_average, throughput_score, performance_alerts, component_health, overall_status, overall_status_whole, sessionize, session_states, exception_counts, filter_search_page, paged_parts, formatted, log_filter, availability, adaptation_stats, windowed_metrics, label_filter, top_customers]
+QUERIES = [op_stats, status_histogram, state_changes, running_average, throughput_score, performance_alerts, component_health, overall_status, sessionize, session_states, exception_counts, filter_search_page, paged_parts, formatted, log_filter, availability, adaptation_stats, windowed_metrics, label_filter, top_customers]
 
 _CENTS = "CAST(round(abs(value) * 100) AS BIGINT)"
 _SESSIONS = """s0 AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 7200000000, true) THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -141,7 +134,7 @@ round(count(*) FILTER (value > 20) * 100.0::DOUBLE / count(*), 6) + 0.0 AS succe
 SELECT key, 'success_rate' AS kind, CASE WHEN success < 0.5 THEN 'high' ELSE 'medium' END AS severity FROM a WHERE success < 0.8
 UNION ALL SELECT key, 'slow', CASE WHEN avg_s > 180 THEN 'high' ELSE 'medium' END FROM a WHERE avg_s > 60 UNION ALL SELECT key, 'load', 'high' FROM a WHERE load > 0.9""",
     "component_health": f"SELECT component, status, count(*) AS n FROM (SELECT component, {_LIMIT} AS status FROM (SELECT ['cpu', 'memory', 'disk', 'response_s', 'error_rate'][event_id % 5 + 1] AS component, abs(value) AS value FROM events)) GROUP BY ALL",
-    "overall_status": """WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'unhealthy' WHEN 'signup' THEN 'degraded' ELSE 'healthy' END AS st FROM events WHERE user_id < 40)
+    "overall_status": """WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'unhealthy' WHEN 'signup' THEN 'degraded' ELSE 'healthy' END AS st FROM events)
 SELECT user_id, count(*) AS n_components, CASE WHEN count(*) FILTER (st = 'unhealthy') >= 2 THEN 'unhealthy' WHEN count(*) FILTER (st = 'unhealthy') = 1 OR count(*) FILTER (st = 'degraded') > 0 THEN 'degraded' WHEN count(*) FILTER (st = 'healthy') = count(*) THEN 'healthy' ELSE 'degraded' END AS status FROM s GROUP BY user_id""",
     "sessionize": f"WITH {_SESSIONS} SELECT * FROM s",
     "session_states": f"""WITH {_SESSIONS}, a AS (SELECT *, (epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(last_event)) / 60000000.0::DOUBLE AS age FROM s)
@@ -158,4 +151,3 @@ FROM (SELECT *, (event_id % 10 + 1) / 10.0::DOUBLE AS w FROM events ORDER BY eve
     "label_filter": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) GROUP BY lang",
     "top_customers": "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1 ORDER BY cents DESC, o_custkey LIMIT 20",
 }
-SQL["overall_status_whole"] = SQL["overall_status"].replace(" WHERE user_id < 40", "")

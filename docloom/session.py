@@ -8,8 +8,9 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -48,3 +49,19 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _SHIPPED.add(app)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where it has fewer partitions than there are; as it is otherwise, so large tables are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getConf().get("spark.checkpoint.dir", "")
+    if not named and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        named = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docloom-"))
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named.rstrip("/")

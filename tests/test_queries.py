@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from docloom.plans import catalog
@@ -44,17 +46,20 @@ def test_long_documents_are_split_and_ingested(spark, tmp_path):
     assert sum(r.chunks for r in got) == len(chunks) and sum(r.chunks * r.avg_length for r in got) == pytest.approx(sum(map(len, chunks)), abs=0.01)
 
 
-def test_related_chunks_by_the_whole_text(spark, tmp_path):
-    """Keywords beyond the first eight tokens relate chunks, and equal beginnings alone do not."""
-    same, a, b = "one two three four five six seven eight", " ".join(f"a{c}x" for c in "bcdefghijklmnop"), " ".join(f"q{c}y" for c in "bcdefghijklmnop")
-    texts = {10: f"zero {a}", 20: f"null {a}", 30: f"{same} {a} {a.upper()}", 40: f"{same} {b}", 50: None}
-    rows = [(d, t, "en", "s", 1) for d, t in texts.items()]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    kw = {d: set(t.split()) for d, t in texts.items() if t}
-    near = lambda x, y: round(0.3 + 0.4 * len(kw[x] & kw[y]) / max(len(kw[x]), len(kw[y])) + 0.2, 9) >= 0.6
-    want = {x: ",".join(str(y) for y in kw if y != x and near(x, y)) for x in kw}
-    got = {r.chunk_index: r.related for r in catalog.queries()["related_chunks_whole"](spark, str(tmp_path)).collect()}
-    assert got == {x: v for x, v in want.items() if v} and got[10].startswith("20")
+@pytest.mark.parametrize("least", [0.1, 0.25, 0.3, 0.5, 0.6, 0.75])
+def test_related_chunks_against_all_pairs(spark, least):
+    from docloom.operators.enrich import related_chunks
+
+    rng = random.Random(5)
+    rows = [(s, i, rng.choice("ab"), rng.choice("xyz"), [rng.choice("klmnopq") for _ in range(rng.randrange(5))]) for s in range(3) for i in range(25)]
+
+    def score(a, b):
+        shared = len(set(a[4]) & set(b[4])) / max(len(set(a[4])), len(set(b[4])), 1)
+        return round(0.3 * (a[2] == b[2]) + 0.4 * shared + 0.2 * (a[3] == b[3]) + 0.1 * (abs(a[1] - b[1]) <= 2), 9)
+
+    want = {(a[0], a[1]): [b[1] for b in rows if a[0] == b[0] and a[1] != b[1] and score(a, b) >= least][:5] for a in rows}
+    got = related_chunks(spark.createDataFrame(rows, "source int, chunk_index int, category string, domain string, keywords array<string>"), least)
+    assert {(r.source, r.chunk_index): r.related for r in got.collect()} == {k: v for k, v in want.items() if v}
 
 
 def test_sql_names_are_queries():
