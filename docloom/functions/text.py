@@ -39,22 +39,42 @@ def hits(text: Column, words: Iterable[str]) -> Column:
     return total
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern at its top level, a group at the start of one opened up, without leading word edges."""
+    parts, depth = [""], 0
+    for c in re.findall(r"\\.|\[[^\]]*\]|.", pattern, re.DOTALL):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    out = []
+    for part in (p.removeprefix(r"\b") for p in parts):
+        group = re.match(r"\(\?:([^()]+)\)(?![?*{])", part)
+        out += group[1].split("|") if group else [part]
+    return out
+
+
 def literals(pattern: str) -> list[str]:
     """Lower-case texts one of which stands wherever the pattern matches: the starts of its alternatives. Empty if unknown."""
-    whole = re.fullmatch(r"\\b\(\?:([^()]+)\)\\b", pattern)
-    parts = whole[1].split("|") if whole else [pattern.removeprefix(r"\b")]
     starts = []
-    for part in parts:
+    for part in alternatives(pattern):
         word, after = re.match(r"([^\W\d_]*)(.?)", part, re.DOTALL).groups()
         starts.append((word[:-1] if after and after in "?*{" else word).lower())
     return starts if all(len(x) >= 3 for x in starts) else []
 
 
+def possible(low: Column, pattern: str) -> Column:
+    """Whether the lower-cased text holds what a match needs: one of its literals, or a digit where all alternatives start with one."""
+    needed = literals(pattern)
+    if needed:
+        return contains_any(low, needed)
+    return low.rlike(r"\p{Nd}") if all(p.startswith(r"\d") for p in alternatives(pattern)) else F.lit(True)
+
+
 def matches(text: Column, low: Column, pattern: str, flags: str = "iU") -> Column:
     """text.rlike(pattern), tried only where the lower-cased text holds what a match needs."""
-    found = text.rlike(f"(?{flags}){pattern}")
-    needed = literals(pattern)
-    return contains_any(low, needed) & found if needed else found
+    return possible(low, pattern) & text.rlike(f"(?{flags}){pattern}")
 
 
 def expand_acronyms(text: Column, acronyms: Mapping[str, str] = lx.ACRONYMS) -> Column:

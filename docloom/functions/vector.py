@@ -24,8 +24,7 @@ def norm(a: Column) -> Column:
 
 def cosine_signed(a: Column, b: Column) -> Column:
     """Cosine in [-1, 1]; null for a zero vector."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot_raw(a, b) / n)
+    return cosine_of(dot_raw(a, b), norm(a) * norm(b))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,6 +48,11 @@ def angular(a: Column, b: Column) -> Column:
     return 1 - F.acos(cosine(a, b)) / F.pi()
 
 
+def cosine_of(dot_: Column, norms: Column) -> Column:
+    """Cosine in [-1, 1] from a dot product and the product of the norms; null for a zero vector."""
+    return F.when(norms > 0, dot_ / norms)
+
+
 METRICS = {"cosine": cosine, "dot": dot, "euclidean": euclidean, "manhattan": manhattan, "angular": angular}
 
 

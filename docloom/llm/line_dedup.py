@@ -222,7 +222,8 @@ def recurring(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, min_t
     named = plain.withColumn("group", F.col("template")).unionByName(plain.join(groups, "template").select("key", "print", "template", "group"))
     often = scratch.table("often", named.select("group", "print").distinct().groupBy("group").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("group"), few=True)
     gone = often.select(F.col("group").alias("template")).unionByName(groups.join(often, "group").select("template")).distinct()
-    return rows.select("key", "template").join(scratch.table("gone", gone, few=True), "template").groupBy("key").agg(F.collect_set("template").alias("templates"))
+    gone = rows.select("key", "template").join(scratch.table("gone", gone, few=True), "template").groupBy("key").agg(F.collect_set("template").alias("templates"))
+    return scratch.table("texts", gone)  # written, so that the join to the texts has nothing but exchanges under it and copies of one text can be split
 
 
 def _drop_task(fn):

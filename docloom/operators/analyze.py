@@ -25,7 +25,9 @@ def content_type(text: Column, words: lx.Analyzer = lx.Analyzer()) -> Column:
 
 
 def _all(text: Column, patterns: Iterable[str]) -> Column:
-    return F.concat(*(F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0)) for p in patterns))
+    """All matches of the patterns, each tried only where the text holds what a match needs."""
+    low, none = F.lower(text), F.array().cast("array<string>")
+    return F.concat(*(F.when(tx.possible(low, p), F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0))).otherwise(none) for p in patterns))
 
 
 def keywords(text: Column) -> Column:
@@ -46,7 +48,7 @@ def sequential_steps(text: Column) -> Column:
 
 
 def step_count(text: Column) -> Column:
-    return F.greatest(*(F.regexp_count(text, F.lit(f"(?iU){p}")) for p in lx.STEP_PATTERNS))
+    return F.greatest(*(F.when(tx.possible(F.lower(text), p), F.regexp_count(text, F.lit(f"(?iU){p}"))).otherwise(0) for p in lx.STEP_PATTERNS))
 
 
 def language_counts(text: Column, german=lx.GERMAN_WORDS, english=lx.ENGLISH_WORDS) -> tuple[Column, Column]:

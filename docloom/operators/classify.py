@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
+from docloom.functions import text as tx
 from docloom.operators import analyze as an
 
 
@@ -15,7 +16,7 @@ def matches(rule: lx.Rule, text: Column) -> Column:
     """Any keyword substring or pattern; all keywords if the rule requires them."""
     low = F.lower(text)
     kw = [F.contains(low, F.lit(k)) for k in rule.keywords]
-    pat = [text.rlike(f"(?imU){p}") for p in rule.patterns]
+    pat = [tx.matches(text, low, p, "imU") for p in rule.patterns]
     if rule.requires_all and kw:
         return reduce(lambda a, b: a & b, kw) & (reduce(lambda a, b: a | b, pat) if pat else F.lit(True))
     return F.coalesce(reduce(lambda a, b: a | b, kw + pat, F.lit(False)), F.lit(False))

@@ -108,7 +108,7 @@ def related_chunks(chunks: DataFrame, least: float = 0.5, most: int = 5, near: i
     the first chunks of equal labels, since only the first are kept. So no source's chunks are all paired.
     """
     a = chunks.select("source", "chunk_index", "category", "domain", F.array_distinct("keywords").alias("kw")).withColumn("n", F.size("kw"))
-    words = a.select("source", "chunk_index", F.explode("kw").alias("w"))
+    words = a.select("source", "chunk_index", F.explode(F.transform("kw", lambda w: F.xxhash64(w))).alias("w"))
     other = words.select("source", F.col("chunk_index").alias("other"), "w")
     shared = words.join(other, ["source", "w"]).where("chunk_index <> other").groupBy("source", "chunk_index", "other").agg(F.count("*").alias("shared"))
     here = a.select("source", "chunk_index", "category", "domain", "n")

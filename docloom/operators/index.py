@@ -31,19 +31,22 @@ def build(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", mode:
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tx.tokens(text, least), F.array().cast("array<string>")).alias("terms"), flag.alias("technical"))
     postings = base.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     lengths = base.select("doc_id", F.size("terms").cast("long").alias("dl"), "technical")
-    numbers = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.min("dl").alias("mindl"), F.max("dl").alias("maxdl"))
-    return Index(postings, lengths, numbers)
+    return Index(postings, lengths, numbered(lengths))
 
 
 def store(index: Index, path: str) -> Index:
-    """Writes the index, postings sorted by term so that a query's filter skips row groups, and returns it as read back."""
+    """Writes the index, a term's postings together and sorted so that a query's filter skips row groups, and returns it as read back."""
     spark = index.postings.sparkSession
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    index.numbers.write.mode("overwrite").parquet(f"{path}/numbers")
+    numbered(spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/numbers")
     return load(spark, path)
 
 
+def numbered(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.min("dl").alias("mindl"), F.max("dl").alias("maxdl"))
+
+
 def load(spark, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "numbers")))
 

@@ -26,15 +26,26 @@ BLOCK = 10_000
 
 def scores(store: DataFrame, queries: DataFrame, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, vec_id, score, of every stored vector and query (query_id, vector); a scan of the store for each block of queries."""
-    return _scores(store, queries, vx.METRICS[metric], vec_id, embedding)
+    if metric not in ("cosine", "angular"):
+        return _scores(store, queries, vx.METRICS[metric], vec_id, embedding)
+    clamped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
+    s = signed_scores(store, queries, vec_id, embedding)
+    return s.withColumn("score", clamped(F.col("score")) if metric == "cosine" else 1 - F.acos(clamped(F.col("score"))) / F.pi())
 
 
-def _scores(store: DataFrame, queries: DataFrame, fn: Callable[[Column, Column], Column], vec_id: str, embedding: str) -> DataFrame:
-    base = store.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"))
-    q = queries.select("query_id", F.col("vector").alias("q"))
+def signed_scores(store: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """Cosine in [-1, 1] of every stored vector and query, null for a zero vector; norms are computed once a row, not once a pair."""
+    s = store.select(vec_id, embedding, vx.norm(F.col(embedding)).alias("_norm"))
+    q = queries.select("query_id", "vector", vx.norm(F.col("vector")).alias("_norm"))
+    return _scores(s, q, vx.dot_raw, vec_id, embedding, lambda d: vx.cosine_of(d, F.col("nq") * F.col("nv")), ("_norm",))
+
+
+def _scores(store: DataFrame, queries: DataFrame, fn: Callable[[Column, Column], Column], vec_id: str, embedding: str, last: Callable[[Column], Column] = lambda c: c, more: tuple[str, ...] = ()) -> DataFrame:
+    base = store.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), *(F.col(c).alias("nv") for c in more))
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"), *(F.col(c).alias("nq") for c in more))
     n = q.limit(BLOCK + 1).count()
     parts = [q] if n <= BLOCK else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(m)) == i) for m in [-(-q.count() // BLOCK) * 2] for i in range(m)]
-    out = [base.join(F.broadcast(p), F.size("v") == F.size("q")).select("query_id", "vec_id", fn(F.col("q"), F.col("v")).alias("score")) for p in parts]
+    out = [base.join(F.broadcast(p), F.size("v") == F.size("q")).select("query_id", "vec_id", last(fn(F.col("q"), F.col("v"))).alias("score")) for p in parts]
     first = out[0]
     for x in out[1:]:
         first = first.unionByName(x)
@@ -110,7 +121,7 @@ def _best(shared, k: int, metric: str):
 
 def signed_knn(store: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Cosine in [-1, 1]; zero vectors have none and are left out."""
-    s = _scores(store, queries, vx.cosine_signed, vec_id, embedding)
+    s = signed_scores(store, queries, vec_id, embedding)
     return top_k(s.where("score IS NOT NULL"), k, tie="vec_id")
 
 

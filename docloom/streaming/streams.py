@@ -25,8 +25,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, mode: str | None = Non
 
 def load_ingested(spark, path: str) -> ix.Index:
     postings, lengths = spark.read.parquet(f"{path}/postings").drop("batch"), spark.read.parquet(f"{path}/lengths").drop("batch")
-    numbers = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.min("dl").alias("mindl"), F.max("dl").alias("maxdl"))
-    return ix.Index(postings, lengths, numbers)
+    return ix.Index(postings, lengths, ix.numbered(lengths))
 
 
 def windowed_metrics(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
