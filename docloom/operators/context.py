@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -56,6 +57,40 @@ def embed(texts: DataFrame, provider: Callable[[pd.Series], pd.Series], text: st
     return keyed.join(once, "_key", "left").drop("_key")
 
 
+def batched(provider: Callable[[pd.Series], pd.Series], size: int = 16, tries: int = 3, wait: float = 0.0) -> Callable[[pd.Series], pd.Series]:
+    """provider in batches of `size`, each tried up to `tries` times with a pause that grows by `wait` seconds; a batch that always fails is null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(texts), size):
+            part = texts.iloc[at : at + size]
+            for n in range(1, tries + 1):
+                try:
+                    out.append(pd.Series(list(provider(part)), index=part.index, dtype=object))
+                    break
+                except Exception:  # noqa: BLE001  any failure of a remote provider counts as one try
+                    time.sleep(wait * n)
+            else:
+                out.append(pd.Series([None] * len(part), index=part.index, dtype=object))
+        return pd.concat(out) if out else pd.Series([], dtype=object)
+
+    return run
+
+
+#: Language-model providers by name: a series of prompts to a series of answers.
+PROVIDERS: dict[str, Callable[[pd.Series], pd.Series]] = {}
+
+
+def register_provider(name: str, provider: Callable[[pd.Series], pd.Series]) -> None:
+    PROVIDERS[name] = provider
+
+
+def complete(prompts: DataFrame, provider: str | Callable[[pd.Series], pd.Series], prompt: str = "prompt", **more) -> DataFrame:
+    """prompts with `answer` from a provider, in batches with retries."""
+    fn = PROVIDERS[provider] if isinstance(provider, str) else provider
+    return prompts.withColumn("answer", F.pandas_udf(batched(fn, **more), T.StringType())(F.col(prompt)))
+
+
 def embedding_stats(df: DataFrame, embedding: str, dim: int) -> DataFrame:
     from docloom.functions import vector as vx
 

@@ -82,6 +82,13 @@ def filter_tags(domain_: Column, safety_: Column, flags: Column, primary: Column
     return F.concat_ws(", ", F.when(domain_ != "general", F.concat(F.lit("domain:"), domain_)), F.when(safety_ != "none", F.concat(F.lit("safety:"), safety_)), tag("has_warnings"), tag("has_procedures"), tag("has_specifications"), F.concat(F.lit("category:"), primary))
 
 
+def distributions(enriched: DataFrame, fields: tuple[str, ...] = ("quality", "safety", "expertise", "domain", "section")) -> DataFrame:
+    """field, value, n, percent: how often each value of the enrichment's fields occurs; one pass over the rows."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col("enrichment")[f].alias("value")) for f in fields))
+    counts = enriched.select(F.explode(pairs).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy("field")))
+
+
 def content_hash(text: Column) -> Column:
     return F.left(F.sha2(text.cast("binary"), 256), F.lit(16))
 

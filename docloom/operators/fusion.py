@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
+from docloom.operators.keyword import threshold, top_k
 
 KEYS = ["query_id", "doc_id"]
-#: Rows of a query that a greedy selection looks at.
-FETCH = 1000
+#: Rows of a query that a greedy selection takes; more are an error, never dropped. The caller's fetch size bounds them.
+FETCH = 10_000
 
 
 def per_side(k: int, factor: float = 1.5) -> int:
@@ -143,11 +144,11 @@ def _alike(a: set, b: set) -> float:
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-def mmr(ranked: DataFrame, k: int = 5, balance: float = 0.5) -> DataFrame:
+def mmr(ranked: DataFrame, k: int = 5, balance: float = 0.5, fetch: int = FETCH) -> DataFrame:
     """Maximal marginal relevance over the rows a query fetched: query_id, doc_id, score, place. Columns: query_id, doc_id, content, score."""
 
     def select(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+        rows = _fetched(rows, fetch)
         if len(rows) <= k:
             return rows.assign(place=range(1, len(rows) + 1), mmr=rows["score"])[["query_id", "doc_id", "mmr", "place"]]
         words, rel, taken, near = _sets(rows), rows["score"].tolist(), [0], [0.0] * len(rows)
@@ -167,27 +168,39 @@ def mmr(ranked: DataFrame, k: int = 5, balance: float = 0.5) -> DataFrame:
         out = rows.loc[taken, ["query_id", "doc_id"]]
         return out.assign(mmr=values, place=range(1, len(taken) + 1))
 
-    return _fetched(ranked).groupBy("query_id").applyInPandas(select, _schema(ranked, "mmr double, place int"))
+    return ranked.select(*KEYS, "content", "score").groupBy("query_id").applyInPandas(select, _schema(ranked, "mmr double, place int"))
 
 
-def near_duplicates(ranked: DataFrame, alike: float = 0.95) -> DataFrame:
+def near_duplicates(ranked: DataFrame, alike: float = 0.95, fetch: int = FETCH) -> DataFrame:
     """The rows that stay when, from the best down, each too close to a kept one goes."""
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+        rows = _fetched(rows, fetch)
         words, kept = _sets(rows), []
         for i, w in enumerate(words):
             if all(_alike(w, words[j]) < alike for j in kept):
                 kept.append(i)
         return rows.loc[kept, ["query_id", "doc_id", "score"]]
 
-    return _fetched(ranked).groupBy("query_id").applyInPandas(keep, _schema(ranked, "score double"))
+    return ranked.select(*KEYS, "content", "score").groupBy("query_id").applyInPandas(keep, _schema(ranked, "score double"))
 
 
-def _fetched(ranked: DataFrame) -> DataFrame:
-    """The best rows of each query, as the retrieval's fetch size bounds them."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return ranked.select(*KEYS, "content", "score").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FETCH).drop("n")
+def _fetched(rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    """A query's rows, the best first."""
+    if len(rows) > most:
+        raise ValueError(f"a query has {len(rows)} rows to select from, more than fetch={most}; retrieve fewer or raise it")
+    return rows.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+
+
+def hybrid(vector: DataFrame, keyword: DataFrame, contents: DataFrame, k: int = 5, how: str = "rrf", least: float = 0.0, alike: float | None = 0.95, factor: float = 1.5, **more) -> DataFrame:
+    """The k best of both sides: each gives per_side(k) rows, fused; then the least score, near-duplicates, and ranks.
+
+    vector, keyword: query_id, doc_id, score; contents: doc_id, content. alike None keeps near-duplicates.
+    """
+    sides = [top_k(s, per_side(k, factor)).drop("rank") for s in (vector, keyword)]
+    fused = fuse(*sides, how, **more)
+    found = threshold(fused, least).join(contents.select("doc_id", "content"), "doc_id")
+    return top_k(found if alike is None else near_duplicates(found, alike), k).select(*KEYS, "score", "rank")
 
 
 def _schema(df: DataFrame, more: str) -> str:
@@ -208,5 +221,5 @@ def adaptive_weights(queries: DataFrame, vector: float = 0.7, keyword: float = 0
 
 def adaptation_stats(log: DataFrame, last: int = 1000, strong: float = 0.6) -> DataFrame:
     """Over the last rows of a log (ts, vector_weight, keyword_weight, results): counts and means."""
-    recent = log.orderBy(F.desc("ts")).limit(last)
+    recent = log.orderBy(F.desc("ts"), *log.columns).limit(last)
     return recent.agg(F.count("*").alias("queries"), F.sum((F.col("vector_weight") > strong).cast("long")).alias("vector_dominant"), F.sum((F.col("keyword_weight") > strong).cast("long")).alias("keyword_dominant"), F.avg("vector_weight").alias("avg_vector_weight"), F.avg("keyword_weight").alias("avg_keyword_weight"), F.avg("results").alias("avg_results"))

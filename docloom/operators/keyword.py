@@ -8,6 +8,7 @@ only they are joined to lengths. Ties go to the smaller doc_id.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -128,6 +129,41 @@ def fuzzy(index: Index, terms: DataFrame, least: float = 0.8) -> DataFrame:
     return per.join(size, "query_id").select("query_id", "doc_id", (F.col("s") / F.col("q_terms")).alias("score"))
 
 
+def substring(docs: DataFrame, term: str, k: int = 5, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
+    """doc_id, distance of the first k documents, by id, whose text has the term, whatever its case; the distance is constant."""
+    hit = docs.where(F.contains(F.lower(F.col(content)), F.lit(term.lower())))
+    return hit.select(F.col(doc_id).alias("doc_id"), F.lit(0.5).alias("distance")).orderBy("doc_id").limit(k)
+
+
+@dataclass(frozen=True)
+class Options:
+    """Settings of a keyword search; values out of range are reset to the defaults, not refused. replace() gives changed ones for the next plan."""
+
+    algorithm: str = "bm25"
+    mode: str | None = "industrial"
+    k1: float = K1
+    b: float = B
+    fuzzy_least: float = 0.8
+    ngram: tuple[int, int] = (1, 2)
+
+    def __post_init__(self):
+        default = {f.name: f.default for f in fields(Options)}
+        ok = {
+            "algorithm": self.algorithm in ALGORITHMS,
+            "mode": self.mode is None or self.mode in tx.PREPROCESSING,
+            "k1": self.k1 > 0,
+            "b": 0 <= self.b <= 1,
+            "fuzzy_least": 0 <= self.fuzzy_least <= 1,
+            "ngram": 1 <= self.ngram[0] <= self.ngram[1],
+        }
+        for name in (n for n, good in ok.items() if not good):
+            object.__setattr__(self, name, default[name])
+
+    def search(self, index: Index, queries: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
+        more = {"bm25": {"k1": self.k1, "b": self.b}, "fuzzy": {"least": self.fuzzy_least}}.get(self.algorithm, {})
+        return top_k(threshold(ALGORITHMS[self.algorithm](index, queries, **more), least), k)
+
+
 ALGORITHMS = {"bm25": bm25, "tf_idf": tfidf, "fuzzy": fuzzy}
 
 

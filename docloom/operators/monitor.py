@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,6 +83,41 @@ def summary(log: DataFrame, hours: int, now: Column, status: str = "status") ->
     return recent.agg(F.count("*").alias("n"), F.avg((F.col(status) == "healthy").cast("double") * 100).alias("availability"))
 
 
+def metric_summary(log: DataFrame, hours: int, now: Column, order: list[str], status: str = "status", provider: str = "provider") -> DataFrame:
+    """Over the last hours: rows, share of healthy ones in percent, a histogram of states (map), and changes of provider in the given order."""
+    recent = log.where(F.col("ts") >= now - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    states = recent.groupBy(status).agg(F.count("*").alias("c")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "c")))).alias("states"))
+    changes = state_changes(recent.withColumn("_all", F.lit(1)), "_all", order, provider).select(F.col("changes").alias("provider_changes"))
+    return summary(log, hours, now, status).crossJoin(states).join(F.broadcast(changes), F.lit(True), "left").withColumn("provider_changes", F.coalesce("provider_changes", F.lit(0)))
+
+
+def stage_timing(log: DataFrame, stage: str = "stage", ms: str = "ms") -> DataFrame:
+    """Of each stage: runs, mean time, and its share of all time in percent."""
+    a = log.groupBy(stage).agg(F.count("*").alias("n"), F.avg(ms).alias("avg_ms"), F.sum(ms).alias("total_ms"))
+    return a.withColumn("percent", F.when(F.sum("total_ms").over(W.partitionBy()) > 0, F.col("total_ms") * 100.0 / F.sum("total_ms").over(W.partitionBy())).otherwise(0.0))
+
+
+Check = Callable[[SparkSession], tuple[str, float | None]]
+CHECKS: dict[str, Check] = {}
+
+
+def register_check(name: str, check: Check) -> None:
+    """A further health check: a function of the session to a status and a value."""
+    CHECKS[name] = check
+
+
+def run_checks(spark: SparkSession, checks: dict[str, Check] | None = None) -> DataFrame:
+    """component, status, value, error: a row for each check; one that fails is unhealthy with its error."""
+    rows = []
+    for name, check in (CHECKS if checks is None else checks).items():
+        try:
+            status, value = check(spark)
+            rows.append((name, status, None if value is None else float(value), None))
+        except Exception as e:  # noqa: BLE001  a failing check is a result
+            rows.append((name, "unhealthy", None, f"{type(e).__name__}: {e}"))
+    return spark.createDataFrame(rows, "component string, status string, value double, error string")
+
+
 def exception_stats(errors: DataFrame, last: int = 10) -> tuple[DataFrame, DataFrame]:
     """Counts by type, and the last rows. Columns: ts, type."""
     return errors.groupBy("type").agg(F.count("*").alias("n")), errors.orderBy(F.desc("ts"), "type").limit(last)

@@ -175,6 +175,19 @@ def candidates(found: DataFrame) -> DataFrame:
     return best.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+def semantic(store: DataFrame, variants: DataFrame, contents: DataFrame, k: int = 5, least: float = 0.1, recent: Column | None = None, most: int = 100, **names) -> DataFrame:
+    """The k best documents of each query over its variants, with boosts.
+
+    variants: query_id, variant, vector; contents: doc_id, content. Each variant fetches min(2k, most); a document has the best of
+    its scores, of texts that begin alike the best stays; boosts follow, then the least score, then ranks.
+    """
+    q = variants.select(F.struct("query_id", "variant").alias("query_id"), "vector")
+    found = knn(store, q, min(2 * k, most), **names).select(F.col("query_id.query_id").alias("query_id"), F.col("vec_id").alias("doc_id"), "score")
+    best = candidates(found.join(contents.select("doc_id", "content"), "doc_id"))
+    scored = best.withColumn("score", boosted(F.col("content"), F.col("score"), recent=recent))
+    return top_k(scored.where(F.col("score") >= least), k).select("query_id", "doc_id", "score", "rank")
+
+
 def boosted(content: Column, score: Column, technical: float = 1.2, safety: float = 1.5, recent: Column | None = None) -> Column:
     """Boosts by vocabulary (and by 1.05 where recent holds), capped at 1."""
     low = F.lower(content)

@@ -53,11 +53,6 @@ def ngrams(spark, sf):
     return b.select("item_id", long(F.size("g")).alias("n"), F.md5(F.array_join("g", "|")).alias("h"))
 
 
-def query_terms(spark, sf):
-    q = spark.createDataFrame([(1, "Wartung der SPS, Motor 2,5 kg"), (2, "Fehler am Ventil"), (3, "Pumpe und Sensor defekt")], "query_id int, text string")
-    return q.select(long("query_id").alias("query_id"), F.array_join(tx.query_terms(F.col("text")), "|").alias("terms"))
-
-
 def content_type(spark, sf):
     return _docs(spark, sf).select("doc_id", an.content_type(F.col("text"), WORDS_OF).alias("content_type"))
 
@@ -238,22 +233,12 @@ def upsert(spark, sf):
     return store.upserted(*_changed(spark, sf), "doc_id")
 
 
-def delete_ids(spark, sf):
-    d, new = _changed(spark, sf)
-    return d.join(new.select("doc_id"), "doc_id", "left_anti")
-
-
-def get_by_ids(spark, sf):
-    d, new = _changed(spark, sf)
-    return d.join(new.select("doc_id"), "doc_id", "left_semi")
-
-
 def flatten_metadata(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("kind"), F.array("user_id", "event_id").alias("ids"))
     return store.flatten_metadata(e, ["kind", "ids"])
 
 
-QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, query_terms, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, select_models, upsert, delete_ids, get_by_ids, flatten_metadata]
+QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, select_models, upsert, flatten_metadata]
 
 _W = WORDS_OF
 _L = "lower(text)"
@@ -367,6 +352,8 @@ SELECT source, count(*) AS chunks, array_to_string(list_sort(list(DISTINCT CASE
     "analyze_full": f"SELECT doc_id, kind AS content_type, CAST(n_kw AS BIGINT) AS n_keywords, round(conf, 6) + 0.0 AS confidence FROM ({_CONFIDENCE})",
     "enrich_documents": _enrich_sql(),
     "chunk_category": "SELECT category, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {sql_any(_L, ws)} THEN '{n}'" for n, ws in lx.CHUNK_CATEGORIES) + " ELSE 'general' END AS category FROM documents) GROUP BY category",
+    "split_words": f"""SELECT doc_id, r.c + 1 AS chunks, CAST(r.s + r.n AS BIGINT) AS chars FROM (SELECT doc_id, list_reduce(list_transform({WORDS.format('text')}, lambda w: {{'c': 0::BIGINT, 'n': length(w), 's': 0::BIGINT}}),
+lambda a, b: CASE WHEN a.n + b.n + 1 > 200 THEN {{'c': a.c + 1, 'n': b.n, 's': a.s + a.n}} ELSE {{'c': a.c, 'n': a.n + b.n + 1, 's': a.s}} END) AS r FROM documents WHERE len({WORDS.format('text')}) > 0)""",
     "page_text_clean": rf"SELECT page_id, md5(regexp_replace(array_to_string({_CUT}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')) AS h FROM pages",
     "pdf_dates": "SELECT * FROM (VALUES ('D:20240131235959+01''00''', '2024-01-31T23:59:59'), ('D:20241301', NULL), ('20200229', '2020-02-29T00:00:00'), ('nonsense', NULL), ('D:2023', '2023-01-01T00:00:00')) v(value, iso)",
     "source_identifiers": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '/data/' || source ELSE left(md5(text), 16) END AS identifier FROM documents",
@@ -383,7 +370,5 @@ WHEN lang NOT IN ('en', 'de') THEN 'ollama.qwen2_7b,ollama.llama3.1_8b' ELSE 'ol
 CASE WHEN doc_id % 3 = 0 THEN 'ollama.mxbai_embed_large' WHEN lang = 'fr' THEN 'ollama.multilingual_e5_large' WHEN doc_id % 2 = 0 THEN 'ollama.all_minilm_l6_v2' ELSE 'ollama.nomic_embed_text' END AS embedding FROM documents)
 SELECT doc_id, string_split(m, ',')[1] AS llm, string_split(m, ',')[2] AS llm_fallback, embedding FROM r""",
     "upsert": "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN upper(lang) ELSE lang END AS lang, CASE WHEN doc_id % 10 = 3 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
-    "delete_ids": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 3",
-    "get_by_ids": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 = 3",
     "flatten_metadata": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS kind, '[' || user_id || ',' || event_id || ']' AS ids FROM events",
 }

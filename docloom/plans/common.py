@@ -34,3 +34,18 @@ def sql_hits(text: str, words) -> str:
 
 TOKENS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 2)"
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+
+
+def sql_values(columns: str, rows: list[tuple]) -> str:
+    """A relation of literal rows, as SQL."""
+
+    def cell(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, int):
+            return f"CAST({v} AS BIGINT)"
+        return f"{v}::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
+
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({columns})"

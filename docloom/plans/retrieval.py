@@ -293,36 +293,9 @@ def near_dup_greedy(spark, sf):
     return fusion.near_duplicates(k, 0.9).select("doc_id", r6("score").alias("score"))
 
 
-_QUESTIONS = [(1, "Wie wird der Sensor kalibriert?"), (2, "Störung am Motor beheben"), (3, "technische Daten der Pumpe"), (4, "Unterschied Ventil und Aktor vs Servo Motor"), (5, "hello world"), (6, "warum wie was funktioniert das prinzip der steuerung in dieser anlage heute genau")]
-
-
-def route_queries(spark, sf):
-    q = router.analyze(spark.createDataFrame(_QUESTIONS, "query_id int, text string"))
-    return q.select(long("query_id").alias("query_id"), "query_type", F.array_join("technical_terms", ",").alias("terms"), "strategy", long("k").alias("k"), "sequential")
-
-
-def adaptive_weights(spark, sf):
-    w = fusion.adaptive_weights(spark.createDataFrame(_QUESTIONS, "query_id int, text string"))
-    return w.select(long("query_id").alias("query_id"), r6("vector_weight").alias("vector_weight"), r6("keyword_weight").alias("keyword_weight"))
-
-
-def expand_queries(spark, sf):
-    q = spark.createDataFrame([(1, "Motor Fehler"), (2, "Ventil")], "query_id int, text string")
-    out = None
-    for how in ("synonyms", "domain", "multilingual"):
-        x = vectors.expand(q, how).select(long("query_id").alias("query_id"), F.lit(how).alias("how"), long("variant").alias("variant"), "text")
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
-def adaptive_search(spark, sf):
-    engine = router.Engine(_docs(spark, sf), _index(spark, sf), mode=None)
-    return engine.search(router.Request("license apache mit", k=5, strategy="keyword")).select("doc_id", r6("score").alias("score"), long("rank").alias("rank"))
-
-
 QUERIES = [bm25_topk, tfidf_topk, bm25_batch, boolean_search, phrase_search, fuzzy_vocab, term_completions, query_suggestions, index_stats, query_term_profile, query_popularity, highlight_terms, term_contexts]
 QUERIES += [_knn(m) for m in vx.METRICS] + [_knn_matrix(m) for m in vx.METRICS] + [knn_filtered, knn_signed] + [_multi(h) for h in _MULTI_SQL] + [hash_embedding_knn] + [_fuse(h) for h in _FUSE_SQL]
-QUERIES += [fuse_one_sided, service_fuse, multi_strategy, rerank_overlap, shape_rerank, diversity_penalty, mmr, near_dup_greedy, route_queries, adaptive_weights, expand_queries, adaptive_search]
+QUERIES += [fuse_one_sided, service_fuse, multi_strategy, rerank_overlap, shape_rerank, diversity_penalty, mmr, near_dup_greedy]
 
 _LOW = "lower(text)"
 _OCC = lambda w: f"((length({_LOW}) - length(replace({_LOW}, '{w}', ''))) // {len(w)})"
@@ -368,10 +341,12 @@ SELECT doc_id, round(score, 6) + 0.0 AS score, round(score + 0.2 * {_OVERLAP} +
     "diversity_penalty": _SIDES + f"""{_CONTENT}, w AS (SELECT doc_id, score, rank, list_distinct({_SET}) AS w FROM kc),
 j AS (SELECT a.doc_id, a.score, coalesce(max(len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(list_distinct(list_concat(a.w, b.w))), 0)), 0) AS p FROM w a LEFT JOIN w b ON b.rank < a.rank GROUP BY ALL)
 SELECT doc_id, round(score * (1 - 0.3 * p), 6) + 0.0 AS score FROM j""",
-    "adaptive_search": _scored_sql({0: "license apache mit"}, _BM25, 10.0) + f""", c AS (SELECT r.doc_id, (score + len(list_intersect({_SET}, ['license', 'apache', 'mit'])) / 3.0) / 2 AS s, text FROM ranked r JOIN documents USING (doc_id) WHERE rank <= 20),
-z AS (SELECT doc_id, s + 0.2 * len(list_intersect({_SET}, ['license', 'apache', 'mit'])) / 3.0 + 0.1 * (CAST(contains(left(lower(text), 100), 'license') AS INTEGER) + CAST(contains(left(lower(text), 100), 'apache') AS INTEGER) + CAST(contains(left(lower(text), 100), 'mit') AS INTEGER)) / 3.0
-+ CASE WHEN length(text) < 20 THEN -0.1 WHEN length(text) BETWEEN 50 AND 1000 THEN 0.05 WHEN length(text) > 3000 THEN -0.05 ELSE 0 END AS score FROM c)
-SELECT doc_id, round(score, 6) + 0.0 AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z QUALIFY rank <= 5""",
+    "term_contexts": r"""WITH p AS (SELECT doc_id, text, list_transform(regexp_split_to_array(regexp_replace(text, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g'), chr(1) || '(?i:license)' || chr(2)), lambda x: length(translate(x, chr(1) || chr(2), ''))) AS n FROM documents),
+s AS (SELECT doc_id, text, list_sum(n[1:i]) + (i - 1) * 7 AS place FROM (SELECT doc_id, text, n, unnest(range(1, len(n))) AS i FROM p))
+SELECT doc_id, trim(substring(text, CAST(greatest(place - 20, 0) + 1 AS BIGINT), CAST(place + 27 - greatest(place - 20, 0) AS BIGINT))) AS context FROM s""",
+    "near_dup_greedy": (_SIDES + f"""{_CONTENT}, x AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS i, doc_id, score, list_distinct({_SET}) AS w FROM kc),
+r AS (SELECT 0::BIGINT AS i, CAST([] AS STRUCT(d BIGINT, w VARCHAR[])[]) AS kept UNION ALL SELECT x.i, CASE WHEN len(list_filter(r.kept, lambda k: coalesce(len(list_intersect(k.w, x.w))::DOUBLE / nullif(len(list_distinct(list_concat(k.w, x.w))), 0), 1.0) >= 0.9)) = 0 THEN list_append(r.kept, {{'d': x.doc_id, 'w': x.w}}) ELSE r.kept END FROM r JOIN x ON x.i = r.i + 1)
+SELECT doc_id, round(score, 6) + 0.0 AS score FROM x WHERE list_contains(list_transform((SELECT kept FROM r ORDER BY i DESC LIMIT 1), lambda k: k.d), doc_id)""").replace("WITH q AS", "WITH RECURSIVE q AS", 1),
 }
 SQL |= {f"knn_{how}{m}": _knn_sql(s, 10) for m, s in _METRIC_SQL.items() for how in ("", "matrix_")}
 SQL |= {f"multi_vector_{h}": f"{_PAIRS} SELECT CAST(group_id AS BIGINT) AS group_id, round({s}, 6) + 0.0 AS score FROM p GROUP BY group_id" for h, s in _MULTI_SQL.items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
@@ -42,5 +44,15 @@ def from_mapping(values: Mapping[str, object], base: Settings = Settings()) -> S
     return out
 
 
+def from_file(path: str, base: Settings = Settings()) -> Settings:
+    """Settings from a JSON file, or from lines `name: value` (YAML without nesting; sections and comments are skipped)."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if text.lstrip().startswith("{"):
+        return from_mapping(json.loads(text), base)
+    found = (re.match(r"\s*(\w+)\s*:\s*([^#\n]+?)\s*(?:#.*)?$", line) for line in text.splitlines())
+    return from_mapping({m[1]: m[2].strip("\"'") for m in found if m}, base)
+
+
 def from_env(prefix: str = "DOCLOOM_") -> Settings:
     return from_mapping({k[len(prefix) :].lower(): v for k, v in os.environ.items() if k.startswith(prefix)})

@@ -1,4 +1,7 @@
-"""Files as rows: text and binary sources with validation, metadata, ids, cleanup; loaders by extension; extractors are pluggable."""
+"""Files as rows: text and binary sources with validation, metadata, ids, cleanup; loaders by extension; extractors are pluggable.
+
+A plain PDF reader (pdf.py) is registered; better ones can be put before it.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest file, and what is read as what. Fixed values.
+from docloom.sources import pdf
+
+#: Columns of a table of files. Largest file, and what is read as what. Fixed values.
+FILES = "path string, modified timestamp, size long, content binary"
 MAX_BYTES = 50 * 1024 * 1024
 MIME = {".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv", ".json": "application/json", ".html": "text/html", ".htm": "text/html", ".pdf": "application/pdf"}
 
@@ -30,9 +36,10 @@ def read(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame
 
 
 def validate(files: DataFrame, extensions: list[str] | None = None, most: int = MAX_BYTES) -> DataFrame:
-    """files with `reject`: why a file is not loaded, or null."""
-    known = extension(F.col("path")).isin(extensions or list(MIME))
-    return files.withColumn("reject", F.when(F.col("size") <= 0, "empty").when(F.col("size") > most, "too large").when(~known, "unsupported"))
+    """files with `reject`: why a file is not loaded, or null. Unknown extensions are read as text unless `extensions` says which to take."""
+    size = F.col("size")
+    checks = F.when(size.isNull(), "not found").when(size <= 0, "empty").when(size > most, "too large")
+    return files.withColumn("reject", checks if extensions is None else checks.when(~extension(F.col("path")).isin(extensions), "unsupported"))
 
 
 def decode_text(content: Column, encoding: str | None = None) -> Column:
@@ -66,12 +73,17 @@ def pdf_date(value: Column) -> Column:
 
 
 Extractor = Callable[[bytes], tuple[str, dict[str, str]]]
-EXTRACTORS: dict[str, list[Extractor]] = {}
+EXTRACTORS: dict[str, list[Extractor]] = {".pdf": [pdf.extract]}
 
 
-def register_extractor(ext: str, fn: Extractor) -> None:
+def register_extractor(ext: str, fn: Extractor, first: bool = False) -> None:
     """A further way to read files of this extension; ways are tried in order until one gives text."""
-    EXTRACTORS.setdefault(ext.lower(), []).append(fn)
+    EXTRACTORS.setdefault(ext.lower(), []).insert(0 if first else len(EXTRACTORS.get(ext.lower(), [])), fn)
+
+
+def formats() -> dict[str, str]:
+    """Extensions and the type that each is read as."""
+    return {**{e: "application/octet-stream" for e in EXTRACTORS}, **MIME}
 
 
 def extract(files: DataFrame, ext: str) -> DataFrame:
@@ -99,16 +111,27 @@ def extract(files: DataFrame, ext: str) -> DataFrame:
 
 
 def load(spark: SparkSession, *paths: str, encoding: str | None = None, most: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, path, name, extension, mime, size, modified, sha256, text, n_chars, n_words) and rejects (path, reject)."""
-    files = validate(read(spark, *paths), most=most)
+    """Documents (doc_id, path, name, extension, mime, size, modified, sha256, text, info, n_chars, n_words) and rejects (path, reject)."""
+    conf = spark._jsc.hadoopConfiguration()
+    there, missing = [], []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        (there if p.getFileSystem(conf).globStatus(p) else missing).append(path)
+    files = spark.createDataFrame([(p, None, None, None) for p in missing], FILES)
+    return load_files(files.unionByName(read(spark, *there)) if there else files, encoding, most)
+
+
+def load_files(files: DataFrame, encoding: str | None = None, most: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """load() of files as read() or from_bytes() give them."""
+    files = validate(files, most=most)
     good = files.where("reject IS NULL")
-    plain = good.where(~extension(F.col("path")).isin(*EXTRACTORS) if EXTRACTORS else F.lit(True)).where(extension(F.col("path")) != ".pdf")
-    text = decode_text(F.col("content"), encoding)
-    docs = plain.withColumn("text", F.when(extension(F.col("path")).isin(".html", ".htm"), clean_extracted(html_text(text))).otherwise(text))
+    text, ext = decode_text(F.col("content"), encoding), extension(F.col("path"))
+    none = F.create_map().cast("map<string,string>")
+    docs = good.where(~ext.isin(*EXTRACTORS)).withColumn("text", F.when(ext.isin(".html", ".htm"), clean_extracted(html_text(text))).otherwise(text)).withColumn("info", none)
     rejects = files.where("reject IS NOT NULL").select("path", "reject")
-    for ext in {".pdf", *EXTRACTORS}:
-        got = extract(good, ext)
-        docs = docs.unionByName(good.join(got.where("error IS NULL").select("path", clean_extracted(F.col("text")).alias("text")), "path").select(docs.columns))
+    for kind in EXTRACTORS:
+        got = extract(good, kind)
+        docs = docs.unionByName(good.join(got.where("error IS NULL").select("path", clean_extracted(F.col("text")).alias("text"), "info"), "path").select(docs.columns))
         rejects = rejects.unionByName(got.where("error IS NOT NULL").select("path", F.col("error").alias("reject")))
     return describe(docs), rejects
 
@@ -118,13 +141,13 @@ def describe(docs: DataFrame) -> DataFrame:
     mime = F.create_map(*(F.lit(x) for kv in MIME.items() for x in kv))
     name, ext = file_name(F.col("path")), extension(F.col("path"))
     doc_id = F.concat_ws("_", name, F.left(sha, F.lit(8)), F.left(F.md5(F.col("text").cast("binary")), F.lit(8)))
-    return docs.select(doc_id.alias("doc_id"), "path", name.alias("name"), ext.alias("extension"), F.coalesce(F.try_element_at(mime, ext), F.lit("application/octet-stream")).alias("mime"), "size", "modified", sha.alias("sha256"), "text", F.length("text").alias("n_chars"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n_words"))
+    return docs.select(doc_id.alias("doc_id"), "path", name.alias("name"), ext.alias("extension"), F.coalesce(F.try_element_at(mime, ext), F.lit("application/octet-stream")).alias("mime"), "size", "modified", sha.alias("sha256"), "text", "info", F.length("text").alias("n_chars"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n_words"))
 
 
 def from_bytes(spark: SparkSession, named: dict[str, bytes]) -> DataFrame:
     """Files held in memory, as read() gives them, with upload:// paths."""
     rows = [(f"upload://{k}", None, len(v), bytearray(v)) for k, v in named.items()]
-    return spark.createDataFrame(rows, "path string, modified timestamp, size long, content binary")
+    return spark.createDataFrame(rows, FILES)
 
 
 def identifier(path: Column, content: Column) -> Column:

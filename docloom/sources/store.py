@@ -1,12 +1,14 @@
 """A store of document collections on Parquet: add, upsert, delete, get, list, info, reset, backup.
 
-A collection is a folder of versions; a change writes a new version beside the old one and then
-points to it, so readers see whole versions and a failed write changes nothing. Paths go through
-Hadoop's file system, local or not.
+A collection is a folder of data folders and of manifests, each of which lists the data folders of a
+version. Adding rows writes these alone and a longer manifest; other changes write the rows anew. A
+manifest is renamed into place when it is whole, so readers see whole versions and a failed write
+changes nothing. Paths go through Hadoop's file system, local or not.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -21,34 +23,65 @@ class CollectionStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _dirs(self, path: str) -> list:
+    def _names(self, path: str) -> list[str]:
         p = self._path(path)
-        return [s for s in self._fs.listStatus(p) if s.isDirectory()] if self._fs.exists(p) else []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
     def _versions(self, name: str) -> list[str]:
-        done = [s.getPath().getName() for s in self._dirs(f"{self.root}/{name}") if self._fs.exists(self._path(f"{s.getPath().toString()}/_SUCCESS"))]
-        return sorted(v for v in done if v.startswith("v"))
+        return [n for n in self._names(f"{self.root}/{name}") if n.startswith("v")]
 
-    def list(self) -> list[str]:
-        return sorted(n for s in self._dirs(self.root) if self._versions(n := s.getPath().getName()))
-
-    def get_all(self, name: str) -> DataFrame:
+    def _manifest(self, name: str, version: str | None = None) -> dict:
         versions = self._versions(name)
         if not versions:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/{versions[-1]}")
+        return json.loads(self._read(f"{self.root}/{name}/{version or versions[-1]}"))
+
+    def _read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str) -> None:
+        """A small file, whole or not at all."""
+        draft = self._path(f"{path.rsplit('/', 1)[0]}/_draft-{uuid.uuid4().hex}")
+        stream = self._fs.create(draft)
+        stream.write(bytearray(text.encode("utf-8")))
+        stream.close()
+        if not self._fs.rename(draft, self._path(path)):
+            raise OSError(f"cannot write {path}")
+
+    def list(self) -> list[str]:
+        return [n for n in self._names(self.root) if self._versions(n)]
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        df.write.parquet(f"{self.root}/{name}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
-        for old in self._versions(name)[: -self.keep]:
+    def get_all(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.root}/{name}/{d}" for d in self._manifest(name)["data"]))
+
+    def _write(self, name: str, df: DataFrame, before: dict | None = None) -> None:
+        """A version of the data folders of before and one more, of df."""
+        now = time.time_ns()
+        data = f"d{now:020d}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.root}/{name}/{data}")
+        created = self._manifest(name)["created"] if self._versions(name) else now
+        self._put(f"{self.root}/{name}/v{now:020d}-{uuid.uuid4().hex[:8]}", json.dumps({"created": created, "data": [*(before or {"data": []})["data"], data]}))
+        versions = self._versions(name)
+        for old in versions[: -self.keep]:
             self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+        used = {d for v in versions[-self.keep :] for d in self._manifest(name, v)["data"]}
+        for folder in self._names(f"{self.root}/{name}"):
+            if folder.startswith("d") and folder not in used and folder < data:
+                self._fs.delete(self._path(f"{self.root}/{name}/{folder}"), True)
 
     def create(self, name: str, rows: DataFrame) -> None:
         self._write(name, rows)
 
     def add(self, name: str, rows: DataFrame) -> None:
-        """Appends rows; a new collection if there is none."""
-        self._write(name, self.get_all(name).unionByName(rows) if name in self.list() else rows)
+        """Appends rows, without touching those that are there; a new collection if there is none."""
+        if self._versions(name):
+            self._write(name, rows.select(self.get_all(name).columns), self._manifest(name))
+        else:
+            self._write(name, rows)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         self._write(name, upserted(self.get_all(name), rows, self.key))
@@ -66,23 +99,30 @@ class CollectionStore:
         return self.allow_reset and all(self.drop(n) for n in self.list())
 
     def info(self, name: str, embedding: str | None = None) -> DataFrame:
-        df = self.get_all(name)
+        """count, dimension, bytes, created."""
+        df, m = self.get_all(name), self._manifest(name)
         dim = F.max(F.size(embedding)) if embedding else F.lit(None).cast("int")
-        return df.agg(F.count("*").alias("count"), dim.alias("dimension")).withColumn("bytes", F.lit(self._size(f"{self.root}/{name}/{self._versions(name)[-1]}")))
+        size = sum(self._size(f"{self.root}/{name}/{d}") for d in m["data"])
+        return df.agg(F.count("*").alias("count"), dim.alias("dimension")).withColumns({"bytes": F.lit(size), "created": F.timestamp_micros(F.lit(m["created"] // 1000))})
 
     def _size(self, path: str) -> int:
         return int(self._fs.getContentSummary(self._path(path)).getLength())
 
     def backup(self, name: str, to: str) -> str:
-        """Writes the current version under `to`, and its path."""
-        path = f"{to.rstrip('/')}/{name}-{time.time_ns():020d}"
-        self.get_all(name).write.parquet(path)
+        """Writes the current version under `to`, with metadata.json beside the rows, and gives its path."""
+        now = time.time_ns()
+        path, df = f"{to.rstrip('/')}/{name}-{now:020d}", self.get_all(name)
+        df.write.parquet(f"{path}/data")
+        self._put(f"{path}/metadata.json", json.dumps({"collection": name, "backup_ns": now, "created_ns": self._manifest(name)["created"], "count": self.spark.read.parquet(f"{path}/data").count(), "columns": df.dtypes}))
         return path
 
+    def restore(self, path: str, name: str) -> None:
+        """A collection, or its next version, from a backup."""
+        self._write(name, self.spark.read.parquet(f"{path}/data"))
+
     def backups(self, at: str, name: str | None = None) -> list[tuple[str, float]]:
         """Backups, the newest first, with their size in MB."""
-        found = [s.getPath().getName() for s in self._dirs(at)]
-        found = [n for n in found if name is None or n.rsplit("-", 1)[0] == name]
+        found = [n for n in self._names(at) if name is None or n.rsplit("-", 1)[0] == name]
         return [(n, round(self._size(f"{at.rstrip('/')}/{n}") / 1e6, 3)) for n in sorted(found, key=lambda n: n.rsplit("-", 1)[1], reverse=True)]
 
 
