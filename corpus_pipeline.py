@@ -3,6 +3,12 @@
 Each stage takes all that its predecessor kept, acts on it and hands on the columns of documents;
 the last also numbers the copies it makes. run() writes every stage as Parquet in the shared folder
 and reads it back as the next one's input, so a lost executor costs tasks of one stage.
+
+Defined results: null, empty and wordless texts are `und` and go in the first stage, whatever their
+other columns; null ids, sources and languages are kept, and rows without an id are documents of their
+own, which no near-duplicate removes; repeated rows are near-duplicates of each other, so one stays; of
+equally small ids the row of smallest hash stays; very long texts go through every stage whole; an empty
+table stays empty; further columns are carried along whatever their names, and `copy` gives way to one.
 """
 
 from __future__ import annotations

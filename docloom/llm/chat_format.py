@@ -13,7 +13,7 @@ with the square of a conversation's turns, as the method asks; no pairs of turns
 
 Defined results: null texts and roles are empty; rows are ordered by turn, then role and text
 (nulls first), so repeated turns stay and ties have one order; a null conv_id is a conversation
-of its own; an empty table gives no rows; other columns are ignored, whatever their names.
+of its own; very long texts and conversations are formatted whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ A larger benchmark only means more blocks, each counted and applied by a pass of
 
 Defined results: a null or empty text has no words and no hits; items without words have no
 windows; an item whose id is null marks words but is not counted or listed; repeated items count
-once per id; repeated documents give one row each; empty tables give empty or hit-free results;
+once per id; which of equally rare tokens is taken changes no result; repeated documents give one row
+each; a very long text is searched whole, alone in its slice; empty tables give empty or hit-free results;
 other columns are ignored (decontaminate) or kept (mark), whatever their names.
 """
 

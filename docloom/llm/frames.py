@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.words import PIECE, pieces
+from docloom.session import spread
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -20,7 +21,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:

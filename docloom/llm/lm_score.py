@@ -16,7 +16,7 @@ not depend on the data. In a bucket an n-gram is known by 40 further bits of its
 hash, so one in some millions shares its counts with another, at every size of the corpus.
 
 Defined results: null and empty texts have no words and a null score; the first words of a text
-have the shorter contexts that exist; repeated rows are documents of their own; a very long text is a block of its own; a null
+have the shorter contexts that exist; repeated rows are documents of their own and score alike, as equal texts do; a very long text is a block of its own; a null
 id stays null; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 

@@ -14,7 +14,8 @@ Ordering the sources takes one task, of a row per source.
 
 Defined results: null and empty texts have size 0; a null source is a source of its own, last in
 the order of weights; a source of size 0 has target and rate 0; a null id, source or text
-is hashed as the empty text; repeated rows each count and fare alike; a very long text is counted whole; empty tables give no rows; other columns are kept by mix and
+is hashed as the empty text; repeated rows each count and fare alike; sources of equal level are
+ordered by name; a very long text is counted whole; empty tables give no rows; other columns are kept by mix and
 ignored by plan, whatever their names.
 """
 

@@ -22,7 +22,9 @@ Steps, each a map or a shuffle of evenly dealt blocks, never of all documents of
 Defined results: null and empty texts, and those without words, have size 0 and their own id as
 component; fewer than k words make one shingle; a document without id is linked with nothing and
 has no component; rows that share an id are linked as one document; repeated rows are one class;
-other columns are ignored, whatever their names; an empty table gives no rows.
+sets of equally rare shingles are ordered by hash, which changes no result; a very long text is one
+set, read whole and alone in its slice; other columns are ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
