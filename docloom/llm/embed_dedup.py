@@ -18,12 +18,12 @@ themselves, in further passes of wider windows; the rest are compared with each
 
 A window bounds the partners of one pass. For the rest there is an exact way: within each component
 all vectors are compared in blocks of bounded size, which counts every direct link of a group,
-however dense; only counts leave the task. Equal vectors are one class with a multiplicity before
+however dense; only counts leave the task, and a vector is sent once for each block of its component. Equal vectors are one class with a multiplicity before
 all this, so copies never expand to pairs.
 
 Defined results: vectors that are null, empty, zero, or have null or non-finite components, and
-rows without id, link with nothing; vectors of different length never link; rows of one id count
-as vectors of their own and share a component; other columns are ignored, whatever their names;
+rows without id, link with nothing; vectors of different length never link; equal cosines need no order, since links are a set; rows of one id count
+as vectors of their own and share a component; repeated rows are one class; a very long vector is compared whole; other columns are ignored, whatever their names;
 an empty table gives no rows.
 """
 
@@ -43,8 +43,8 @@ from docloom.llm.scratch import Scratch
 
 #: Cosine that links; vectors after each that it is compared with; bits of a key; chance to miss a pair at the threshold.
 COSINE, WINDOW, BITS, MISS = 0.95, 64, 64, 0.005
-#: Rows of a block of the order, and vectors of a block within a component.
-BLOCK, PART = 4096, 1024
+#: Rows of a block of the order, vectors of a block within a component, and of a tile of its products.
+BLOCK, PART, TILE = 4096, 8192, 512
 #: Open vectors up to which all pairs are compared, growth and limit of the windows of further passes before that, vectors of a block of all pairs.
 EXACT, WIDER, WIDEST, SQUARE = 1 << 17, 8, 4096, 8192
 
@@ -56,8 +56,10 @@ def passes_for(n: int, window: int = WINDOW, cosine: float = COSINE, miss: float
 
 
 def _matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    """Rows of unit length, in double precision, of float64 bytes."""
-    x = np.frombuffer(b"".join(v.as_py() for v in col), np.float64).reshape(-1, dim)
+    """Rows of unit length, in double precision, of packed vectors: their components as they were given, single or double."""
+    raw = [v.as_py() for v in col]
+    kind = np.float32 if raw and len(raw[0]) == 4 * dim else np.float64
+    x = _scaled(np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64))
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -67,22 +69,25 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(passes: int, seed: int):
+    """A row for each pass with its key; the vector travels packed in the precision that it came in."""
+
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             rep, vec = np.array(batch.column(0)), batch.column(1)
             dims = np.diff(np.array(vec.offsets))
-            flat = np.array(vec.flatten(), np.float64)
+            flat = np.array(vec.flatten())
             starts = np.concatenate(([0], np.cumsum(dims)))
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                x = _scaled(np.stack([flat[starts[r] : starts[r] + dim] for r in rows]))
+                given = np.stack([flat[starts[r] : starts[r] + dim] for r in rows])
+                x = _scaled(given.astype(np.float64))
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
                 signs = (x @ planes[dim] >= 0).reshape(len(rows), passes, BITS)
                 key = np.packbits(signs, axis=2).view(">u8").astype(np.uint64)[:, :, 0]
                 key = (key ^ np.uint64(1 << 63)).view(np.int64)  # so that signed order is the order of bits
-                raw = [v.tobytes() for v in x]
+                raw = [v.tobytes() for v in given]
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, np.int32)), pa.array(np.full(len(rows), p, np.int32)), pa.array(key[:, p]), pa.array(rep[rows]), pa.array(raw, pa.binary())], names=["dim", "pass", "key", "rep", "vec"])
 
@@ -202,16 +207,18 @@ def _degrees(cosine: float):
             rows = order[s:e]
             for d in np.unique(dim[rows]).tolist():
                 r = rows[dim[rows] == d]
-                x = _matrix(table["vec"].take(pa.array(r)), d)
-                if i[r[0]] == j[r[0]]:
-                    hit = x @ x.T >= cosine
-                    np.fill_diagonal(hit, False)
-                    n = hit @ m[r]
-                else:
-                    low = side[r] == i[r[0]]
-                    hit = x[low] @ x[~low].T >= cosine
-                    n = np.zeros(len(r), np.int64)
-                    n[low], n[~low] = hit @ m[r[~low]], hit.T @ m[r[low]]
+                x, n = _matrix(table["vec"].take(pa.array(r)), d), np.zeros(len(r), np.int64)
+                alone = i[r[0]] == j[r[0]]
+                low = np.arange(len(r)) if alone else np.flatnonzero(side[r] == i[r[0]])
+                high = low if alone else np.flatnonzero(side[r] != i[r[0]])
+                for at in range(0, len(low), TILE):
+                    some = low[at : at + TILE]
+                    hit = x[some] @ x[high].T >= cosine
+                    if alone:
+                        hit[np.arange(len(some)), some] = False
+                    n[some] += hit @ m[r[high]]
+                    if not alone:
+                        n[high] += hit.T @ m[r[some]]
                 reps.append(rep[r])
                 counts.append(n)
         cat = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
@@ -246,10 +253,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """vec_id, n_links, component_id, kept, for each row of vectors."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embed-dedup")
-    rows = pick(vectors, vec_id=(vec_id, "bigint"), vec=(embedding, "array<double>"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    rows = pick(vectors, vec_id=(vec_id, "bigint"), vec=(embedding, "array<float>" if single else "array<double>"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     usable = F.col("vec_id").isNotNull() & F.coalesce((F.size("vec") > 0) & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("print", F.when(usable, F.sha2(F.array_join("vec", ","), 256)))
+    rows = rows.withColumn("print", F.when(usable, F.sha2(F.array_join(F.col("vec").cast("array<double>"), ","), 256)))
     classes = scratch.table("classes", rows.where(usable).groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("vec").alias("vec")))
     n = classes.count()
     total = n * passes_for(n, window, cosine, miss)
@@ -296,10 +304,7 @@ def _pack(batches):
     for batch in batches:
         if batch.num_rows:
             vec = batch.column(batch.schema.get_field_index("vec"))
-            raw = []
-            for v in vec:
-                x = np.array(v.values, np.float64)
-                raw.append(_scaled(x[None])[0].tobytes())
+            raw = [np.array(v.values).tobytes() for v in vec]
             names = [n for n in batch.schema.names if n != "vec"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(raw, pa.binary())], names=[*names, "vec"])
 

@@ -17,7 +17,7 @@ place and token in relations instead. Lines to drop come back by text and meet t
 
 Defined results: null texts stay null and have no lines; lines without words and lines of fewer
 than `min_tokens` tokens are never dropped; of equal lines all go or all stay; ids are carried and
-decide nothing, so rows that share one, or have none, are documents of their own; a very long text or
+decide nothing, so repeated rows and rows without an id are documents of their own; a very long text or
 line is handled alone; an empty table gives no rows; other columns are kept.
 """
 

@@ -477,6 +477,48 @@ def test_line_dedup_of_close_templates(spark, edge):
     assert sorted(got, key=str) == sorted(line_dedup.brute_force(rows), key=str)
 
 
+@pytest.fixture(scope="module")
+def edge_sf(edge, sf, tmp_path_factory):
+    """The edge rows that have an id, as the documents of a folder beside the other tables."""
+    at = tmp_path_factory.mktemp("edge")
+    edge.where("doc_id IS NOT NULL").select("doc_id", "text", "lang", "source", "n_chars").distinct().coalesce(1).write.parquet(f"{at}/raw")
+    next((at / "raw").glob("part-*.parquet")).rename(at / "documents.parquet")
+    for name in ("benchmark", "embeddings", "conversations", "labels"):
+        (at / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op5_mix_sources", "op9_decontaminate"])
+def test_sql_on_edges(name, spark, edge_sf, sf):
+    """Nulls, empty, wordless, very long and tied texts, by SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{edge_sf}/{t}.parquet'")
+    compare(queries.queries()[name](spark, edge_sf), queries.oracle_sql()[name], con)
+
+
+def test_mix_draws_by_text(spark):
+    """Rows that share an id, or have none, do not draw alike: a source of them meets its target."""
+    rows = [(i, f"own {i}", "a") for i in range(200)] + [(None if i % 2 else 7, f"text number {i} of the source", "b") for i in range(4000)] + [(i, f"word {i}", "c") for i in range(200)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'b'").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.countDistinct("copies").alias("kinds")).first()
+    assert abs(got.taken - got.target) < 0.05 * got.target and got.kinds == 2
+
+
+def test_embeddings_single_double_and_large_groups(spark):
+    """The same links whatever the precision's type and the size of a block; one group holds most vectors."""
+    rng = np.random.default_rng(4)
+    group = rng.standard_normal(24) + 0.12 * rng.standard_normal((150, 24))
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(np.concatenate([group, rng.standard_normal((60, 24)), group[:3]]))]
+    want = embed_dedup.brute_force(rows)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        for more in ({}, {"part": 16, "block": 70}):
+            assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, **more).collect()} == want
+    assert max(n for n, _ in want.values()) > 100
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(name, spark, sf):
     compare(queries.queries()[name](spark, sf), queries.oracle_sql()[name], connection(sf))
