@@ -123,7 +123,7 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table([table["block"], table["bucket"], pa.array([shrink(out[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], schema=_REPLY)
 
 
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_total", pa.float64())])
 
 
 def _score(order: int, backoff: float, total_words: int, buckets: int, leave_out: bool):
@@ -171,7 +171,7 @@ def _within(doc: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, block: int = BLOCK, bucket: int = BUCKET, leave_out: bool = False) -> DataFrame:
-    """doc_id, n_words, log_score (sum of natural logs), score (its mean over the words, null without words)."""
+    """doc_id, n_words, score (mean natural log over the words, null without words), log_total (their sum)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-score")
     texts = pick(docs, doc_id=(doc_id, "bigint"), text=(text, "string"))
@@ -181,8 +181,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     buckets = max(8, -(-total * order // bucket))
     asked = stream.mapInArrow(_ask(order, buckets), "bucket int, block long, grams binary, counts binary")
     replies = asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_count, "block long, bucket int, counts binary")
-    scored = stream.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, total, buckets, leave_out), "doc_id long, n_words long, log_score double")
-    return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+    scored = stream.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, backoff, total, buckets, leave_out), "doc_id long, n_words long, log_total double")
+    return scored.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("log_total") / F.col("n_words")).alias("score"), "log_total")
 
 
 def brute_force(texts: list[str | None], order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = False) -> list[tuple[int, float]]:

@@ -294,15 +294,25 @@ def test_lm_score(spark, corpus, edge, empty):
     want = {r.doc_id: w for r, w in zip(rows, lm_score.brute_force([r.text for r in rows]), strict=True)}
     for more in ({}, {"block": 20_000, "bucket": 5_000}):
         got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows), **more).collect()}
-        assert all(got[d].n_words == n and got[d].log_score == pytest.approx(s) for d, (n, s) in want.items())
+        assert all(got[d].n_words == n and got[d].log_total == pytest.approx(s) for d, (n, s) in want.items())
     want = {r.doc_id: w for r, w in zip(rows, lm_score.brute_force([r.text for r in rows], leave_out=True), strict=True)}
     got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows), leave_out=True).collect()}
-    assert all(got[d].n_words == n and got[d].log_score == pytest.approx(s) for d, (n, s) in want.items())
+    assert all(got[d].n_words == n and got[d].log_total == pytest.approx(s) for d, (n, s) in want.items())
     got = lm_score.score(edge).collect()
     assert len(got) == edge.count() and all((r.score is None) == (r.n_words == 0) for r in got) and all(r.score <= 0 for r in got if r.n_words)
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_score_tells_copies_apart(spark):
+    """Left out of the counts, texts that occur twice score above those that occur once."""
+    rng = random.Random(2)
+    texts = [prose(rng, 60, [f"v{i}" for i in range(300)]) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:10])]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), leave_out=True).collect()
+    twice = [r.score for r in got if r.doc_id < 10 or r.doc_id >= 60]
+    assert min(twice) > max(r.score for r in got if 10 <= r.doc_id < 60)
+
+
 # 7
 
 
