@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm import (
     chat_format,
     decontam,
+    dot_search,
     embed_dedup,
     langid,
     license_scan,
     line_dedup,
+    lloyd,
     lm_score,
     mixing,
     ngram_join,
     quality,
+    vector_codes,
 )
 from docloom.llm.frames import table
 from docloom.session import ship
@@ -73,10 +76,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def op12_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return dot_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op6_lm_score, op7_quality, op8_license_scan, op9_decontaminate, op10_line_dedup)
+    every = (op1_language_id, op2_embedding_dedup, op3_ngram_join, op4_chat_format, op5_mix_sources, op6_lm_score, op7_quality, op8_license_scan, op9_decontaminate, op10_line_dedup, op11_vector_codes, op12_dot_topk, op13_lloyd_clusters)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": embed_dedup.SQL, "op3_ngram_join": ngram_join.SQL, "op4_chat_format": chat_format.SQL, "op5_mix_sources": mixing.SQL, "op9_decontaminate": decontam.SQL}
+    return {"op2_embedding_dedup": embed_dedup.SQL, "op3_ngram_join": ngram_join.SQL, "op4_chat_format": chat_format.SQL, "op5_mix_sources": mixing.SQL, "op9_decontaminate": decontam.SQL, "op11_vector_codes": vector_codes.SQL, "op12_dot_topk": dot_search.SQL, "op13_lloyd_clusters": lloyd.SQL}
