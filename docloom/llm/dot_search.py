@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm.frames import pick
-from docloom.llm.integers import LONG, finite, largest, matrix, to_long
+from docloom.llm.integers import LONG, finite, floor_of, largest, matrix, to_long
 from docloom.llm.scratch import Scratch
 
 K, EVERY, SCALE = 10, 100, 1024
@@ -166,7 +166,7 @@ def brute_force(rows: list[tuple], k: int = K, every: int = EVERY, scale: int =
     """(query_id, rank, vec_id, score) in plain Python's integers, for tests."""
     import math
 
-    ok = [(i, [math.floor(float(c) * scale) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    ok = [(i, [floor_of(c, scale) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
     for a, (i, x) in enumerate(ok):
         if i % every == 0:

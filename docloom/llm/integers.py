@@ -7,6 +7,7 @@ these cannot overflow, and by Python's integers beyond. Results wider than a lon
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 import numpy as np
@@ -27,6 +28,11 @@ def floors(x: np.ndarray, scale: int) -> np.ndarray:
     return np.clip(np.floor(x.astype(np.float64) * scale), -float(LIMIT), float(LIMIT)).astype(np.int64)
 
 
+def floor_of(c: float, scale: int) -> int:
+    """One component in Python's integers, for brute-force versions."""
+    return max(-LIMIT, min(LIMIT, math.floor(min(max(float(c) * scale, -1e30), 1e30))))
+
+
 def matrix(col: pa.ListArray, dim: int, scale: int) -> np.ndarray:
     """Integers of vectors of any length up to dim, zeros behind the shorter ones."""
     size = np.diff(np.asarray(col.offsets))

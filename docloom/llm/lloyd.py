@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.frames import pick
-from docloom.llm.integers import finite, floors, group_sums, largest, like, long_sum, to_long
+from docloom.llm.integers import finite, floor_of, floors, group_sums, largest, like, long_sum, to_long
 from docloom.llm.scratch import Scratch
 
 DIM, CLUSTERS, ROUNDS, SCALE, SALT = 64, 40, 5, 256, "2:"
@@ -137,7 +137,7 @@ def brute_force(rows: list[tuple], clusters: int = CLUSTERS, rounds: int = ROUND
     """The result's rows in plain Python's integers, for tests."""
     import math
 
-    kept = [(i, [math.floor(float(c) * scale) for c in v], [float(c) for c in v]) for i, v in rows if v is not None and len(v) == dim and all(c is not None and math.isfinite(c) for c in v)]
+    kept = [(i, [floor_of(c, scale) for c in v], [float(c) for c in v]) for i, v in rows if v is not None and len(v) == dim and all(c is not None and math.isfinite(c) for c in v)]
     order = sorted((hashlib.sha256(f"{salt}{i}".encode()).hexdigest(), v, r) for r, (i, _, v) in enumerate(kept) if i is not None)
     centroids = [kept[r][1] for *_, r in order[:clusters]] or [[0] * dim]
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.frames import pick
-from docloom.llm.integers import decimals, finite, floors, group_sums, largest, like, long_sum, matrix, squares, to_long
+from docloom.llm.integers import decimals, finite, floor_of, floors, group_sums, largest, like, long_sum, matrix, squares, to_long
 from docloom.llm.scratch import Scratch
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
@@ -298,7 +298,7 @@ def brute_force(rows: list[tuple], parts: int = PARTS, entries: int = ENTRIES, r
     """(vec_id, label, code, error) of the kept rows in plain Python's integers, and the digest of the codebooks; for tests."""
     import math
 
-    kept = [(i, lab, [math.floor(float(c) * scale) for c in v], [float(c) for c in v]) for i, lab, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    kept = [(i, lab, [floor_of(c, scale) for c in v], [float(c) for c in v]) for i, lab, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
     dim = parts * max(1, -(-max((len(k[2]) for k in kept), default=0) // parts))
     w = dim // parts
     cut = [[(v + [0] * (dim - len(v)))[p * w : (p + 1) * w] for p in range(parts)] for _, _, v, _ in kept]
