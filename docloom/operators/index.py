@@ -12,16 +12,18 @@ from docloom.functions import text as tx
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, doc_id, tf. lengths: doc_id, dl, technical. numbers: one row of n, avgdl, mindl, maxdl."""
+    """postings: term, doc_id, tf. lengths: doc_id, dl, technical. numbers: one row of n, avgdl, mindl, maxdl. counted: term, df, where they are known without the postings."""
 
     postings: DataFrame
     lengths: DataFrame
     numbers: DataFrame
+    counted: DataFrame | None = None
 
     def frequencies(self, terms: DataFrame | None = None) -> DataFrame:
         """term, df; of the given terms (column term) only, if given: the filter reaches the postings before they are counted."""
-        p = self.postings if terms is None else self.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-        return p.groupBy("term").agg(F.count("*").alias("df"))
+        p = self.postings if self.counted is None else self.counted
+        p = p if terms is None else p.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        return p.groupBy("term").agg(F.count("*").alias("df")) if self.counted is None else p
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", mode: str | None = "industrial", least: int = 2, technical: Column | None = None) -> Index:
@@ -60,13 +62,12 @@ def statistics(index: Index, top: int = 10) -> DataFrame:
 
 def completions(index: Index, prefix: str, most: int = 10) -> DataFrame:
     """Terms that start with the prefix, the most frequent first."""
-    hit = index.postings.where(F.col("term").startswith(prefix.lower()))
-    return hit.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(most)
+    return index.frequencies().where(F.col("term").startswith(prefix.lower())).orderBy(F.desc("df"), "term").limit(most)
 
 
 def suggestions(index: Index, history: DataFrame, partial: str, most: int = 5) -> DataFrame:
     """Terms with the prefix and past queries (column query) that contain it; by document frequency (0 for queries), then text."""
-    terms = index.postings.where(F.col("term").startswith(partial.lower())).groupBy("term").agg(F.count("*").alias("df")).select(F.col("term").alias("suggestion"), "df")
+    terms = index.frequencies().where(F.col("term").startswith(partial.lower())).select(F.col("term").alias("suggestion"), "df")
     past = history.where(F.contains(F.lower("query"), F.lit(partial.lower()))).select(F.col("query").alias("suggestion"), F.lit(0).cast("long").alias("df"))
     return terms.unionByName(past).groupBy("suggestion").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "suggestion").limit(most)
 

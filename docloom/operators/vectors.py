@@ -85,18 +85,27 @@ def knn_matrix(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "
     return top_k(out, k, tie="vec_id")
 
 
-def _best(shared, k: int, metric: str):
-    def similarity(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        if metric in ("cosine", "angular"):
-            norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-            c = np.clip(np.divide(q @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), 0, 1)
-            return c if metric == "cosine" else 1 - np.arccos(c) / np.pi
-        if metric == "dot":
-            return np.maximum(q @ v.T, 0)
-        if metric == "euclidean":
-            return 1 / (1 + np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in q])))
-        return 1 / (1 + np.stack([np.abs(v - x).sum(axis=1) for x in q]))
+def similarity(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the rows of q (n, w) and v (m, w), as the column expressions give them."""
+    if metric in ("cosine", "angular"):
+        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+        c = np.clip(np.divide(q @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), 0, 1)
+        return c if metric == "cosine" else 1 - np.arccos(c) / np.pi
+    if metric == "dot":
+        return np.maximum(q @ v.T, 0)
+    if metric == "euclidean":
+        return 1 / (1 + np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in q])))
+    return 1 / (1 + np.stack([np.abs(v - x).sum(axis=1) for x in q]))
+
+
+def block_best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, equal ones by id, in order."""
+    worst = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+    at = np.flatnonzero(score >= worst)
+    return at[np.lexsort((ids[at], -score[at]))][:k]
+
 
+def _best(shared, k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for batch in batches:
@@ -105,12 +114,10 @@ def _best(shared, k: int, metric: str):
             if not fits.any():
                 continue
             ids, col = ids[fits], col.filter(pa.array(fits))
-            s = similarity(q, np.array(col.flatten(), np.float64).reshape(-1, q.shape[1]))
+            s = similarity(q, np.array(col.flatten(), np.float64).reshape(-1, q.shape[1]), metric)
             out: tuple[list, list, list] = ([], [], [])
             for i, row in enumerate(s):
-                worst = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                at = np.flatnonzero(row >= worst)
-                at = at[np.lexsort((ids[at], -row[at]))][:k]
+                at = block_best(row, ids, k)
                 out[0].append(np.full(len(at), i, np.int32))
                 out[1].append(ids[at])
                 out[2].append(row[at])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
-from docloom.operators import fusion, index, keyword, router, vectors
+from docloom.operators import blocks, fusion, index, ivf, keyword, router, vectors
 from docloom.plans.common import TOKENS, WORDS, long, r6, sql_any, table
 from docloom.session import shared_dir, spread
 
@@ -21,20 +21,35 @@ BATCH = {1: "eau ment keit", 2: "license apache mit", 3: "heit lich sich"}
 TECH = ("license", "apache", "heit")
 
 
-_STORED: dict[tuple[str, str], index.Index] = {}
+_STORED: dict[tuple[str, str], tuple[tuple, str, blocks.Blocks]] = {}
 
 
 def _docs(spark, sf):
     return spread(table(spark, sf, "documents"))
 
 
+def _blocks(spark, sf) -> blocks.Blocks:
+    """The stored index of the documents as they are: built once in an application for each state of their files, the one before removed."""
+    key, state = (spark.sparkContext.applicationId, sf), _state(spark, f"{sf}/documents.parquet")
+    held = _STORED.get(key)
+    if held is None or held[0] != state:
+        path = f"{shared_dir(spark)}/docloom-index-{uuid.uuid4().hex}"
+        _STORED[key] = (state, path, blocks.build(table(spark, sf, "documents"), path, mode=None, technical=keyword.technical(F.col("text"), TECH)))
+        if held is not None:
+            old = spark._jvm.org.apache.hadoop.fs.Path(held[1])
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return _STORED[key][2]
+
+
+def _state(spark, path: str) -> tuple:
+    """Of a table's files: how many, their bytes, and a print of names, sizes and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
 def _index(spark, sf) -> index.Index:
-    """The index of the documents, built and stored once in an application; queries read the postings that they need."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        built = index.build(_docs(spark, sf), mode=None, technical=keyword.technical(F.col("text"), TECH))
-        _STORED[key] = index.store(built, f"{shared_dir(spark)}/docloom-index-{uuid.uuid4().hex}")
-    return _STORED[key]
+    """The index of the documents as rows; queries read the postings that they need."""
+    return _blocks(spark, sf).index()
 
 
 def _terms(spark, queries) -> DataFrame:
@@ -56,6 +71,26 @@ def bm25_batch(spark, sf):
     return top.select(long("query_id").alias("query_id"), "doc_id", r6("score").alias("score"), long("rank").alias("rank"))
 
 
+def _benchmark_terms(spark, sf) -> DataFrame:
+    """All benchmark texts, whole, as queries."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.lower("text")))).alias("term"))
+
+
+def bm25_pruned(spark, sf):
+    top = blocks.top_k(_blocks(spark, sf), _benchmark_terms(spark, sf), 5)
+    return top.select("query_id", "doc_id", r6("score").alias("score"), long("rank").alias("rank"))
+
+
+def phrase_postings(spark, sf):
+    found = blocks.phrases(_blocks(spark, sf), spark, {1: ["under the", "license"], 2: ["of the"], 3: ["in the in the", "a"]})
+    return found.select(long("query_id").alias("query_id"), "doc_id", r6("score").alias("score"))
+
+
+def proximity_search(spark, sf):
+    found = blocks.near(_blocks(spark, sf), spark, {1: "license the", 2: "version license apache", 3: "the the of"}, 12)
+    return found.select(long("query_id").alias("query_id"), "doc_id", long("span").alias("span"), r6("score").alias("score"))
+
+
 def _scored_sql(queries: dict[int, str], part: str, scale: float) -> str:
     terms = " UNION ALL ".join(f"SELECT {k} AS query_id, '{w}' AS term" for k, v in queries.items() for w in v.split())
     return f"""
@@ -107,8 +142,8 @@ def query_term_profile(spark, sf):
 
 
 def query_popularity(spark, sf):
-    words = table(spark, sf, "benchmark").select(F.lower(F.element_at(F.split("text", r"\s+"), 1)).alias("query"))
-    return keyword.popularity(words).select("query", "n")
+    asked = table(spark, sf, "benchmark").select(F.lower("text").alias("query"))
+    return keyword.popularity(asked).select("query", "n")
 
 
 def highlight_terms(spark, sf):
@@ -134,6 +169,28 @@ def _knn(metric: str):
     return run
 
 
+_CELLS: dict[tuple[str, str], tuple[tuple, ivf.IvfIndex]] = {}
+
+
+def _cells(spark, sf) -> ivf.IvfIndex:
+    """The cells of the embeddings as they are, probes tuned to a recall of 0.95 on 256 of the queries."""
+    key, state = (spark.sparkContext.applicationId, sf), _state(spark, f"{sf}/embeddings.parquet")
+    if _CELLS.get(key, (None,))[0] != state:
+        built = ivf.build(spread(table(spark, sf, "embeddings")), f"{shared_dir(spark)}/docloom-cells-{uuid.uuid4().hex}")
+        _CELLS[key] = (state, ivf.tune(built, _queries(spark, sf))[0])
+    return _CELLS[key][1]
+
+
+def ivf_search(spark, sf):
+    got = ivf.search(_cells(spark, sf), _queries(spark, sf), 10)
+    return got.select("query_id", "vec_id", r6("score").alias("score"), long("rank").alias("rank"))
+
+
+def ivf_exact(spark, sf):
+    got = ivf.search(_cells(spark, sf), _queries(spark, sf), 10, exact=True)
+    return got.select("query_id", "vec_id", r6("score").alias("score"), long("rank").alias("rank"))
+
+
 def knn_filtered(spark, sf):
     where = vectors.where_clause(include={"label": 3}, ranges={"vec_id": (10, 400)}, exclude={"vec_id": 20})
     got = vectors.knn(table(spark, sf, "embeddings"), _queries(spark, sf), 5, "cosine", least=0.05, where=where)
@@ -295,6 +352,7 @@ def near_dup_greedy(spark, sf):
 
 QUERIES = [bm25_topk, tfidf_topk, bm25_batch, boolean_search, phrase_search, fuzzy_vocab, term_completions, query_suggestions, index_stats, query_term_profile, query_popularity, highlight_terms, term_contexts]
 QUERIES += [_knn(m) for m in vx.METRICS] + [_knn_matrix(m) for m in vx.METRICS] + [knn_filtered, knn_signed] + [_multi(h) for h in _MULTI_SQL] + [hash_embedding_knn] + [_fuse(h) for h in _FUSE_SQL]
+QUERIES += [bm25_pruned, phrase_postings, proximity_search, ivf_search, ivf_exact]
 QUERIES += [fuse_one_sided, service_fuse, multi_strategy, rerank_overlap, shape_rerank, diversity_penalty, mmr, near_dup_greedy]
 
 _LOW = "lower(text)"
@@ -323,7 +381,7 @@ k AS (SELECT query_id, CASE WHEN df IS NULL THEN 'unknown' WHEN df < 5 THEN 'rar
 c AS (SELECT query_id, count(DISTINCT doc_id) AS n_candidates FROM q JOIN p USING (term) GROUP BY query_id)
 SELECT CAST(k.query_id AS BIGINT) AS query_id, count(*) AS n_terms, count(*) FILTER (kind = 'unknown') AS n_unknown, count(*) FILTER (kind = 'rare') AS n_rare, count(*) FILTER (kind = 'common') AS n_common,
 coalesce(any_value(n_candidates), 0) AS n_candidates, coalesce(any_value(n_candidates), 0) > 1000 AS many_candidates, count(*) FILTER (kind = 'unknown') > 0.5 * count(*) AS mostly_unknown FROM k LEFT JOIN c USING (query_id) GROUP BY k.query_id""",
-    "query_popularity": r"SELECT lower(regexp_split_to_array(text, '\s+')[1]) AS query, count(*) AS n FROM benchmark GROUP BY 1",
+    "query_popularity": "SELECT lower(text) AS query, count(*) AS n FROM benchmark GROUP BY 1",
     # words are wrapped in control characters, replaced whole, and unwrapped
     "highlight_terms": r"SELECT doc_id, md5(translate(regexp_replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g'), chr(1) || 'the' || chr(2), '<mark>the</mark>', 'gi'), chr(1) || 'license' || chr(2), '<mark>license</mark>', 'gi'), chr(1) || chr(2), '')) AS h FROM documents",
     "knn_filtered": _knn_sql(_COS, 5, "e.label = 3 AND e.vec_id BETWEEN 10 AND 400 AND e.vec_id <> 20", "score >= 0.05"),
@@ -348,6 +406,36 @@ SELECT doc_id, trim(substring(text, CAST(greatest(place - 20, 0) + 1 AS BIGINT),
 r AS (SELECT 0::BIGINT AS i, CAST([] AS STRUCT(d BIGINT, w VARCHAR[])[]) AS kept UNION ALL SELECT x.i, CASE WHEN len(list_filter(r.kept, lambda k: coalesce(len(list_intersect(k.w, x.w))::DOUBLE / nullif(len(list_distinct(list_concat(k.w, x.w))), 0), 1.0) >= 0.9)) = 0 THEN list_append(r.kept, {{'d': x.doc_id, 'w': x.w}}) ELSE r.kept END FROM r JOIN x ON x.i = r.i + 1)
 SELECT doc_id, round(score, 6) + 0.0 AS score FROM x WHERE list_contains(list_transform((SELECT kept FROM r ORDER BY i DESC LIMIT 1), lambda k: k.d), doc_id)""").replace("WITH q AS", "WITH RECURSIVE q AS", 1),
 }
+_ALL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+#: Each word between two blanks of its own, so that one occurrence does not take the next one's blank.
+_SPACED = f"' ' || array_to_string({_ALL}, '  ') || ' '"
+
+
+def _runs(words: str) -> str:
+    held = " " + words.replace(" ", "  ") + " "
+    return f"((length(s) - length(replace(s, '{held}', ''))) // {len(held)})"
+
+
+def _phrases_sql(queries: dict[int, list[str]]) -> str:
+    each = " UNION ALL ".join(f"SELECT {q} AS query_id, doc_id, ({' + '.join(f'{_runs(p)} / {len(p.split())}.0' for p in ps)}) / (n / 100.0) AS score FROM d WHERE n > 0" for q, ps in queries.items())
+    return f"WITH d AS (SELECT doc_id, {_SPACED} AS s, len({WORDS.format('text')}) AS n FROM documents) SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(least(1.0, score), 6) + 0.0 AS score FROM ({each}) WHERE score > 0"
+
+
+def _near_sql(queries: dict[int, list[str]], window: int) -> str:
+    each = []
+    for q, words in queries.items():
+        names = [f"p{i}" for i in range(len(words))]
+        span = f"greatest({', '.join(f'{n}.at' for n in names)}) - least({', '.join(f'{n}.at' for n in names)}) + 1" if len(words) > 1 else "1"
+        joins = " ".join([f"(SELECT * FROM p WHERE w = '{words[0]}') p0", *(f"JOIN (SELECT * FROM p WHERE w = '{w}') p{i} ON p{i}.doc_id = p0.doc_id AND abs(p{i}.at - p0.at) < {window}" for i, w in enumerate(words[1:], 1))])
+        each.append(f"SELECT {q} AS query_id, doc_id, span, {len(words)} / span AS score FROM (SELECT p0.doc_id, min({span}) AS span FROM {joins} GROUP BY p0.doc_id) WHERE span <= {window}")
+    return f"WITH p AS MATERIALIZED (SELECT doc_id, unnest({_ALL}) AS w, unnest(range(len({_ALL}))) AS at FROM documents) SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, CAST(span AS BIGINT) AS span, round(score, 6) + 0.0 AS score FROM ({' UNION ALL '.join(each)})"
+
+
+SQL["phrase_postings"] = _phrases_sql({1: ["under the", "license"], 2: ["of the"], 3: ["in the in the", "a"]})
+SQL["proximity_search"] = _near_sql({1: ["license", "the"], 2: ["version", "license", "apache"], 3: ["the", "of"]}, 12)
+SQL["bm25_pruned"] = (_scored_sql({1: "x"}, _BM25, 10.0).replace("WITH q AS (SELECT 1 AS query_id, 'x' AS term)", f"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark)").replace("least(1.0, raw / 10.0)", "round(least(1.0, raw / 10.0), 9)")
+                      + "SELECT query_id, doc_id, round(score, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 5")
+SQL["ivf_exact"] = _knn_sql(_COS, 10)
 SQL |= {f"knn_{how}{m}": _knn_sql(s, 10) for m, s in _METRIC_SQL.items() for how in ("", "matrix_")}
 SQL |= {f"multi_vector_{h}": f"{_PAIRS} SELECT CAST(group_id AS BIGINT) AS group_id, round({s}, 6) + 0.0 AS score FROM p GROUP BY group_id" for h, s in _MULTI_SQL.items()}
 SQL |= {f"fuse_{h}": _SIDES + f"{s} SELECT doc_id, round(score, 6) + 0.0 AS score FROM x" for h, s in _FUSE_SQL.items()}
