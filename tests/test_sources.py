@@ -1,10 +1,13 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import index
 from docloom.plans.common import table
 from docloom.sources import config, files
-from docloom.sources.store import CollectionStore, export_json, import_json
+from docloom.sources.store import CollectionStore, WriteConflict, export_json, import_json
 from docloom.streaming import streams
 
 
@@ -49,6 +52,70 @@ def test_store(spark, tmp_path):
         s.get_all("c")
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_store_against_a_plain_table(spark, tmp_path, buckets):
+    """Changes in any order, with compactions between them, nulls and rows that share a key."""
+    rng = random.Random(buckets)
+    s = CollectionStore(spark, str(tmp_path / "s"), buckets=buckets, folders=6)
+    mk = lambda rows: spark.createDataFrame(rows, "id long, v string")
+    held = [(i, f"a{i}") for i in range(40)] + [(None, "n"), (3, "twice")]
+    s.create("c", mk(held))
+    for step in range(8):
+        ids = rng.sample(range(60), 6)
+        kind = ("upsert", "delete", "add", "upsert", "compact")[step % 5]
+        rows = [(i, f"{kind}{step}-{i}") for i in ids] + ([(ids[0], "again"), (None, "x")] if kind == "upsert" else [])
+        if kind in ("upsert", "delete"):
+            held = [r for r in held if r[0] is None or r[0] not in ids]
+        if kind in ("upsert", "add"):
+            held += rows
+            getattr(s, kind)("c", mk(rows))
+        elif kind == "delete":
+            s.delete("c", spark.createDataFrame([(i,) for i in [*ids, None]], "id int"))
+        else:
+            s.compact("c", share=rng.choice([0.0, 0.3]))
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert sorted(map(tuple, s.get_all("c").collect()), key=key) == sorted(held, key=key), kind
+        assert sorted(map(tuple, s.get("c", mk([(i, "") for i in ids])).collect())) == sorted(r for r in held if r[0] in ids)
+    assert s.info("c").first()["count"] == len(held) and len(s._manifest("c")["entries"]) <= 7
+    s.delete("c", s.get_all("c").select("id"))
+    assert [r.id for r in s.get_all("c").collect()] == [None] * sum(i is None for i, _ in held)
+
+
+def test_a_change_writes_in_proportion_to_itself(spark, tmp_path):
+    s = CollectionStore(spark, str(tmp_path / "s"), buckets=4)
+    df = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    s.create("c", df)
+    before, files = s.bytes("c"), {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    s.upsert("c", df.where("id % 100 = 7").withColumn("v", F.reverse("v")))
+    assert s.bytes("c") - before < 0.03 * before
+    assert all(f.stat().st_mtime_ns == at for f, at in files.items())  # what was there is as it was
+    assert s.get_all("c").count() == 40_000 and s.get_all("c").where("v = reverse(sha2(cast(id as string), 256))").count() == 400
+    assert s.compact("c") == [] and s.compact("c", share=0.01) == [0, 1, 2, 3]
+    assert s.bytes("c") < 1.03 * before and s.get_all("c").where("v = reverse(sha2(cast(id as string), 256))").count() == 400
+
+
+def test_of_two_writers_one_loses_cleanly(spark, tmp_path):
+    first, second = (CollectionStore(spark, str(tmp_path / "s")) for _ in range(2))
+    mk = lambda rows: spark.createDataFrame(rows, "id long, v string")
+    first.create("c", mk([(1, "a"), (2, "b")]))
+    base = second._current("c")
+    first.upsert("c", mk([(1, "first")]))
+    names = set(first._names(f"{first.root}/c"))
+    for late in (base, base | {"version": 0}):
+        with pytest.raises(WriteConflict):
+            second._commit("c", late, mk([(1, "second")]), mk([(1, "")]))
+        assert {r.id: r.v for r in second.get_all("c").collect()} == {1: "first", 2: "b"} and set(first._names(f"{first.root}/c")) - names <= {"_claim-00000000000000000001"}
+    second.upsert("c", mk([(2, "second")]))  # from what is there now
+    assert {r.id: r.v for r in first.get_all("c").collect()} == {1: "first", 2: "second"}
+    # the claim of a writer that died
+    first._fs.create(first._path(f"{first.root}/c/_claim-{first._current('c')['version'] + 1:020d}"), False).close()
+    with pytest.raises(WriteConflict):
+        first.delete("c", mk([(1, "")]))
+    time.sleep(1.1)
+    CollectionStore(spark, first.root, patience=1.0).delete("c", mk([(1, "")]))
+    assert [r.id for r in first.get_all("c").collect()] == [2]
+
+
 def test_json_round_trip(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "i int, t string")
     assert sorted(map(tuple, import_json(export_json(d), "i int, t string").collect())) == [(1, "a"), (2, None)]
