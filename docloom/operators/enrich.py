@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
 from docloom.operators import analyze as an
 from docloom.operators import classify as cl
+from docloom.tables import Tables
 
 
 def quality(confidence: Column, total: Column, length: Column, n_keywords: Column, has_steps: Column, n_flags: Column) -> Column:
@@ -107,35 +110,78 @@ def enrich(chunks: DataFrame, content: str = "text", rules: list[lx.Rule] | None
     return df.withColumn("enrichment", F.when(blank, fallback).otherwise(full)).drop("_e")
 
 
-def related_chunks(chunks: DataFrame, least: float = 0.5, most: int = 5, near: int = 2) -> DataFrame:
+#: Indexes of a source that the first round looks at, and how many times more each next round does.
+WINDOW, GROWTH = 256, 8
+
+
+def related_chunks(chunks: DataFrame, least: float = 0.5, most: int = 5, near: int = 2, window: int = WINDOW) -> DataFrame:
     """source, chunk_index, related (the first `most` indexes): columns source, chunk_index, category, domain, keywords (array).
 
     A pair scores .3 for equal categories, .2 for equal domains, .1 for places at most `near` apart and .4 times the shared keywords
-    over the larger set. Pairs come from what can reach `least`: shared keywords, neighbourhood, and, where equal labels suffice,
-    the first chunks of equal labels, since only the first are kept. So no source's chunks are all paired.
+    over the larger set. Pairs of equal category, of equal domain, or of neither must share so many keywords to reach `least`; so they must share one
+    of the rarest, as many as a set of their size can do without, and their sets must be of like size (a prefix-filtered join). Where equal labels
+    suffice, the first chunks of equal labels are what counts; neighbours are met by place.
+    Only the first `most` are kept, so rounds take the partners by rising index: a chunk that has found its `most` among
+    lower indexes than a round's is left out of it. A word in all chunks of a source thus pairs no chunk with all others,
+    unless fewer than `most` of those it may be related to are. Null keywords are none; rows without source or index are not related.
     """
-    a = chunks.select("source", "chunk_index", "category", "domain", F.array_distinct("keywords").alias("kw")).withColumn("n", F.size("kw"))
-    words = a.select("source", "chunk_index", F.explode(F.transform("kw", lambda w: F.xxhash64(w))).alias("w"))
-    other = words.select("source", F.col("chunk_index").alias("other"), "w")
-    shared = words.join(other, ["source", "w"]).where("chunk_index <> other").groupBy("source", "chunk_index", "other").agg(F.count("*").alias("shared"))
-    here = a.select("source", "chunk_index", "category", "domain", "n")
-    there = here.select("source", F.col("chunk_index").alias("other"), F.col("category").alias("c2"), F.col("domain").alias("d2"), F.col("n").alias("n2"))
-    pairs = here.select("source", "chunk_index", F.explode(F.sequence(F.col("chunk_index") - near, F.col("chunk_index") + near)).alias("other"))
-    for keys, weight in ((["category", "domain"], 0.5), (["category"], 0.3), (["domain"], 0.2), ([], 0.0)):
-        if weight >= least:
+    tables = Tables(chunks.sparkSession, "related")
+    base = chunks.where("source IS NOT NULL AND chunk_index IS NOT NULL").select("source", "chunk_index", "category", "domain", F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda w: w.isNotNull()), lambda w: F.xxhash64(w)))).alias("kw"))
+    low = base.groupBy("source").agg(F.min("chunk_index").alias("low"))
+    base = base.join(low, "source").select("source", "chunk_index", (F.col("chunk_index") - F.col("low")).alias("at"), "category", "domain", F.size("kw").alias("n"), "kw")
+    base = tables.write("base", base)
+    words = base.select("source", "chunk_index", "at", "category", "domain", "n", F.explode("kw").alias("w"))
+    df = words.groupBy("source", "w").agg(F.count("*").alias("df"))
+    order = words.join(df, ["source", "w"]).groupBy("source", "chunk_index", "at", "category", "domain", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("rare"))
+    order = tables.write("order", order)
+    kinds = []
+    for k, (keys, gift) in enumerate(((["category", "domain"], 0.5), (["category"], 0.3), (["domain"], 0.2), ([], 0.0))):
+        share = round((least - gift) / 0.4, 9)  # of the larger set, what a pair of such labels must share
+        if 0 < share <= 1:
+            label = F.xxhash64(F.lit(k), *keys) if keys else F.lit(k).cast("long")
+            rows = order.where(" AND ".join([f"{c} IS NOT NULL" for c in keys]) or "true")
+            length = F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 6)).cast("int") + 1
+            kinds.append(rows.select("source", "chunk_index", "at", "n", label.alias("label"), F.lit(share).alias("share"), F.explode(F.slice("rare", 1, length)).alias("w")))
+    prefix = reduce(DataFrame.unionByName, kinds) if kinds else None
+    here = base.select("source", "chunk_index", "category", "domain", "n", "kw")
+    there = base.select("source", F.col("chunk_index").alias("other"), F.col("at").alias("other_at"), F.col("category").alias("c2"), F.col("domain").alias("d2"), F.col("n").alias("n2"), F.col("kw").alias("kw2"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pair = pairs.where("chunk_index <> other").distinct().join(here, ["source", "chunk_index"]).join(there, ["source", "other"])
+        score = F.when(F.col("category") == F.col("c2"), 0.3).otherwise(0.0) + 0.4 * F.size(F.array_intersect("kw", "kw2")) / F.greatest("n", "n2", F.lit(1)) + F.when(F.col("domain") == F.col("d2"), 0.2).otherwise(0.0) + F.when(F.abs(F.col("chunk_index") - F.col("other")) <= near, 0.1).otherwise(0.0)
+        return pair.where(F.round(score, 9) >= least).select("source", "chunk_index", "other", "other_at")
+
+    def first(found: DataFrame) -> DataFrame:
+        place = W.partitionBy("source", "chunk_index").orderBy("other")
+        return found.distinct().withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).drop("place")
+
+    pairs = base.select("source", "chunk_index", F.explode(F.sequence(F.col("chunk_index") - near, F.col("chunk_index") + near)).alias("other"))
+    for keys, gift in ((["category", "domain"], 0.5), (["category"], 0.3), (["domain"], 0.2), ([], 0.0)):
+        if gift >= least:
             head = W.partitionBy("source", *keys).orderBy("chunk_index")
-            first = here.withColumn("place", F.row_number().over(head)).where(F.col("place") <= most + 1).select("source", *keys, F.col("chunk_index").alias("other"))
-            pairs = pairs.unionByName(here.join(first, ["source", *keys]).select("source", "chunk_index", "other"))
-    pairs = pairs.where("chunk_index <> other").withColumn("shared", F.lit(0).cast("long")).unionByName(shared)
-    pairs = pairs.groupBy("source", "chunk_index", "other").agg(F.max("shared").alias("shared"))
-    pair = pairs.join(here, ["source", "chunk_index"]).join(there, ["source", "other"])
-    share = F.col("shared") / F.greatest("n", "n2", F.lit(1))
-    score = F.when(F.col("category") == F.col("c2"), 0.3).otherwise(0.0) + 0.4 * share + F.when(F.col("domain") == F.col("d2"), 0.2).otherwise(0.0) + F.when(F.abs(F.col("chunk_index") - F.col("other")) <= near, 0.1).otherwise(0.0)
-    first = W.partitionBy("source", "chunk_index").orderBy("other")
-    kept = pair.where(F.round(score, 9) >= least).withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
-    return kept.groupBy("source", "chunk_index").agg(F.array_sort(F.collect_list("other")).alias("related"))
-
-
-def document_stats(chunks: DataFrame) -> DataFrame:
-    """Of each source: chunks, content types, chunks with steps, mean length, keywords. Columns: source, text, analysis."""
-    return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.array_sort(F.collect_set("analysis.content_type")).alias("types"), F.sum(F.col("analysis.has_steps").cast("long")).alias("with_steps"), F.avg(F.length("text")).alias("avg_length"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.keywords")))).alias("keywords"))
+            some = base.withColumn("place", F.row_number().over(head)).where(F.col("place") <= most + 1).select("source", *keys, F.col("chunk_index").alias("other"))
+            pairs = pairs.unionByName(base.join(some, ["source", *keys]).select("source", "chunk_index", "other"))
+    found = tables.write("found", first(verified(pairs)))
+    last = prefix and base.agg(F.max("at")).first()[0]
+    start, r = 0, 0
+    while prefix is not None and last is not None and start <= last:
+        end = start + window * GROWTH**r
+        enough = found.where(F.col("other_at") < start).groupBy("source", "chunk_index").agg(F.count("*").alias("have")).where(F.col("have") >= most)
+        ask = prefix.join(enough, ["source", "chunk_index"], "left_anti")
+        met = prefix.where((F.col("at") >= start) & (F.col("at") < end)).select("source", "label", "w", F.col("chunk_index").alias("other"), F.col("n").alias("n2"))
+        like = ask.join(met, ["source", "label", "w"]).where(F.least("n", "n2") >= F.round(F.col("share") * F.greatest("n", "n2"), 6)).select("source", "chunk_index", "other")
+        new = tables.write(f"found{r}", first(found.unionByName(verified(like))))
+        tables.drop(f"found{r - 1}" if r else "found")
+        found, start, r = new, end, r + 1
+    return found.groupBy("source", "chunk_index").agg(F.array_sort(F.collect_list("other")).alias("related"))
+
+
+def document_stats(chunks: DataFrame, most: int = 20) -> DataFrame:
+    """Of each source: chunks, content types, chunks with steps, mean length, distinct keywords and the `most` frequent ones, in that order. Columns: source, text, analysis."""
+    base = chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.array_sort(F.collect_set("analysis.content_type")).alias("types"), F.sum(F.col("analysis.has_steps").cast("long")).alias("with_steps"), F.avg(F.length("text")).alias("avg_length"))
+    word = chunks.select("source", F.explode(F.array_distinct("analysis.keywords")).alias("w")).groupBy("source", "w").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "w"))
+    top = word.withColumn("place", place).where(F.col("place") <= most).groupBy(F.col("source").alias("s1")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "w"))), lambda x: x["w"]).alias("keywords"))
+    size = word.groupBy(F.col("source").alias("s2")).agg(F.count("*").alias("n_keywords"))
+    out = base.join(size, F.col("source").eqNullSafe(F.col("s2")), "left").join(top, F.col("source").eqNullSafe(F.col("s1")), "left").drop("s1", "s2")
+    return out.withColumns({"n_keywords": F.coalesce("n_keywords", F.lit(0)), "keywords": F.coalesce("keywords", F.array().cast("array<string>"))})

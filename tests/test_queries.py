@@ -46,8 +46,8 @@ def test_long_documents_are_split_and_ingested(spark, tmp_path):
     assert sum(r.chunks for r in got) == len(chunks) and sum(r.chunks * r.avg_length for r in got) == pytest.approx(sum(map(len, chunks)), abs=0.01)
 
 
-@pytest.mark.parametrize("least", [0.1, 0.25, 0.3, 0.5, 0.6, 0.75])
-def test_related_chunks_against_all_pairs(spark, least):
+@pytest.mark.parametrize(("least", "window"), [(0.1, 256), (0.25, 2), (0.3, 256), (0.5, 1), (0.6, 3), (0.75, 256)])
+def test_related_chunks_against_all_pairs(spark, least, window):
     from docloom.operators.enrich import related_chunks
 
     rng = random.Random(5)
@@ -58,10 +58,40 @@ def test_related_chunks_against_all_pairs(spark, least):
         return round(0.3 * (a[2] == b[2]) + 0.4 * shared + 0.2 * (a[3] == b[3]) + 0.1 * (abs(a[1] - b[1]) <= 2), 9)
 
     want = {(a[0], a[1]): [b[1] for b in rows if a[0] == b[0] and a[1] != b[1] and score(a, b) >= least][:5] for a in rows}
-    got = related_chunks(spark.createDataFrame(rows, "source int, chunk_index int, category string, domain string, keywords array<string>"), least)
+    got = related_chunks(spark.createDataFrame(rows, "source int, chunk_index int, category string, domain string, keywords array<string>"), least, window=window)
     assert {(r.source, r.chunk_index): r.related for r in got.collect()} == {k: v for k, v in want.items() if v}
 
 
+def _pairs_met(spark, n, keywords):
+    """Rows that joins made when chunks of one source with such keywords were related, and the result."""
+    from docloom.operators.enrich import related_chunks
+
+    rows = [("s", i, f"c{i % 3}", f"d{i % 7}", keywords(i)) for i in range(n)]
+    seen, store = [], spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in _list(spark, store.executionsList())}
+    got = {r.chunk_index: r.related for r in related_chunks(spark.createDataFrame(rows, "source string, chunk_index int, category string, domain string, keywords array<string>"), 0.75).collect()}
+    for e in _list(spark, store.executionsList()):
+        if e.executionId() not in before:
+            values = store.executionMetrics(e.executionId())
+            for node in _list(spark, store.planGraph(e.executionId()).allNodes()):
+                if "Join" in node.name():
+                    seen += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in _list(spark, node.metrics()) if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return max(seen, default=0), got
+
+
+def _list(spark, seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_related_chunks_meet_pairs_in_proportion_to_rows(spark):
+    """A word in all chunks, with rarer ones beside it, or in sets that are all related."""
+    common = [_pairs_met(spark, n, lambda i: ["all", f"a{i}", f"b{i}", f"c{i}"]) for n in (300, 1200)]
+    assert [len(g) for _, g in common] == [0, 0] and common[1][0] < 6 * max(common[0][0], 300 * 5)
+    alike = [_pairs_met(spark, n, lambda i: ["all", "one"]) for n in (600, 2400)]
+    assert [len(g) for _, g in alike] == [600, 2400] and alike[1][0] < 6 * alike[0][0]
+    assert alike[1][1][1000] == [13, 34, 55, 76, 97]  # those of equal labels
+
+
 def test_sql_names_are_queries():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
