@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
+from docloom.operators import fuzzy as fz
 from docloom.operators.index import Index
 
 K1, B, BOOST = 1.5, 0.75, 1.3
@@ -113,18 +114,15 @@ def phrase(docs: DataFrame, query: str, doc_id: str = "doc_id", content: str = "
     return scored.where("score > 0")
 
 
-def fuzzy(index: Index, terms: DataFrame, least: float = 0.8) -> DataFrame:
+def fuzzy(index: Index, terms: DataFrame, least: float = 0.8, filed: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score: mean over the query's terms of the best similarity 1 - lev/length to a word of the document.
 
-    Terms meet the distinct vocabulary, not documents, and only words whose length allows the similarity.
+    Terms meet the distinct vocabulary, not documents, by deletion variants of segments; filed: those of the vocabulary, if stored.
     """
     q = terms.select("query_id", "term").distinct()
     size = F.broadcast(q.groupBy("query_id").agg(F.count("*").alias("q_terms")))
-    vocab = index.postings.select(F.col("term").alias("word")).distinct()
-    longer = F.greatest(F.length("word"), F.length("q"))
-    near = F.abs(F.length("word") - F.length("q")) <= F.round((1 - least) * longer, 9)
-    alike = vocab.join(F.broadcast(q.select(F.col("term").alias("q")).distinct()), near).withColumn("sim", 1 - F.levenshtein("word", "q") / longer).where(F.col("sim") >= least)
-    found = index.postings.select("doc_id", F.col("term").alias("word")).join(alike, "word").groupBy("doc_id", "q").agg(F.max("sim").alias("sim"))
+    like = fz.alike(index.frequencies().select(F.col("term").alias("word")), q.select(F.col("term").alias("q")), least, filed)
+    found = index.postings.select("doc_id", F.col("term").alias("word")).join(like, "word").groupBy("doc_id", "q").agg(F.max("sim").alias("sim"))
     per = found.join(F.broadcast(q.withColumnRenamed("term", "q")), "q").groupBy("query_id", "doc_id").agg(F.sum("sim").alias("s"))
     return per.join(size, "query_id").select("query_id", "doc_id", (F.col("s") / F.col("q_terms")).alias("score"))
 

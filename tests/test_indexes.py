@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import blocks, index, ivf, keyword, vectors
+from docloom.operators import blocks, fuzzy, index, ivf, keyword, vectors
 from docloom.plans import retrieval
 
 VOCAB = [f"w{i}" for i in range(60)]
@@ -140,6 +140,48 @@ def test_new_rows_are_found(spark, sf, tmp_path):
     assert {r.doc_id for r in retrieval.tfidf_topk(spark, str(tmp_path)).collect()} == {1, 2}
 
 
+# fuzzy
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.65, 0.75, 0.8, 0.9, 1.0])
+def test_alike_words_against_all_pairs(spark, least):
+    """Words of one to forty letters, each with neighbours some edits away, and letters beyond ASCII."""
+    rng = random.Random(int(least * 100))
+    words = {"".join(rng.choice("abcdeüß漢") for _ in range(rng.choice((1, 2, 3, 5, 8, 11, 14, 19, 27, 40)))) for _ in range(60)}
+    for w in list(words):
+        for n in (1, 2, 3, 5):
+            x = list(w)
+            for _ in range(n):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randrange(2)] = rng.choice(["", "a", "x"])
+            words.add("".join(x))
+    words = sorted(words - {""})
+    asked = rng.sample(words, 40) + ["zzzz"]
+    got = fuzzy.alike(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(q,) for q in asked], "q string"), least)
+    want = {(w, q) for w in words for q in asked if 1 - distance(w, q) / max(len(w), len(q)) >= least - 1e-12}
+    assert {(r.word, r.q) for r in got.collect()} == want
+    if least >= 0.5:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_filed_words_give_the_same(spark, built, tmp_path):
+    ix = built[0].index()
+    terms = keyword.query_table(spark, {1: "w10 w5x", 2: "w41w nothing"}, mode=None)
+    fuzzy.variants(ix.frequencies().select(F.col("term").alias("word")), 0.6).sort("key").write.parquet(str(tmp_path / "filed"))
+    got = keyword.fuzzy(ix, terms, 0.6, spark.read.parquet(str(tmp_path / "filed"))).collect()
+    assert got and sorted(got) == sorted(keyword.fuzzy(ix, terms, 0.6).collect())
+
+
 # vectors
 
 
