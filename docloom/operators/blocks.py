@@ -58,7 +58,7 @@ class Blocks:
         return Index(rows, self.lengths(), self.numbers, self.postings.where("counted").groupBy("term").agg(F.sum("n").alias("df")))
 
     def lengths(self) -> DataFrame:
-        return self.documents.select(F.explode(F.arrays_zip("doc_ids", "dls", "flags")).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.dls").cast("long").alias("dl"), F.col("x.flags").alias("technical"))
+        return self.documents.select(F.explode(F.arrays_zip("doc_ids", "dls", "flags")).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.dls").cast("long").alias("dl"), F.col("x.flags").alias("technical"), F.col("x.dls").isNotNull().alias("there")).where("there").drop("there")
 
 
 def invert(batch: pa.RecordBatch, block: int, least: int) -> pa.RecordBatch:

@@ -51,7 +51,7 @@ def classify(docs: DataFrame, content: str = "text", rules: list[lx.Rule] | None
     conf = F.map_from_entries(F.transform(got, lambda x: F.struct(x["category"], x["confidence"])))
     total = F.when(any_, F.aggregate(got, F.lit(0.0), lambda a, x: a + x["confidence"]) / F.greatest(F.size(got), F.lit(1))).otherwise(0.0)
     primary = F.when(any_, F.try_element_at(got, F.lit(1))["category"]).otherwise(by_type)
-    secondary = F.transform(F.filter(F.slice(got, 2, 100), lambda x: x["o"] <= -0.3), lambda x: x["category"])
+    secondary = F.transform(F.filter(F.slice(got, F.lit(2), F.greatest(F.size(got), F.lit(1))), lambda x: x["o"] <= -0.3), lambda x: x["category"])
     scores = F.map_from_entries(F.transform(got, lambda x: F.struct(x["category"], -x["o"])))
     return hit.withColumn("classification", F.struct(primary.alias("primary"), secondary.alias("secondary"), conf.alias("confidences"), total.alias("total"), F.array_sort(flags).alias("flags"), names.alias("rules"), scores.alias("scores"))).drop("_m", "_s")
 

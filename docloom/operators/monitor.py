@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators import scan
+
 
 def operation_stats(log: DataFrame, by: str, ok: Column, ms: Column) -> DataFrame:
     """Of each operation: n, n_ok, total and mean time, success in percent, operations a second."""
@@ -16,8 +18,9 @@ def operation_stats(log: DataFrame, by: str, ok: Column, ms: Column) -> DataFram
 
 
 def running_average(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("running_avg", F.avg(value).over(w))
+    """df with the mean of the value over its key's rows so far; one huge key is scanned by ranges."""
+    r = scan.running(df, [key], order, value)
+    return r.withColumn("running_avg", F.when(F.col("running_n") > 0, F.col("running_sum") / F.col("running_n"))).drop("running_sum", "running_n")
 
 
 def throughput_score(avg_s: Column, success: Column) -> Column:
@@ -32,11 +35,11 @@ def performance_alerts(stats: DataFrame) -> DataFrame:
     return stats.select("key", F.explode(F.array_compact(F.array(*some))).alias("a")).select("key", "a.kind", "a.severity")
 
 
-def state_changes(log: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
-    """How often the state differs from the row before."""
-    before = F.lag(state).over(W.partitionBy(key).orderBy(*order))
-    changed = log.withColumn("changed", (F.col(state) != before).cast("long"))
-    return changed.groupBy(key).agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"), F.count("*").alias("n"))
+def state_changes(log: DataFrame, key: str | None, order: list[str], state: str) -> DataFrame:
+    """How often the state differs from the row before, of each key or in the whole log; one huge key is scanned by ranges."""
+    keys = [key] if key else []
+    changed = scan.previous(log, keys, order, state).withColumn("changed", (F.col(state) != F.col("before")).cast("long"))
+    return changed.groupBy(*keys).agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"), F.count("*").alias("n"))
 
 
 def threshold_status(value: Column, warn: float, critical: float) -> Column:
@@ -87,8 +90,8 @@ def metric_summary(log: DataFrame, hours: int, now: Column, order: list[str], st
     """Over the last hours: rows, share of healthy ones in percent, a histogram of states (map), and changes of provider in the given order."""
     recent = log.where(F.col("ts") >= now - F.make_dt_interval(F.lit(0), F.lit(hours)))
     states = recent.groupBy(status).agg(F.count("*").alias("c")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "c")))).alias("states"))
-    changes = state_changes(recent.withColumn("_all", F.lit(1)), "_all", order, provider).select(F.col("changes").alias("provider_changes"))
-    return summary(log, hours, now, status).crossJoin(states).join(F.broadcast(changes), F.lit(True), "left").withColumn("provider_changes", F.coalesce("provider_changes", F.lit(0)))
+    changes = state_changes(recent, None, order, provider).select(F.col("changes").alias("provider_changes"))
+    return summary(log, hours, now, status).crossJoin(states).crossJoin(changes)  # a row each
 
 
 def stage_timing(log: DataFrame, stage: str = "stage", ms: str = "ms") -> DataFrame:

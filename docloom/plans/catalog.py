@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import analysis, fixtures, monitoring, retrieval, services
+from docloom.plans import analysis, defaults, fixtures, monitoring, retrieval, services
 from docloom.session import ship
 
-MODULES = (retrieval, analysis, monitoring, services, fixtures)
+MODULES = (retrieval, analysis, monitoring, services, defaults, fixtures)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -8,6 +8,7 @@ from docloom.operators import fusion
 from docloom.operators import monitor as mo
 from docloom.plans.common import long, r6, table
 from docloom.streaming import streams
+from docloom.tables import Tables
 
 
 def _events(spark, sf):
@@ -106,6 +107,34 @@ def windowed_metrics(spark, sf):
     return streams.windowed_metrics(e, "1 hour").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
+#: Days of a file of streamed_sessions, its last file, and files after which the stream is started anew.
+SLICE_DAYS, LAST_SLICE, RESTART = 5, 5, 3
+
+
+def _sliced(spark, sf):
+    """Events with the file that brings them: that of their time, the next for half of those at its end, one three files on for every 97th."""
+    e = _events(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = e.crossJoin(F.broadcast(e.agg(F.unix_micros(F.min("ts")).alias("low"))))
+    size = SLICE_DAYS * 86_400_000_000
+    own = F.least(F.floor((F.unix_micros("ts") - F.col("low")) / size), F.lit(LAST_SLICE))
+    edge = (F.unix_micros("ts") - F.col("low")) % size >= size - 1_800_000_000
+    file = F.when((F.col("event_id") % 97 == 0) & (own + 3 <= LAST_SLICE), own + 3).when(edge & (F.col("event_id") % 2 == 0) & (own < LAST_SLICE), own + 1).otherwise(own)
+    return e.withColumn("file", file.cast("int")).drop("low")
+
+
+def streamed_sessions(spark, sf):
+    """Sessions closed by a stream over the events in six files, stopped after three and started again from its checkpoint."""
+    t, e = Tables(spark, "stream"), _sliced(spark, sf)
+    at, out, checkpoint = (f"{t.root}/{n}" for n in ("in", "out", "checkpoint"))
+    for f in range(LAST_SLICE + 1):
+        e.where(F.col("file") == f).drop("file").coalesce(1).write.mode("append").parquet(at)
+        if f + 1 in (RESTART, LAST_SLICE + 1):
+            stream = spark.readStream.schema(e.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(at)
+            streams.run_sessions(stream, out, checkpoint).awaitTermination()
+    got = spark.read.parquet(out)
+    return got.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("last_event").cast("timestamp_ntz").alias("last_event"), "n")
+
+
 def label_filter(spark, sf):
     d, lab = table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").where("quality = 1 AND toxic = 0")
     return d.join(lab, "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
@@ -116,14 +145,19 @@ def top_customers(spark, sf):
     return o.orderBy(F.desc("cents"), "o_custkey").limit(20).select("o_custkey", "n", "cents")
 
 
-QUERIES = [op_stats, status_histogram, state_changes, running_average, throughput_score, performance_alerts, component_health, overall_status, sessionize, session_states, exception_counts, filter_search_page, paged_parts, formatted, log_filter, availability, adaptation_stats, windowed_metrics, label_filter, top_customers]
+QUERIES = [streamed_sessions, op_stats, status_histogram, state_changes, running_average, throughput_score, performance_alerts, component_health, overall_status, sessionize, session_states, exception_counts, filter_search_page, paged_parts, formatted, log_filter, availability, adaptation_stats, windowed_metrics, label_filter, top_customers]
 
 _CENTS = "CAST(round(abs(value) * 100) AS BIGINT)"
 _SESSIONS = """s0 AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 7200000000, true) THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s1 AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s0),
 s AS (SELECT user_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS n FROM s1 GROUP BY user_id, s)"""
 _LIMIT = "CASE component " + " ".join(f"WHEN '{n}' THEN CASE WHEN value >= {c} THEN 'critical' WHEN value >= {w} THEN 'degraded' ELSE 'healthy' END" for n, (w, c) in mo.LIMITS.items()) + " END"
+_STREAMED = _SESSIONS.replace("FROM events WINDOW", "FROM kept WINDOW")
 SQL = {
+    # rows three files late are dropped; sessions that the last watermark, an hour before the last event, has not passed are open
+    "streamed_sessions": f"""WITH low AS (SELECT min(epoch_us(ts)) AS low FROM events),
+kept AS (SELECT events.* FROM events, low WHERE NOT (event_id % 97 = 0 AND least((epoch_us(ts) - low) // {SLICE_DAYS * 86_400_000_000}, {LAST_SLICE}) + 3 <= {LAST_SLICE})),
+{_STREAMED} SELECT * FROM s WHERE epoch_us(last_event) + 7200000000 < (SELECT max(epoch_us(ts)) - 3600000000 FROM kept)""",
     "op_stats": f"""SELECT event_type, count(*) AS n, CAST(count(*) FILTER (value > 20) AS BIGINT) AS n_ok, CAST(sum({_CENTS}) AS BIGINT) AS total_ms, round(avg({_CENTS}), 6) + 0.0 AS avg_ms,
 round(count(*) FILTER (value > 20) * 100.0::DOUBLE / count(*), 6) + 0.0 AS success_percent, round(count(*) * 1000.0::DOUBLE / sum({_CENTS}), 6) + 0.0 AS per_second FROM events GROUP BY event_type""",
     "status_histogram": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL",

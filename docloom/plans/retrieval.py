@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
-from docloom.operators import blocks, fusion, index, ivf, keyword, router, vectors
+from docloom.operators import blocks, fusion, index, ivf, keyword, prefixes, router, vectors
 from docloom.plans.common import TOKENS, WORDS, long, r6, sql_any, table
 from docloom.session import shared_dir, spread
+from docloom.tables import Tables
 
 # Query texts whose words occur in the test corpus.
 QUERY = "eau ment keit"
@@ -126,6 +127,12 @@ def term_completions(spark, sf):
     return index.completions(_index(spark, sf), "lic").select("term", long("df").alias("df"))
 
 
+def prefix_completions(spark, sf):
+    """The ten terms of every two-letter prefix, from the stored table."""
+    made = prefixes.store(prefixes.ranked(_index(spark, sf).frequencies()), f"{Tables(spark, 'prefixes').root}/table")
+    return made.where("length(prefix) = 2").select("prefix", long("rank").alias("rank"), "term", long("df").alias("df"))
+
+
 def query_suggestions(spark, sf):
     past = spark.createDataFrame([("license of apache",), ("public lic",)], "query string")
     return index.suggestions(_index(spark, sf), past, "lic").select("suggestion", long("df").alias("df"))
@@ -352,7 +359,7 @@ def near_dup_greedy(spark, sf):
 
 QUERIES = [bm25_topk, tfidf_topk, bm25_batch, boolean_search, phrase_search, fuzzy_vocab, term_completions, query_suggestions, index_stats, query_term_profile, query_popularity, highlight_terms, term_contexts]
 QUERIES += [_knn(m) for m in vx.METRICS] + [_knn_matrix(m) for m in vx.METRICS] + [knn_filtered, knn_signed] + [_multi(h) for h in _MULTI_SQL] + [hash_embedding_knn] + [_fuse(h) for h in _FUSE_SQL]
-QUERIES += [bm25_pruned, phrase_postings, proximity_search, ivf_search, ivf_exact]
+QUERIES += [prefix_completions, bm25_pruned, phrase_postings, proximity_search, ivf_search, ivf_exact]
 QUERIES += [fuse_one_sided, service_fuse, multi_strategy, rerank_overlap, shape_rerank, diversity_penalty, mmr, near_dup_greedy]
 
 _LOW = "lower(text)"
@@ -435,6 +442,7 @@ SQL["phrase_postings"] = _phrases_sql({1: ["under the", "license"], 2: ["of the"
 SQL["proximity_search"] = _near_sql({1: ["license", "the"], 2: ["version", "license", "apache"], 3: ["the", "of"]}, 12)
 SQL["bm25_pruned"] = (_scored_sql({1: "x"}, _BM25, 10.0).replace("WITH q AS (SELECT 1 AS query_id, 'x' AS term)", f"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark)").replace("least(1.0, raw / 10.0)", "round(least(1.0, raw / 10.0), 9)")
                       + "SELECT query_id, doc_id, round(score, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 5")
+SQL["prefix_completions"] = f"SELECT left(term, 2) AS prefix, row_number() OVER (PARTITION BY left(term, 2) ORDER BY df DESC, term) AS rank, term, df FROM ({_TERM} GROUP BY term) WHERE length(term) >= 2 QUALIFY rank <= 10"
 SQL["ivf_exact"] = _knn_sql(_COS, 10)
 SQL |= {f"knn_{how}{m}": _knn_sql(s, 10) for m, s in _METRIC_SQL.items() for how in ("", "matrix_")}
 SQL |= {f"multi_vector_{h}": f"{_PAIRS} SELECT CAST(group_id AS BIGINT) AS group_id, round({s}, 6) + 0.0 AS score FROM p GROUP BY group_id" for h, s in _MULTI_SQL.items()}

@@ -9,23 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from docloom.operators import index as ix
+from docloom.operators.index import Index
+from docloom.operators.segments import SegmentedIndex
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, mode: str | None = None, content: str = "text") -> StreamingQuery:
-    """Appends postings and lengths of each micro-batch, once: a batch that is run again overwrites its own folder."""
+def ingest(stream: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
+    """Adds a segment for each micro-batch, once; a document that is sent again replaces what it was. how: as for SegmentedIndex."""
+    index = SegmentedIndex(stream.sparkSession, path, **how)
+    return stream.writeStream.foreachBatch(lambda batch, number: index.add(batch, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def write(batch: DataFrame, number: int) -> None:
-        built = ix.build(batch, content=content, mode=mode)
-        built.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        built.lengths.write.mode("overwrite").parquet(f"{path}/lengths/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def load_ingested(spark, path: str) -> ix.Index:
-    postings, lengths = spark.read.parquet(f"{path}/postings").drop("batch"), spark.read.parquet(f"{path}/lengths").drop("batch")
-    return ix.Index(postings, lengths, ix.numbered(lengths))
+def load_ingested(spark, path: str, **how) -> Index:
+    return SegmentedIndex(spark, path, **how).index()
 
 
 def windowed_metrics(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -39,23 +34,83 @@ def session_metrics(events: DataFrame, gap: str = "120 minutes", late: str = "10
     return events.withWatermark(ts, late).groupBy(w.alias("w"), user).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-class SessionState(StatefulProcessor):
-    """Of each user how many events it has had, forgotten `ttl_ms` after the last."""
+class OpenSessions(StatefulProcessor):
+    """Of each user its open sessions (first, last, n; microseconds). A timer at the end of each closes it when the watermark has passed it, and its state goes."""
 
-    def __init__(self, ttl_ms: int = 24 * 3600 * 1000):
-        self.ttl_ms = ttl_ms
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        n = (self.seen.get()[0] if self.seen.exists() else 0) + sum(len(r) for r in rows)
-        self.seen.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, n long")
+
+    def _timer(self, last: int) -> int:
+        """The millisecond from which on no accepted event can lengthen a session that ends so."""
+        return (last + self.gap_us) // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark names the arguments
+        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        merged = merged_sessions(held + [(int(t), int(t), 1) for pdf in rows for t in pdf["us"]], self.gap_us)
+        before, after = ({self._timer(last) for _, last, _ in some} for some in (held, merged))
+        for t in before - after:
+            self.handle.deleteTimer(t)
+        for t in after - before:
+            self.handle.registerTimer(t)
+        self.open.put(merged)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark names the arguments
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        closed, left = ([x for x in held if (self._timer(x[1]) <= at) == done] for done in (True, False))
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        if closed:
+            yield pd.DataFrame({"user_id": [key[0]] * len(closed), "first": [x[0] for x in closed], "last": [x[1] for x in closed], "n": [x[2] for x in closed]})
 
     def close(self) -> None:
         pass
 
 
-def session_state(events: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    return events.groupBy("user_id").transformWithStateInPandas(SessionState(ttl_ms), "user_id long, n long", "Update", "ProcessingTime")
+def merged_sessions(parts: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """Sessions (first, last, n) in any order, united where not more than gap lies between them."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, n in sorted(parts):
+        if out and first - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+        else:
+            out.append((first, last, n))
+    return out
+
+
+def closed_sessions(events: DataFrame, gap_minutes: int = 120, late: str = "1 hour", ts: str = "ts", user: str = "user_id") -> DataFrame:
+    """user_id, session_start, last_event, n, of each session once the watermark has passed its end; of streams only.
+
+    Events come in any order within `late`; later ones are dropped, which a query's progress counts (late_rows). Events without user or time are left out.
+    """
+    e = events.select(F.col(user).cast("long").alias("user_id"), F.col(ts).cast("timestamp").alias("ts")).where("user_id IS NOT NULL AND ts IS NOT NULL")
+    keyed = e.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).groupBy("user_id")
+    out = keyed.transformWithStateInPandas(OpenSessions(gap_minutes * 60_000_000), "user_id long, first long, last long, n long", "Append", "EventTime")
+    return out.select("user_id", F.timestamp_micros("first").alias("session_start"), F.timestamp_micros("last").alias("last_event"), "n")
+
+
+def run_sessions(events: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Appends closed sessions to path from what is there, once; run again with the same checkpoint it goes on where it ended."""
+    spark = events.sparkSession
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rocks)  # timers need it; a query keeps what it was started with
+    try:
+        return closed_sessions(events, **options).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, in the progress that the query still holds."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])

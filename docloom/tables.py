@@ -13,6 +13,38 @@ from docloom.session import shared_dir
 _LOG = logging.getLogger(__name__)
 
 
+class Files:
+    """Small files in a folder, by Hadoop's file system, local or not."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        p = self._path(self.root)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def put(self, name: str, text: str) -> None:
+        """Whole or not at all."""
+        draft = self._path(f"{self.root}/_draft-{uuid.uuid4().hex}")
+        stream = self._fs.create(draft)
+        stream.write(bytearray(text.encode("utf-8")))
+        stream.close()
+        if not self._fs.rename(draft, self._path(f"{self.root}/{name}")):
+            raise OSError(f"cannot write {self.root}/{name}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+
 class Tables:
     """Named Parquet tables of one call, removed when the process ends or when they are dropped."""
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import blocks, fuzzy, index, ivf, keyword, vectors
+from docloom.operators import blocks, fuzzy, index, ivf, keyword, prefixes, segments, vectors
 from docloom.plans import retrieval
 
 VOCAB = [f"w{i}" for i in range(60)]
@@ -140,6 +140,48 @@ def test_new_rows_are_found(spark, sf, tmp_path):
     assert {r.doc_id for r in retrieval.tfidf_topk(spark, str(tmp_path)).collect()} == {1, 2}
 
 
+# segments
+
+
+def test_segments_equal_a_batch_build(spark, tmp_path, fan=3):
+    """Documents sent again changed, repeated in a batch, without id, deleted and sent anew, with and without merges between."""
+    rng = random.Random(fan)
+    ix = segments.SegmentedIndex(spark, str(tmp_path / "ix"), fan=fan, version="v")
+    mk = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, v int")
+    held, nameless, number = {}, [], 0
+    for step in range(6):
+        if step == 3:
+            gone = rng.sample(sorted(held), 12)
+            assert ix.remove(spark.createDataFrame([(i,) for i in gone], "doc_id long"), number)
+            held = {d: t for d, t in held.items() if d not in gone}
+        else:
+            rows = [(rng.randrange(90), t, i) for i, t in enumerate(texts(25, 100 * fan + step, 30)[:30])]
+            if step == 1:
+                rows.append((None, "w0 w1 nameless", 0))
+                nameless.append("w0 w1 nameless")
+            assert ix.add(mk(rows), number)
+            held |= {d: t for d, t, _ in rows if d is not None}
+            assert not ix.add(mk([(1, "run again", 1)]), number)
+        number += 1
+    state = ix.state()
+    assert len(state["segments"]) < 5
+    assert len([n for n in ix.names() if n.startswith("seg-")]) <= 2 * 6
+    docs = spark.createDataFrame([*held.items(), *((None, t) for t in nameless)], "doc_id long, text string")
+    want = blocks.build(docs, str(tmp_path / "batch"), mode=None)
+    got = ix.blocks()
+    key = lambda b: Counter(tuple(r) for r in b.index().postings.collect())
+    assert key(got) == key(want)
+    assert got.numbers.first() == want.numbers.first()
+    assert Counter(map(tuple, got.lengths().collect())) == Counter(map(tuple, want.lengths().collect()))
+    assert set(map(tuple, got.index().frequencies().collect())) == set(map(tuple, want.index().frequencies().collect()))
+    named = spark.createDataFrame(list(held.items()), "doc_id long, text string")
+    terms = keyword.query_table(spark, {1: "w0 w45", 2: "w50 w51 w3"}, mode=None)
+    top = lambda b: [(r.query_id, r.doc_id, round(r.score, 8)) for r in blocks.top_k(b, terms, 4).orderBy("query_id", "rank").collect()]
+    assert top(got) == top(want)
+    found = lambda b: Counter((r.doc_id, round(r.score, 9)) for r in blocks.phrases(b, spark, {1: ["w0 w1", "w2"]}).collect())
+    assert found(got) == found(want) and named.count() == len(held)
+
+
 # fuzzy
 
 
@@ -182,6 +224,24 @@ def test_filed_words_give_the_same(spark, built, tmp_path):
     assert got and sorted(got) == sorted(keyword.fuzzy(ix, terms, 0.6).collect())
 
 
+def test_prefix_table(spark, tmp_path):
+    rng = random.Random(6)
+    terms = {"".join(rng.choice("abü") for _ in range(rng.randrange(1, 9))): rng.randrange(1, 9) for _ in range(300)}
+    rows = lambda t: spark.createDataFrame(list(t.items()), "term string, df long")
+
+    def want(prefix, held, most):
+        return sorted(((w, n) for w, n in held.items() if w.startswith(prefix)), key=lambda x: (-x[1], x[0]))[:most]
+
+    table = prefixes.store(prefixes.ranked(rows(terms), 4, 3), str(tmp_path / "p"))
+    asked = ("a", "ab", "üa", "aab", "bbü", "zz")
+    assert {p: [tuple(r) for r in prefixes.complete(table, p, 4).collect()] for p in asked} == {p: want(p, terms, 4) for p in asked}
+    assert [tuple(r) for r in prefixes.complete(table, "AB", 2).collect()] == want("ab", terms, 2)
+    later = {w: n for i, (w, n) in enumerate(terms.items()) if i % 50} | {"abnew": 99, "q": 1}
+    changed = [w for w in terms if w not in later] + ["abnew", "q"]
+    new = prefixes.updated(table, rows(later), spark.createDataFrame([(w,) for w in changed], "term string"), 4, 3)
+    assert {tuple(r) for r in new.collect()} == {tuple(r) for r in prefixes.ranked(rows(later), 4, 3).collect()}
+
+
 # vectors
 
 

@@ -92,6 +92,46 @@ def test_related_chunks_meet_pairs_in_proportion_to_rows(spark):
     assert alike[1][1][1000] == [13, 34, 55, 76, 97]  # those of equal labels
 
 
+def _rule(rule, text):
+    import re
+
+    low = text.lower()
+    found = [k in low for k in rule.keywords]
+    patterns = [re.search(p, text, re.IGNORECASE | re.MULTILINE) is not None for p in rule.patterns]
+    return (all(found) and (any(patterns) or not patterns)) if rule.requires_all and found else any(found + patterns)
+
+
+def test_default_rules_against_plain_python(spark, sf):
+    """The base rules and both presets over all documents, with confidences: no SQL, as their patterns need word edges of all scripts."""
+    from docloom.functions import lexicon as lx
+    from docloom.plans import defaults
+
+    texts = {r.doc_id: r.text for r in defaults._manuals(spark, sf).collect()}
+    types = {r.doc_id: r["default"] for r in defaults.default_analysis_table(spark, sf).collect()}
+    want = {}
+    for name, rules in (("base", lx.BASE_RULES), ("industrial", lx.INDUSTRIAL_RULES), ("software", lx.SOFTWARE_RULES)):
+        order = list(dict.fromkeys(r.category for r in rules))
+        for d, t in texts.items():
+            hit = [r for r in rules if _rule(r, t)]
+            score = {c: sum(r.weight for r in hit if r.category == c) for c in order}
+            share = {c: min(1.0, score[c] / sum(r.weight for r in rules if r.category == c)) for c in order if score[c] > 0}
+            best = sorted(share, key=lambda c: (-round(score[c], 9), order.index(c)))
+            want[d, name] = (
+                best[0] if best else lx.CATEGORY_OF_TYPE[types[d]],
+                ",".join(c for c in best[1:] if round(score[c], 9) >= 0.3),
+                round(sum(share.values()) / len(share), 6) if share else 0.0,
+                ",".join(sorted({f for r in hit for f in r.flags})),
+                {c: round(v, 5) for c, v in share.items()},
+            )
+    got = {}
+    for r in defaults.default_classification(spark, sf).collect():
+        shares = {c: round(float(v), 5) for c, v in (x.split("=") for x in r.confidences.split(",") if x)}
+        got[r.doc_id, r.rules] = (r.category, r.secondary, r.total, r.flags, shares)
+    assert got.keys() == want.keys()
+    assert [(k, got[k], want[k]) for k in want if got[k][:2] + got[k][3:] != want[k][:2] + want[k][3:] or abs(got[k][2] - want[k][2]) > 2e-6] == []
+    assert len({w[0] for w in want.values()}) >= 5
+
+
 def test_sql_names_are_queries():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 

@@ -136,6 +136,14 @@ def test_streamed_index_equals_batch(spark, sf, tmp_path):
     got, want = streams.load_ingested(spark, str(tmp_path / "ix")), index.build(spark.read.parquet(src), mode=None)
     assert got.postings.select("term", "doc_id", "tf").exceptAll(want.postings.select("term", "doc_id", "tf")).count() == 0
     assert got.numbers.first().n == want.numbers.first().n == 60
+    # more files: some documents again, changed
+    docs.limit(20).withColumn("text", F.concat(F.lit("changed anew "), "text")).coalesce(1).write.mode("append").parquet(src)
+    docs.limit(75).where("doc_id % 2 = 0").coalesce(1).write.mode("append").parquet(src)
+    streams.ingest(stream, str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination(120)
+    got = streams.load_ingested(spark, str(tmp_path / "ix"))
+    sent = spark.read.parquet(src).count()
+    assert sent > got.numbers.first().n == docs.limit(60).unionByName(docs.limit(75).where("doc_id % 2 = 0")).select("doc_id").distinct().count()
+    assert got.postings.where("term = 'anew'").count() == docs.limit(20).where("doc_id % 2 = 1").count()
 
 
 def test_streamed_windows_equal_batch(spark, sf, tmp_path):
