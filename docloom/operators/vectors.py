@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
+from docloom.operators import scan
 from docloom.operators.keyword import top_k
 
 #: Query vectors that are broadcast at once.
@@ -143,6 +144,21 @@ def where_clause(include: dict | None = None, exclude: dict | None = None, range
     return out
 
 
+def group_pairs(store: DataFrame, queries: DataFrame, group: str, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """group_id, place, score of every stored vector and query (query_id, vector).
+
+    Places count a group's pairs from 0, query after query and vectors by id. A pair's place follows from its query's number, its vector's
+    number in the group, and the group's size; both numbers come from scans by ranges, so no pairs are sorted.
+    """
+    base = store.select(F.col(vec_id).alias("v"), F.col(group).alias("g"), F.col(embedding).alias("e")).withColumn("one", F.lit(1))
+    size = base.groupBy(F.col("g").alias("g2")).agg(F.count("*").alias("n"))
+    numbered = scan.running(base, ["g"], ["v"], "one").join(size, F.col("g").eqNullSafe(F.col("g2")))
+    tagged = numbered.select(F.struct("g", (F.col("running_n") - 1).alias("at"), "n").alias("tag"), "e")
+    asked = scan.running(queries.select("query_id", "vector").withColumn("one", F.lit(1)), [], ["query_id"], "one")
+    found = scores(tagged, asked.select(F.struct("query_id", (F.col("running_n") - 1).alias("at")).alias("query_id"), "vector"), metric, "tag", "e")
+    return found.select(F.col("vec_id.g").alias("group_id"), (F.col("query_id.at") * F.col("vec_id.n") + F.col("vec_id.at")).alias("place"), "score")
+
+
 def multi_vector(pairs: DataFrame, how: str = "mean") -> DataFrame:
     """group_id, score, from rows (group_id, place, score): mean, max, or the mean weighted by exp(-place/10) ("concat")."""
     w = F.exp(-0.1 * F.col("place"))

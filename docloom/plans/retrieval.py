@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
@@ -239,9 +238,7 @@ def _knn_matrix(metric: str):
 
 def _pairs(spark, sf):
     """Scores of all stored vectors for all queries, grouped by the stored vectors' label."""
-    lab = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("group_id"))
-    rows = vectors.scores(table(spark, sf, "embeddings"), _queries(spark, sf)).join(lab, "vec_id")
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("group_id").orderBy("query_id", "vec_id")) - 1)
+    return vectors.group_pairs(table(spark, sf, "embeddings"), _queries(spark, sf), "label")
 
 
 def _multi(how: str):

@@ -18,7 +18,7 @@ from docloom.operators import monitor as mo
 from docloom.operators import split as sp
 from docloom.plans import analysis, retrieval
 from docloom.plans.common import WORDS, long, r6, sql_any, sql_values, table
-from docloom.session import shared_dir
+from docloom.session import shared_dir, spread
 from docloom.sources import config, files, store
 from docloom.streaming import streams
 
@@ -209,6 +209,28 @@ def _pdf() -> bytes:
 _UPLOADS = {"a.txt": b"hallo welt", "b.md": "größe".encode("latin-1"), "c.xyz": b"frei", "e.html": b"<p>Hi &amp; <b>you</b></p><script>no</script>", "f.txt": b"", "g.csv": b"x" * 3001, "h.pdf": _pdf(), "i.pdf": b"not a pdf"}
 
 
+#: Endings of the files that documents become, and what they are read as.
+_ENDINGS = {".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv", ".log": "application/octet-stream"}
+_MOST = 20_000
+
+
+def _document_files(spark, sf):
+    """Every document as a file in memory: endings in turn, one in 31 empty, one in 37 gone."""
+    d = spread(table(spark, sf, "documents").where("text IS NOT NULL"))
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    raw = F.when(F.col("doc_id") % 31 == 0, F.lit("")).otherwise(F.col("text")).cast("binary")
+    f = d.select(F.concat(F.lit("upload://doc"), F.col("doc_id").cast("string"), ending).alias("path"), F.lit(None).cast("timestamp").alias("modified"), F.when(F.col("doc_id") % 37 != 0, F.length(raw).cast("long")).alias("size"), raw.alias("content"))
+    return files.load_files(f, most=_MOST)
+
+
+def document_files(spark, sf):
+    return _document_files(spark, sf)[0].select("doc_id", "path", "name", "extension", "mime", "size", "sha256", long("n_chars").alias("n_chars"), long("n_words").alias("n_words"))
+
+
+def document_rejects(spark, sf):
+    return _document_files(spark, sf)[1]
+
+
 def loaded_files(spark, sf):
     docs, _ = files.load_files(files.from_bytes(spark, _UPLOADS), most=3000)
     info = lambda k: F.try_element_at("info", F.lit(k)).alias(k)
@@ -265,7 +287,11 @@ def settings(spark, sf):
 
 
 QUERIES = [substring_search, score_threshold, semantic_search, hybrid_search, adaptive_search, semantic_strategy, mmr_strategy, mock_retriever, stage_timing, metric_summary, health_checks, vector_normalize, distance_similarity, metadata_filters, where_conditions]
-QUERIES += [embed_once, embedding_validity, answers, delete_ids, get_by_ids, store_lifecycle, store_info, json_round_trip, loaded_files, rejected_files, source_ids, enrichment_distributions, technical_terms, chunk_categories, session_windows, streamed_index, settings]
+QUERIES += [document_files, document_rejects, embed_once, embedding_validity, answers, delete_ids, get_by_ids, store_lifecycle, store_info, json_round_trip, loaded_files, rejected_files, source_ids, enrichment_distributions, technical_terms, chunk_categories, session_windows, streamed_index, settings]
+
+
+_FILES = f"""SELECT *, CASE WHEN doc_id % 37 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS size FROM (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE text END AS text, e, 'upload://doc' || doc_id || e AS path
+FROM (SELECT *, [{', '.join(f"'{k}'" for k in _ENDINGS)}][doc_id % {len(_ENDINGS)} + 1] AS e FROM documents WHERE text IS NOT NULL))"""
 
 
 def _hashed(variants: dict[int, str]) -> str:
@@ -345,6 +371,8 @@ SELECT count(*) AS n, round(avg(CASE WHEN status = 'healthy' THEN 100.0::DOUBLE
     "store_lifecycle": "SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN upper(lang) ELSE lang END AS lang, CASE WHEN doc_id % 10 = 4 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 10 <> 7",
     "store_info": "SELECT 'vectors' AS collections, count(*) AS count, CAST(max(len(embedding)) AS BIGINT) AS dimension, true AS has_bytes, true AS has_created FROM embeddings",
     "json_round_trip": "SELECT conv_id, turn, role, md5(coalesce(text, '')) AS h FROM conversations",
+    "document_files": f"SELECT path[10:] || '_' || left(sha256(text), 8) || '_' || left(md5(text), 8) AS doc_id, path, path[10:] AS name, e AS extension, CASE e {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _ENDINGS.items())} END AS mime, size, sha256(text) AS sha256, length(text) AS n_chars, CAST(len({WORDS.format('text')}) AS BIGINT) AS n_words FROM ({_FILES}) WHERE size BETWEEN 1 AND {_MOST}",
+    "document_rejects": f"SELECT path, CASE WHEN size IS NULL THEN 'not found' WHEN size = 0 THEN 'empty' ELSE 'too large' END AS reject FROM ({_FILES}) WHERE size IS NULL OR size = 0 OR size > {_MOST}",
     "loaded_files": sql_values("doc_id, path, name, extension, mime, size, sha256, text, n_chars, n_words, page_count, title, author", [
         _file("a.txt", "hallo welt", "text/plain"), _file("b.md", "größe", "text/markdown"), _file("c.xyz", "frei", "application/octet-stream"), _file("e.html", "Hi & you", "text/html"),
         _file("h.pdf", "Erste Seite (eins)\nzweite Zeile\nZwei te Seite", "application/pdf", ("2", "Handbuch", "Müller")),

@@ -87,7 +87,7 @@ def formats() -> dict[str, str]:
 
 
 def extract(files: DataFrame, ext: str) -> DataFrame:
-    """path, text, info (map), error: binary files through the registered extractors of ext, one Arrow batch at a time."""
+    """path, text, info (map), error, and what else the files have but their bytes: through the registered extractors of ext, one Arrow batch at a time."""
     chain = list(EXTRACTORS.get(ext.lower(), []))
 
     def one(raw: bytes) -> tuple[str | None, dict[str, str], str | None]:
@@ -105,9 +105,11 @@ def extract(files: DataFrame, ext: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [one(bytes(raw)) for raw in b["content"]]
-            yield pd.DataFrame({"path": b["path"], "text": [g[0] for g in got], "info": [g[1] for g in got], "error": [g[2] for g in got]})
+            yield b.drop(columns="content").assign(text=[g[0] for g in got], info=[g[1] for g in got], error=[g[2] for g in got])
 
-    return files.where(extension(F.col("path")) == ext.lower()).select("path", "content").mapInPandas(run, "path string, text string, info map<string,string>, error string")
+    mine = files.where(extension(F.col("path")) == ext.lower())
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mine.schema if f.name != "content")
+    return mine.mapInPandas(run, f"{kept}, text string, info map<string,string>, error string")
 
 
 def load(spark: SparkSession, *paths: str, encoding: str | None = None, most: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -124,20 +126,20 @@ def load(spark: SparkSession, *paths: str, encoding: str | None = None, most: in
 def load_files(files: DataFrame, encoding: str | None = None, most: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """load() of files as read() or from_bytes() give them."""
     files = validate(files, most=most)
-    good = files.where("reject IS NULL")
+    good = files.where("reject IS NULL").withColumn("sha", F.sha2("content", 256))  # so that no bytes come back from an extractor
     text, ext = decode_text(F.col("content"), encoding), extension(F.col("path"))
     none = F.create_map().cast("map<string,string>")
-    docs = good.where(~ext.isin(*EXTRACTORS)).withColumn("text", F.when(ext.isin(".html", ".htm"), clean_extracted(html_text(text))).otherwise(text)).withColumn("info", none)
+    docs = good.where(~ext.isin(*EXTRACTORS)).withColumn("text", F.when(ext.isin(".html", ".htm"), clean_extracted(html_text(text))).otherwise(text)).withColumn("info", none).drop("content")
     rejects = files.where("reject IS NOT NULL").select("path", "reject")
     for kind in EXTRACTORS:
         got = extract(good, kind)
-        docs = docs.unionByName(good.join(got.where("error IS NULL").select("path", clean_extracted(F.col("text")).alias("text"), "info"), "path").select(docs.columns))
+        docs = docs.unionByName(got.where("error IS NULL").withColumn("text", clean_extracted(F.col("text"))).drop("error"))
         rejects = rejects.unionByName(got.where("error IS NOT NULL").select("path", F.col("error").alias("reject")))
     return describe(docs), rejects
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    sha = F.sha2("content", 256)
+    sha = F.col("sha")
     mime = F.create_map(*(F.lit(x) for kv in MIME.items() for x in kv))
     name, ext = file_name(F.col("path")), extension(F.col("path"))
     doc_id = F.concat_ws("_", name, F.left(sha, F.lit(8)), F.left(F.md5(F.col("text").cast("binary")), F.lit(8)))
