@@ -84,14 +84,15 @@ class CollectionStore:
     def list(self) -> list[str]:
         return [n for n in self._names(self.root) if self._versions(n)]
 
-    def _bucket(self, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
+    def _bucket(self, df: DataFrame, buckets: int) -> Column:
+        """Of rows without the key, which can be added but not replaced, the first."""
+        return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int") if self.key in df.columns else F.lit(0)
 
     def _folder(self, name: str, rows: DataFrame, version: int, kind: str, buckets: int) -> dict:
         """Writes rows by bucket, large buckets in several files, and gives the manifest's entry."""
         folder = f"d{version:020d}-{kind}-{uuid.uuid4().hex[:8]}"
         path = f"{self.root}/{name}/{folder}"
-        rows.withColumn("_bucket", self._bucket(buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+        rows.withColumn("_bucket", self._bucket(rows, buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
         held = self.spark.read.schema("_bucket int").parquet(path).groupBy("_bucket").count().collect()  # a row for each bucket
         return {"folder": folder, "version": version, "kind": kind, "rows": {str(r._bucket): r["count"] for r in held}}
 
@@ -201,7 +202,7 @@ class CollectionStore:
         """Rows of the keys, from their buckets only."""
         manifest = self._manifest(name)
         wanted = ids.select(F.col(self.key).cast(StructType.fromJson(manifest["schema"])[self.key].dataType).alias(self.key)).distinct()
-        buckets = {r.b for r in wanted.select(self._bucket(manifest["buckets"]).alias("b")).distinct().collect()}  # at most one row a bucket
+        buckets = {r.b for r in wanted.select(self._bucket(wanted, manifest["buckets"]).alias("b")).distinct().collect()}  # at most one row a bucket
         return self._alive(name, manifest, buckets).drop("_version").join(wanted, self.key, "left_semi")
 
     def drop(self, name: str) -> bool:

@@ -47,6 +47,9 @@ def test_store(spark, tmp_path):
     assert [r.v for r in s.get("c", mk([(4, "")])).collect()] == ["d"] and s.list() == ["c"] and s.info("c").first()["count"] == 3
     s.backup("c", str(tmp_path / "backup"))
     assert len(s.backups(str(tmp_path / "backup"), "c")) == 1
+    s.create("keyless", spark.createDataFrame([("x",), ("y",)], "v string"))
+    s.add("keyless", spark.createDataFrame([("z",)], "v string"))
+    assert sorted(r.v for r in s.get_all("keyless").collect()) == ["x", "y", "z"]
     assert s.reset() and s.list() == []
     with pytest.raises(KeyError):
         s.get_all("c")
