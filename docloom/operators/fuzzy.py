@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least similarity for which segments are used.
-SHORTEST = 0.5
+#: Least similarity for which segments are used, and query terms up to which their keys are broadcast.
+SHORTEST, FEW = 0.5, 500
 
 
 def edits(length: Column, least: float) -> Column:
@@ -41,15 +41,11 @@ def _variants(part: Column) -> Column:
 
 def variants(words: DataFrame, least: float) -> DataFrame:
     """key, word: what a table of distinct words (column word) is filed under; may be stored for later searches of the same least similarity."""
-    length = F.length("word")
-    n = _segments(length, least)
-
-    def filed(i: Column) -> Column:
-        start, size = _bounds(length, n, i)
-        return F.transform(_variants(F.substring("word", start + 1, size)), lambda v: F.xxhash64(length, i, v))
-
-    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), filed)))
-    return words.where("word IS NOT NULL").select(F.explode(keys).alias("key"), "word")
+    each = words.where("word IS NOT NULL").select("word", F.length("word").alias("l")).select("word", "l", _segments(F.col("l"), least).alias("m"))
+    each = each.select("word", "l", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    start, size = _bounds(F.col("l"), F.col("m"), F.col("i"))
+    part = each.select("word", "l", "i", F.substring("word", start + 1, size).alias("part"))
+    return part.select("word", "l", "i", F.explode(_variants(F.col("part"))).alias("v")).select(F.xxhash64("l", "i", "v").alias("key"), "word")
 
 
 def probes(terms: DataFrame, least: float) -> DataFrame:
@@ -74,5 +70,12 @@ def alike(words: DataFrame, terms: DataFrame, least: float = 0.8, filed: DataFra
         near = F.abs(F.length("word") - F.length("q")) <= F.round((1 - least) * longer, 9)
         met = words.join(F.broadcast(terms.select("q").distinct()), near)  # the caller's terms
     else:
-        met = (variants(words, least) if filed is None else filed).join(probes(terms, least), "key").select("word", "q").distinct()
+        asked = probes(terms, least)
+        if terms.select("q").distinct().limit(FEW + 1).count() <= FEW:
+            asked = F.broadcast(asked)  # a few thousand keys a term
+        if filed is None:  # only words of a length that a term can be alike to
+            n = F.length("q")
+            lengths = terms.select(F.explode(F.sequence(F.ceil(F.round(n * least, 6)).cast("int"), F.floor(F.round(n / least, 6)).cast("int"))).alias("l")).distinct()
+            filed = variants(words.join(F.broadcast(lengths), F.length("word") == F.col("l"), "left_semi"), least)
+        met = filed.join(asked, "key").select("word", "q").distinct()
     return met.withColumn("sim", 1 - F.levenshtein("word", "q") / longer).where(F.col("sim") >= least - 1e-12)

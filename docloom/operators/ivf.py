@@ -189,21 +189,24 @@ def recall(index: IvfIndex, queries: DataFrame, k: int = 10, probes: int | None
 
 
 def tune(index: IvfIndex, queries: DataFrame, k: int = 10, target: float = 0.95, most: int = TUNED, seed: int = 11) -> tuple[IvfIndex, float]:
-    """The index with the least probes whose recall reaches the target on `most` of the queries, drawn by hash, and that recall; stored with it."""
-    some = queries.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(most).collect()
-    if not some:
+    """The index with the least probes whose recall reaches the target on `most` of the queries, drawn by hash, and that recall; stored with it.
+
+    One exact search: a true neighbour is found as soon as its cell is probed, so its cell's place in the query's order says from how many probes on.
+    """
+    some = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(most).collect()
+    if not some or not len(index.centroids):
+        return index, 1.0
+    drawn = index.spark.createDataFrame([(i, r.vector) for i, r in enumerate(some)], "query_id int, vector array<double>")
+    true = search(index, drawn, k, exact=True).select("query_id", "vec_id").join(index.table.select("vec_id", "cell").distinct(), "vec_id").collect()  # most x k rows
+    asked = {r.query_id for r in true}
+    if not asked:
         return index, 1.0
-    drawn = index.spark.createDataFrame(some, queries.schema)
-    exact = search(index, drawn, k, exact=True).collect()
-    truth = index.spark.createDataFrame(exact, search(index, drawn, k, exact=True).schema)
-    low, high, found = 1, len(index.centroids), 1.0
-    while low < high:  # recall does not fall with more probes
-        mid = (low + high) // 2
-        r = recall(index, drawn, k, mid, truth)
-        low, high, found = (low, mid, r) if r >= target else (mid + 1, high, found)
-    best = IvfIndex(index.spark, index.path, index.metric, index.centroids, high)
+    order = {i: {int(c): n for n, c in enumerate(probed(index, np.array([some[i].vector], np.float64), len(index.centroids))[0])} for i in asked}
+    needed = np.sort([order[r.query_id][r.cell] + 1 for r in true])
+    probes = int(needed[max(0, int(np.ceil(target * len(needed))) - 1)])
+    best = IvfIndex(index.spark, index.path, index.metric, index.centroids, probes)
     _note(best)
-    return best, found
+    return best, float((needed <= probes).mean())
 
 
 def files_read(index: IvfIndex, queries: DataFrame, probes: int | None = None) -> tuple[int, int]:

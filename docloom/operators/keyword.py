@@ -18,6 +18,7 @@ from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
 from docloom.operators import fuzzy as fz
 from docloom.operators.index import Index
+from docloom.tables import Tables
 
 K1, B, BOOST = 1.5, 0.75, 1.3
 
@@ -122,7 +123,9 @@ def fuzzy(index: Index, terms: DataFrame, least: float = 0.8, filed: DataFrame |
     q = terms.select("query_id", "term").distinct()
     size = F.broadcast(q.groupBy("query_id").agg(F.count("*").alias("q_terms")))
     like = fz.alike(index.frequencies().select(F.col("term").alias("word")), q.select(F.col("term").alias("q")), least, filed)
-    found = index.postings.select("doc_id", F.col("term").alias("word")).join(like, "word").groupBy("doc_id", "q").agg(F.max("sim").alias("sim"))
+    like = Tables(terms.sparkSession, "fuzzy").write("like", like)  # its size is known then, and only postings of its words are decoded
+    hit = index.postings.join(like.select(F.col("word").alias("term")), "term", "left_semi")
+    found = hit.select("doc_id", F.col("term").alias("word")).join(like, "word").groupBy("doc_id", "q").agg(F.max("sim").alias("sim"))
     per = found.join(F.broadcast(q.withColumnRenamed("term", "q")), "q").groupBy("query_id", "doc_id").agg(F.sum("sim").alias("s"))
     return per.join(size, "query_id").select("query_id", "doc_id", (F.col("s") / F.col("q_terms")).alias("score"))
 
