@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 import zlib
@@ -19,7 +20,7 @@ from docloom.operators import split as sp
 from docloom.plans import analysis, retrieval
 from docloom.plans.common import WORDS, long, r6, sql_any, sql_values, table
 from docloom.session import shared_dir, spread
-from docloom.sources import config, files, store
+from docloom.sources import config, datasource, files, store
 from docloom.streaming import streams
 
 
@@ -231,6 +232,28 @@ def document_rejects(spark, sf):
     return _document_files(spark, sf)[1]
 
 
+#: Endings of the files that pages become.
+_PAGE_ENDINGS = [".html", ".txt", ".md", ".htm"]
+_LARGE_PAGE = 2000
+
+
+def source_files(spark, sf):
+    """Every page written as a file and read back by the data source; again, by conditions on ending and size that drop files before they are planned."""
+    root = f"{shared_dir(spark)}/docloom-files-{uuid.uuid4().hex}"
+    atexit.register(datasource.remove, root)
+    ending = F.element_at(F.array(*map(F.lit, _PAGE_ENDINGS)), (F.col("page_id") % len(_PAGE_ENDINGS) + 1).cast("int"))
+    path = F.concat((F.col("page_id") % 16).cast("string"), F.lit("/page_"), F.col("page_id").cast("string"), ending)
+    datasource.write(spread(table(spark, sf, "pages")).select(path.alias("path"), F.col("html").cast("binary").alias("content")), root)
+
+    def shown(these, how):
+        docs, _ = files.load_files(these.select("path", "modified", "size", "content"))
+        plain = F.when(~F.col("extension").isin(".html", ".htm"), long("n_chars"))
+        return docs.select(F.lit(how).alias("how"), "name", "extension", "mime", "size", "sha256", plain.alias("n_chars"))
+
+    large = datasource.read(spark, root, [("extension", "=", ".txt"), ("size", ">=", _LARGE_PAGE)])
+    return shown(datasource.read(spark, root), "all").unionByName(shown(large, "planned"))
+
+
 def loaded_files(spark, sf):
     docs, _ = files.load_files(files.from_bytes(spark, _UPLOADS), most=3000)
     info = lambda k: F.try_element_at("info", F.lit(k)).alias(k)
@@ -287,7 +310,7 @@ def settings(spark, sf):
 
 
 QUERIES = [substring_search, score_threshold, semantic_search, hybrid_search, adaptive_search, semantic_strategy, mmr_strategy, mock_retriever, stage_timing, metric_summary, health_checks, vector_normalize, distance_similarity, metadata_filters, where_conditions]
-QUERIES += [document_files, document_rejects, embed_once, embedding_validity, answers, delete_ids, get_by_ids, store_lifecycle, store_info, json_round_trip, loaded_files, rejected_files, source_ids, enrichment_distributions, technical_terms, chunk_categories, session_windows, streamed_index, settings]
+QUERIES += [document_files, document_rejects, source_files, embed_once, embedding_validity, answers, delete_ids, get_by_ids, store_lifecycle, store_info, json_round_trip, loaded_files, rejected_files, source_ids, enrichment_distributions, technical_terms, chunk_categories, session_windows, streamed_index, settings]
 
 
 _FILES = f"""SELECT *, CASE WHEN doc_id % 37 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS size FROM (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE text END AS text, e, 'upload://doc' || doc_id || e AS path
@@ -373,6 +396,9 @@ SELECT count(*) AS n, round(avg(CASE WHEN status = 'healthy' THEN 100.0::DOUBLE
     "json_round_trip": "SELECT conv_id, turn, role, md5(coalesce(text, '')) AS h FROM conversations",
     "document_files": f"SELECT path[10:] || '_' || left(sha256(text), 8) || '_' || left(md5(text), 8) AS doc_id, path, path[10:] AS name, e AS extension, CASE e {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _ENDINGS.items())} END AS mime, size, sha256(text) AS sha256, length(text) AS n_chars, CAST(len({WORDS.format('text')}) AS BIGINT) AS n_words FROM ({_FILES}) WHERE size BETWEEN 1 AND {_MOST}",
     "document_rejects": f"SELECT path, CASE WHEN size IS NULL THEN 'not found' WHEN size = 0 THEN 'empty' ELSE 'too large' END AS reject FROM ({_FILES}) WHERE size IS NULL OR size = 0 OR size > {_MOST}",
+    "source_files": f"""WITH p AS (SELECT *, CASE page_id % 4 {' '.join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_PAGE_ENDINGS))} END AS extension, coalesce(html, '') AS t FROM pages),
+f AS (SELECT 'page_' || page_id || extension AS name, extension, CASE extension WHEN '.txt' THEN 'text/plain' WHEN '.md' THEN 'text/markdown' ELSE 'text/html' END AS mime, CAST(strlen(t) AS BIGINT) AS size, sha256(t) AS sha256, CASE WHEN extension IN ('.txt', '.md') THEN CAST(length(t) AS BIGINT) END AS n_chars FROM p WHERE t <> '')
+SELECT 'all' AS how, * FROM f UNION ALL SELECT 'planned', * FROM f WHERE extension = '.txt' AND size >= {_LARGE_PAGE}""",
     "loaded_files": sql_values("doc_id, path, name, extension, mime, size, sha256, text, n_chars, n_words, page_count, title, author", [
         _file("a.txt", "hallo welt", "text/plain"), _file("b.md", "größe", "text/markdown"), _file("c.xyz", "frei", "application/octet-stream"), _file("e.html", "Hi & you", "text/html"),
         _file("h.pdf", "Erste Seite (eins)\nzweite Zeile\nZwei te Seite", "application/pdf", ("2", "Handbuch", "Müller")),

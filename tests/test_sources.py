@@ -1,12 +1,14 @@
 import random
 import time
+from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import index
 from docloom.plans.common import table
-from docloom.sources import config, files
+from docloom.sources import config, datasource, files
 from docloom.sources.store import CollectionStore, WriteConflict, export_json, import_json
 from docloom.streaming import streams
 
@@ -158,3 +160,67 @@ def test_streamed_windows_equal_batch(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows").count() == streams.windowed_metrics(spark.read.parquet(src)).count()
+
+
+def _folder(tmp_path, named: dict[str, bytes]) -> str:
+    for name, raw in named.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(raw)
+    return str(tmp_path)
+
+
+def test_data_source_reads_folders(spark, tmp_path):
+    named = {"a.TXT": b"eins", "sub/b.md": "größe".encode(), "sub/c": b"x", "empty.txt": b"", "sub/.hidden": b"no", "_skipped/d.txt": b"no", "e.html": b"<p>Hi</p>", "big.txt": b"y" * 100}
+    root = _folder(tmp_path, named)
+    rows = {r.path: r for r in datasource.read(spark, root, max_bytes=50).collect()}
+    assert set(rows) == {f"{root}/{n}" for n in ("a.TXT", "sub/b.md", "sub/c", "empty.txt", "e.html", "big.txt")}
+    assert {(r.name, r.extension, r.size, None if r.content is None else bytes(r.content)) for r in rows.values()} == {("a.TXT", ".txt", 4, b"eins"), ("b.md", ".md", 7, "größe".encode()), ("c", "", 1, b"x"), ("empty.txt", ".txt", 0, b""), ("e.html", ".html", 9, b"<p>Hi</p>"), ("big.txt", ".txt", 100, None)}
+    docs, rejects = files.load_files(datasource.read(spark, root, max_bytes=50).select("path", "modified", "size", "content"), most=50)
+    assert {(r.name, r.text) for r in docs.collect()} == {("a.TXT", "eins"), ("b.md", "größe"), ("c", "x"), ("e.html", "Hi")}
+    assert {(r.path, r.reject) for r in rejects.collect()} == {(f"{root}/empty.txt", "empty"), (f"{root}/big.txt", "too large")}
+    assert [r.path for r in datasource.read(spark, f"{root}/a.TXT").collect()] == [f"{root}/a.TXT"]
+    assert {r.name for r in datasource.read(spark, root, [("extension", "in", [".md", ".html"])]).collect()} == {"b.md", "e.html"}
+    assert datasource.read(spark, f"file://{root}/sub").count() == 2
+
+
+def test_data_source_plans_by_bytes_and_conditions(spark, tmp_path):
+    root = _folder(tmp_path, {f"{i % 3}/f{i:02d}{'.txt' if i % 2 else '.md'}": b"z" * (i * 1000) for i in range(40)})
+    found = datasource.read(spark, root, partition_bytes=300_000)
+    whole = found.rdd.getNumPartitions()
+    assert whole > 2 and found.count() == 40
+    plain = spark.createDataFrame(found.drop("content").collect(), found.drop("content").schema)  # filtered by Spark alone
+    for where, sql, n in (
+        ([("extension", "=", ".md")], "extension = '.md'", 20), ([("size", "<", 10000)], "size < 10000", 10), ([("size", ">=", 5000), ("size", "<=", 7000)], "size between 5000 and 7000", 3),
+        ([("name", "in", ["f01.txt", "f04.md", "none"])], "name in ('f01.txt', 'f04.md', 'none')", 2), ([("name", "startswith", "f3")], "startswith(name, 'f3')", 10), ([("path", "contains", "f07")], "path like '%f07%'", 1),
+        ([("extension", "!=", ".md"), ("size", ">", 30000)], "extension <> '.md' and size > 30000", 5), ([("name", "not in", ["f01.txt"]), ("path", "endswith", "1.txt")], "name <> 'f01.txt' and endswith(path, '1.txt')", 3),
+    ):
+        some = datasource.read(spark, root, where, partition_bytes=300_000)
+        assert some.rdd.getNumPartitions() < whole, where
+        assert sorted(r.path for r in some.collect()) == sorted(r.path for r in plain.where(sql).collect()) and some.count() == n, where
+        assert some.where("size < 0").count() == 0 and some.count() == n  # a later filter changes no other use
+    assert datasource.read(spark, root, [("extension", "=", ".none")]).count() == 0
+    assert datasource.read(spark, root, [("modified", "<", datetime(2000, 1, 1))]).count() == 0 and datasource.read(spark, root, [("modified", ">", "2000-01-01")]).count() == 40
+    for bad in (("content", "=", "x"), ("size", "like", 1), ("size", "=", "1"), ("size", "contains", 1), ("name", "=", None)):
+        with pytest.raises(Exception, match="no such condition|compared"):
+            datasource.read(spark, root, [bad]).count()
+    with pytest.raises(Exception, match="no/such"):
+        datasource.read(spark, "/no/such/folder").count()
+
+
+def test_data_source_writes_files(spark, tmp_path):
+    root = str(tmp_path / "out")
+    rows = spark.createDataFrame([("a.txt", bytearray(b"eins"), 1), ("s/t/b.bin", bytearray(b"\x00\xff"), 2), ("null.txt", None, 3), ("a.txt", bytearray(b"eins"), 4)], "path string, content binary, size int")
+    datasource.write(rows, root)
+    datasource.write(rows.where("size = 2").withColumn("content", F.lit("neu").cast("binary")), root)  # replaced by name
+    assert {(r.path[len(root) + 1 :], bytes(r.content)) for r in datasource.read(spark, root).collect()} == {("a.txt", b"eins"), ("s/t/b.bin", b"neu"), ("null.txt", b"")}
+    assert not [p for p in Path(root).rglob(".writing-*")]
+    for bad in (None, "", "/x.txt", "../x.txt", "a/../../x.txt", "x/"):
+        with pytest.raises(Exception, match="not a path inside"):
+            datasource.write(spark.createDataFrame([(bad, bytearray(b"x"))], "path string, content binary"), root)
+    empty = str(tmp_path / "empty")
+    Path(empty).mkdir()
+    datasource.write(rows.where("size > 9"), empty)
+    assert datasource.read(spark, empty).count() == 0
+    with pytest.raises(Exception, match="append"):
+        rows.select("path", "content").write.format(datasource.NAME).mode("overwrite").save(root)
