@@ -7,8 +7,8 @@ trainable text, so that the output holds every turn. The template marks a turn a
 `<\\|`, so no control string can stand there; in roles a line feed becomes `\\n`. Both are undone
 exactly by read_back. Offsets and lengths are code points.
 
-A conversation's turns are gathered once, by its id; the examples are cut from the gathered text
-row by row, and read_back finds the rows of a conversation where they are. The output itself grows
+A conversation's turns are shuffled and gathered once, by its id, with their offsets as running sums;
+the examples are cut from the gathered text row by row, and read_back finds the rows of a conversation where they are. The output itself grows
 with the square of a conversation's turns, as the method asks; no pairs of turns are joined.
 
 Defined results: null texts and roles are empty; rows are ordered by turn, then role and text
@@ -18,7 +18,7 @@ of its own; very long texts and conversations are formatted whole; an empty tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.frames import pick
@@ -47,20 +47,18 @@ def unescape_role(c: Column) -> Column:
 def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", assistant: str = "assistant") -> DataFrame:
     """conv_id, example (0, 1, ... in a conversation), text, loss_start, loss_end (code points, end excluded; equal: nothing to train)."""
     rows = pick(turns, conv_id=(conv_id, "bigint"), turn=(turn, "bigint"), role=(role, "string"), text=(text, "string"))
-    conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn"), F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
-    part = F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == F.lit(assistant)).alias("train")))
-    conv = conv.select("conv_id", part.alias("parts"))
-    # ends: after each turn's text, the place where the text ends and its length
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<first:bigint,end:bigint>>").alias("ends"))
-
-    def step(acc: Column, p: Column) -> Column:
-        first = acc["at"] + F.length(p["head"])
-        end = first + F.length(p["body"])
-        return F.struct((end + F.lit(len(END) + 1)).alias("at"), F.concat(acc["ends"], F.array(F.struct(first.alias("first"), end.alias("end")))).alias("ends"))
-
-    conv = conv.select("conv_id", "parts", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "").alias("whole"), F.aggregate("parts", zero, step)["ends"].alias("ends"))
-    place = F.transform(F.col("parts"), lambda p, i: F.struct(p["train"].alias("train"), F.element_at("ends", i + 1)["first"].alias("first"), F.element_at("ends", i + 1)["end"].alias("end"), (i == F.size("parts") - 1).alias("last")))
-    wanted = F.filter(place, lambda p: p["train"] | p["last"])
+    rows = rows.select("conv_id", F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    head, body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), escape(F.col("text"))
+    # the place of a turn and where it ends: running values, in the partitions that the turns are then gathered in
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = rows.withColumn("size", (F.length(head) + F.length(body) + F.lit(len(END) + 1)).cast("long"))
+    placed = sized.withColumns({"place": F.count("*").over(so_far), "end": F.sum("size").over(so_far) - (len(END) + 1)})
+    part = F.struct("place", "end", F.length(body).cast("long").alias("n"), (F.col("role") == assistant).alias("train"), F.concat(head, body, F.lit(END + "\n")).alias("piece"))
+    placed = placed.select("conv_id", part.alias("part"))
+    conv = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    conv = conv.select("conv_id", "parts", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("whole"))
+    kept = F.filter("parts", lambda p: p["train"] | (p["place"] == F.size("parts")))
+    wanted = F.transform(kept, lambda p: F.struct(p["train"].alias("train"), (p["end"] - p["n"]).alias("first"), p["end"].alias("end")))
     out = conv.select("conv_id", "whole", F.posexplode(wanted).alias("example", "p"))
     return out.select("conv_id", "example", F.substring(F.col("whole"), F.lit(1), (F.col("p.end") + len(END) + 1).cast("int")).alias("text"), F.when(F.col("p.train"), F.col("p.first")).otherwise(F.col("p.end")).alias("loss_start"), F.col("p.end").alias("loss_end"))
 

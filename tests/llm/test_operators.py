@@ -250,6 +250,15 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.examples(df.limit(0))).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    n = 20_000  # two examples: the reply in the middle and the one at the end
+    many = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") % n).alias("turn"), F.when(F.col("id").isin(n // 2, n - 1), "assistant").otherwise("user").alias("role"), F.concat(F.lit("a<|b "), F.col("id").cast("string")).alias("text"))
+    pieces = [f"<|im_start|>{'assistant' if i in (n // 2, n - 1) else 'user'}\na<\\|b {i}<|im_end|>\n" for i in range(n)]
+    out = chat_format.examples(many.repartition(3)).orderBy("example").collect()
+    for r, last in zip(out, (n // 2, n - 1), strict=True):
+        assert r.text == "".join(pieces[: last + 1]) and r.text[r.loss_start : r.loss_end] == f"a<\\|b {last}"
+
+
 # 5
 
 
