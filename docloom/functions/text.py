@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,17 +65,17 @@ def literals(pattern: str) -> list[str]:
     return starts if all(len(x) >= 3 for x in starts) else []
 
 
-def possible(low: Column, pattern: str) -> Column:
-    """Whether the lower-cased text holds what a match needs: one of its literals, or a digit where all alternatives start with one."""
+def possible(low: Column, pattern: str, has: Callable[[str], Column] | None = None) -> Column:
+    """Whether the lower-cased text holds what a match needs: one of its literals (by `has` if given), or a digit where all alternatives start with one."""
     needed = literals(pattern)
     if needed:
-        return contains_any(low, needed)
+        return contains_any(low, needed) if has is None else reduce(lambda a, b: a | b, map(has, needed))
     return low.rlike(r"\p{Nd}") if all(p.startswith(r"\d") for p in alternatives(pattern)) else F.lit(True)
 
 
-def matches(text: Column, low: Column, pattern: str, flags: str = "iU") -> Column:
+def matches(text: Column, low: Column, pattern: str, flags: str = "iU", has: Callable[[str], Column] | None = None) -> Column:
     """text.rlike(pattern), tried only where the lower-cased text holds what a match needs."""
-    return possible(low, pattern) & text.rlike(f"(?{flags}){pattern}")
+    return possible(low, pattern, has) & text.rlike(f"(?{flags}){pattern}")
 
 
 def expand_acronyms(text: Column, acronyms: Mapping[str, str] = lx.ACRONYMS) -> Column:

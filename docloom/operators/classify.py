@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,33 +11,44 @@ from pyspark.sql import functions as F
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
 from docloom.operators import analyze as an
+from docloom.operators import literals as lit
 
 
-def matches(rule: lx.Rule, text: Column) -> Column:
-    """Any keyword substring or pattern; all keywords if the rule requires them."""
+def matches(rule: lx.Rule, text: Column, has: Callable[[str], Column] | None = None) -> Column:
+    """Any keyword substring or pattern; all keywords if the rule requires them. `has` tells of a literal whether the text holds it (by default it is looked for)."""
     low = F.lower(text)
-    kw = [F.contains(low, F.lit(k)) for k in rule.keywords]
-    pat = [tx.matches(text, low, p, "imU") for p in rule.patterns]
+    kw = [F.contains(low, F.lit(k)) if has is None else has(k) for k in rule.keywords]
+    pat = [tx.matches(text, low, p, "imU", has) for p in rule.patterns]
     if rule.requires_all and kw:
         return reduce(lambda a, b: a & b, kw) & (reduce(lambda a, b: a | b, pat) if pat else F.lit(True))
     return F.coalesce(reduce(lambda a, b: a | b, kw + pat, F.lit(False)), F.lit(False))
 
 
+def literals_of(rules: list[lx.Rule]) -> list[str]:
+    """What matches() looks for in lower-cased texts: keywords, and literals that patterns need."""
+    return [w for r in rules for w in (*r.keywords, *(x for p in r.patterns for x in tx.literals(p)))]
+
+
 def categories(rules: list[lx.Rule]) -> list[str]:
     """In the order in which rules name them."""
     return list(dict.fromkeys(r.category for r in rules))
 
 
-def classify(docs: DataFrame, content: str = "text", rules: list[lx.Rule] | None = None, content_type: Column | None = None) -> DataFrame:
+def classify(docs: DataFrame, content: str = "text", rules: list[lx.Rule] | None = None, content_type: Column | None = None, automaton: bool = False) -> DataFrame:
     """docs with a struct `classification`: primary, secondary (scores from .3 on), confidences, total, flags, rules, scores.
 
     A category scores the weights of its matching rules; ties go to the one that the rules name first. Without
-    any match the content type names the category, with no confidences and a total of 0.
+    any match the content type names the category, with no confidences and a total of 0. automaton: literals are
+    found by one walk over each text in Python workers, not one by one; the rows are the same.
     """
     rules = lx.BASE_RULES if rules is None else rules
     c = F.col(content)
     cats = categories(rules)
-    hit = docs.withColumn("_m", F.struct(*(matches(r, c).alias(r.name) for r in rules)))
+    marks = "_marks"
+    while marks in docs.columns:
+        marks = f"_{marks}"
+    marked, has = lit.mark(docs, content, literals_of(rules), marks) if automaton else (docs, None)
+    hit = marked.withColumn("_m", F.struct(*(matches(r, c, has).alias(r.name) for r in rules))).drop(marks)
     m = F.col("_m")
     none = F.array().cast("array<string>")
     score = lambda cat: sum((F.when(m[r.name], r.weight).otherwise(0.0) for r in rules if r.category == cat), F.lit(0.0))

@@ -89,13 +89,18 @@ def content_type_distribution(spark, sf):
     return d.select("content_type", "n", r6("percent").alias("percent"))
 
 
-def _classified(spark, sf):
-    return cl.classify(_docs(spark, sf), rules=RULES, content_type=an.content_type(F.col("text"), WORDS_OF))
+def _classified(spark, sf, automaton=False):
+    return cl.classify(_docs(spark, sf), rules=RULES, content_type=an.content_type(F.col("text"), WORDS_OF), automaton=automaton)
 
 
-def classify_rules(spark, sf):
+def classify_rules_automaton(spark, sf):
+    """All literals by one walk over each text."""
+    return classify_rules(spark, sf, automaton=True)
+
+
+def classify_rules(spark, sf, automaton=False):
     c = F.col("classification")
-    return _classified(spark, sf).select("doc_id", c["primary"].alias("category"), F.array_join(c["secondary"], ",").alias("secondary"), r6(c["total"]).alias("total"), F.array_join(c["flags"], ",").alias("flags"))
+    return _classified(spark, sf, automaton).select("doc_id", c["primary"].alias("category"), F.array_join(c["secondary"], ",").alias("secondary"), r6(c["total"]).alias("total"), F.array_join(c["flags"], ",").alias("flags"))
 
 
 def rule_distribution(spark, sf):
@@ -238,7 +243,7 @@ def flatten_metadata(spark, sf):
     return store.flatten_metadata(e, ["kind", "ids"])
 
 
-QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, select_models, upsert, flatten_metadata]
+QUERIES = [preprocess_basic, normalize_numbers, term_stem, ngrams, content_type, step_counts, text_counts, language_guess, primary_language, language_vs_label, analyze_full, content_type_distribution, classify_rules, classify_rules_automaton, rule_distribution, enrich_documents, technical_domain, content_hash, exact_dup_groups, related_chunks, document_stats, split_recursive, split_structural, split_words, ingest_chunks, chunk_category, page_text_clean, page_text, pdf_dates, source_identifiers, context_window, history_last_n, token_estimates, prompt_context, answer_confidence, answer_sources, select_models, upsert, flatten_metadata]
 
 _W = WORDS_OF
 _L = "lower(text)"
@@ -372,3 +377,4 @@ SELECT doc_id, string_split(m, ',')[1] AS llm, string_split(m, ',')[2] AS llm_fa
     "upsert": "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN upper(lang) ELSE lang END AS lang, CASE WHEN doc_id % 10 = 3 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
     "flatten_metadata": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS kind, '[' || user_id || ',' || event_id || ']' AS ids FROM events",
 }
+SQL["classify_rules_automaton"] = SQL["classify_rules"]

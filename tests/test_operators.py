@@ -10,7 +10,7 @@ from docloom.operators import analyze as an
 from docloom.operators import classify as cl
 from docloom.operators import context as cx
 from docloom.operators import enrich as en
-from docloom.operators import fusion, index, keyword, router, split, vectors
+from docloom.operators import fusion, index, keyword, literals, router, split, vectors
 from docloom.operators import monitor as mo
 
 
@@ -242,3 +242,26 @@ def test_signed_knn_takes_all_queries_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, vectors.signed_knn(rows, queries, 2).collect()))
     monkeypatch.setattr(vectors, "BLOCK", 3)
     assert sorted(map(tuple, vectors.signed_knn(rows, queries, 2).collect())) == want and len(want) == 24
+
+
+def test_literal_automaton_equals_contains(spark):
+    words = ["", "a", "ab", "bab", "abc", "straße", "ß", "x" * 300, "ab", "%", "\n", "i̇"] + [f"w{i}" for i in range(200)]
+    texts = [None, "", "BABAB", "xABCx", "STRASSE Straße", "y" * 50_000 + "abc", "x" * 299, "X" * 301, "100 %\n", "İ", "w19 W199", "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    marked, has = literals.mark(df, "text", words)
+    distinct = list(dict.fromkeys(words))
+    both = marked.select("id", F.array(*map(has, distinct)).alias("got"), F.array(*(F.contains(F.lower("text"), F.lit(w)) for w in distinct)).alias("want"))
+    rows = both.collect()
+    assert len(rows) == len(texts) and all(r.got == r.want for r in rows) and any(any(r.got[100:]) for r in rows if texts[r.id])
+    none, _ = literals.mark(df, "text", [])
+    assert all(r["_marks"] == ([] if r.text is not None else None) for r in none.collect()) and literals.mark(df.limit(0), "text", words)[0].count() == 0
+
+
+def test_rules_by_automaton_are_the_same(spark):
+    rules = {n: r for n, r in (("base", lx.BASE_RULES), ("industrial", lx.INDUSTRIAL_RULES), ("software", lx.SOFTWARE_RULES))}
+    some = [w for r in rules.values() for x in r for w in x.keywords]
+    texts = [" ".join(some[i::17]) for i in range(17)] + [w.upper() for w in some] + [None, "", "1. eins 2. zwei", "nothing at all"]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "id int, text string, _marks int")
+    for name, r in rules.items():
+        one, two = (cl.classify(df, rules=r, automaton=a).select("id", "_marks", F.to_json("classification").alias("c")).orderBy("id").collect() for a in (False, True))
+        assert one == two and len({x.c for x in one}) > 5, name
