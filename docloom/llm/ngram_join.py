@@ -47,13 +47,13 @@ K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 1 << 14
 #: Partners by chance that a shingle outside the frequency table is taken to have; rounds that drop hopeless candidates;
 #: parts of a bucket, as a power of two, that are worked on one after another.
 RARE, ROUNDS = 0.1, 3
-PARTS_BITS = 3
+PARTS_BITS = 4
 #: Members up to which a pivot's candidates are looked at pair by pair.
 SMALL = 16
 #: Shingles counted together for the frequency table, and repeats in them that make a shingle count as common.
 COUNTED, COMMON = 1 << 20, 3
 #: Bytes of a packed block, prefix shingles of a bucket, shingles of a group's block and of a verifying task.
-PACKED, BUCKET, GROUP, TASK = 4 << 20, 1 << 21, 1 << 20, 1 << 20
+PACKED, BUCKET, GROUP, TASK = 4 << 20, 1 << 22, 1 << 20, 1 << 20
 
 
 def need(n, percent: int = PERCENT):

@@ -3,6 +3,7 @@
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
 and Spark runs inside one machine (``local[...]``, as in tests) a temporary folder stands in.
 A table written here cuts the lineage: a lost executor costs the tasks of one step, not of all.
+Nothing reads a step's shuffles after its table is written, so their files go with the step.
 """
 
 from __future__ import annotations
@@ -19,6 +20,22 @@ from docloom.session import shared_dir
 _SCOPES: list[list[Scratch]] = []
 #: Files of a table of few, for each task that runs at once.
 FEW = 4
+#: Spark's setting that removes a query's shuffle files when the query ends, not when the driver's garbage collector finds them unused.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go as each ends, so that disk holds those of one step and not of all."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 class Scratch:
@@ -36,7 +53,8 @@ class Scratch:
         path = f"{self.root}/{name}"
         if few:
             df = df.coalesce(FEW * self.spark.sparkContext.defaultParallelism)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with swept(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
