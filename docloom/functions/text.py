@@ -78,9 +78,20 @@ def matches(text: Column, low: Column, pattern: str, flags: str = "iU", has: Cal
     return possible(low, pattern, has) & text.rlike(f"(?{flags}){pattern}")
 
 
+def _swap(text: Column, word: str, to: str) -> Column:
+    """Whole-word matches of a literal, whatever their case, replaced; the regex runs only on texts that hold the literal.
+
+    The text is bound once, as a lambda's variable, so that a chain of steps stays as long as its steps. Long s and the
+    dotless i match s and i whatever the case, as in the regex.
+    """
+    low = lambda x: F.translate(F.lower(x), "ſıİ", "sii")
+    step = lambda x: F.when(F.contains(low(x), F.lit(word.lower())), F.regexp_replace(x, _edge(rf"\b{quote(word)}\b"), to)).otherwise(x)
+    return F.get(F.transform(F.array(text), step), F.lit(0))
+
+
 def expand_acronyms(text: Column, acronyms: Mapping[str, str] = lx.ACRONYMS) -> Column:
     for a, full in acronyms.items():
-        text = F.regexp_replace(text, _edge(rf"\b{quote(a)}\b"), f"{a} {full}")
+        text = _swap(text, a, f"{a} {full}")
     return text
 
 
@@ -88,7 +99,7 @@ def normalize_numbers(text: Column, units: Iterable[tuple[str, str]] = lx.UNITS)
     """Decimal commas to points, then units spelled out, one after another."""
     text = F.regexp_replace(text, r"(?U)(\d+),(\d+)", "$1.$2")
     for unit, full in units:
-        text = F.regexp_replace(text, _edge(rf"\b{quote(unit)}\b"), full)
+        text = _swap(text, unit, full)
     return text
 
 

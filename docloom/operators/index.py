@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.tables import Tables
 
 
 @dataclass(frozen=True)
@@ -26,11 +27,15 @@ class Index:
         return p.groupBy("term").agg(F.count("*").alias("df")) if self.counted is None else p
 
 
-def build(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", mode: str | None = "industrial", least: int = 2, technical: Column | None = None) -> Index:
-    """Index of docs; mode None takes the words of the lower-cased text as they are. One shuffle, by term and document."""
+def build(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", mode: str | None = "industrial", least: int = 2, technical: Column | None = None, tables: Tables | None = None) -> Index:
+    """Index of docs; mode None takes the words of the lower-cased text as they are. One shuffle, by term and document.
+
+    tables: where the documents' words are written, so that texts are prepared once, not for postings, frequencies, lengths and numbers anew.
+    """
     text = F.lower(F.col(content)) if mode is None else tx.preprocess(F.col(content), mode)
     flag = F.lit(False) if technical is None else technical
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tx.tokens(text, least), F.array().cast("array<string>")).alias("terms"), flag.alias("technical"))
+    base = base if tables is None else tables.write("words", base)
     postings = base.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     lengths = base.select("doc_id", F.size("terms").cast("long").alias("dl"), "technical")
     return Index(postings, lengths, numbered(lengths))
