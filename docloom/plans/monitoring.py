@@ -107,12 +107,12 @@ def windowed_metrics(spark, sf):
     return streams.windowed_metrics(e, "1 hour").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
-#: Days of a file of streamed_sessions, its last file, and files after which the stream is started anew.
-SLICE_DAYS, LAST_SLICE, RESTART = 5, 5, 3
+#: Days of a batch of streamed_sessions, and its last batch.
+SLICE_DAYS, LAST_SLICE = 5, 5
 
 
 def _sliced(spark, sf):
-    """Events with the file that brings them: that of their time, the next for half of those at its end, one three files on for every 97th."""
+    """Events with the batch (`file`) that brings them: that of their time, the next for half of those at its end, one three on for every 97th."""
     e = _events(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     e = e.crossJoin(F.broadcast(e.agg(F.unix_micros(F.min("ts")).alias("low"))))
     size = SLICE_DAYS * 86_400_000_000
@@ -123,14 +123,13 @@ def _sliced(spark, sf):
 
 
 def streamed_sessions(spark, sf):
-    """Sessions closed by a stream over the events in six files, stopped after three and started again from its checkpoint."""
+    """Sessions closed by a stream over the events in six batches, stopped after each and started again from its checkpoint; a batch has as many files as tasks wrote."""
     t, e = Tables(spark, "stream"), _sliced(spark, sf)
     at, out, checkpoint = (f"{t.root}/{n}" for n in ("in", "out", "checkpoint"))
     for f in range(LAST_SLICE + 1):
-        e.where(F.col("file") == f).drop("file").coalesce(1).write.mode("append").parquet(at)
-        if f + 1 in (RESTART, LAST_SLICE + 1):
-            stream = spark.readStream.schema(e.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(at)
-            streams.run_sessions(stream, out, checkpoint).awaitTermination()
+        e.where(F.col("file") == f).drop("file").write.mode("append").parquet(at)
+        stream = spark.readStream.schema(e.drop("file").schema).parquet(at)
+        streams.run_sessions(stream, out, checkpoint).awaitTermination()
     got = spark.read.parquet(out)
     return got.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("last_event").cast("timestamp_ntz").alias("last_event"), "n")
 

@@ -1,13 +1,10 @@
-"""Structured Streaming: incremental index, windowed metrics, sessions, and session state with a time to live."""
+"""Structured Streaming: incremental index, windowed metrics, and sessions closed by the watermark."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators.index import Index
 from docloom.operators.segments import SegmentedIndex
@@ -34,48 +31,8 @@ def session_metrics(events: DataFrame, gap: str = "120 minutes", late: str = "10
     return events.withWatermark(ts, late).groupBy(w.alias("w"), user).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-class OpenSessions(StatefulProcessor):
-    """Of each user its open sessions (first, last, n; microseconds). A timer at the end of each closes it when the watermark has passed it, and its state goes."""
-
-    def __init__(self, gap_us: int):
-        self.gap_us = gap_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long")
-
-    def _timer(self, last: int) -> int:
-        """The millisecond from which on no accepted event can lengthen a session that ends so."""
-        return (last + self.gap_us) // 1000 + 1
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark names the arguments
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        merged = merged_sessions(held + [(int(t), int(t), 1) for pdf in rows for t in pdf["us"]], self.gap_us)
-        before, after = ({self._timer(last) for _, last, _ in some} for some in (held, merged))
-        for t in before - after:
-            self.handle.deleteTimer(t)
-        for t in after - before:
-            self.handle.registerTimer(t)
-        self.open.put(merged)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark names the arguments
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        closed, left = ([x for x in held if (self._timer(x[1]) <= at) == done] for done in (True, False))
-        if left:
-            self.open.put(left)
-        else:
-            self.open.clear()
-        if closed:
-            yield pd.DataFrame({"user_id": [key[0]] * len(closed), "first": [x[0] for x in closed], "last": [x[1] for x in closed], "n": [x[2] for x in closed]})
-
-    def close(self) -> None:
-        pass
-
-
 def merged_sessions(parts: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """Sessions (first, last, n) in any order, united where not more than gap lies between them."""
+    """Sessions (first, last, n) of one user in any order, united where not more than gap lies between them: what the stream does, in plain Python."""
     out: list[tuple[int, int, int]] = []
     for first, last, n in sorted(parts):
         if out and first - out[-1][1] <= gap:
@@ -88,27 +45,21 @@ def merged_sessions(parts: list[tuple[int, int, int]], gap: int) -> list[tuple[i
 def closed_sessions(events: DataFrame, gap_minutes: int = 120, late: str = "1 hour", ts: str = "ts", user: str = "user_id") -> DataFrame:
     """user_id, session_start, last_event, n, of each session once the watermark has passed its end; of streams only.
 
-    Events come in any order within `late`; later ones are dropped, which a query's progress counts (late_rows). Events without user or time are left out.
+    Native session windows: no Python and no call for each user; the state is a row for each open session, and goes when it is closed.
+    Times are kept a microsecond late, so a session whose gap ends at the watermark itself stays open.
+    Events come in any order within `late`; those whose own window the watermark has passed are dropped, which a query's progress counts
+    (late_rows). Events without user or time are left out.
     """
     e = events.select(F.col(user).cast("long").alias("user_id"), F.col(ts).cast("timestamp").alias("ts")).where("user_id IS NOT NULL AND ts IS NOT NULL")
-    keyed = e.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).groupBy("user_id")
-    out = keyed.transformWithStateInPandas(OpenSessions(gap_minutes * 60_000_000), "user_id long, first long, last long, n long", "Append", "EventTime")
-    return out.select("user_id", F.timestamp_micros("first").alias("session_start"), F.timestamp_micros("last").alias("last_event"), "n")
+    moved = lambda c, us: F.timestamp_micros(F.unix_micros(c) + us)
+    w = F.session_window("ts", f"{gap_minutes} minutes")
+    out = e.withColumn("ts", moved(F.col("ts"), 1)).withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.max("ts").alias("last_event"), F.count("*").alias("n"))
+    return out.select("user_id", moved(F.col("w.start"), -1).alias("session_start"), moved(F.col("last_event"), -1).alias("last_event"), "n")
 
 
 def run_sessions(events: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
     """Appends closed sessions to path from what is there, once; run again with the same checkpoint it goes on where it ended."""
-    spark = events.sparkSession
-    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, rocks)  # timers need it; a query keeps what it was started with
-    try:
-        return closed_sessions(events, **options).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    return closed_sessions(events, **options).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def late_rows(query: StreamingQuery) -> int:

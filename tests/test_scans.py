@@ -93,6 +93,17 @@ def test_stream_of_sessions_with_late_rows_and_a_restart(spark, tmp_path):
     assert late == 3
 
 
+def test_stream_of_sessions_is_native_and_keeps_what_ends_at_the_watermark_open(spark, tmp_path):
+    at, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    spark.createDataFrame([(1, 0), (1, 600), (2, 59), (3, 60), (4, 660 + 1800)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts")).write.parquet(at)
+    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(at)
+    plan = streams.closed_sessions(stream)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Python" not in plan  # a Python worker for each partition and batch took the time
+    streams.run_sessions(stream, out, checkpoint, gap_minutes=10, late="30 minutes").awaitTermination()
+    got = spark.read.parquet(out).select("user_id", F.unix_micros("session_start"), F.unix_micros("last_event"), "n").collect()
+    assert sorted(map(tuple, got)) == [(2, 59_000_000, 59_000_000, 1)]  # those of users 1 and 3 end at 1200 and 660, the watermark is 660
+
+
 def test_query_drops_what_is_late(spark, sf):
     kept = monitoring._sliced(spark, sf)
     assert kept.where("event_id % 97 = 0").agg(F.count_if(F.col("file") >= 3)).first()[0] > 0
