@@ -4,9 +4,8 @@ A block holds up to DOCS documents that follow each other in the input, and has
 as places in the block, how often and where the term stands in each (gaps between positions), and its impacts, those
 pairs of frequency and document length that no other pair of the row beats. Impacts bound what a row can add to a BM25 score
 for any parameters and whatever the corpus has become. A block is built inside one task from its documents' words, so
-building shuffles one row for each term and block, not one for each word, and no texts. Rows are then
-sorted by term and block over ranges of both, so that a term in all documents is split too, and a query opens the row
-groups of its terms.
+building shuffles nothing. A task writes its rows in runs of RUN bytes, each sorted by term and block, so a query opens in each
+run the pages of its terms, and a term in all documents is spread over all files.
 
 top_k() needs three steps in one plan. Of the rows of a query's terms it reads frequencies and impacts, which give each
 block's highest possible score. The most promising blocks are decoded and scored, and the k-th score found is the query's
@@ -36,9 +35,12 @@ from docloom.operators.keyword import top_k as ranked
 
 #: Documents of a block; blocks that a Python task matches at once; query terms up to which their names are pushed to the scan.
 DOCS, GROUP, PUSHED = 128, 64, 1000
+#: Bytes of the rows that a task sorts at once when it builds, and rows that it hands on at once.
+RUN, ROWS = 48 << 20, 4096
 #: Decimals of a score, so that sums in another order tie alike, and what bounds and scores may differ by.
 DECIMALS, SLACK = 9, 2e-9
 
+_DOCUMENTS = ("doc_ids", "dls", "n_words", "flags")
 _LISTS = {"docs": pa.int16(), "tfs": pa.int32(), "gaps": pa.int32()}
 
 
@@ -102,6 +104,14 @@ def invert(batch: pa.RecordBatch, block: int, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["term", "counted", "block", "n", "technical", "impacts", "docs", "tfs", "gaps", "doc_ids", "dls", "n_words", "flags"])
 
 
+def _sorted(made: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One run: rows by term and block, those of documents at the end."""
+    run = pa.Table.from_batches(made).combine_chunks()
+    order = pc.sort_indices(run, sort_keys=[("term", "ascending"), ("block", "ascending")], null_placement="at_end")
+    for at in range(0, len(order), ROWS):
+        yield from run.take(order.slice(at, ROWS)).combine_chunks().to_batches()
+
+
 def build(docs: DataFrame, path: str, doc_id: str = "doc_id", content: str = "text", mode: str | None = "industrial", least: int = 2, technical: Column | None = None, block: int = DOCS) -> Blocks:
     """Writes the index of docs under path. mode None takes the words of the lower-cased text as they are.
 
@@ -117,26 +127,29 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", content: str = "te
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        number, made, size = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, block):
-                yield invert(batch.slice(at, block), number, least)
-                number += 1
+                made.append(invert(batch.slice(at, block), number, least))
+                number, size = number + 1, size + made[-1].nbytes
+                if size >= RUN:
+                    yield from _sorted(made)
+                    made, size = [], 0
+        if made:
+            yield from _sorted(made)
 
     made = base.mapInArrow(run, f"term string, counted boolean, block long, n int, technical boolean, impacts array<struct<tf:int,dl:int>>, docs array<smallint>, tfs array<int>, gaps array<int>, doc_ids array<{kind}>, dls array<int>, n_words array<int>, flags array<boolean>")
-    made.write.mode("overwrite").parquet(f"{path}/built")  # sorting samples its input first: it must not be computed twice
+    made.write.mode("overwrite").parquet(f"{path}/built")
     made = spark.read.schema(made.schema).parquet(f"{path}/built")
-    made.where("term IS NULL").select("block", "doc_ids", "dls", "n_words", "flags").write.mode("overwrite").parquet(f"{path}/documents")
-    made.where("term IS NOT NULL").drop("doc_ids", "dls", "n_words", "flags").repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    made.where("term IS NULL").select("block", *_DOCUMENTS).write.mode("overwrite").parquet(f"{path}/documents")
     documents = spark.read.parquet(f"{path}/documents")
     numbered(documents.select(F.explode(F.col("dls").cast("array<bigint>")).alias("dl"))).write.mode("overwrite").parquet(f"{path}/numbers")
-    built = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/built")
-    built.getFileSystem(spark._jsc.hadoopConfiguration()).delete(built, True)
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Blocks:
-    return Blocks(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "numbers")))
+    postings = spark.read.parquet(f"{path}/built").where("term IS NOT NULL").drop(*_DOCUMENTS)
+    return Blocks(postings, *(spark.read.parquet(f"{path}/{t}") for t in ("documents", "numbers")))
 
 
 def rows_of(blocks: Blocks, terms: DataFrame) -> DataFrame:

@@ -287,3 +287,17 @@ def test_query_recall(spark, sf):
     """ids divisible by 20 against all rows, as registered."""
     got = retrieval.ivf_search(spark, sf).join(retrieval.ivf_exact(spark, sf).select("query_id", "vec_id"), ["query_id", "vec_id"]).count()
     assert got >= 0.9 * retrieval.ivf_exact(spark, sf).count()
+
+
+def test_an_index_is_built_without_a_shuffle_in_sorted_runs(spark, tmp_path):
+    """Postings of all blocks used to be sorted over ranges, which shuffled and spilled them."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(30))) for i in range(400)], "doc_id long, text string").repartition(8)
+    docs.write.parquet(f"{tmp_path}/docs")
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsList().size()
+    b = blocks.build(spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/ix", mode=None, block=16)
+    made = [store.planGraph(store.executionsList().apply(i).executionId()).allNodes() for i in range(seen, store.executionsList().size())]
+    assert [n for nodes in made for n in (nodes.apply(j).desc() for j in range(nodes.size())) if "rangepartitioning(term" in n] == []
+    for r in b.postings.groupBy(F.input_file_name()).agg(F.collect_list("term").alias("terms")).collect():
+        assert r.terms == sorted(r.terms)
+    assert b.postings.groupBy().agg(F.sum("n")).first()[0] == docs.select("doc_id", F.explode(F.split("text", " "))).distinct().count()
