@@ -73,7 +73,7 @@ class Engine:
         return self.docs.sparkSession
 
     def _content(self, found: DataFrame) -> DataFrame:
-        return found.join(self.docs, "doc_id")
+        return F.broadcast(found).join(self.docs, "doc_id")  # at most the rows that a strategy fetches
 
     def semantic(self, r: Request, vector: DataFrame | None = None) -> DataFrame:
         q = vector if vector is not None else self.spark.createDataFrame([(0, r.text)], "query_id int, text string").select("query_id", vx.hash_embedding(vectors.prepare_query(F.col("text")), self.dim).alias("vector"))
