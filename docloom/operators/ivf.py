@@ -15,22 +15,24 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import vector as vx
 from docloom.operators.keyword import top_k
-from docloom.operators.vectors import BLOCK, block_best, similarity
+from docloom.operators.vectors import BLOCK, Nearest, blocks_of
 
 #: Rows that centroids are fitted on, the most cells, rows of a file of a cell, and queries that tune() measures with.
 SAMPLE, CELLS, FILE_ROWS, TUNED = 32_768, 4096, 1 << 20, 256
 METRICS = ("cosine", "angular", "euclidean")
+#: Columns of the table, and rows that are compared with all centroids at once.
+PLACED, TILE = "vec_id long, vector array<double>, cell int", 2048
 
 
 @dataclass(frozen=True)
@@ -42,10 +44,12 @@ class IvfIndex:
     metric: str
     centroids: np.ndarray
     probes: int
+    table: DataFrame
 
-    @property
-    def table(self) -> DataFrame:
-        return self.spark.read.schema("vec_id long, vector array<double>, cell int").parquet(f"{self.path}/cells")
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The stored vectors; their folders are listed here, once for an index, which takes a task for each cell."""
+    return spark.read.schema(PLACED).parquet(f"{path}/cells")
 
 
 def _usable(store: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -67,6 +71,43 @@ def _far(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (centroids * centroids).sum(axis=1)[None, :] - 2 * (v @ centroids.T)
 
 
+def _assign(shared, metric: str):
+    """vec_id, vector, and the number of the nearest of the shared centroids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+                cell = np.concatenate([_far(_direction(v[a : a + TILE], metric), shared.value).argmin(axis=1) for a in range(0, len(v), TILE)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "vector", "cell"])
+
+    return run
+
+
+def _fit(points: DataFrame, cells: int, rounds: int, seed: int, moved: float = 1e-4) -> np.ndarray:
+    """Centroids by Lloyd's rounds over the sampled points (vec_id, vector), until none moves further than `moved`.
+
+    They start as the first points by hash, equal ones once. In a round no more than a row for each centroid comes to the driver. MLlib's KMeans
+    sends the distances of all pairs of centroids too, below 1,000 of them; its block solver fails where drawn points are equal.
+    """
+    sc, points = points.sparkSession.sparkContext, points.cache()  # as many rows as the sample has
+    rows = points.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(cells).select("vector").toArrow()
+    centroids = np.asarray(rows["vector"].combine_chunks().flatten()).reshape(rows.num_rows, -1)
+    centroids = centroids[np.sort(np.unique(centroids, axis=0, return_index=True)[1])]
+    for _ in range(rounds):
+        shared = sc.broadcast(centroids)
+        mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("vector"))))
+        means = points.mapInArrow(_assign(shared, "euclidean"), PLACED).groupBy("cell").agg(mean.alias("mean")).toArrow()
+        new = centroids.copy()  # those without points stay
+        new[np.asarray(means["cell"])] = np.asarray(means["mean"].combine_chunks().flatten()).reshape(means.num_rows, -1)
+        step, centroids = np.linalg.norm(new - centroids, axis=1).max(), new
+        shared.unpersist()
+        if step <= moved:
+            break
+    points.unpersist()
+    return centroids
+
+
 def build(store: DataFrame, path: str, metric: str = "cosine", cells: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, rounds: int = 12, seed: int = 7) -> IvfIndex:
     """Fits, assigns and writes; cells defaults to twice the root of the number of rows, CELLS at most. Probes are a tenth of the cells until tune() says better."""
     if metric not in METRICS:
@@ -83,24 +124,17 @@ def build(store: DataFrame, path: str, metric: str = "cosine", cells: int | None
         dim = some.select(F.size("vector").alias("d")).first().d
         if rows.where(F.size("vector") != dim).limit(1).count():
             raise ValueError(f"vectors of another length than {dim}")
+        some = some.withColumn("vector", norm)
         # in one order whatever the partitions, so that the same rows give the same cells
-        fitted = KMeans(k=cells, maxIter=rounds, seed=seed, initMode="random").fit(some.orderBy("vec_id").coalesce(1).select(array_to_vector(norm).alias("features")) if n <= sample else some.select(array_to_vector(norm).alias("features")))
-        centroids = np.array(fitted.clusterCenters(), np.float64)
+        centroids = _fit(some.orderBy("vec_id").coalesce(1) if n <= sample else some, cells, rounds, seed)
     shared = spark.sparkContext.broadcast(centroids)  # at most CELLS x dim
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                cell = _far(_direction(v, metric), shared.value).argmin(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec_id", "vector", "cell"])
-
     # rebalanced by cell: small cells share tasks, and a cell of many rows is split over several
-    placed = rows.mapInArrow(assign, "vec_id long, vector array<double>, cell int").hint("rebalance", "cell")
+    placed = rows.mapInArrow(_assign(shared, metric), PLACED).hint("rebalance", "cell")
     placed.write.mode("overwrite").partitionBy("cell").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/cells")
     if not n:
         rows.withColumn("cell", F.lit(0)).write.mode("overwrite").parquet(f"{path}/cells")
-    made = IvfIndex(spark, path, metric, centroids, max(1, len(centroids) // 10))
+    made = IvfIndex(spark, path, metric, centroids, max(1, len(centroids) // 10), _listed(spark, path))
     _note(made)
     return made
 
@@ -113,7 +147,7 @@ def _note(index: IvfIndex) -> None:
 
 def load(spark: SparkSession, path: str) -> IvfIndex:
     r = spark.read.schema("metric string, probes int, dim int, centroids string").json(f"{path}/facts").first()
-    return IvfIndex(spark, path, r.metric, np.array(json.loads(r.centroids), np.float64).reshape(-1, r.dim), r.probes)
+    return IvfIndex(spark, path, r.metric, np.array(json.loads(r.centroids), np.float64).reshape(-1, r.dim), r.probes, _listed(spark, path))
 
 
 def probed(index: IvfIndex, queries: np.ndarray, probes: int) -> np.ndarray:
@@ -125,23 +159,22 @@ def search(index: IvfIndex, queries: DataFrame, k: int = 5, probes: int | None =
     """query_id, vec_id, score, rank, of queries (query_id, vector): the k best of the probed cells; of all with `exact`."""
     spark, cells = index.spark, len(index.centroids)
     probes = cells if exact else min(cells, probes or index.probes)
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    n, kind = q.count(), dict(queries.dtypes)["query_id"]
-    of = max(1, -(-n // BLOCK) * 2 if n > BLOCK else 1)
+    # in single precision if they are stored so, as they go through the driver
+    v = F.col("vector") if dict(queries.dtypes)["vector"] == "array<float>" else F.col("vector").cast("array<double>")
+    q = queries.select("query_id", v.alias("vector")).where((F.size("vector") == index.centroids.shape[1]) & F.forall("vector", lambda x: x.isNotNull()))
     out = None
-    for i in range(of):
-        rows = (q if of == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(of)) == i)).collect()  # about BLOCK rows at most
-        rows = [r for r in rows if r.vector is not None and len(r.vector) == index.centroids.shape[1] and None not in r.vector]
-        if not rows or not cells:
+    for part in blocks_of(q) if cells else []:
+        asked = part.toArrow()  # at most about BLOCK rows
+        if not asked.num_rows:
             continue
-        vectors = np.array([r.vector for r in rows], np.float64)
+        vectors = np.asarray(asked["vector"].combine_chunks().flatten(), np.float64).reshape(asked.num_rows, -1)
         near = probed(index, vectors, probes)
         wanted = np.unique(near)
         # partitions of other cells are not listed for reading
         table = index.table if len(wanted) == cells else index.table.where(F.col("cell").isin([int(c) for c in wanted]))
         found = table.mapInArrow(_visit(spark.sparkContext.broadcast((vectors, near)), k, index.metric), "q int, vec_id long, score double")
-        names = F.broadcast(spark.createDataFrame([(j, r.query_id) for j, r in enumerate(rows)], f"q int, query_id {kind}"))
-        found = found.join(names, "q").select("query_id", "vec_id", "score")
+        named = spark.createDataFrame(pa.table({"q": pa.array(np.arange(asked.num_rows, dtype=np.int32)), "query_id": asked["query_id"]}))
+        found = found.join(F.broadcast(named), "q").select("query_id", "vec_id", "score")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = queries.select("query_id").limit(0).withColumns({"vec_id": F.lit(0).cast("long"), "score": F.lit(0.0)})
@@ -155,27 +188,14 @@ def _visit(shared, k: int, metric: str):
         vectors, near = shared.value
         ends = np.argsort(near, axis=None, kind="stable")
         cell_of, asked = near.ravel()[ends], ends // near.shape[1]
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best = Nearest(vectors, k, metric)
         for batch in batches:
             ids, col, cell = np.asarray(batch.column("vec_id")), batch.column("vector"), np.asarray(batch.column("cell"))
             v = np.asarray(col.flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, vectors.shape[1]))
             for c in np.unique(cell).tolist():
-                who = asked[np.searchsorted(cell_of, c) : np.searchsorted(cell_of, c, "right")]
-                if not len(who):
-                    continue
-                mine = np.flatnonzero(cell == c)
-                s = similarity(vectors[who], v[mine], metric)
-                for i, row in zip(who.tolist(), s, strict=True):
-                    at = block_best(row, ids[mine], k)
-                    score, found = row[at], ids[mine][at]
-                    if i in held:
-                        score, found = np.concatenate([held[i][0], score]), np.concatenate([held[i][1], found])
-                        at = block_best(score, found, k)
-                        score, found = score[at], found[at]
-                    held[i] = (score, found)
-        if held:
-            q = np.repeat(np.fromiter(held, np.int32, len(held)), [len(x[0]) for x in held.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([x[1] for x in held.values()])), pa.array(np.concatenate([x[0] for x in held.values()]))], names=["q", "vec_id", "score"])
+                who, mine = asked[np.searchsorted(cell_of, c) : np.searchsorted(cell_of, c, "right")], np.flatnonzero(cell == c)
+                best.add(ids[mine], v[mine], who)
+        yield from best.rows(np.arange(len(vectors)))
 
     return run
 
@@ -193,18 +213,18 @@ def tune(index: IvfIndex, queries: DataFrame, k: int = 10, target: float = 0.95,
 
     One exact search: a true neighbour is found as soon as its cell is probed, so its cell's place in the query's order says from how many probes on.
     """
-    some = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(most).collect()
+    some = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(most).toArrow().to_pylist()  # not collect(), for which each task sends so many
     if not some or not len(index.centroids):
         return index, 1.0
-    drawn = index.spark.createDataFrame([(i, r.vector) for i, r in enumerate(some)], "query_id int, vector array<double>")
+    drawn = index.spark.createDataFrame([(i, r["vector"]) for i, r in enumerate(some)], "query_id int, vector array<double>")
     true = search(index, drawn, k, exact=True).select("query_id", "vec_id").join(index.table.select("vec_id", "cell").distinct(), "vec_id").collect()  # most x k rows
     asked = {r.query_id for r in true}
     if not asked:
         return index, 1.0
-    order = {i: {int(c): n for n, c in enumerate(probed(index, np.array([some[i].vector], np.float64), len(index.centroids))[0])} for i in asked}
+    order = {i: {int(c): n for n, c in enumerate(probed(index, np.array([some[i]["vector"]], np.float64), len(index.centroids))[0])} for i in asked}
     needed = np.sort([order[r.query_id][r.cell] + 1 for r in true])
     probes = int(needed[max(0, int(np.ceil(target * len(needed))) - 1)])
-    best = IvfIndex(index.spark, index.path, index.metric, index.centroids, probes)
+    best = replace(index, probes=probes)
     _note(best)
     return best, float((needed <= probes).mean())
 

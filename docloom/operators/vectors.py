@@ -70,7 +70,7 @@ def _filled(v: Column, metric: str) -> Column:
     return F.when(F.forall(v, lambda x: x.isNotNull()), v).otherwise(F.transform(v, lambda _: F.lit(0.0)) if metric not in ("euclidean", "manhattan") else F.lit(None))
 
 
-def _blocks_of(queries: DataFrame) -> list[DataFrame]:
+def blocks_of(queries: DataFrame) -> list[DataFrame]:
     """queries in parts of about BLOCK rows, by hash of the id."""
     n = queries.count()
     of = 1 if n <= BLOCK else -(-n // BLOCK) * 2
@@ -87,7 +87,7 @@ def _nearest(store: DataFrame, queries: DataFrame, k: int, metric: str, vec_id:
     base = store.select(F.col(vec_id).cast("long").alias("vec_id"), _filled(F.col(embedding), metric).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     base = base.repartition(spark.sparkContext.defaultParallelism)  # vectors are small against the work on them
     out = None
-    for part in _blocks_of(queries.select("query_id", _filled(F.col("vector"), metric).alias("vector")).where("vector IS NOT NULL")):
+    for part in blocks_of(queries.select("query_id", _filled(F.col("vector"), metric).alias("vector")).where("vector IS NOT NULL")):
         asked = part.toArrow()  # at most about BLOCK rows
         if not asked.num_rows:
             continue
@@ -141,16 +141,17 @@ class Nearest:
         self.scores, self.measures = np.full((len(q), k), -np.inf), np.full((len(q), k), -np.inf)
         self.n = np.zeros(len(q), np.int64)
 
-    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, v: np.ndarray, who: np.ndarray | None = None) -> None:
+        """who: places of the queries that these vectors are for; without it all."""
         with np.errstate(all="ignore"):
             for a in range(0, len(v), self.V):
                 tile, own = v[a : a + self.V], ids[a : a + self.V]
                 norm = norms_of(tile)
                 unit = _unit(tile, norm)
-                for b in range(0, len(self.q), self.Q):
-                    self._tile(slice(b, b + self.Q), own, tile, norm, unit)
+                for b in range(0, len(self.q if who is None else who), self.Q):
+                    self._tile(slice(b, b + self.Q) if who is None else who[b : b + self.Q], own, tile, norm, unit)
 
-    def _rough(self, at: slice, v: np.ndarray, norm: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    def _rough(self, at: slice | np.ndarray, v: np.ndarray, norm: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
         """What orders the pairs of a tile, and by how much it may be off."""
         if self.metric in ("cosine", "angular", "signed"):
             c = self.unit[at] @ unit.T
@@ -177,7 +178,7 @@ class Nearest:
         d -= (norm * norm)[None, :]
         return d, 1e-11 * (n + high) ** 2
 
-    def _tile(self, at: slice, ids: np.ndarray, v: np.ndarray, norm: np.ndarray, unit: np.ndarray) -> None:
+    def _tile(self, at: slice | np.ndarray, ids: np.ndarray, v: np.ndarray, norm: np.ndarray, unit: np.ndarray) -> None:
         s, slack = self._rough(at, v, norm, unit)
         least = self.measures[at, -1].copy()  # of the k-th found, -inf before there are k
         new = self.n[at] < self.k
@@ -191,7 +192,7 @@ class Nearest:
         row, col = np.nonzero(~(s < (least - slack)[:, None]))  # what is no number is looked at too
         if not len(row):
             return
-        row += at.start
+        row = row + at.start if isinstance(at, slice) else at[row]
         score, measure = np.empty(len(row)), np.empty(len(row))
         for a in range(0, len(row), self.PAIRS):
             r, c = row[a : a + self.PAIRS], col[a : a + self.PAIRS]
@@ -252,26 +253,6 @@ def exact(q: np.ndarray, v: np.ndarray, nq: np.ndarray, nv: np.ndarray, metric:
     return (c if metric == "cosine" else 1 - np.arccos(c) / np.pi), c
 
 
-def similarity(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of the rows of q (n, w) and v (m, w), as the column expressions give them."""
-    if metric in ("cosine", "angular"):
-        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-        c = np.clip(np.divide(q @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), 0, 1)
-        return c if metric == "cosine" else 1 - np.arccos(c) / np.pi
-    if metric == "dot":
-        return np.maximum(q @ v.T, 0)
-    if metric == "euclidean":
-        return 1 / (1 + np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in q])))
-    return 1 / (1 + np.stack([np.abs(v - x).sum(axis=1) for x in q]))
-
-
-def block_best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, equal ones by id, in order."""
-    worst = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-    at = np.flatnonzero(score >= worst)
-    return at[np.lexsort((ids[at], -score[at]))][:k]
-
-
 def _best(shared, k: int, metric: str):
     """Of each query the k nearest of a task's vectors, given once."""
 
@@ -345,7 +326,7 @@ def multi_vector_of(store: DataFrame, queries: DataFrame, group: str, how: str =
     else:
         base, asked = base.withColumns({"at": F.lit(0).cast("long"), "n": F.lit(1).cast("long")}).repartition(spark.sparkContext.defaultParallelism), asked.withColumn("at", F.lit(0).cast("long"))
     base, out = base.where("e IS NOT NULL").select("g", "at", "n", "e"), None
-    for part in _blocks_of(asked.where("vector IS NOT NULL").select("query_id", "at", "vector")):
+    for part in blocks_of(asked.where("vector IS NOT NULL").select("query_id", "at", "vector")):
         rows = part.select("at", "vector").toArrow()  # at most about BLOCK rows
         at = np.asarray(rows["at"])
         shared = {d: (at[i], _unit(q, norms_of(q))) for d, (i, q) in by_length(rows["vector"].combine_chunks()).items()} if len(at) else {}

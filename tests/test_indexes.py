@@ -283,6 +283,40 @@ def test_inverted_file_of_odd_stores(spark, tmp_path):
         ivf.build(spark.createDataFrame([], schema), str(tmp_path / "no"), "manhattan")
 
 
+def test_cells_send_little_to_the_driver(spark, tmp_path, monkeypatch):
+    """Each round of the fit used to send the distances of all pairs of cells (a task each), and each block of queries listed the folders of all cells anew."""
+    sc, seen = spark.sparkContext, spark.sparkContext.statusTracker()
+    tasks = lambda group: sum(seen.getStageInfo(i).numTasks for j in seen.getJobIdsForGroup(group) for i in seen.getJobInfo(j).stageIds)
+    store = spark.createDataFrame(vector_rows(900), "vec_id long, embedding array<double>, label int").coalesce(1)
+    queries = store.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    try:
+        sc.setJobGroup("cells-build", "")
+        ix = ivf.build(store, str(tmp_path / "ivf"), cells=200)
+        sc.setJobGroup("cells-one", "")
+        one = ivf.search(ix, queries, 10).collect()
+        for module in (ivf, vectors):
+            monkeypatch.setattr(module, "BLOCK", 10)
+        sc.setJobGroup("cells-blocks", "")
+        many = ivf.search(ix, queries, 10)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(ix.centroids) == 200 and ix.table.inputFiles() and tasks("cells-build") < 5 * 200 and tasks("cells-blocks") < 200
+    assert sorted(one) == sorted(many.collect()) and len(one) == 450
+
+
+@pytest.mark.parametrize("metric", ivf.METRICS)
+def test_all_cells_score_as_a_scan_does(spark, tmp_path, metric):
+    """To the last bit, so that copies in cells of other sizes tie and stand by id; also queries in single precision and those that find nothing."""
+    rows = [(i, v) for i, (_, v, _) in enumerate(vector_rows(120) * 4)]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = store.where("vec_id < 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    odd = spark.createDataFrame([(900, None), (901, [1.0]), (902, [None] * 12)], "query_id long, vector array<float>")
+    ix = ivf.build(store, str(tmp_path / "ivf"), metric, cells=20)
+    want = vectors.knn(store, queries, 10, metric).select("query_id", "rank", "vec_id", "score")
+    got = ivf.search(ix, queries.unionByName(odd), 10, exact=True).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 600
+
+
 def test_query_recall(spark, sf):
     """ids divisible by 20 against all rows, as registered."""
     got = retrieval.ivf_search(spark, sf).join(retrieval.ivf_exact(spark, sf).select("query_id", "vec_id"), ["query_id", "vec_id"]).count()
