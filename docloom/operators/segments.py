@@ -81,7 +81,10 @@ class SegmentedIndex(Files):
         return last.unionByName(docs.where(F.col(self.doc_id).isNull()))
 
     def _table(self, s: dict, name: str) -> DataFrame:
-        t = self.spark.read.parquet(f"{self.root}/{s['name']}/{name}")
+        path = f"{self.root}/{s['name']}"
+        # a batch's postings stand where its build has left them; merged ones, and those of older indexes, have a table of their own
+        built = name == "postings" and self._fs.exists(self._path(f"{path}/built"))
+        t = bl.load(self.spark, path).postings if built else self.spark.read.parquet(f"{path}/{name}")
         return t.withColumn("block", F.col("block") + F.lit(s["offset"])) if "block" in t.columns else t
 
     def _all(self, segments: list[dict], name: str) -> DataFrame | None:

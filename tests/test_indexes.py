@@ -182,6 +182,19 @@ def test_segments_equal_a_batch_build(spark, tmp_path, fan=3):
     assert found(got) == found(want) and named.count() == len(held)
 
 
+def test_a_segment_is_read_as_its_build_left_it(spark, tmp_path):
+    """A build writes its postings beside its documents' rows, a merge in a table of their own; readers once looked for the latter only."""
+    ix = segments.SegmentedIndex(spark, str(tmp_path / "ix"), fan=2)
+    mk = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    words = lambda: sorted((r.term, r.doc_id, r.tf) for r in ix.index().postings.collect())
+    assert ix.add(mk((1, "aa bb aa"), (2, None)), 0) and words() == [("aa", 1, 2), ("bb", 1, 1)]
+    assert ix.add(mk((1, "cc"), (3, "bb")), 1) and words() == [("bb", 3, 1), ("cc", 1, 1)]
+    assert len(ix.state()["segments"]) == 1
+    for n in range(2, 5):
+        assert ix.add(mk((n + 2, "dd")), n)
+    assert words() == [("bb", 3, 1), ("cc", 1, 1), *(("dd", n, 1) for n in (4, 5, 6))]
+
+
 # fuzzy
 
 
