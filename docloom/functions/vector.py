@@ -70,8 +70,13 @@ def valid(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
 
 
+#: What is trimmed off texts: Unicode's blanks (Zs), as SQL's trim does; tabs and line ends stay.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def hash_embedding(text: Column, dim: int = 768) -> Column:
     """Bytes of the text's SHA-256, scaled to [-1, 1] and repeated to dim; zeros for blank text."""
-    digest = F.sha2(F.trim(text).cast("binary"), 256)
+    text = F.btrim(text, F.lit(BLANKS))
+    digest = F.sha2(text.cast("binary"), 256)
     values = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5)
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array_repeat(F.lit(0.0), dim)).otherwise(values)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array_repeat(F.lit(0.0), dim)).otherwise(values)

@@ -62,10 +62,10 @@ class Request:
 class Engine:
     """Search over a documents table, its index and its vectors (doc_id, vector); without vectors, hash embeddings serve."""
 
-    def __init__(self, docs: DataFrame, index: Index, store: DataFrame | None = None, content: str = "text", dim: int = 32, mode: str | None = "industrial"):
+    def __init__(self, docs: DataFrame, index: Index, store: DataFrame | None = None, content: str = "text", dim: int = 32, mode: str | None = "industrial", zero: float = 0.0):
         self.docs = docs.select("doc_id", F.col(content).alias("content"))
         self.more = docs.select("doc_id", *(c for c in ("source", "page") if c in docs.columns))
-        self.index, self.dim, self.mode = index, dim, mode  # mode: how the index was built
+        self.index, self.dim, self.mode, self.zero = index, dim, mode, zero  # mode: how the index was built; zero: the cosine of a zero vector
         self.store = store if store is not None else self.docs.select("doc_id", vx.hash_embedding(F.col("content"), dim).alias("vector"))
 
     @property
@@ -77,7 +77,7 @@ class Engine:
 
     def semantic(self, r: Request, vector: DataFrame | None = None) -> DataFrame:
         q = vector if vector is not None else self.spark.createDataFrame([(0, r.text)], "query_id int, text string").select("query_id", vx.hash_embedding(vectors.prepare_query(F.col("text")), self.dim).alias("vector"))
-        return self._content(vectors.knn(self.store, q, r.fetch_k, vec_id="doc_id", embedding="vector").withColumnRenamed("vec_id", "doc_id").drop("rank"))
+        return self._content(vectors.knn(self.store, q, r.fetch_k, vec_id="doc_id", embedding="vector", zero=self.zero).withColumnRenamed("vec_id", "doc_id").drop("rank"))
 
     def keyword(self, r: Request) -> DataFrame:
         found = keyword.bm25(self.index, keyword.query_table(self.spark, {0: r.text}, self.mode))

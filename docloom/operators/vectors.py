@@ -25,11 +25,11 @@ from docloom.operators.keyword import top_k
 BLOCK = 10_000
 
 
-def scores(store: DataFrame, queries: DataFrame, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score, of every stored vector and query (query_id, vector); a scan of the store for each block of queries."""
+def scores(store: DataFrame, queries: DataFrame, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding", zero: float = 0.0) -> DataFrame:
+    """query_id, vec_id, score, of every stored vector and query (query_id, vector); a scan of the store for each block of queries. zero: the cosine of a zero vector."""
     if metric not in ("cosine", "angular"):
         return _scores(store, queries, vx.METRICS[metric], vec_id, embedding)
-    clamped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
+    clamped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(zero))))
     s = signed_scores(store, queries, vec_id, embedding)
     return s.withColumn("score", clamped(F.col("score")) if metric == "cosine" else 1 - F.acos(clamped(F.col("score"))) / F.pi())
 
@@ -54,7 +54,7 @@ def _scores(store: DataFrame, queries: DataFrame, fn: Callable[[Column, Column],
 
 
 def knn(store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", least: float | None = None, where: Column | None = None, **names) -> DataFrame:
-    """The k nearest of each query with rank. where filters the store before anything is computed; least drops after ranks are given."""
+    """The k nearest of each query with rank. where filters the store before anything is computed; least drops after ranks are given. names: columns, and zero as for scores()."""
     found = top_k(_nearest(store if where is None else store.where(where), queries, k, metric, **names), k, tie="vec_id")
     return found.where(F.col("score") >= least) if least else found
 
@@ -77,11 +77,11 @@ def blocks_of(queries: DataFrame) -> list[DataFrame]:
     return [queries] if of == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(of)) == i) for i in range(of)]
 
 
-def _nearest(store: DataFrame, queries: DataFrame, k: int, metric: str, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def _nearest(store: DataFrame, queries: DataFrame, k: int, metric: str, vec_id: str = "vec_id", embedding: str = "embedding", zero: float = 0.0) -> DataFrame:
     """query_id, vec_id, score of the k nearest of each task and query: a scan of the store, dealt out to all cores, for each block of queries."""
     kind = dict(store.dtypes)[vec_id]
     if kind not in ("tinyint", "smallint", "int", "bigint"):
-        found = scores(store, queries, metric, vec_id, embedding) if metric != "signed" else signed_scores(store, queries, vec_id, embedding).where("score IS NOT NULL")
+        found = scores(store, queries, metric, vec_id, embedding, zero) if metric != "signed" else signed_scores(store, queries, vec_id, embedding).where("score IS NOT NULL")
         return top_k(found, k, tie="vec_id").drop("rank")
     spark = store.sparkSession
     base = store.select(F.col(vec_id).cast("long").alias("vec_id"), _filled(F.col(embedding), metric).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -91,7 +91,7 @@ def _nearest(store: DataFrame, queries: DataFrame, k: int, metric: str, vec_id:
         asked = part.toArrow()  # at most about BLOCK rows
         if not asked.num_rows:
             continue
-        found = base.mapInArrow(_best(spark.sparkContext.broadcast(by_length(asked["vector"].combine_chunks())), k, metric), "q int, vec_id long, score double")
+        found = base.mapInArrow(_best(spark.sparkContext.broadcast(by_length(asked["vector"].combine_chunks())), k, metric, zero), "q int, vec_id long, score double")
         named = spark.createDataFrame(pa.table({"q": pa.array(np.arange(asked.num_rows, dtype=np.int32)), "query_id": asked["query_id"]}))
         found = found.join(F.broadcast(named), "q").select("query_id", F.col("vec_id").cast(kind).alias("vec_id"), "score")
         out = found if out is None else out.unionByName(found)
@@ -133,8 +133,8 @@ class Nearest:
     #: Queries and vectors of a tile, pairs scored at once, queries whose city-block distances are summed at once.
     Q, V, PAIRS, L1 = 256, 2048, 1 << 15, 32
 
-    def __init__(self, q: np.ndarray, k: int, metric: str):
-        self.q, self.k, self.metric = q, k, metric
+    def __init__(self, q: np.ndarray, k: int, metric: str, zero: float = 0.0):
+        self.q, self.k, self.metric, self.zero = q, k, metric, zero
         self.norm = norms_of(q)
         self.unit = _unit(q, self.norm)
         self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
@@ -157,6 +157,8 @@ class Nearest:
             c = self.unit[at] @ unit.T
             if self.metric == "signed":
                 c[:, norm == 0] = -np.inf
+            elif self.zero:
+                c[:, norm == 0] = c[self.norm[at] == 0] = self.zero
             return (c if self.metric == "signed" else np.clip(c, 0, 1, out=c)), 1e-10
         q, n = self.q[at], self.norm[at]
         if self.metric == "manhattan":
@@ -196,7 +198,7 @@ class Nearest:
         score, measure = np.empty(len(row)), np.empty(len(row))
         for a in range(0, len(row), self.PAIRS):
             r, c = row[a : a + self.PAIRS], col[a : a + self.PAIRS]
-            score[a : a + self.PAIRS], measure[a : a + self.PAIRS] = exact(self.q[r], v[c], self.norm[r], norm[c], self.metric)
+            score[a : a + self.PAIRS], measure[a : a + self.PAIRS] = exact(self.q[r], v[c], self.norm[r], norm[c], self.metric, self.zero)
         self._keep(row, ids[col], score, measure)
 
     def _keep(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray, measure: np.ndarray) -> None:
@@ -232,7 +234,7 @@ def _unit(v: np.ndarray, norm: np.ndarray) -> np.ndarray:
         return np.divide(v, norm[:, None], out=np.zeros_like(v), where=norm[:, None] != 0)
 
 
-def exact(q: np.ndarray, v: np.ndarray, nq: np.ndarray, nv: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def exact(q: np.ndarray, v: np.ndarray, nq: np.ndarray, nv: np.ndarray, metric: str, zero: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Score of each pair of rows as the column expressions give it, and what orders it before it is made a score."""
     pairs = zip(q.T, v.T, strict=True)
     if metric == "manhattan":
@@ -249,15 +251,15 @@ def exact(q: np.ndarray, v: np.ndarray, nq: np.ndarray, nv: np.ndarray, metric:
     c = d / norms
     if metric == "signed":
         return c, np.where(norms == 0, -np.inf, c)
-    c = np.where(norms == 0, 0.0, np.where(np.isnan(c), 1.0, np.clip(c, 0, 1)))
+    c = np.where(norms == 0, zero, np.where(np.isnan(c), 1.0, np.clip(c, 0, 1)))
     return (c if metric == "cosine" else 1 - np.arccos(c) / np.pi), c
 
 
-def _best(shared, k: int, metric: str):
+def _best(shared, k: int, metric: str, zero: float):
     """Of each query the k nearest of a task's vectors, given once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = {d: (at, Nearest(q, k, metric)) for d, (at, q) in shared.value.items()}
+        asked = {d: (at, Nearest(q, k, metric, zero)) for d, (at, q) in shared.value.items()}
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for d, (at, v) in by_length(batch.column(1)).items():

@@ -36,6 +36,15 @@ def test_tiles_give_what_all_pairs_give(spark, store, monkeypatch, metric):
     assert key(got) == key(top_k(every, 7, tie="vec_id"))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "angular"])
+def test_a_zero_vectors_cosine_can_be_given(spark, store, metric):
+    every = vectors.scores(store, asked(store), metric, zero=1.0)
+    key = lambda df: sorted((r.query_id, r["rank"], r.vec_id, repr(round(r.score, 9))) for r in df.collect())
+    got = vectors.knn(store, asked(store), 7, metric, zero=1.0)
+    assert key(got) == key(top_k(every, 7, tie="vec_id"))
+    assert {r.score for r in got.where("query_id = 500").collect()} == {1.0}
+
+
 @pytest.mark.parametrize("metric", vx.METRICS)
 def test_only_the_best_of_a_task_leave_it(metric):
     """Before, each Arrow batch gave its k best, so rows and memory grew with queries times batches."""
