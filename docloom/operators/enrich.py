@@ -96,15 +96,15 @@ def content_hash(text: Column) -> Column:
     return F.left(F.sha2(text.cast("binary"), 256), F.lit(16))
 
 
-def enrich(chunks: DataFrame, content: str = "text", rules: list[lx.Rule] | None = None, domains: dict = lx.DOMAINS, words: lx.Analyzer = lx.Analyzer()) -> DataFrame:
-    """chunks with analysis, classification and a struct `enrichment`; one analysis and one classification a row. Blank texts get the fallback."""
+def enrich(chunks: DataFrame, content: str = "text", rules: list[lx.Rule] | None = None, domains: dict = lx.DOMAINS, words: lx.Analyzer = lx.Analyzer(), blank: Column | None = None) -> DataFrame:
+    """chunks with analysis, classification and a struct `enrichment`; one analysis and one classification a row. Blank texts get the fallback, or the rows where `blank` holds."""
     a = an.analyze(chunks, content, words)
     df = cl.classify(a, content, rules, F.col("analysis.content_type"))
     c, an_, k = F.col(content), F.col("analysis"), F.col("classification")
     df = df.withColumn("_e", F.struct(quality(an_["confidence"], k["total"], F.length(c), F.size(an_["keywords"]), an_["has_steps"], F.size(k["flags"])).alias("quality"), safety(c, k["flags"], k["primary"]).alias("safety"), expertise(c, k["flags"], k["primary"]).alias("expertise"), domain(c, domains).alias("domain"), section(c).alias("section")))
     e = F.col("_e")
     full = F.struct(*(e[x].alias(x) for x in ("quality", "safety", "expertise", "domain", "section")), search_boost(e["quality"], e["safety"], k["flags"]).alias("search_boost"), prerequisites(e["expertise"], k["primary"]).alias("prerequisites"), filter_tags(e["domain"], e["safety"], k["flags"], k["primary"]).alias("filter_tags"), content_hash(c).alias("content_hash"))
-    blank = c.isNull() | (F.trim(c) == "")
+    blank = c.isNull() | (F.trim(c) == "") if blank is None else blank
     lit = lambda v, n: F.lit(v).alias(n)
     fallback = F.struct(lit("poor", "quality"), lit("none", "safety"), lit("anyone", "expertise"), lit("general", "domain"), lit("content", "section"), lit(0.5, "search_boost"), lit("Keine", "prerequisites"), lit("", "filter_tags"), content_hash(F.coalesce(c, F.lit(""))).alias("content_hash"))
     return df.withColumn("enrichment", F.when(blank, fallback).otherwise(full)).drop("_e")

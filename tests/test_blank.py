@@ -27,6 +27,6 @@ def odd(spark, sf, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", HASHED)
+@pytest.mark.parametrize("name", [*HASHED, "enrich_documents", "enrichment_with_blanks"])
 def test_blank_documents(spark, odd, name):
     compare(entry.queries()[name](spark, odd), entry.oracle_sql()[name], connection(odd))
