@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
@@ -82,10 +82,12 @@ def _swap(text: Column, word: str, to: str) -> Column:
     """Whole-word matches of a literal, whatever their case, replaced; the regex runs only on texts that hold the literal.
 
     The text is bound once, as a lambda's variable, so that a chain of steps stays as long as its steps. Long s and the
-    dotless i match s and i whatever the case, as in the regex.
+    dotless i match s and i whatever the case, so texts with one of them go to the regex. Its first character is asked for before
+    the word's edge, which is the dearer test of the two and would be made at every place.
     """
-    low = lambda x: F.translate(F.lower(x), "ſıİ", "sii")
-    step = lambda x: F.when(F.contains(low(x), F.lit(word.lower())), F.regexp_replace(x, _edge(rf"\b{quote(word)}\b"), to)).otherwise(x)
+    odd = [c for c, plain in (("ſ", "s"), ("ı", "i"), ("İ", "i")) if plain in word.lower()]
+    held = lambda x: reduce(lambda a, c: a | F.contains(x, F.lit(c)), odd, F.contains(F.lower(x), F.lit(word.lower())))
+    step = lambda x: F.when(held(x), F.regexp_replace(x, _edge(rf"(?={quote(word[0])})\b{quote(word)}\b"), to)).otherwise(x)
     return F.get(F.transform(F.array(text), step), F.lit(0))
 
 
@@ -120,22 +122,35 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != F.lit(""))
 
 
-def stem(text: Column) -> Column:
-    return F.array_join(F.transform(words(basic(text)), lambda w: stem_word(w)), " ")
+def _stemmed(text: Column) -> Column:
+    return F.array_join(F.transform(words(text), lambda w: stem_word(w)), " ")
 
 
-def industrial(text: Column) -> Column:
-    text = stem(text)
+def _rewritten(text: Column) -> Column:
     for pattern, to in lx.INDUSTRIAL_REWRITES:
         text = F.regexp_replace(text, _edge(pattern), to)
     return text
 
 
-def multilingual(text: Column, glosses: Mapping[str, str] = lx.GLOSSES) -> Column:
+def _glossed(text: Column, glosses: Mapping[str, str] = lx.GLOSSES) -> Column:
     table = F.create_map(*(F.lit(x) for kv in glosses.items() for x in kv))
-    return F.array_join(F.transform(words(industrial(text)), lambda w: F.concat_ws(" ", w, F.element_at(table, w))), " ")
+    return F.array_join(F.transform(words(text), lambda w: F.concat_ws(" ", w, F.element_at(table, w))), " ")
+
+
+def stem(text: Column) -> Column:
+    return _stemmed(basic(text))
+
 
+def industrial(text: Column) -> Column:
+    return _rewritten(stem(text))
+
+
+def multilingual(text: Column, glosses: Mapping[str, str] = lx.GLOSSES) -> Column:
+    return _glossed(industrial(text), glosses)
 
+
+#: Modes as steps, each on the text that the one before has left.
+STEPS: dict[str, Callable[[Column], Column]] = {"basic": basic, "stemming": _stemmed, "industrial": _rewritten, "multilingual": _glossed}
 PREPROCESSING = {"basic": basic, "stemming": stem, "industrial": industrial, "multilingual": multilingual}
 
 
@@ -151,6 +166,14 @@ def preprocess(text: Column, mode: str = "industrial", case_sensitive: bool = Fa
     return PREPROCESSING.get(mode, lambda t: t)(text)
 
 
+def in_all_modes(docs: DataFrame, content: str = "text") -> DataFrame:
+    """docs with a column for each mode, as preprocess() gives it; every step is done once, on the result of the mode before."""
+    text = preprocess(F.col(content), mode="")
+    for mode, step in STEPS.items():
+        docs, text = docs.withColumn(mode, step(text)), F.col(mode)
+    return docs
+
+
 def tokens(text: Column, least: int = 2) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.length(w) >= least)
 

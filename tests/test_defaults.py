@@ -19,6 +19,16 @@ def test_swaps_are_the_regexes(spark):
     assert [r.g for r in rows] == [r.w for r in rows]
 
 
+def test_modes_share_their_steps(spark):
+    """Before, each mode expanded and normalised all texts anew."""
+    texts = [None, "", "Die SPS-Steuerung 2,5 bar, 3 mm", "Speichersteuerungen der Pumpen\n human machine  interface i/o 5°c", "12,34,56 aİ ſps"]
+    df = tx.in_all_modes(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bar druck") == 1
+    for r in df.withColumns({f"{m}_alone": tx.preprocess(F.col("text"), m) for m in tx.PREPROCESSING}).collect():
+        assert all(r[m] == r[f"{m}_alone"] for m in tx.PREPROCESSING)
+
+
 def test_an_index_prepares_texts_once(spark):
     """Before, postings, frequencies, lengths and numbers each prepared all texts."""
     ix = index.build(spark.createDataFrame([(1, "Motor und Pumpe"), (2, "Motor")], "doc_id long, text string"), tables=Tables(spark, "words"))
