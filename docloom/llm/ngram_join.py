@@ -14,8 +14,9 @@ Steps, each a map or a shuffle of evenly dealt blocks, never of all documents of
 2. Prefixes go to buckets by shingle, each a partition, packed, as 32 further bits of it (a clash only adds a candidate). In a bucket, the documents of one shingle whose sizes
    allow a partner are tied to one of them, the pivot: rows are linear in the prefixes, whatever the
    group. Documents with fewer shared prefix shingles than any partner asks for are dropped.
-3. Pivots gather their documents' sets, in blocks of bounded size (every two blocks of a large group
-   meet). There each pair that is not yet connected passes size, multi-match and exact test; of the
+3. Pivots gather their documents, in blocks of bounded size (every two blocks of a large group meet), first
+   as counts of their shingles in BINS bins: two sets share at most the sum of the smaller counts. Those for whom that leaves no
+   partner go, so texts that met by chance, of which there are ever more, don't send their sets. Of the others the sets are gathered; each pair that is not yet connected passes size, multi-match and exact test; of the
    links that hold, those that connect something new are emitted. So copies never expand to pairs.
 4. Components of the links, carried back to classes and documents.
 
@@ -48,6 +49,8 @@ K, PERCENT, SLOTS, MULTI = 5, 75, 1 << 20, 1 << 14
 #: parts of a bucket, as a power of two, that are worked on one after another.
 RARE, ROUNDS = 0.1, 3
 PARTS_BITS = 4
+#: Bins of a set's counts, and shingles from which a set has none and may match any of its size.
+BINS, UNCOUNTED = 512, 1 << 22
 #: Members up to which a pivot's candidates are looked at pair by pair.
 SMALL = 16
 #: Shingles counted together for the frequency table, and repeats in them that make a shingle count as common.
@@ -331,6 +334,70 @@ def link_group(sets: list[np.ndarray], l: np.ndarray, prefix: np.ndarray, side:
     return out
 
 
+_MEMBER = ("p", "i", "j", "side", "is_pivot", "doc_id", "grams_n")
+
+
+def binned(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by bin, low bytes first, of the bits that sets are compared by; empty for a very large set."""
+    if len(s) >= UNCOUNTED:
+        return b""
+    return np.bincount(((s >> U64(16)) % U64(BINS)).astype(np.int64), minlength=BINS).astype("<u2").view(np.uint8).reshape(BINS, 2).T.tobytes()
+
+
+def unbinned(raw: bytes) -> np.ndarray:
+    """The counts again; of a very large set more than any other has."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, BINS).T).view("<u2").ravel() if raw else np.full(BINS, (1 << 16) - 1, "<u2")
+
+
+def hopeful(counts: np.ndarray, n: np.ndarray, side: np.ndarray, across: bool, percent: int) -> np.ndarray:
+    """Which of a group's members may have a partner in it, by size and counts. across: only pairs of different sides."""
+    keep, open_ = np.zeros(len(n), bool), counts[:, 0] == (1 << 16) - 1
+    for x in range(len(n)):
+        cand = (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ~(keep & keep[x])
+        cand[x] = False
+        if across:
+            cand &= side != side[x]
+        y = np.flatnonzero(cand)
+        for at in range(0, len(y), 1024):
+            some = y[at : at + 1024]
+            both = np.minimum(counts[x], counts[some]).sum(axis=1, dtype=np.int64)
+            some = some[open_[x] | open_[some] | (100 * both >= percent * (n[x] + n[some] - both))]
+            keep[some] = True
+            keep[x] |= len(some) > 0
+    return keep
+
+
+def _sketches(k: int, bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = bits.value
+        for batch in batches:
+            slot = np.array(batch.column(2))
+            batch = batch.filter(pa.array((wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+            for piece in pieces(batch, "text"):
+                found = [(d, binned(s)) for d, s in zip(piece.column(0).to_pylist(), shingles(Words(piece.column(1), "spaced"), k), strict=True) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([c for _, c in found], pa.binary())], names=["doc_id", "bins"])
+
+    return run
+
+
+def _hopeful(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        p, i, j, side, doc, n = (np.array(table[c]) for c in ("p", "i", "j", "side", "doc_id", "grams_n"))
+        bins = table["bins"].combine_chunks()
+        order = np.lexsort((doc, ~np.array(table["is_pivot"]), j, i, p))
+        key = np.stack([p[order], i[order], j[order]])
+        edge = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(order)]))
+        kept = []
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            rows = order[s:e]
+            if len(rows) > 1:
+                counts = np.stack([unbinned(bins[int(r)].as_py()) for r in rows])
+                kept.append(rows[hopeful(counts, n[rows], side[rows], i[rows[0]] != j[rows[0]], percent)])
+        return table.select(_MEMBER).take(pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
+
+    return run
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -410,20 +477,31 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K
     members = scratch.table("members", ties.select("p", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", (F.col("p") == F.col("c")).alias("is_pivot"), F.col("rep").alias("doc_id"), F.col("n").alias("grams_n")), few=True)
     scratch.drop("sized", "kept")
 
-    wanted = members.select("doc_id").distinct()
-    size = 1 << max(18, min(28, (64 * wanted.count()).bit_length()))
-    slot = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(size))
-    # bitmap functions number the bits of a bucket from 1
-    marks = wanted.select((slot() + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    bits = np.zeros(size // 8 + 4096, np.uint8)
-    for r in marks.collect():  # at most 2**28 bits, in pieces of 4 KB
-        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
-    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot().alias("slot")).mapInArrow(_sets(k, shared, spark.sparkContext.broadcast(bits)), "doc_id long, n long, l long, prefix long, grams binary, flags binary")
+    def texts_of(rows: DataFrame) -> tuple[DataFrame, object]:
+        """doc_id, text, slot of all documents, and the bitmap of the slots that those of rows have."""
+        wanted = rows.select("doc_id").distinct()
+        size = 1 << max(18, min(28, (64 * wanted.count()).bit_length()))
+        slot = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(size))
+        # bitmap functions number the bits of a bucket from 1
+        marks = wanted.select((slot() + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+        bits = np.zeros(size // 8 + 4096, np.uint8)
+        for r in marks.collect():  # at most 2**28 bits, in pieces of 4 KB
+            bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
+        return docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot().alias("slot")), spark.sparkContext.broadcast(bits)
+
+    texts, bits = texts_of(members)
+    tasks = max(8, members.count() * BINS // task)
+    counted = members.join(texts.mapInArrow(_sketches(k, bits), "doc_id long, bins binary"), "doc_id").withColumn("task", F.pmod(F.xxhash64("p", "i", "j"), F.lit(tasks)).cast("int"))
+    members = scratch.table("hopeful", counted.select("task", *_MEMBER, "bins").repartitionById(tasks, "task").groupBy("task").applyInArrow(_hopeful(percent), members.select(*_MEMBER).schema), few=True)
+    scratch.drop("members")
+
+    texts, bits = texts_of(members)
+    sets = texts.mapInArrow(_sets(k, shared, bits), "doc_id long, n long, l long, prefix long, grams binary, flags binary")
     todo = members.agg(F.coalesce(F.sum("grams_n"), F.lit(0)).alias("n")).first().n
     tasks = max(8, todo // task)
     dealt = members.join(sets, "doc_id").withColumn("task", F.pmod(F.xxhash64("p", "i", "j"), F.lit(tasks)).cast("int"))
     links = scratch.table("links", dealt.select("task", "p", "i", "j", "side", "is_pivot", "doc_id", "l", "prefix", "grams", "flags").repartitionById(tasks, "task").groupBy("task").applyInArrow(_verify(percent), "a long, b long"))
-    scratch.drop("members")
+    scratch.drop("hopeful")
     found = components(links, scratch)
     # written, so that the join below has nothing but exchanges under it and a large group of copies can be split
     named = scratch.table("named", classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component")), few=True)

@@ -541,3 +541,19 @@ def test_embeddings_single_double_and_large_groups(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(name, spark, sf):
     compare(queries.queries()[name](spark, sf), queries.oracle_sql()[name], connection(sf))
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_bins_leave_out_chance_members_only(monkeypatch, across):
+    """Members met by chance once sent their whole sets to be verified."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3000, 2900, 1, 40, 500, 3000)]
+    near = np.unique(np.concatenate((sets[4][60:], rng.integers(0, 1 << 63, 10).astype(np.uint64))))
+    sets += [near, sets[3].copy()]
+    side = np.arange(len(sets)) // 4
+    n = np.array([len(s) for s in sets])
+    kept = lambda: set(np.flatnonzero(ngram_join.hopeful(np.stack([ngram_join.unbinned(ngram_join.binned(s)) for s in sets]), n, side, across, 75)).tolist())
+    linked = {x for x, a in enumerate(sets) for y, b in enumerate(sets) if x != y and not (across and side[x] == side[y]) and 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))}
+    assert linked == ({3, 7} if across else {3, 4, 6, 7}) and kept() == linked
+    monkeypatch.setattr(ngram_join, "UNCOUNTED", 2950)
+    assert kept() == linked | {0, 1, 5}
